@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, sstable
+from . import lines, packing, sstable, topk, warc
 from .common import table
 
 
@@ -14,6 +14,9 @@ def vocabulary() -> str:
 
 QUERIES = {
     "op1_curve_packing": lambda spark, d: packing.op1_curve_packing(table(spark, d, "documents"), vocabulary()),
+    "op2_line_windows": lambda spark, d: lines.op2_line_windows(table(spark, d, "documents")),
+    "op3_segment_topk": lambda spark, d: topk.op3_segment_topk(table(spark, d, "embeddings")),
     "op6_sstable": lambda spark, d: sstable.op6_sstable(table(spark, d, "documents"), vocabulary()),
+    "op9_warc_index": lambda spark, d: warc.op9_warc_index(table(spark, d, "pages")),
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_line_windows": lines.OP2_SQL, "op3_segment_topk": topk.OP3_SQL, "op9_warc_index": warc.OP9_SQL}
