@@ -92,8 +92,8 @@ def encoded(docs: DataFrame, vocab: str) -> DataFrame:
         directions = _directions(enc.tokenizer.get_vocab_size(with_added_tokens=True))
         row = TaskContext.get().partitionId() << 36
         for b in batches:
-            for rows in slices(b, "text", 2 << 20):
-                ids = [np.append(np.frombuffer(x, "<u4"), END_ID) for x in enc.encode(rows.column("text").to_pylist())]
+            for rows in slices(b, "text", 16 << 20):
+                ids = [np.append(x, np.uint32(END_ID)) for x in enc.encode(rows.column("text"))]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + len(ids))), rows.column("doc_id"), pa.array(curve_keys([x[:-1] for x in ids], directions)),
                     pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], schema=schema)

@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer file.
 
 The tokenizers library finds the ids. Where its file splits a lower-cased text into words, digits and marks and drops
-white space (``SPLIT``), the ids of such a piece do not depend on its neighbours, so each worker keeps the pieces that
-it has seen (at most ``KEPT``) and passes only new ones to the library. Texts with other than common Latin characters,
+white space (``SPLIT``), the ids of such a piece do not depend on its neighbours, so each worker keeps the words and
+pieces that it has seen (about ``KEPT``) and passes only new ones to the library. Texts with other than common Latin characters,
 or with a special token's string, go to the library whole.
 """
 
@@ -11,19 +11,21 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import unicodedata
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEPT = 700_000
+KEPT = 1_000_000
 END_ID = 2
 #: Fixed value: the split pattern for which pieces may be kept.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: All but printable ASCII and U+00A1 to U+017F without U+0130, which alone changes its length in lower case.
-_ODD = re.compile("[^\t\n\r -~\u00a1-\u012f\u0131-\u017f]|<\\|")
+_ODD = "[^\t\n\r -~\u00a1-\u012f\u0131-\u017f]|<\\|"
 
 
 def _of(category: str) -> str:
@@ -40,35 +42,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.by_piece = _drops_white_space(path)
-        self.kept: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without special tokens."""
-        parts = [_PIECE.findall(t.lower()) if self.by_piece and not _ODD.search(t) else None for t in texts]
-        seen = set().union(*(p for p in parts if p))
-        new = [w for w in seen if w not in self.kept]
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = list(seen)
-        self._learn(new)
-        whole = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, parts) if p is None], add_special_tokens=False))
-        get = self.kept.__getitem__
-        return [_packed(next(whole).ids) if p is None else b"".join(map(get, p)) for p in parts]
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string column without nulls, without special tokens. Best with some MB at once."""
+        if not len(texts):
+            return []
+        if not self.by_piece:
+            return self._whole(texts)
+        odd = pc.match_substring_regex(texts, _ODD)
+        if pc.any(odd).as_py():
+            own, rest = iter(self._of_pieces(texts.filter(pc.invert(odd)))), iter(self._whole(texts.filter(odd)))
+            return [next(rest) if x else next(own) for x in odd.to_pylist()]
+        return self._of_pieces(texts)
+
+    def _whole(self, texts: pa.Array) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+
+    def _of_pieces(self, texts: pa.Array) -> list[np.ndarray]:
+        words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        coded = words.flatten().dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        if len(self.words) > KEPT // 2:
+            self.words.clear()
+        self._learn([w for w in own if w not in self.words])
+        ids = [self.words[w] for w in own]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = pool[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        return [out[x:y] for x, y in zip(cuts, cuts[1:])]
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 2000):
-            words = new[at : at + 2000]
-            got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-            first = np.fromiter((x for x, _ in got.offsets), np.int64, len(got.ids))
-            cuts = np.searchsorted(first, starts[1:], "left").tolist()
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        split = [_PIECE.findall(w) for w in new]
+        own = dict.fromkeys(chain.from_iterable(split))
+        unknown = [x for x in own if x not in self.pieces]
+        for at in range(0, len(unknown), 2000):
+            some = unknown[at : at + 2000]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ends = np.cumsum(np.bincount(np.array(got.word_ids), minlength=len(some))).tolist()
             ids = np.asarray(got.ids, "<u4").tobytes()
-            for w, a, b in zip(words, [0, *cuts], [*cuts, len(got.ids)]):
-                self.kept[w] = ids[4 * a : 4 * b]
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+            self.pieces.update((w, ids[4 * x : 4 * y]) for w, x, y in zip(some, [0, *ends], ends))
+        get = self.pieces.__getitem__
+        self.words.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in zip(new, split))
 
 
 def _drops_white_space(path: str) -> bool:
