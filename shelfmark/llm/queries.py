@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, packing, sstable, topk, warc
+from . import decontaminate, language, lines, neardup, packing, sstable, substrings, topk, warc
 from .common import table
 
 
@@ -16,7 +16,11 @@ QUERIES = {
     "op1_curve_packing": lambda spark, d: packing.op1_curve_packing(table(spark, d, "documents"), vocabulary()),
     "op2_line_windows": lambda spark, d: lines.op2_line_windows(table(spark, d, "documents")),
     "op3_segment_topk": lambda spark, d: topk.op3_segment_topk(table(spark, d, "embeddings")),
+    "op4_lsh_forest": lambda spark, d: neardup.op4_lsh_forest(table(spark, d, "documents")),
+    "op5_crf_language": lambda spark, d: language.op5_crf_language(table(spark, d, "documents")),
     "op6_sstable": lambda spark, d: sstable.op6_sstable(table(spark, d, "documents"), vocabulary()),
+    "op7_bucket_refinement": lambda spark, d: substrings.op7_bucket_refinement(table(spark, d, "documents")),
     "op9_warc_index": lambda spark, d: warc.op9_warc_index(table(spark, d, "pages")),
+    "op10_bm25_wand": lambda spark, d: decontaminate.op10_bm25_wand(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 SQL: dict[str, str] = {"op2_line_windows": lines.OP2_SQL, "op3_segment_topk": topk.OP3_SQL, "op9_warc_index": warc.OP9_SQL}
