@@ -106,3 +106,22 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def by_cluster(pairs: DataFrame, name: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Deal pairs (a, b, ...) to groups in which each document is needed once: (g and the pairs; h, doc_id).
+
+    Clusters of the graph with up to ``most`` documents share groups of about that size; larger ones are cut into blocks
+    of about ``most``, with a group for each two blocks that have pairs. No group holds more than some ``most`` documents.
+    """
+    cluster = materialize(components(pairs, f"{name}-clusters"), f"{name}-cluster")
+    total = cluster.count()
+    large = cluster.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > most)
+    large = materialize(large.select("component", F.ceil(F.col("size") / most).alias("blocks")), f"{name}-large")
+    own = pairs.join(cluster.withColumnRenamed("node", "a"), "a").join(large, "component", "left")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    in_large = F.xxhash64("component", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
+    shared = F.pmod(F.xxhash64("component"), F.lit(max(1, total // most)))
+    placed = own.withColumn("g", F.when(F.col("blocks").isNull(), shared).otherwise(in_large)).select("g", *pairs.columns)
+    placed = materialize(placed, f"{name}-placed")
+    return placed, placed.select(F.col("g").alias("h"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, lines, neardup, packing, sstable, substrings, topk, warc
+from . import decontaminate, language, lines, neardup, packing, passages, sstable, substrings, topk, warc
 from .common import table
 
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op5_crf_language": lambda spark, d: language.op5_crf_language(table(spark, d, "documents")),
     "op6_sstable": lambda spark, d: sstable.op6_sstable(table(spark, d, "documents"), vocabulary()),
     "op7_bucket_refinement": lambda spark, d: substrings.op7_bucket_refinement(table(spark, d, "documents")),
+    "op8_compact_windows": lambda spark, d: passages.op8_compact_windows(table(spark, d, "documents")),
     "op9_warc_index": lambda spark, d: warc.op9_warc_index(table(spark, d, "pages")),
     "op10_bm25_wand": lambda spark, d: decontaminate.op10_bm25_wand(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }

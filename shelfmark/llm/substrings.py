@@ -123,18 +123,26 @@ def _told(docs: np.ndarray, hashes: np.ndarray):
     return [(int(docs[a]), _six(hashes[a:b])) for a, b in zip(cut, np.append(cut[1:], len(docs)))] if len(docs) else []
 
 
-def shared_anchors(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """(doc_id, hashes, hot): each document's anchors that other documents hold too; rows with ``hot`` list frequent ones."""
+def anchor_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the anchors of a column of texts."""
+    data, offsets = _text(column)
+    first, _, h = anchored(data, offsets)
+    return np.searchsorted(offsets, first, "right") - 1, h
+
+
+def shared_hashes(docs: DataFrame, extract, buckets: int, hot: int) -> DataFrame:
+    """(doc_id, hashes, hot): each document's hashes that other documents hold too; rows with ``hot`` list frequent ones.
+
+    ``extract`` gives (row, hash of at most 47 bits) for a column of texts.
+    """
 
     def ask(batches):
         for b in batches:
             for rows in slices(b, "text"):
-                data, offsets = _text(rows.column("text"))
-                ids = rows.column("doc_id").to_numpy()
-                first, _, h = anchored(data, offsets)
+                row, h = extract(rows.column("text"))
                 if not len(h):
                     continue
-                doc = ids[np.searchsorted(offsets, first, "right") - 1]
+                doc = rows.column("doc_id").to_numpy()[row]
                 order, cut = _groups(h, doc)  # each (hash, document) once
                 h, doc = h[order[cut]], doc[order[cut]]
                 begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -381,7 +389,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = keyed_texts(docs).withColumn("k", F.xxhash64("text"))
     buckets = max(partitions(spark), 64)
-    told = materialize(shared_anchors(docs, buckets, max(HOT, docs.count() // 1000)), "substring-anchors")
+    told = materialize(shared_hashes(docs, anchor_hashes, buckets, max(HOT, docs.count() // 1000)), "substring-anchors")
     often = np.unique(np.concatenate([_from_six(r.hashes) for r in told.where("hot").toLocalIterator()] or [np.zeros(0, np.uint64)]))
     # the documents are dealt by identifier once, for both joins
     dealt = docs.repartition(partitions(spark), "doc_id")
