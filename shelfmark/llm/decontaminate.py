@@ -5,10 +5,8 @@ score for itself, so one threshold ``LEAST`` (a share of the perfect score) serv
 words, one each ``ENTRY`` words, of every document is a query; it holds any copy of an entry whole. Retrieval is safe:
 
 1.  passages whose words' list maxima can't add up to the threshold fall out;
-2.  of the rest, words in order of their maxima are split at the threshold: an entry without any of the upper ones
-    can't reach it, so only those words' blocks (``BLOCK`` entries) are opened, and a block stays if its block maxima
-    plus the lower words' maxima reach the threshold;
-3.  entries of such blocks get their exact score.
+2.  the words' block maxima (of ``BLOCK`` entries) are added up, and blocks that can't reach it fall out;
+3.  entries of the other blocks get their exact score.
 
 All above the threshold are verified around the passage on the item's five-word shingles: at least 0.75 of them occur
 there, and at least half of the question's (all but the last sentence) and of the answer's (the last sentence; with
@@ -36,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import keyed_texts, scratch, slices
 from .shingles import SIZE, combine, shingle_set, word_hashes, words
 
-ENTRY, BLOCK, LEAST, OVERLAP, PART, WAVE = 64, 8, 0.5, 0.75, 0.5, 400_000
+ENTRY, BLOCK, LEAST, OVERLAP, PART, WAVE = 64, 8, 0.5, 0.75, 0.5, 100_000
 K1, B = 1.2, 0.75
 
 
@@ -81,46 +79,41 @@ class Index:
         norm = K1 * (1 - B + B * length / length.mean()) if n else length
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[entry])
         impact /= np.bincount(entry, impact, n)[entry]
-        self.blocks = -(-n // BLOCK)
+        most = np.zeros(v)
+        np.maximum.at(most, term, impact)
+        number = np.empty(v, np.int64)
+        number[np.argsort(most, kind="stable")] = np.arange(v)  # terms in order of their largest impact
+        self.terms = {w: int(number[t]) for w, t in self.terms.items()}
+        self.most, term = np.sort(most), number[term]
+        self.entries, self.blocks = max(1, n), max(1, -(-n // BLOCK))
         order = np.lexsort((entry, term))
         term, self.entry, self.impact = term[order], entry[order], impact[order]
-        key = term * max(1, self.blocks) + self.entry // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.key, self.key_first = key[first], np.append(first, len(key))  # a block of a term's list, and its postings
-        self.key_most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.term_first = np.searchsorted(self.key, np.arange(v + 1) * max(1, self.blocks))
-        self.most = np.zeros(v)
-        np.maximum.at(self.most, term, self.impact)
+        self.posting = term * self.entries + self.entry
+        self.dense = np.zeros((max(1, v), self.blocks), np.float32)  # block maxima, rounded up
+        np.maximum.at(self.dense, (term, self.entry // BLOCK), np.nextafter(self.impact.astype(np.float32), np.float32(2)))
 
     def retrieve(self, passage: np.ndarray, term: np.ndarray):
         """(passage, entry, score) of all at or above LEAST, for distinct (passage, term) rows in order of passage."""
-        bound = self.most[term]
-        order = np.lexsort((bound, passage))
-        passage, term, bound = passage[order], term[order], bound[order]
-        first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else np.zeros(0, np.int64)
-        number = np.cumsum(np.isin(np.arange(len(passage)), first)) - 1
-        sums = np.cumsum(bound)
-        sums -= np.repeat((sums - bound)[first], np.diff(np.append(first, len(passage))))
-        upper = sums >= LEAST - 1e-9
-        lower = np.bincount(number[~upper], bound[~upper], len(first))
-        k, at = _expand(self.term_first[term[upper]], self.term_first[term[upper] + 1])
-        block = number[upper][at] * max(1, self.blocks) + self.key[k] % max(1, self.blocks)
-        pairs, which = np.unique(block, return_inverse=True)
-        best = np.bincount(which, self.key_most[k], len(pairs)) + lower[pairs // max(1, self.blocks)]
-        pairs = pairs[best >= LEAST - 1e-9]
-        begin, end = first[pairs // max(1, self.blocks)], np.append(first[1:], len(passage))[pairs // max(1, self.blocks)]
-        row, at = _expand(begin, end)
-        key = term[row] * self.blocks + (pairs % max(1, self.blocks))[at]
-        found = np.searchsorted(self.key, key)
-        fine = found < len(self.key)
-        fine[fine] = self.key[found[fine]] == key[fine]
-        posting, at2 = _expand(self.key_first[found[fine]], self.key_first[found[fine] + 1])
-        owner = passage[row[fine]][at2]
-        n = max(1, len(self.entry_item))
-        both, which = np.unique(owner * n + self.entry[posting], return_inverse=True)
-        score = np.bincount(which, self.impact[posting], len(both))
+        if not len(passage):
+            return passage, passage, np.zeros(0)
+        begin = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+        likely = np.add.reduceat(self.most[term], begin) >= LEAST - 1e-9
+        first, end = begin[likely], np.append(begin[1:], len(passage))[likely]
+        # blocks that the passage's words could lift to the threshold
+        rows, _ = _expand(first, end)
+        if not len(rows):
+            return passage[:0], passage[:0], np.zeros(0)
+        n, block = np.nonzero(np.add.reduceat(self.dense[term[rows]], np.cumsum(end - first) - (end - first), axis=0) >= LEAST - 1e-4)
+        # their entries
+        row, at = _expand(first[n], end[n])
+        begin = term[row] * self.entries + block[at] * BLOCK
+        low = np.searchsorted(self.posting, begin)
+        high = np.searchsorted(self.posting, np.minimum(begin + BLOCK, (term[row] + 1) * self.entries))
+        place, of = _expand(low, high)
+        pairs, which = np.unique(n[at[of]] * self.entries + self.entry[place], return_inverse=True)
+        score = np.bincount(which, self.impact[place], len(pairs))
         keep = score >= LEAST - 1e-9
-        return both[keep] // n, both[keep] % n, score[keep]
+        return passage[first[pairs[keep] // self.entries]], pairs[keep] % self.entries, score[keep]
 
     def search(self, texts: pa.Array):
         """(row, item, score, overlap, question overlap, answer overlap) of verified matches, the best of each row and item."""
@@ -137,7 +130,7 @@ class Index:
         end = np.minimum(begin + 2 * ENTRY, offsets[row + 1])
         likely = np.flatnonzero(sums[end] - sums[begin] >= LEAST - 1e-9)
         best: dict[tuple[int, int], tuple] = {}
-        for part in np.array_split(likely, max(1, len(likely) // 2000)):
+        for part in np.array_split(likely, max(1, len(likely) * 64 * self.blocks // 4_000_000)):
             place, at = _expand(begin[part], end[part])
             fine = term[place] >= 0
             v = max(1, len(self.terms))
