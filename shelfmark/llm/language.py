@@ -32,7 +32,7 @@ from .common import slices
 
 WIDTH, SAMPLE, SAMPLE_CHARS = 1 << 17, 600, 3000
 LENGTH, SEQUENCES, EPOCHS, RATE, DECAY = 48, 6000, 5, 0.3, 1e-5
-CHUNK, KEPT = 64, 400_000
+CHUNK, KEPT = 64, 200_000
 UNKNOWN = "und"
 
 
@@ -197,21 +197,38 @@ def shares(e: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, start: n
     return out
 
 
-_WORDS: dict[str, dict[str, int]] = {}
-_ROWS: dict[str, list[np.ndarray]] = {}
+class _Kept:
+    """Emissions of words that a worker has seen: places in one array."""
+
+    def __init__(self, model: Model):
+        self.model, self.places = model, {}
+        self.table = np.zeros((KEPT, len(model.languages)), np.float32)
+
+    def get(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.places]
+        if len(self.places) + len(new) > len(self.table):
+            self.places.clear()
+            new = words
+            if len(new) > len(self.table):
+                self.table = np.zeros((len(new), self.table.shape[1]), np.float32)
+        first = len(self.places)
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            self.table[first + at : first + at + len(some)] = self.model.emissions(some)
+        self.places.update(zip(new, range(first, first + len(new))))
+        return self.table[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))]
+
+
+_WORDS: dict[str, _Kept] = {}
 
 
 def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
     """Language and score of each text; null counts as empty. Each worker keeps the emissions of ``KEPT`` words."""
     words, at, offsets = split_words(pc.fill_null(texts, ""))
-    if model.key not in _WORDS or len(_WORDS[model.key]) > KEPT:
+    if model.key not in _WORDS:
         _WORDS.clear()
-        _WORDS[model.key] = {}
-    kept = _WORDS[model.key]
-    new = [w for w in words if w not in kept]
-    if new:
-        kept.update(zip(new, model.emissions(new)))
-    e = np.stack([kept[w] for w in words]) if words else np.zeros((0, len(model.languages)), np.float32)
+        _WORDS[model.key] = _Kept(model)
+    e = _WORDS[model.key].get(words)
     blank = words.index("") if "" in words else -1
     if blank >= 0:  # a text without letters is split into one empty word
         empty = np.concatenate([[0], np.cumsum(at == blank)])
