@@ -83,26 +83,57 @@ def slices(rows: pa.RecordBatch, text: str, most_bytes: int = 4 << 20):
         yield rows.slice(at)
 
 
-def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
+#: So many edges are joined up in one task.
+EDGES = 300_000
+
+
+def _forest(batches):
+    """The edges of a partition as one star for each of its connected parts."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch_ in batches:
+        for a, b in zip(batch_.column(0).to_pylist(), batch_.column(1).to_pylist()):
+            if (x := find(a)) != (y := find(b)):
+                root[max(x, y)] = min(x, y)
+    stars = [(x, find(x)) for x in root]
+    for at in range(0, len(stars), 50_000):
+        own = [e for e in stars[at : at + 50_000] if e[0] != e[1]]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own)], names=["a", "b"])
+
+
+def components(edges: DataFrame, name: str, most: int = EDGES, rounds: int = 100) -> DataFrame:
     """(node, component) of an undirected graph with columns a and b; component is the smallest node reachable.
 
-    Alternates large-star and small-star: every round replaces the edges by at most as many, and needs only
-    grouped minima and equi-joins, so a node with many neighbours is neither collected nor expanded into pairs.
-    Every round is written to the shared folder. An empty graph gives no rows.
+    Every task first replaces its edges, at most about ``most``, by stars of their connected parts; a graph of so few is
+    finished by that. Larger ones alternate large-star and small-star, which need only grouped minima and equi-joins,
+    so a node with many neighbours is neither collected nor expanded into pairs, and contract again in between. Every
+    round is written to the shared folder. An empty graph gives no rows.
     """
-    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
+    edges, before = materialize(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges"), None
     for k in range(rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        after = materialize(small.where("a <> b").distinct(), f"{name}-{k}")
-        left = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if k and left == before:  # noqa: F821  the same edges as a round ago
+        n, mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (n, mark) == before:
+            break
+        tasks = -(-n // most)
+        edges, before = edges.coalesce(max(1, tasks)).mapInArrow(_forest, "a long, b long"), (n, mark)
+        if tasks <= 1:
+            edges = materialize(edges, f"{name}-stars")
             break
-        before, edges = left, after
+        both = materialize(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-both")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = materialize(small.where("a <> b").distinct(), f"{name}-{k}")
     return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
