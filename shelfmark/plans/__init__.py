@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables."""
 
-from . import graph, retrieval, scalars, stores  # noqa: F401
+from . import evaluation, graph, retrieval, scalars, stores  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -22,45 +22,45 @@ DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]:
 HEAD = "substr(text, 1, 90)"
 
 
-def of(table: str, key: str, **columns):
-    """A projection of one table: the key and some columns."""
-    return lambda t: getattr(t, table).select(key, *(c.alias(n) for n, c in columns.items()))
+def of(table: str, key: str, columns):
+    """A projection of one table: the key and some columns, which are made when there is a session."""
+    return lambda t: getattr(t, table).select(key, *(c.alias(n) for n, c in columns().items()))
 
 
-def plain(name: str, table: str, key: str, columns: dict, sql: dict) -> None:
-    query(name, f"SELECT {key}, " + ", ".join(f"{x} AS {n}" for n, x in sql.items()) + f" FROM {table}")(of(table, key, **columns))
+def plain(name: str, table: str, key: str, columns, sql: dict) -> None:
+    query(name, f"SELECT {key}, " + ", ".join(f"{x} AS {n}" for n, x in sql.items()) + f" FROM {table}")(of(table, key, columns))
 
 
-T = F.col("text")
-H = F.substring("text", 1, 90)
-plain("str01", "documents", "doc_id", {"slug": text.slug(H)}, {"slug": SLUG(HEAD)})
+T = lambda: F.col("text")
+H = lambda: F.substring("text", 1, 90)
+plain("str01", "documents", "doc_id", lambda: {"slug": text.slug(H())}, {"slug": SLUG(HEAD)})
 query("str02", f"SELECT page_id, {SKILL_SLUG('url')} AS skill_slug, {URL_SLUG('url')} AS url_slug FROM pages")(
-    of("pages", "page_id", skill_slug=text.skill_slug(F.col("url")), url_slug=text.url_slug(F.col("url")))
+    of("pages", "page_id", lambda: {"skill_slug": text.skill_slug(F.col("url")), "url_slug": text.url_slug(F.col("url"))})
 )
 plain(
-    "str03", "documents", "doc_id", {"long_preview": text.preview(T, 240, trimmed=False), "preview": text.preview(T, 200)},
+    "str03", "documents", "doc_id", lambda: {"long_preview": text.preview(T(), 240, trimmed=False), "preview": text.preview(T(), 200)},
     {"long_preview": "CASE WHEN length(text) > 240 THEN substr(text, 1, 240) || '…' ELSE text END", "preview": f"CASE WHEN length({STRIP('text')}) > 200 THEN substr({STRIP('text')}, 1, 200) || '…' ELSE {STRIP('text')} END"},
 )
 _LEAD = STRIP("substr(text, 1, 280)")
-plain("str04", "documents", "doc_id", {"snippet": text.snippet(T)}, {"snippet": rf"CASE WHEN length(text) > length({_LEAD}) THEN CASE WHEN contains({_LEAD}, ' ') THEN regexp_extract({_LEAD}, '(?s)^(.*) ', 1) ELSE {_LEAD} END || '…' ELSE {_LEAD} END"})
-plain("str05", "pages", "page_id", {"normal": text.normalize(F.col("html"))}, {"normal": NORMAL("html")})
-plain("str06", "documents", "doc_id", {"n_tokens": F.size(text.tokens(T)).cast("long"), "n_keywords": F.size(text.keywords(T)).cast("long"), "first_tokens": F.array_join(F.slice(text.tokens(T), 1, 12), " ")},
+plain("str04", "documents", "doc_id", lambda: {"snippet": text.snippet(T())}, {"snippet": rf"CASE WHEN length(text) > length({_LEAD}) THEN CASE WHEN contains({_LEAD}, ' ') THEN regexp_extract({_LEAD}, '(?s)^(.*) ', 1) ELSE {_LEAD} END || '…' ELSE {_LEAD} END"})
+plain("str05", "pages", "page_id", lambda: {"normal": text.normalize(F.col("html"))}, {"normal": NORMAL("html")})
+plain("str06", "documents", "doc_id", lambda: {"n_tokens": F.size(text.tokens(T())).cast("long"), "n_keywords": F.size(text.keywords(T())).cast("long"), "first_tokens": F.array_join(F.slice(text.tokens(T()), 1, 12), " ")},
       {"n_tokens": f"len({TOKENS('text')})", "n_keywords": f"len({KEYWORDS('text')})", "first_tokens": f"array_to_string(({TOKENS('text')})[1:12], ' ')"})
 
 
 @query("str07", f"SELECT b.item_id, d.doc_id, round({KEYWORD_SIM('b.text', 'd.text')}, 9) AS similarity FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40")
 def _str07(t):
     joined = t.benchmark.withColumnRenamed("text", "q").join(t.documents, F.expr("doc_id % 40 = item_id % 40"))
-    return joined.select("item_id", "doc_id", F.round(text.keyword_similarity(F.col("q"), T), 9).alias("similarity"))
+    return joined.select("item_id", "doc_id", F.round(text.keyword_similarity(F.col("q"), T()), 9).alias("similarity"))
 
 
-plain("str09", "documents", "doc_id", {"name_key": text.name_key(H)}, {"name_key": f"regexp_replace(lower({HEAD}), '[^a-z0-9]', '', 'g')"})
-plain("str10", "conversations", "conv_id, turn".split(",")[0], {"turn_no": F.col("turn"), "normal": text.collapse(T)}, {"turn_no": "turn", "normal": SUB(STRIP("lower(coalesce(text, ''))"), r"\s+", " ")})
-_ANSWER = F.concat(F.lit("# Answer\n"), T, F.lit("\n\n  ## Part\nmore "), F.lit("\n## Key sources\n- [1] x"))
+plain("str09", "documents", "doc_id", lambda: {"name_key": text.name_key(H())}, {"name_key": f"regexp_replace(lower({HEAD}), '[^a-z0-9]', '', 'g')"})
+plain("str10", "conversations", "conv_id", lambda: {"turn_no": F.col("turn"), "normal": text.collapse(T())}, {"turn_no": "turn", "normal": SUB(STRIP("lower(coalesce(text, ''))"), r"\s+", " ")})
+_ANSWER = lambda: F.concat(F.lit("# Answer\n"), T(), F.lit("\n\n  ## Part\nmore "), F.lit("\n## Key sources\n- [1] x"))
 _ANSWER_SQL = "('# Answer' || chr(10) || text || chr(10) || chr(10) || '  ## Part' || chr(10) || 'more ' || chr(10) || '## Key sources' || chr(10) || '- [1] x')"
-plain("str11", "benchmark", "item_id", {"gist": text.gist(_ANSWER)},
+plain("str11", "benchmark", "item_id", lambda: {"gist": text.gist(_ANSWER())},
       {"gist": STRIP(rf"substr(array_to_string(list_filter(list_transform(string_split(regexp_extract({_ANSWER_SQL}, '(?is)^(.*?)\n#{{1,6}}\s*(?:Key sources|Citations|Sources)\b', 1), chr(10)), lambda s: {STRIP('s')}), lambda s: s <> '' AND NOT starts_with(s, '#')), ' '), 1, 400)")})
-plain("str12", "documents", "doc_id", {"lines": F.to_json(text.lines_of(T)), "parts": F.size(F.filter(F.transform(F.split(T, "[\n,]"), text.strip), lambda s: s != "")).cast("long")},
+plain("str12", "documents", "doc_id", lambda: {"lines": F.to_json(text.lines_of(T())), "parts": F.size(F.filter(F.transform(F.split(T(), "[\n,]"), text.strip), lambda s: s != "")).cast("long")},
       {"lines": f"to_json(list_filter(list_transform(string_split(text, chr(10)), lambda s: {STRIP('s')}), lambda s: s <> ''))::VARCHAR", "parts": rf"len(list_filter(list_transform(string_split_regex(text, '[\n,]'), lambda s: {STRIP('s')}), lambda s: s <> ''))"})
 
 
@@ -73,16 +73,16 @@ def _str13(t):
     return hits.withColumn("line", F.format_string("[%d] doc %d (%s) - %s", "n", "doc_id", "lang", "source")).groupBy("label").agg(F.expr("listagg(line, '\n\n') WITHIN GROUP (ORDER BY n)").alias("context"))
 
 
-plain("str14", "documents", "doc_id", {"embed_text": F.concat_ws("\n", F.concat(F.lit("Document: "), F.col("source")), F.concat(F.lit("Language: "), F.col("lang")), F.lit(""), F.substring("text", 1, 200))},
+plain("str14", "documents", "doc_id", lambda: {"embed_text": F.concat_ws("\n", F.concat(F.lit("Document: "), F.col("source")), F.concat(F.lit("Language: "), F.col("lang")), F.lit(""), F.substring("text", 1, 200))},
       {"embed_text": "concat_ws(chr(10), 'Document: ' || source, 'Language: ' || lang, '', substr(text, 1, 200))"})
-plain("str15", "documents", "doc_id", {"placeholder": text.has_placeholder(F.concat(T, F.when(F.col("doc_id") % 7 == 0, " todo ").otherwise(""))), "steps": text.numbered_steps(F.regexp_replace(T, r"\n", "\n- ")).cast("long")},
+plain("str15", "documents", "doc_id", lambda: {"placeholder": text.has_placeholder(F.concat(T(), F.when(F.col("doc_id") % 7 == 0, " todo ").otherwise(""))), "steps": text.numbered_steps(F.regexp_replace(T(), r"\n", "\n- ")).cast("long")},
       {"placeholder": r"regexp_matches(text || CASE WHEN doc_id % 7 = 0 THEN ' todo ' ELSE '' END, '(?i)\b(TODO|TBD|FIXME|XXX|lorem ipsum|your (?:skill|task|tool) here|placeholder)\b|<[a-z_]{3,}>')",
        "steps": r"len(regexp_extract_all(replace(text, chr(10), chr(10) || '- '), '(?m)^\s*(?:\d+[.)]|[-*])\s+\S'))"})
-plain("str16", "documents", "doc_id", {"sha256": F.sha2("text", 256)}, {"sha256": "sha256(text)"})
-plain("str17", "documents", "doc_id", {"n_sentences": F.size(text.sentences(T)).cast("long"), "first": F.get(text.sentences(T), F.lit(0))}, {"n_sentences": f"len({SENTENCES('text')})", "first": f"({SENTENCES('text')})[1]"})
-plain("str18", "documents", "doc_id", {"metric": text.metric_key(F.substring("text", 1, 40))}, {"metric": SUB(SUB("lower(substr(text, 1, 40))", "[^a-z0-9]+", "_"), "^_+|_+$", "")})
-plain("str19", "documents", "doc_id", {"identifier": text.identifier(F.substring("text", 1, 40))}, {"identifier": "regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9_]', '', 'g')"})
-plain("str20", "pages", "page_id", {"domain": text.domain(F.col("url"))}, {"domain": r"regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', '')"})
+plain("str16", "documents", "doc_id", lambda: {"sha256": F.sha2("text", 256)}, {"sha256": "sha256(text)"})
+plain("str17", "documents", "doc_id", lambda: {"n_sentences": F.size(text.sentences(T())).cast("long"), "first": F.get(text.sentences(T()), F.lit(0))}, {"n_sentences": f"len({SENTENCES('text')})", "first": f"({SENTENCES('text')})[1]"})
+plain("str18", "documents", "doc_id", lambda: {"metric": text.metric_key(F.substring("text", 1, 40))}, {"metric": SUB(SUB("lower(substr(text, 1, 40))", "[^a-z0-9]+", "_"), "^_+|_+$", "")})
+plain("str19", "documents", "doc_id", lambda: {"identifier": text.identifier(F.substring("text", 1, 40))}, {"identifier": "regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9_]', '', 'g')"})
+plain("str20", "pages", "page_id", lambda: {"domain": text.domain(F.col("url"))}, {"domain": r"regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', '')"})
 
 
 @query("str21", """WITH g AS (SELECT conv_id, string_agg(substr(text, 1, 40), '; ' ORDER BY turn) FILTER (turn < 8) AS titles, min(text) FILTER (role = 'system') AS digest FROM conversations GROUP BY conv_id)
@@ -90,25 +90,25 @@ SELECT conv_id, substr(coalesce(nullif(digest, ''), 'Sources: ' || titles), 1, 1
 def _str21(t):
     g = t.conversations.groupBy("conv_id").agg(
         F.expr("listagg(substr(text, 1, 40), '; ') WITHIN GROUP (ORDER BY turn) FILTER (WHERE turn < 8)").alias("titles"),
-        F.min(F.when(F.col("role") == "system", T)).alias("digest"),
+        F.min(F.when(F.col("role") == "system", T())).alias("digest"),
     )
     return g.select("conv_id", F.substring(F.coalesce(F.nullif("digest", F.lit("")), F.concat(F.lit("Sources: "), "titles")), 1, 1600).alias("digest"))
 
 
-plain("str22", "documents", "doc_id", {"revision": F.when(text.strip(H) != "", F.format_string("Revise with this note: %s", text.strip(H))).otherwise("")}, {"revision": f"CASE WHEN {STRIP(HEAD)} <> '' THEN 'Revise with this note: ' || {STRIP(HEAD)} ELSE '' END"})
+plain("str22", "documents", "doc_id", lambda: {"revision": F.when(text.strip(H()) != "", F.format_string("Revise with this note: %s", text.strip(H()))).otherwise("")}, {"revision": f"CASE WHEN {STRIP(HEAD)} <> '' THEN 'Revise with this note: ' || {STRIP(HEAD)} ELSE '' END"})
 
 # dates
-_STAMP = F.concat(F.lit("published "), F.date_format("ts", "yyyy/M/d"), F.lit(" at noon"))
+_STAMP = lambda: F.concat(F.lit("published "), F.date_format("ts", "yyyy/M/d"), F.lit(" at noon"))
 _STAMP_SQL = "'published ' || strftime(ts, '%Y/%-m/%-d') || ' at noon'"
-plain("dat01", "events", "event_id", {"day": dates.iso_date(_STAMP)}, {"day": rf"regexp_extract({_STAMP_SQL}, '(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})', 1) || '-' || lpad(regexp_extract({_STAMP_SQL}, '(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})', 2), 2, '0') || '-' || lpad(regexp_extract({_STAMP_SQL}, '(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})', 3), 2, '0')"})
-plain("dat03", "events", "event_id", {"byline": dates.byline_date(F.concat(F.lit("By us, "), F.date_format("ts", "MMM d, yyyy"), F.lit(" in print")))}, {"byline": r"regexp_extract('By us, ' || strftime(ts, '%b %-d, %Y') || ' in print', '\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+[0-9]{1,2},?\s+[0-9]{4}\b')"})
+plain("dat01", "events", "event_id", lambda: {"day": dates.iso_date(_STAMP())}, {"day": rf"regexp_extract({_STAMP_SQL}, '(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})', 1) || '-' || lpad(regexp_extract({_STAMP_SQL}, '(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})', 2), 2, '0') || '-' || lpad(regexp_extract({_STAMP_SQL}, '(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})', 3), 2, '0')"})
+plain("dat03", "events", "event_id", lambda: {"byline": dates.byline_date(F.concat(F.lit("By us, "), F.date_format("ts", "MMM d, yyyy"), F.lit(" in print")))}, {"byline": r"regexp_extract('By us, ' || strftime(ts, '%b %-d, %Y') || ' in print', '\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+[0-9]{1,2},?\s+[0-9]{4}\b')"})
 _NOW = "TIMESTAMP '2024-02-01 00:00:00'"
-plain("dat04", "events", "event_id", {"recency": F.round(dates.recency(F.col("ts"), F.expr(_NOW)), 9)}, {"recency": f"round(greatest(0.0::DOUBLE, 1.0 - (epoch_us({_NOW}) - epoch_us(ts)) / (86400e6 * 30)), 9)"})
-plain("dat05", "events", "event_id", {"start_us": F.unix_micros(F.col("ts").cast("timestamp")) - F.round(F.abs("value") * 1000).cast("long")}, {"start_us": "epoch_us(ts)::BIGINT - round(abs(value) * 1000)::BIGINT"})
+plain("dat04", "events", "event_id", lambda: {"recency": F.round(dates.recency(F.col("ts"), F.expr(_NOW)), 9)}, {"recency": f"round(greatest(0.0::DOUBLE, 1.0 - (epoch_us({_NOW}) - epoch_us(ts)) / (86400e6 * 30)), 9)"})
+plain("dat05", "events", "event_id", lambda: {"start_us": F.unix_micros(F.col("ts").cast("timestamp")) - F.round(F.abs("value") * 1000).cast("long")}, {"start_us": "epoch_us(ts)::BIGINT - round(abs(value) * 1000)::BIGINT"})
 
 # vectors
-E = F.col("embedding")
-plain("mth01", "embeddings", "vec_id", {"norm": F.round(vector.norm(vector.unit(F.transform(E, lambda x: x * 3))), 6), "first": F.round(F.get(vector.unit(F.transform(E, lambda x: x * 3)), F.lit(0)), 6)},
+E = lambda: F.col("embedding")
+plain("mth01", "embeddings", "vec_id", lambda: {"norm": F.round(vector.norm(vector.unit(F.transform(E(), lambda x: x * 3))), 6), "first": F.round(F.get(vector.unit(F.transform(E(), lambda x: x * 3)), F.lit(0)), 6)},
       {"norm": f"round(sqrt({DOT('u', 'u')}), 6)", "first": "round(u[1], 6)"})
 from .registry import SQL  # noqa: E402
 
@@ -116,7 +116,7 @@ SQL["mth01"] = f"WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: (
 
 
 def _pairs(t):
-    a, b = t.embeddings.select("vec_id", E.alias("a")), t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), E.alias("b"))
+    a, b = t.embeddings.select("vec_id", E().alias("a")), t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), E().alias("b"))
     return a.join(F.broadcast(b), F.col("vec_id") != F.col("query_id"))
 
 
@@ -126,9 +126,9 @@ query("mth02", f"SELECT q.vec_id AS query_id, v.vec_id, round({DOT('v.embedding'
 query("mth03", f"SELECT q.vec_id AS query_id, v.vec_id, round({DOT('v.embedding', 'q.embedding')}, 5) AS product FROM embeddings v JOIN embeddings q ON q.vec_id < 5 AND v.vec_id <> q.vec_id")(
     lambda t: _pairs(t).select("query_id", "vec_id", F.round(vector.dot(F.col("a"), F.col("b")), 5).alias("product"))
 )
-plain("mth04", "events", "event_id", {"r3": F.round("value", 3), "r4": F.round("value", 4)}, {"r3": "round(value, 3)", "r4": "round(value, 4)"})
-plain("mth05", "events", "event_id", {"clamped": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 50))}, {"clamped": "greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 50))"})
-plain("mth07", "events", "event_id", {"size": F.greatest(F.lit(200), F.least(F.lit(4000), F.floor(F.col("value") * 100))).cast("long")}, {"size": "greatest(200, least(4000, floor(value * 100)))::BIGINT"})
+plain("mth04", "events", "event_id", lambda: {"r3": F.round("value", 3), "r4": F.round("value", 4)}, {"r3": "round(value, 3)", "r4": "round(value, 4)"})
+plain("mth05", "events", "event_id", lambda: {"clamped": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 50))}, {"clamped": "greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 50))"})
+plain("mth07", "events", "event_id", lambda: {"size": F.greatest(F.lit(200), F.least(F.lit(4000), F.floor(F.col("value") * 100))).cast("long")}, {"size": "greatest(200, least(4000, floor(value * 100)))::BIGINT"})
 RANKS = {"AMBIGUOUS": 0, "INFERRED": 1, "EXTRACTED": 2, "CONFIRMED": 3, "USER": 4}
 _NAMES = "AMBIGUOUS INFERRED EXTRACTED CONFIRMED USER ODD".split()
 
@@ -138,36 +138,36 @@ def confidence_rank(c):
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv)), F.upper(F.coalesce(c, F.lit("")))), F.lit(1))
 
 
-plain("mth08", "events", "event_id", {"rank": confidence_rank(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 6 + 1).cast("int")))}, {"rank": "([0, 1, 2, 3, 4, 1])[event_id % 6 + 1]::INT"})
-plain("mth10", "events", "event_id", {"score": F.round(F.col("value") / 100 + 0.04 * (F.col("user_id") % 5 + 1 - 3) + 0.02 * dates.recency(F.col("ts"), F.expr(_NOW)), 6)}, {"score": f"round(value / 100 + 0.04 * (user_id % 5 + 1 - 3) + 0.02 * greatest(0.0::DOUBLE, 1.0 - (epoch_us({_NOW}) - epoch_us(ts)) / (86400e6 * 30)), 6)"})
+plain("mth08", "events", "event_id", lambda: {"rank": confidence_rank(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 6 + 1).cast("int")))}, {"rank": "([0, 1, 2, 3, 4, 1])[event_id % 6 + 1]::INT"})
+plain("mth10", "events", "event_id", lambda: {"score": F.round(F.col("value") / 100 + 0.04 * (F.col("user_id") % 5 + 1 - 3) + 0.02 * dates.recency(F.col("ts"), F.expr(_NOW)), 6)}, {"score": f"round(value / 100 + 0.04 * (user_id % 5 + 1 - 3) + 0.02 * greatest(0.0::DOUBLE, 1.0 - (epoch_us({_NOW}) - epoch_us(ts)) / (86400e6 * 30)), 6)"})
 
 # arrays
-_L = text.lines_of(T)
+_L = lambda: text.lines_of(T())
 _L_SQL = f"list_filter(list_transform(string_split(text, chr(10)), lambda s: {STRIP('s')}), lambda s: s <> '')"
-_TOK = text.tokens(T)
-plain("arr01", "documents", "doc_id", {"first_the": F.array_position(_TOK, "the").cast("long"), "reciprocal": F.round(F.when(F.array_position(_TOK, "the") > 0, 1 / F.array_position(_TOK, "the")).otherwise(0.0), 6)},
+_TOK = lambda: text.tokens(T())
+plain("arr01", "documents", "doc_id", lambda: {"first_the": F.array_position(_TOK(), "the").cast("long"), "reciprocal": F.round(F.when(F.array_position(_TOK(), "the") > 0, 1 / F.array_position(_TOK(), "the")).otherwise(0.0), 6)},
       {"first_the": f"coalesce(list_position({TOKENS('text')}, 'the'), 0)::BIGINT", "reciprocal": f"round(CASE WHEN coalesce(list_position({TOKENS('text')}, 'the'), 0) > 0 THEN 1.0::DOUBLE / list_position({TOKENS('text')}, 'the') ELSE 0.0 END, 6)"})
-plain("mth09", "documents", "doc_id", {"rr": F.round(F.when(F.array_position(_TOK, "de") > 0, 1 / F.array_position(_TOK, "de")).otherwise(0.0), 6)}, {"rr": f"round(CASE WHEN coalesce(list_position({TOKENS('text')}, 'de'), 0) > 0 THEN 1.0::DOUBLE / list_position({TOKENS('text')}, 'de') ELSE 0.0 END, 6)"})
-plain("arr02", "documents", "doc_id", {"head": F.array_join(F.slice(_TOK, 1, 5), " ")}, {"head": f"array_to_string(({TOKENS('text')})[1:5], ' ')"})
-plain("arr03", "documents", "doc_id", {"distinct_tokens": F.array_join(F.array_distinct(F.slice(_TOK, 1, 30)), " ")}, {"distinct_tokens": f"(SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(({TOKENS('text')})[1:30]) AS x, unnest(range(1, 31)) AS i) WHERE x IS NOT NULL GROUP BY x))"})
+plain("mth09", "documents", "doc_id", lambda: {"rr": F.round(F.when(F.array_position(_TOK(), "de") > 0, 1 / F.array_position(_TOK(), "de")).otherwise(0.0), 6)}, {"rr": f"round(CASE WHEN coalesce(list_position({TOKENS('text')}, 'de'), 0) > 0 THEN 1.0::DOUBLE / list_position({TOKENS('text')}, 'de') ELSE 0.0 END, 6)"})
+plain("arr02", "documents", "doc_id", lambda: {"head": F.array_join(F.slice(_TOK(), 1, 5), " ")}, {"head": f"array_to_string(({TOKENS('text')})[1:5], ' ')"})
+plain("arr03", "documents", "doc_id", lambda: {"distinct_tokens": F.array_join(F.array_distinct(F.slice(_TOK(), 1, 30)), " ")}, {"distinct_tokens": f"(SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(({TOKENS('text')})[1:30]) AS x, unnest(range(1, 31)) AS i) WHERE x IS NOT NULL GROUP BY x))"})
 SQL["arr03"] = f"WITH w AS (SELECT doc_id, ({TOKENS('text')})[1:30] AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w), m AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY doc_id, x), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM m GROUP BY doc_id) SELECT d.doc_id, coalesce(s, '') AS distinct_tokens FROM documents d LEFT JOIN j USING (doc_id)"
-plain("arr04", "documents", "doc_id", {"any_long": F.exists(_TOK, lambda x: F.length(x) > 15), "all_short": F.forall(_TOK, lambda x: F.length(x) < 25)}, {"any_long": f"len(list_filter({TOKENS('text')}, lambda x: length(x) > 15)) > 0", "all_short": f"len(list_filter({TOKENS('text')}, lambda x: length(x) >= 25)) = 0"})
-query("arr05", f"SELECT conv_id, len(flatten(list({TOKENS('text')})))::BIGINT AS n_tokens FROM conversations GROUP BY conv_id")(lambda t: t.conversations.groupBy("conv_id").agg(F.size(F.flatten(F.collect_list(text.tokens(T)))).cast("long").alias("n_tokens")))
+plain("arr04", "documents", "doc_id", lambda: {"any_long": F.exists(_TOK(), lambda x: F.length(x) > 15), "all_short": F.forall(_TOK(), lambda x: F.length(x) < 25)}, {"any_long": f"len(list_filter({TOKENS('text')}, lambda x: length(x) > 15)) > 0", "all_short": f"len(list_filter({TOKENS('text')}, lambda x: length(x) >= 25)) = 0"})
+query("arr05", f"SELECT conv_id, len(flatten(list({TOKENS('text')})))::BIGINT AS n_tokens FROM conversations GROUP BY conv_id")(lambda t: t.conversations.groupBy("conv_id").agg(F.size(F.flatten(F.collect_list(text.tokens(T())))).cast("long").alias("n_tokens")))
 query("arr06", "SELECT source, string_agg(doc_id || ' (' || lang || ')', '; ' ORDER BY doc_id) AS listed FROM documents GROUP BY source")(
     lambda t: t.documents.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "lang"))).alias("x")).select("source", F.array_join(F.transform(F.arrays_zip(F.col("x.doc_id").alias("d"), F.col("x.lang").alias("l")), lambda z: F.concat(z["d"].cast("string"), F.lit(" ("), z["l"], F.lit(")"))), "; ").alias("listed"))
 )
 query("arr07", "SELECT source, list(doc_id ORDER BY doc_id)::VARCHAR AS docs FROM documents GROUP BY source")(lambda t: t.documents.groupBy("source").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("doc_id")), ", "), F.lit("]")).alias("docs")))
-plain("arr08", "documents", "doc_id", {"title": F.coalesce(F.try_element_at(F.create_map(F.lit("en"), F.lit("English"), F.lit("de"), F.lit("German")), F.col("lang")), F.lit("other"))}, {"title": "CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' ELSE 'other' END"})
+plain("arr08", "documents", "doc_id", lambda: {"title": F.coalesce(F.try_element_at(F.create_map(F.lit("en"), F.lit("English"), F.lit("de"), F.lit("German")), F.col("lang")), F.lit("other"))}, {"title": "CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' ELSE 'other' END"})
 query("arr09", "SELECT event_type, arg_max(event_id, (value, -event_id)) AS best, arg_min(event_id, (value, event_id)) AS worst FROM events GROUP BY event_type")(lambda t: t.events.groupBy("event_type").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best"), F.min_by("event_id", F.struct("value", "event_id")).alias("worst")))
-plain("arr10", "documents", "doc_id", {"sorted_tokens": F.array_join(F.array_sort(F.array_distinct(F.slice(_TOK, 1, 40))), " ")}, {"sorted_tokens": f"array_to_string(list_sort(list_distinct(({TOKENS('text')})[1:40])), ' ')"})
-plain("arr11", "documents", "doc_id", {"n_lines": F.size(_L).cast("long"), "longest": F.array_max(F.transform(_L, F.length))}, {"n_lines": f"len({_L_SQL})", "longest": f"list_max(list_transform({_L_SQL}, lambda s: length(s)))::INT"})
+plain("arr10", "documents", "doc_id", lambda: {"sorted_tokens": F.array_join(F.array_sort(F.array_distinct(F.slice(_TOK(), 1, 40))), " ")}, {"sorted_tokens": f"array_to_string(list_sort(list_distinct(({TOKENS('text')})[1:40])), ' ')"})
+plain("arr11", "documents", "doc_id", lambda: {"n_lines": F.size(_L()).cast("long"), "longest": F.array_max(F.transform(_L(), F.length))}, {"n_lines": f"len({_L_SQL})", "longest": f"list_max(list_transform({_L_SQL}, lambda s: length(s)))::INT"})
 
 # answers of models, as texts around the events' properties
-_FENCED = F.concat(F.lit("```json\nHere: "), F.when(F.col("event_id") % 5 == 0, "no object").otherwise(F.col("props")), F.lit(" bye\n```"))
+_FENCED = lambda: F.concat(F.lit("```json\nHere: "), F.when(F.col("event_id") % 5 == 0, "no object").otherwise(F.col("props")), F.lit(" bye\n```"))
 _OBJ_SQL = r"regexp_extract('Here: ' || CASE WHEN event_id % 5 = 0 THEN 'no object' ELSE props END || ' bye', '(?s)\{.*\}')"
-plain("jsn01", "events", "event_id", {"object": jsons.object_text(_FENCED), "k": jsons.field(_FENCED, "$.k")}, {"object": _OBJ_SQL, "k": f"CASE WHEN json_valid({_OBJ_SQL}) THEN json_extract_string({_OBJ_SQL}, '$.k') END"})
-_JUDGE = F.when(F.col("event_id") % 3 == 0, F.format_string('{"score": %s, "reason": "x"}', F.round(F.col("value") / 1000, 3).cast("string"))).when(F.col("event_id") % 3 == 1, F.format_string("I give it 0.%d overall", (F.col("event_id") % 90 + 10).cast("int"))).otherwise("unclear")
-plain("jsn02", "events", "event_id", {"score": jsons.judge_score(_JUDGE)}, {"score": "CASE event_id % 3 WHEN 0 THEN round(value / 1000, 3) WHEN 1 THEN ('0.' || (event_id % 90 + 10))::DOUBLE END"})
+plain("jsn01", "events", "event_id", lambda: {"object": jsons.object_text(_FENCED()), "k": jsons.field(_FENCED(), "$.k")}, {"object": _OBJ_SQL, "k": f"CASE WHEN json_valid({_OBJ_SQL}) THEN json_extract_string({_OBJ_SQL}, '$.k') END"})
+_JUDGE = lambda: F.when(F.col("event_id") % 3 == 0, F.format_string('{"score": %s, "reason": "x"}', F.round(F.col("value") / 1000, 3).cast("string"))).when(F.col("event_id") % 3 == 1, F.format_string("I give it 0.%d overall", (F.col("event_id") % 90 + 10).cast("int"))).otherwise("unclear")
+plain("jsn02", "events", "event_id", lambda: {"score": jsons.judge_score(_JUDGE())}, {"score": "CASE event_id % 3 WHEN 0 THEN round(value / 1000, 3) WHEN 1 THEN ('0.' || (event_id % 90 + 10))::DOUBLE END"})
 
 
 def clamped(c, key):
@@ -176,8 +176,8 @@ def clamped(c, key):
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
-_RUBRIC = F.format_string('{"clarity": %s, "safety": "%s"}', F.round(F.col("value") / 50, 3).cast("string"), F.when(F.col("event_id") % 2 == 0, "0.25").otherwise("high"))
-plain("jsn03", "events", "event_id", {"clarity": clamped(_RUBRIC, "clarity"), "safety": clamped(_RUBRIC, "safety"), "scope": clamped(_RUBRIC, "scope")}, {"clarity": "greatest(0.0::DOUBLE, least(1.0::DOUBLE, round(value / 50, 3)))", "safety": "CASE WHEN event_id % 2 = 0 THEN 0.25::DOUBLE END", "scope": "NULL::DOUBLE"})
+_RUBRIC = lambda: F.format_string('{"clarity": %s, "safety": "%s"}', F.round(F.col("value") / 50, 3).cast("string"), F.when(F.col("event_id") % 2 == 0, "0.25").otherwise("high"))
+plain("jsn03", "events", "event_id", lambda: {"clarity": clamped(_RUBRIC(), "clarity"), "safety": clamped(_RUBRIC(), "safety"), "scope": clamped(_RUBRIC(), "scope")}, {"clarity": "greatest(0.0::DOUBLE, least(1.0::DOUBLE, round(value / 50, 3)))", "safety": "CASE WHEN event_id % 2 = 0 THEN 0.25::DOUBLE END", "scope": "NULL::DOUBLE"})
 query("jsn04")(lambda t: t.events.select("event_id", F.coalesce(jsons.field(F.col("props"), "$.result"), F.col("props")).alias("result")))
 
 
@@ -213,9 +213,9 @@ def _jsn06(t):
 
 
 query("jsn07")(lambda t: t.events.select("event_id", F.filter(F.from_json(F.lit('["search", "none", "read"]'), "array<string>"), lambda x: F.lower(x) != "none").alias("tools")))
-plain("jsn08", "events", "event_id", {"ranking": F.array_join(jsons.ranking(F.format_string('ok {"ranking": [%s, "x", 2, null, 0.0]}', (F.col("event_id") % 7).cast("string"))), ",")}, {"ranking": "(event_id % 7) || ',2,0'"})
-plain("jsn09", "events", "event_id", {"k": F.get_json_object("props", "$.k").cast("long")}, {"k": "json_extract_string(props, '$.k')::BIGINT"})
+plain("jsn08", "events", "event_id", lambda: {"ranking": F.array_join(jsons.ranking(F.format_string('ok {"ranking": [%s, "x", 2, null, 0.0]}', (F.col("event_id") % 7).cast("string"))), ",")}, {"ranking": "(event_id % 7) || ',2,0'"})
+plain("jsn09", "events", "event_id", lambda: {"k": F.get_json_object("props", "$.k").cast("long")}, {"k": "json_extract_string(props, '$.k')::BIGINT"})
 query("src03", "SELECT vec_id, len(embedding)::INT AS dim, round(list_sum(embedding)::DOUBLE, 3) AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings)")(
     lambda t: t.embeddings.select("vec_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 3).alias("total"))
 )
-query("flt16", r"SELECT page_id, regexp_matches(url, '(?i)^https?://[^/?#\s]+') AS valid FROM pages")(of("pages", "page_id", valid=text.is_url(F.col("url"))))
+query("flt16", r"SELECT page_id, regexp_matches(url, '(?i)^https?://[^/?#\s]+') AS valid FROM pages")(of("pages", "page_id", lambda: {"valid": text.is_url(F.col("url"))}))

@@ -13,7 +13,7 @@ from .registry import query
 from .scalars import KEYWORD_SIM, KEYWORDS, SKILL_SLUG, STRIP, confidence_rank
 
 I, M, R = bind.cache_items, bind.memories, bind.runs
-_NOW = F.expr(NOW)
+_NOW = lambda: F.expr(NOW)
 
 query("src05", f"WITH {CACHE_SQL} SELECT kind, count(*) AS n, sum(chars)::BIGINT AS chars FROM cache GROUP BY kind")(lambda t: I(t).groupBy("kind").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")))
 query("snk03", f"WITH {CACHE_SQL}, a AS (SELECT ord, content_hash FROM cache WHERE ord % 2 = 0), b AS (SELECT ord, 'new' AS content_hash FROM cache WHERE ord % 3 = 0) SELECT * FROM a WHERE ord NOT IN (SELECT ord FROM b) UNION ALL SELECT * FROM b")(
@@ -59,15 +59,15 @@ query("agg23")(lambda t: R(t).where("rubric_mean is not null").groupBy("skill_id
 _Q = "the of and with thin"
 _SCORE = f"round({KEYWORD_SIM(repr(_Q), 'text')} + 0.04 * (salience - 3) + 0.02 * greatest(0.0::DOUBLE, 1.0 - (epoch_us({NOW}) - epoch_us(updated_at)) / (86400e6 * 30)), 9)"
 query("top09", f"WITH {MEMORY_SQL}, s AS (SELECT id, ord, {KEYWORD_SIM(repr(_Q), 'text')} AS similarity, {_SCORE} AS score FROM memory WHERE superseded_by = '') SELECT id, round(score, 4) AS score, round(similarity, 4) AS similarity FROM (SELECT * FROM s ORDER BY score DESC, ord LIMIT 20) WHERE similarity >= 0.05")(
-    lambda t: S.recall(M(t), _Q, 20, _NOW).select("id", F.round("score", 4).alias("score"), F.round("similarity", 4).alias("similarity"))
+    lambda t: S.recall(M(t), _Q, 20, _NOW()).select("id", F.round("score", 4).alias("score"), F.round("similarity", 4).alias("similarity"))
 )
 query("top10", f"WITH s AS (SELECT doc_id, {KEYWORD_SIM(repr(_Q), 'text')} AS similarity FROM documents WHERE lang = 'en') SELECT doc_id, round(similarity, 4) AS similarity FROM (SELECT * FROM s ORDER BY similarity DESC, doc_id LIMIT 30) WHERE similarity >= 0.2")(
     lambda t: t.documents.where("lang = 'en'").withColumn("similarity", text.keyword_similarity(F.lit(_Q), F.col("text"))).orderBy(F.desc("similarity"), "doc_id").limit(30).where("similarity >= 0.2").select("doc_id", F.round("similarity", 4).alias("similarity"))
 )
 query("top12", f"WITH {MEMORY_SQL} SELECT id, salience FROM memory ORDER BY salience DESC, updated_at DESC, ord LIMIT 100")(lambda t: M(t).orderBy(F.desc("salience"), F.desc("updated_at"), "ord").limit(100).select("id", "salience"))
-_STATUS = F.expr("element_at(array('pending_review', 'accepted', 'needs_revision', 'draft', 'rejected'), cast(ord % 5 + 1 as int))")
+_STATUS = lambda: F.expr("element_at(array('pending_review', 'accepted', 'needs_revision', 'draft', 'rejected'), cast(ord % 5 + 1 as int))")
 query("top13", f"WITH {RUN_SQL} SELECT ord, (['pending_review', 'accepted', 'needs_revision', 'draft', 'rejected'])[ord % 5 + 1] AS status FROM run ORDER BY ord % 5, \"at\" DESC, ord LIMIT 100")(
-    lambda t: R(t).withColumn("status", _STATUS).orderBy(F.array_position(F.array(*map(F.lit, S.STATUS_ORDER)), F.col("status")), F.desc("at"), "ord").limit(100).select("ord", "status")
+    lambda t: R(t).withColumn("status", _STATUS()).orderBy(F.array_position(F.array(*map(F.lit, S.STATUS_ORDER)), F.col("status")), F.desc("at"), "ord").limit(100).select("ord", "status")
 )
 
 
@@ -107,7 +107,7 @@ query("mem05", f"{_MEM2}, g AS (SELECT id FROM memory WHERE ord % 14 IN (0, 1))
     lambda t: S.forget(M(t), M(t).where("ord % 14 in (0, 1)").select("id")).select("id", "superseded_by")
 )
 query("mem06", f"WITH {MEMORY_SQL}, s AS (SELECT ord, kind, text, {KEYWORD_SIM(repr(_Q), 'text')} AS similarity, {_SCORE} AS score FROM memory WHERE superseded_by = ''), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, ord) AS k FROM s) SELECT string_agg('- [' || kind || '] ' || {STRIP('text')}, chr(10) ORDER BY k) AS block FROM r WHERE k <= 6 AND similarity >= 0.05")(
-    lambda t: S.recall(M(t), _Q, 6, _NOW).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord", F.concat(F.lit("- ["), "kind", F.lit("] "), text.strip(F.col("text"))).alias("line")))), lambda x: x["line"]), "\n").alias("block"))
+    lambda t: S.recall(M(t), _Q, 6, _NOW()).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord", F.concat(F.lit("- ["), "kind", F.lit("] "), text.strip(F.col("text"))).alias("line")))), lambda x: x["line"]), "\n").alias("block"))
 )
 query("skl01", f"WITH s AS (SELECT {SKILL_SLUG('p_name')} AS slug, p_partkey FROM part) SELECT slug, count(*) AS version, min(p_partkey) AS id, 'draft' AS status FROM s GROUP BY slug")(
     lambda t: t.part.groupBy(text.skill_slug(F.col("p_name")).alias("slug")).agg(F.count("*").alias("version"), F.min("p_partkey").alias("id"), F.lit("draft").alias("status"))
@@ -153,4 +153,4 @@ query("snk10", f"WITH {RUN_SQL} SELECT ord, 'skill.' || kind AS name, epoch_us(\
 )
 query("snk08")(lambda t: t.part.select("p_partkey", F.concat(F.lit("---\nname: "), "p_name", F.lit("\ndescription: "), "p_type", F.lit("\n---\n\n# "), "p_name", F.lit("\n")).alias("markdown")))
 query("snk09")(lambda t: t.documents.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("h")))), lambda x: F.concat(F.lit("- "), x["h"])), "\n").alias("page")))
-query("stm07", f"WITH {MEMORY_SQL} SELECT id, round(greatest(0.0::DOUBLE, 1.0 - (epoch_us({NOW}) - epoch_us(updated_at)) / (86400e6 * 30)), 9) AS weight FROM memory")(lambda t: M(t).select("id", F.round(S.dates.recency(F.col("updated_at"), _NOW), 9).alias("weight")))
+query("stm07", f"WITH {MEMORY_SQL} SELECT id, round(greatest(0.0::DOUBLE, 1.0 - (epoch_us({NOW}) - epoch_us(updated_at)) / (86400e6 * 30)), 9) AS weight FROM memory")(lambda t: M(t).select("id", F.round(S.dates.recency(F.col("updated_at"), _NOW()), 9).alias("weight")))
