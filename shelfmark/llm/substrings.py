@@ -7,17 +7,20 @@ of a corpus would move it many times over, so the suffixes are made sparse first
 1.  Of the q-grams (q = ``GRAM``) in each string the one with the smallest hash, the first of equals, is its anchor. It
     depends on the string's bytes alone, so equal strings have equal anchors at the same place, and neighbouring
     strings mostly share theirs: about one byte in sixteen is an anchor.
-2.  Anchors' hashes meet by bucket. Each slice of documents sends a hash once, however many of its documents hold it.
-    Documents learn which of their anchors occur in other documents too; most documents have none and drop out.
-3.  The text around such an anchor (all strings that it anchors, 50 to 80 bytes) goes to the anchor's bucket. There the
-    suffixes are sorted by bucket-pointer refinement: initial buckets are the 8-grams; a bucket is refined by the bucket
-    identifiers at a later offset (8, then 16, then 18), which earlier rounds have refined already, and suffixes
-    alone in their bucket are done. Buckets at depth 50 give each string's smallest doc_id.
+2.  The text that one anchor stands for (all strings that it anchors, 50 to 80 bytes) is its context. Hashes of anchors
+    and contexts meet by bucket; each slice of documents sends a context once, however many of its documents hold it.
+    Whoever holds a context that a smaller document holds whole loses all of it, and needs no closer look. That
+    settles the inside of every repeated passage. Only where an anchor has several contexts, at passages' edges, does
+    the smallest document of each send its text on.
+3.  There the suffixes of an anchor's contexts are sorted by bucket-pointer refinement: initial buckets are the 8-grams;
+    a bucket is refined by the bucket identifiers at a later offset (8, then 16, then 18), which earlier rounds have
+    refined already, and suffixes alone in their bucket are done. Buckets at depth 50 give each string's smallest doc_id.
 4.  Covered runs return to their documents, are merged, and cut out.
 
-Anchors in more than a thousandth of all documents (``HOT``; there can be no more of those than a thousand times a
-document's anchors, so their list is small whatever the input) are not gathered in one bucket: their strings go one by
-one to buckets of their own 128-bit hash, each slice again sending a string once. Buckets are equal otherwise.
+Anchors with more contexts than a thousandth of all documents (``HOT``; there can be no more of those than a thousand
+times a document's anchors, so their list is small whatever the input) are not gathered in one bucket: their strings go
+one by one to buckets of their own 128-bit hash, each slice again sending a string once. Buckets are equal otherwise.
+Contexts are equal if 92 bits of hash are.
 
 Rows: null text is empty; texts shorter than 50 bytes lose nothing. Matches never cross documents. Rows without doc_id
 are left out. Rows that repeat a doc_id don't remove from each other, as none is smaller, and each is returned; exact
@@ -42,6 +45,20 @@ _POS = np.uint64((1 << 20) - 1)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
+_UP = np.uint64(0x9E3779B97F4A7C15)
+_DOWN = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_TABLES: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64: sums of terms times the one turn into hashes of any
+    stretch that don't depend on its place by the other."""
+    if len(_TABLES[0]) < n:
+        for i, x in enumerate((_DOWN, _UP)):
+            _TABLES[i] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x)]), dtype=np.uint64)
+    return _TABLES
+
+
 def _words8(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place as a number."""
     return np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data).data, strides=(1,)).astype(np.uint64)
@@ -56,7 +73,8 @@ def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray):
-    """(first start, last start, hash of 44 bits) of every run of strings with one anchor; no string crosses an offset."""
+    """(first start, last start, 44 bits of the anchor's hash, 48 of the context's) of every run of strings with one
+    anchor; no string crosses an offset."""
     out = []
     for at in range(0, len(data) - WIDTH + 1, _CHUNK):
         part = data[at : at + _CHUNK + WIDTH - 1]
@@ -86,8 +104,29 @@ def anchored(data: np.ndarray, offsets: np.ndarray):
         cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         last = np.append(cut[1:], starts) - 1
         good = least[cut] != ~np.uint64(0)
-        out.append((cut[good] + at, last[good] + at, least[cut[good]] >> np.uint64(20)))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        cut, last = cut[good], last[good]
+        out.append((cut + at, last + at, least[cut] >> np.uint64(20), (least[cut] & _POS).astype(np.int64) + at))
+    if not out:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+    first, last, h, place = (np.concatenate(c) for c in zip(*out))
+    # a run that a chunk's end cut in two is one again, so that runs depend on the text alone
+    new = np.concatenate([[True], (place[1:] != place[:-1]) | (first[1:] != last[:-1] + 1)])
+    begin = np.flatnonzero(new)
+    first, last, h = first[begin], last[np.append(begin[1:], len(new)) - 1], h[begin]
+    down, up = _powers(min(len(data), _CHUNK + 2 * WIDTH) + 1)
+    contexts = [np.zeros(0, np.uint64)]
+    for at in range(0, len(data), _CHUNK):
+        own = slice(*np.searchsorted(first, (at, at + _CHUNK)))
+        v = _words8(data[at : at + _CHUNK + 2 * WIDTH])
+        terms = v * _C[1]
+        terms ^= terms >> np.uint64(32)
+        terms *= _C[3]
+        terms ^= terms >> np.uint64(29)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms * down[: len(v)], dtype=np.uint64)])
+        g = (sums[last[own] - at + WIDTH - 7] - sums[first[own] - at]) * up[first[own] - at] + (last[own] - first[own]).astype(np.uint64) * _C[2]
+        g ^= g >> np.uint64(32)
+        contexts.append((g * _C[0]) >> np.uint64(16))
+    return first, last, h, np.concatenate(contexts)
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -112,87 +151,95 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-ASK = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
-TOLD = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary()), ("hot", pa.bool_())])
+ASK = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("anchors", pa.binary()), ("contexts", pa.binary()), ("docs", pa.binary())])
+TOLD = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary())])
+COVERED, WANTED, FREQUENT = 0, 1, 2
 
 
-def _told(docs: np.ndarray, hashes: np.ndarray):
+def _told(kind: int, docs: np.ndarray, hashes: np.ndarray):
+    """Rows of TOLD, one for each document."""
+    if not len(docs):
+        return []
     order = np.argsort(docs, kind="stable")
     docs, hashes = docs[order], hashes[order]
-    cut = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else []
-    return [(int(docs[a]), _six(hashes[a:b])) for a, b in zip(cut, np.append(cut[1:], len(docs)))] if len(docs) else []
+    cut = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    return [(int(docs[a]), kind, _six(hashes[a:b])) for a, b in zip(cut, np.append(cut[1:], len(docs)))]
 
 
-def anchor_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the anchors of a column of texts."""
+def anchor_contexts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, context) of a column of texts."""
     data, offsets = _text(column)
-    first, _, h = anchored(data, offsets)
-    return np.searchsorted(offsets, first, "right") - 1, h
+    first, _, h, g = anchored(data, offsets)
+    return np.searchsorted(offsets, first, "right") - 1, h, g
 
 
-def shared_hashes(docs: DataFrame, extract, buckets: int, hot: int) -> DataFrame:
-    """(doc_id, hashes, hot): each document's hashes that other documents hold too; rows with ``hot`` list frequent ones.
+def shared_contexts(docs: DataFrame, extract, buckets: int, hot: int) -> DataFrame:
+    """TOLD: for each document the contexts that smaller documents hold too (COVERED), and those that it is the smallest
+    to hold while others hold the anchor with another (WANTED); and the anchors of more contexts than ``hot`` (FREQUENT).
 
-    ``extract`` gives (row, hash of at most 47 bits) for a column of texts.
+    ``extract`` gives (row, anchor, context) for a column of texts, hashes of at most 48 bits.
     """
 
     def ask(batches):
         for b in batches:
             for rows in slices(b, "text"):
-                row, h = extract(rows.column("text"))
+                row, h, g = extract(rows.column("text"))
                 if not len(h):
                     continue
                 doc = rows.column("doc_id").to_numpy()[row]
-                order, cut = _groups(h, doc)  # each (hash, document) once
-                h, doc = h[order[cut]], doc[order[cut]]
-                begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                n = np.diff(np.append(begins, len(h)))
-                local = np.repeat(n > 1, n)
-                out = [(int(d) % buckets, d, raw, None, None) for d, raw in _told(doc[local], h[local])]
-                keys, who = h[begins], doc[begins]
-                place = (keys % np.uint64(buckets)).astype(np.int32)
+                order, cut = _groups(h, g, doc)  # each (anchor, context, document) once
+                h, g, doc = h[order[cut]], g[order[cut]], doc[order[cut]]
+                head = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+                out = [(d % buckets, d, None, raw, None) for d, _, raw in _told(COVERED, doc[~head], g[~head])]
+                h, g, doc = h[head], g[head], doc[head]
+                place = (h % np.uint64(buckets)).astype(np.int32)
                 by = np.argsort(place, kind="stable")
                 for p, own in zip(np.unique(place), np.split(by, np.flatnonzero(np.diff(place[by])) + 1)):
-                    out.append((int(p), None, _six(keys[own]), who[own].tobytes(), n[own].astype("<u4").tobytes()))
+                    out.append((int(p), None, _six(h[own]), _six(g[own]), doc[own].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ASK)], schema=ASK)
 
     def answer(batches):
         held, at = [], None
 
         def close():
-            keys = np.concatenate([_from_six(x[0]) for x in held])
-            who = np.concatenate([np.frombuffer(x[1], np.int64) for x in held])
-            n = np.concatenate([np.frombuffer(x[2], "<u4") for x in held]).astype(np.int64)
-            order, cut = _groups(keys)
-            total = np.add.reduceat(n[order], cut)
-            lowest, highest = np.minimum.reduceat(who[order], cut), np.maximum.reduceat(who[order], cut)
-            own = np.repeat((total > 1) & ((lowest < highest) | (np.maximum.reduceat(n[order], cut) > 1)), np.diff(np.append(cut, len(order))))
-            ask = order[own & (n[order] == 1)]  # slices that hold a hash in several documents know already
-            out = [(d, raw, False) for d, raw in _told(who[ask], keys[ask])]
-            often = keys[order[cut[total > hot]]]
+            h, g = (np.concatenate([_from_six(x[c]) for x in held]) for c in (0, 1))
+            doc = np.concatenate([np.frombuffer(x[2], np.int64) for x in held])
+            order, _ = _groups(h, g, doc)
+            h, g, doc = h[order], g[order], doc[order]
+            anchor = np.concatenate([[True], h[1:] != h[:-1]])
+            head = anchor | np.concatenate([[True], g[1:] != g[:-1]])
+            lowest = doc[head][np.cumsum(head) - 1]
+            later = doc > lowest
+            out = _told(COVERED, doc[later], g[later])
+            h, g, doc, anchor = h[head], g[head], doc[head], anchor[head]
+            begin = np.flatnonzero(anchor)
+            n = np.diff(np.append(begin, len(h)))
+            several = np.repeat((n > 1) & (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)), n)
+            out += _told(WANTED, doc[several], g[several])
+            often = h[begin[n > hot]]
             if len(often):
-                out.append((0, _six(often), True))
+                out.append((0, FREQUENT, _six(often)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), TOLD)], schema=TOLD)
 
         for b in batches:
             known = []
-            for bucket, doc, hashes, who, n in zip(*(b.column(c).to_pylist() for c in ASK.names)):
-                if who is None:
-                    known.append((doc, hashes, False))
+            for bucket, doc, h, g, who in zip(*(b.column(c).to_pylist() for c in ASK.names)):
+                if h is None:
+                    known.append((doc, COVERED, g))
                     continue
                 if held and bucket != at:
                     yield from close()
                     held = []
                 at = bucket
-                held.append((hashes, who, n))
+                held.append((h, g, who))
             if known:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*known), TOLD)], schema=TOLD)
         if held:
             yield from close()
 
-    asked = docs.select("doc_id", "text").mapInArrow(ask, "bucket int, doc_id long, hashes binary, docs binary, counts binary")
-    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc_id long, hashes binary, hot boolean")
+    asked = docs.select("doc_id", "text").mapInArrow(ask, "bucket int, doc_id long, anchors binary, contexts binary, docs binary")
+    return asked.repartition(partitions(asked.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc_id long, kind int, hashes binary")
 
 
 def refine(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -267,22 +314,24 @@ def _window_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
 
 
 def covered_runs(docs: DataFrame, told: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
-    """(doc_id, k, runs): byte runs to remove, from each document's shared anchors."""
-    lists = told.where("not hot").groupBy("doc_id").agg(F.collect_list("hashes").alias("lists"))
+    """(doc_id, k, runs): byte runs to remove, from what documents were told."""
+    own = [F.collect_list(F.when(F.col("kind") == kind, F.col("hashes"))).alias(name) for kind, name in ((COVERED, "covered"), (WANTED, "wanted"))]
+    lists = told.where(F.col("kind") != FREQUENT).groupBy("doc_id").agg(*own)
 
     def send(batches):
         for b in batches:
             for rows in slices(b, "text"):
                 data, offsets = _text(rows.column("text"))
                 ids, ks = rows.column("doc_id").to_numpy(), rows.column("k").to_numpy()
-                first, last, h = anchored(data, offsets)
+                first, last, h, g = anchored(data, offsets)
                 row = np.searchsorted(offsets, first, "right") - 1
-                mine = [np.unique(_from_six(b"".join(x))) for x in rows.column("lists").to_pylist()]
-                asked = np.concatenate([x ^ (np.uint64(n) << np.uint64(44)) for n, x in enumerate(mine)])
-                keep = np.isin(h ^ (row.astype(np.uint64) << np.uint64(44)), asked)
+                mark = g ^ (row.astype(np.uint64) << np.uint64(48))
+                within = lambda c: np.isin(mark, np.concatenate([_from_six(b"".join(x)) ^ (np.uint64(n & 0xFFFF) << np.uint64(48)) for n, x in enumerate(rows.column(c).to_pylist())]))
+                gone = within("covered")
+                out = [(d % buckets, 2, np.int64([d]).tobytes(), np.int64([t]).tobytes(), r, None, None) for d, t, r in _runs(ids[row[gone]], ks[row[gone]], first[gone] - offsets[row[gone]], last[gone] + WIDTH - offsets[row[gone]])]
+                keep = within("wanted") & ~gone
                 first, last, h, row = first[keep], last[keep], h[keep], row[keep]
                 frequent = np.isin(h, often)
-                out = []
                 # strings of frequent anchors one by one, each once in a slice
                 n = (last - first + 1)[frequent]
                 starts = np.repeat(first[frequent] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -369,8 +418,8 @@ def covered_runs(docs: DataFrame, told: DataFrame, often: np.ndarray, buckets: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*known), RUNS)], schema=RUNS)
         yield from close()
 
-    sent = docs.join(lists, "doc_id").select("doc_id", "k", "text", "lists").mapInArrow(send, "bucket int, kind int, docs binary, texts binary, at binary, sizes binary, data binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, k long, runs binary")
+    sent = docs.join(lists, "doc_id").select("doc_id", "k", "text", "covered", "wanted").mapInArrow(send, "bucket int, kind int, docs binary, texts binary, at binary, sizes binary, data binary")
+    return sent.repartition(partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, k long, runs binary")
 
 
 def merged(raw: list[bytes]) -> list[tuple[int, int]]:
@@ -388,9 +437,9 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, text, runs): every document with the lists of byte runs that earlier documents hold (null: none)."""
     spark = docs.sparkSession
     docs = keyed_texts(docs).withColumn("k", F.xxhash64("text"))
-    buckets = max(partitions(spark), 64)
-    told = materialize(shared_hashes(docs, anchor_hashes, buckets, max(HOT, docs.count() // 1000)), "substring-anchors")
-    often = np.unique(np.concatenate([_from_six(r.hashes) for r in told.where("hot").toLocalIterator()] or [np.zeros(0, np.uint64)]))
+    buckets = max(256, 4 * partitions(spark))  # a task sorts one after another
+    told = materialize(shared_contexts(docs, anchor_contexts, buckets, max(HOT, docs.count() // 1000)), "substring-told")
+    often = np.unique(np.concatenate([_from_six(r.hashes) for r in told.where(F.col("kind") == FREQUENT).toLocalIterator()] or [np.zeros(0, np.uint64)]))
     # the documents are dealt by identifier once, for both joins
     dealt = docs.repartition(partitions(spark), "doc_id")
     runs = covered_runs(dealt, told, often, buckets)
