@@ -184,5 +184,17 @@ query("set07", "SELECT doc_id, 'current' AS store FROM documents WHERE doc_id %
 
 
 
-query("str08")(lambda t: G.proper_nouns(t.documents).select("doc_id", "name", "count", "multi"))
-query("top14")(lambda t: G.heuristic_entities(t.documents))
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+#: accented letters become word characters that no name has, since the other engine's word ends know ASCII alone
+_PLAIN = "translate(text, (SELECT string_agg(chr(c::INT), '') FROM range(192, 592) r(c)), repeat('_', 400))"
+_NAMES_SQL = rf"""names AS (SELECT doc_id, {_PLAIN} AS text FROM documents),
+runs AS (SELECT doc_id, unnest(r) AS run, unnest(range(0, len(r))) AS p FROM (SELECT doc_id, regexp_extract_all(text, '\b[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){{0,4}}\b') AS r FROM names)),
+begins AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?:^|[.!?]\s+|\n\n)([A-Z][a-zA-Z]+)\b', 1)) AS name FROM names),
+words AS (SELECT doc_id, p, string_split_regex(run, '\s+') AS w FROM runs),
+lead AS (SELECT doc_id, p, w[coalesce(list_min(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains({_LIST(text.ARTICLES)}, w[i]))), len(w) + 1):] AS w FROM words),
+found AS (SELECT doc_id, array_to_string(w, ' ') AS name, count(*) AS count, min(p) AS first, max(len(w) > 1) AS multi FROM lead WHERE len(w) > 0 AND NOT list_contains({_LIST(text.NO_ENTITY)}, w[1]) GROUP BY ALL)"""
+query("str08", f"WITH {_NAMES_SQL} SELECT doc_id, name, count, multi FROM found")(lambda t: G.proper_nouns(t.documents).select("doc_id", "name", "count", "multi"))
+query("top14", f"""WITH {_NAMES_SQL}, cand AS (SELECT f.*, b.name IS NOT NULL AS starts FROM found f LEFT JOIN begins b USING (doc_id, name)),
+once AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY multi DESC, count DESC, first) AS f FROM cand WHERE multi OR count >= 3 OR (count = 2 AND NOT starts)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, multi ORDER BY count DESC, first) AS r FROM once WHERE f = 1), placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY multi DESC, r)::INT AS place FROM ranked WHERE NOT multi OR r <= 12)
+SELECT doc_id, name, place FROM placed WHERE place <= 18""")(lambda t: G.heuristic_entities(t.documents))
