@@ -11,13 +11,28 @@ from ..operators import evaluation as V
 from ..operators import retrieval as R
 from . import bind
 from .registry import query
-from .scalars import SENTENCES, STRIP, TOKENS
+from .scalars import NORMAL, SENTENCES, STRIP
 
 T = lambda: F.col("text")
 
 # texts
-query("txt01")(lambda t: K.chunk(t.documents, "doc_id", "text"))
-query("udtf1")(lambda t: K.chunk(t.documents, "doc_id", "text", 400, 60))
+def chunk_sql(size: int, overlap: int) -> str:
+    """The chunker as two recursions: sentences to pieces, pieces to chunks. For texts of one paragraph."""
+    tail = f"CASE WHEN length(buf) <= {overlap} THEN buf WHEN strpos(substr(buf, -{overlap}), ' ') - 1 > 0 AND strpos(substr(buf, -{overlap}), ' ') - 1 < {overlap // 2} THEN {STRIP(f"substr(substr(buf, -{overlap}), strpos(substr(buf, -{overlap}), ' ') + 1)")} ELSE {STRIP(f'substr(buf, -{overlap})')} END"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {NORMAL('text')} AS t FROM documents), s AS (SELECT doc_id, {SENTENCES('t')} AS s FROM d WHERE length(t) > {size}),
+a AS (SELECT doc_id, 0 AS i, '' AS buf, []::VARCHAR[] AS emit, len(s) AS n FROM s
+UNION ALL SELECT doc_id, i + 1, CASE WHEN x IS NULL THEN '' WHEN fits THEN joined WHEN length(x) > {size} THEN '' ELSE x END,
+  CASE WHEN x IS NULL THEN CASE WHEN buf = '' THEN [] ELSE [buf] END WHEN fits THEN [] ELSE list_concat(CASE WHEN buf = '' THEN [] ELSE [buf] END, CASE WHEN length(x) > {size} THEN list_transform(range(0, (length(x) - 1) // {size} + 1), lambda k: substr(x, k * {size} + 1, {size})) ELSE [] END) END, n
+  FROM (SELECT a.*, s.s[i + 1] AS x, CASE WHEN buf = '' THEN s.s[i + 1] ELSE buf || ' ' || s.s[i + 1] END AS joined, length(CASE WHEN buf = '' THEN s.s[i + 1] ELSE buf || ' ' || s.s[i + 1] END) <= {size} AS fits FROM a JOIN s USING (doc_id) WHERE i <= a.n)),
+p AS (SELECT doc_id, flatten(list(emit ORDER BY i)) AS p FROM a GROUP BY doc_id),
+b AS (SELECT doc_id, 0 AS i, '' AS buf, NULL::VARCHAR AS emit, len(p) AS n FROM p
+UNION ALL SELECT doc_id, i + 1, CASE WHEN x IS NULL THEN '' WHEN fits THEN joined WHEN buf = '' OR ({tail}) = '' THEN x ELSE {STRIP(f"({tail}) || chr(10) || chr(10) || x")} END, CASE WHEN (x IS NULL OR NOT fits) AND buf <> '' THEN buf END, n
+  FROM (SELECT b.*, p.p[i + 1] AS x, CASE WHEN buf = '' THEN p.p[i + 1] ELSE {STRIP("buf || chr(10) || chr(10) || p.p[i + 1]")} END AS joined, length(CASE WHEN buf = '' THEN p.p[i + 1] ELSE {STRIP("buf || chr(10) || chr(10) || p.p[i + 1]")} END) <= {size} AS fits FROM b JOIN p USING (doc_id) WHERE i <= b.n))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS position, emit AS text FROM b WHERE emit IS NOT NULL UNION ALL SELECT doc_id, 0, t FROM d WHERE t <> '' AND length(t) <= {size}"""
+
+
+query("txt01", chunk_sql(800, 120))(lambda t: K.chunk(t.documents, "doc_id", "text"))
+query("udtf1", chunk_sql(400, 60))(lambda t: K.chunk(t.documents, "doc_id", "text", 400, 60))
 query("txt02", f"SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE CASE WHEN strpos(substr(text, -120), ' ') - 1 > 0 AND strpos(substr(text, -120), ' ') - 1 < 60 THEN {STRIP('''substr(substr(text, -120), strpos(substr(text, -120), ' ') + 1)''')} ELSE {STRIP('substr(text, -120)')} END END AS tail FROM documents")(lambda t: t.documents.select("doc_id", text.overlap_tail(T(), 120).alias("tail")))
 query("txt03", "SELECT doc_id, i::INT AS position, substr(text, i * 2500 + 1, 2500) AS part FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 2500 THEN [0] ELSE range(0, (length(text) - 1) // 2500 + 1) END) AS i FROM (SELECT doc_id, " + STRIP("text") + " AS text FROM documents))")(
     lambda t: t.documents.select("doc_id", F.posexplode(K.sub_chunks(text.strip(T()))).alias("position", "part"))
