@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEPT = 1_000_000
+KEPT = 600_000
 END_ID = 2
 #: Fixed value: the split pattern for which pieces may be kept.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -35,6 +35,26 @@ def _of(category: str) -> str:
 _PIECE = re.compile(SPLIT.replace(r"\p{L}", _of("L")).replace(r"\p{N}", _of("N")))
 
 
+class _Kept:
+    """What was used lately: two generations of at most about ``most`` entries, of which the older one goes."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most, {}, {}
+
+    def lacks(self, keys) -> list[str]:
+        """Those of ``keys`` that are new; the others are in ``now`` from here on."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        new = []
+        for k in keys:
+            if k not in self.now:
+                if (old := self.before.get(k)) is None:
+                    new.append(k)
+                else:
+                    self.now[k] = old
+        return new
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,8 +62,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.by_piece = _drops_white_space(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = _Kept(KEPT // 3), _Kept(KEPT // 2)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string column without nulls, without special tokens. Best with some MB at once."""
@@ -64,10 +83,8 @@ class Encoder:
         words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
         coded = words.flatten().dictionary_encode()
         own = coded.dictionary.to_pylist()
-        if len(self.words) > KEPT // 2:
-            self.words.clear()
-        self._learn([w for w in own if w not in self.words])
-        ids = [self.words[w] for w in own]
+        self._learn(self.words.lacks(own))
+        ids = list(map(self.words.now.__getitem__, own))
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         pool, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
         which = coded.indices.to_numpy()
@@ -78,19 +95,16 @@ class Encoder:
         return [out[x:y] for x, y in zip(cuts, cuts[1:])]
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
         split = [_PIECE.findall(w) for w in new]
-        own = dict.fromkeys(chain.from_iterable(split))
-        unknown = [x for x in own if x not in self.pieces]
+        unknown = self.pieces.lacks(dict.fromkeys(chain.from_iterable(split)))
         for at in range(0, len(unknown), 2000):
             some = unknown[at : at + 2000]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ends = np.cumsum(np.bincount(np.array(got.word_ids), minlength=len(some))).tolist()
             ids = np.asarray(got.ids, "<u4").tobytes()
-            self.pieces.update((w, ids[4 * x : 4 * y]) for w, x, y in zip(some, [0, *ends], ends))
-        get = self.pieces.__getitem__
-        self.words.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in zip(new, split))
+            self.pieces.now.update((w, ids[4 * x : 4 * y]) for w, x, y in zip(some, [0, *ends], ends))
+        get = self.pieces.now.__getitem__
+        self.words.now.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in zip(new, split))
 
 
 def _drops_white_space(path: str) -> bool:
