@@ -63,7 +63,11 @@ def put_file(fs: pafs.FileSystem, path: str, data) -> None:
     with fs.open_output_stream(part) as out:
         for chunk in data if isinstance(data, list) else [data]:
             out.write(chunk)
-    fs.move(part, path)
+    try:
+        fs.move(part, path)
+    except OSError:  # file systems that don't rename over a file, where an earlier attempt left one
+        fs.delete_file(path)
+        fs.move(part, path)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -139,19 +143,22 @@ def components(edges: DataFrame, name: str, most: int = EDGES, rounds: int = 100
     )
 
 
-def by_cluster(pairs: DataFrame, name: str, most: int) -> tuple[DataFrame, DataFrame]:
+def by_cluster(pairs: DataFrame, name: str, most: int, strong: str = "true") -> tuple[DataFrame, DataFrame]:
     """Deal pairs (a, b, ...) to groups in which each document is needed once: (g and the pairs; h, doc_id).
 
-    Clusters of the graph with up to ``most`` documents share groups of about that size; larger ones are cut into blocks
-    of about ``most``, with a group for each two blocks that have pairs. No group holds more than some ``most`` documents.
+    Clusters are those of the pairs for which ``strong`` holds; another pair goes where its a is. Clusters of up to
+    ``most`` documents share groups of about that size; larger ones are cut into blocks of about ``most``, with a group
+    for each two blocks that have pairs. No group holds more than some ``most`` documents and their weak partners.
     """
-    cluster = materialize(components(pairs, f"{name}-clusters"), f"{name}-cluster")
-    total = cluster.count()
+    cluster = materialize(components(pairs.where(strong), f"{name}-clusters"), f"{name}-cluster")
+    total = pairs.count()
     large = cluster.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > most)
     large = materialize(large.select("component", F.ceil(F.col("size") / most).alias("blocks")), f"{name}-large")
-    own = pairs.join(cluster.withColumnRenamed("node", "a"), "a").join(large, "component", "left")
+    own = pairs.join(cluster.withColumnRenamed("node", "a"), "a", "left").join(cluster.withColumnsRenamed({"node": "b", "component": "other"}), "b", "left")
+    own = own.withColumn("component", F.coalesce("component", "a")).join(large, "component", "left")
     block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
-    in_large = F.xxhash64("component", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
+    second = F.when(F.col("other") == F.col("component"), block("b")).otherwise(block("a"))
+    in_large = F.xxhash64("component", F.least(block("a"), second), F.greatest(block("a"), second))
     shared = F.pmod(F.xxhash64("component"), F.lit(max(1, total // most)))
     placed = own.withColumn("g", F.when(F.col("blocks").isNull(), shared).otherwise(in_large)).select("g", *pairs.columns)
     placed = materialize(placed, f"{name}-placed")
