@@ -473,6 +473,8 @@ def test_passages(spark, awkward, nothing):
     assert all(95 <= got[i]["n_words"] <= 145 for i in shared)
     odd = {r["doc_id"]: r for r in rows_of(passages.op8_compact_windows(awkward))}
     assert len(odd) == len(KEYED) and odd[2]["class_id"] == odd[13]["class_id"] == odd[1]["class_id"] and odd[4]["n_passages"] == 0
+    again = rows_of(passages.op8_compact_windows(docs(spark, [(1, passage), (2, passage), (2, ""), (2, "few words"), (3, passage + " x")])))
+    assert len(again) == 5 and {r["class_id"] for r in again} == {1}
     assert passages.op8_compact_windows(nothing).count() == 0
 
 
