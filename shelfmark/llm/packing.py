@@ -72,12 +72,14 @@ def _directions(size: int) -> np.ndarray:
 
 
 def curve_keys(ids: list[np.ndarray], directions: np.ndarray) -> np.ndarray:
-    at = np.zeros((len(ids), DIMS))
-    for k, x in enumerate(ids):
-        if len(x):
-            own, n = np.unique(x, return_counts=True)
-            weight = np.log1p(n)
-            at[k] = weight @ directions[np.minimum(own, len(directions) - 1)] / np.sqrt((weight * weight).sum())
+    size = len(directions)
+    tokens = np.minimum(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64), size - 1)
+    tokens += np.repeat(np.arange(len(ids), dtype=np.int64) * size, [len(x) for x in ids])
+    tokens.sort()  # by document and token
+    head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)])
+    weight, (doc, own) = np.log1p(np.diff(np.append(head, len(tokens)))), np.divmod(tokens[head], size)
+    at = np.stack([np.bincount(doc, weight * directions[own, k], len(ids)) for k in range(DIMS)], axis=1)
+    at /= np.maximum(np.sqrt(np.bincount(doc, weight * weight, len(ids))), 1e-9)[:, None]
     share = 0.5 * (1 + np.tanh(at * (0.7978845608 + 0.0356774 * at * at)))  # normal distribution function, nearly
     return hilbert_keys(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
@@ -89,14 +91,15 @@ def encoded(docs: DataFrame, vocab: str) -> DataFrame:
     def run(batches):
         enc = encoder(vocab)
         kind = "<u4" if enc.wide else "<u2"
+        end = np.array([END_ID], kind).tobytes()
         directions = _directions(enc.tokenizer.get_vocab_size(with_added_tokens=True))
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             for rows in slices(b, "text", 16 << 20):
-                ids = [np.append(x, np.uint32(END_ID)) for x in enc.encode(rows.column("text"))]
+                ids = enc.encode(rows.column("text"))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + len(ids))), rows.column("doc_id"), pa.array(curve_keys([x[:-1] for x in ids], directions)),
-                    pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], schema=schema)
+                    pa.array(np.arange(row, row + len(ids))), rows.column("doc_id"), pa.array(curve_keys(ids, directions)),
+                    pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() + end for x in ids], pa.binary())], schema=schema)
                 row += len(ids)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
