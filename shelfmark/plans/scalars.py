@@ -108,11 +108,11 @@ plain("dat05", "events", "event_id", lambda: {"start_us": F.unix_micros(F.col("t
 
 # vectors
 E = lambda: F.col("embedding")
-plain("mth01", "embeddings", "vec_id", lambda: {"norm": F.round(vector.norm(vector.unit(F.transform(E(), lambda x: x * 3))), 6), "first": F.round(F.get(vector.unit(F.transform(E(), lambda x: x * 3)), F.lit(0)), 6)},
+plain("mth01", "embeddings", "vec_id", lambda: {"norm": F.round(vector.norm(vector.unit(F.transform(E(), lambda x: x.cast("double") * 3))), 6), "first": F.round(F.get(vector.unit(F.transform(E(), lambda x: x.cast("double") * 3)), F.lit(0)), 6)},
       {"norm": f"round(sqrt({DOT('u', 'u')}), 6)", "first": "round(u[1], 6)"})
 from .registry import SQL  # noqa: E402
 
-SQL["mth01"] = f"WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3)::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt({DOT('e', 'e')}) AS l FROM s), v AS (SELECT vec_id, list_transform(e, lambda x: x / l) AS u FROM n) SELECT vec_id, round(sqrt({DOT('u', 'u')}), 6) AS norm, round(u[1], 6) AS first FROM v"
+SQL["mth01"] = f"WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt({DOT('e', 'e')}) AS l FROM s), v AS (SELECT vec_id, list_transform(e, lambda x: x / l) AS u FROM n) SELECT vec_id, round(sqrt({DOT('u', 'u')}), 6) AS norm, round(u[1], 6) AS first FROM v"
 
 
 def _pairs(t):
@@ -215,7 +215,7 @@ def _jsn06(t):
 query("jsn07")(lambda t: t.events.select("event_id", F.filter(F.from_json(F.lit('["search", "none", "read"]'), "array<string>"), lambda x: F.lower(x) != "none").alias("tools")))
 plain("jsn08", "events", "event_id", lambda: {"ranking": F.array_join(jsons.ranking(F.format_string('ok {"ranking": [%s, "x", 2, null, 0.0]}', (F.col("event_id") % 7).cast("string"))), ",")}, {"ranking": "(event_id % 7) || ',2,0'"})
 plain("jsn09", "events", "event_id", lambda: {"k": F.get_json_object("props", "$.k").cast("long")}, {"k": "json_extract_string(props, '$.k')::BIGINT"})
-query("src03", "SELECT vec_id, len(embedding)::INT AS dim, round(list_sum(embedding)::DOUBLE, 3) AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings)")(
-    lambda t: t.embeddings.select("vec_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 3).alias("total"))
+query("src03", "SELECT vec_id, len(embedding)::INT AS dim, round(list_sum(embedding)::DOUBLE, 3) + 0.0::DOUBLE AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings)")(
+    lambda t: t.embeddings.select("vec_id", F.size("embedding").alias("dim"), (F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 3) + F.lit(0.0)).alias("total"))
 )
 query("flt16", r"SELECT page_id, regexp_matches(url, '(?i)^https?://[^/?#\s]+') AS valid FROM pages")(of("pages", "page_id", lambda: {"valid": text.is_url(F.col("url"))}))
