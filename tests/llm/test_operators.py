@@ -478,6 +478,50 @@ def test_passages(spark, awkward, nothing):
     assert passages.op8_compact_windows(nothing).count() == 0
 
 
+def like_runs(p, q):
+    """Whether any two runs are alike, from pairs of runs of both (every third length)."""
+    x, y, short = p.tolist(), q.tolist(), passages.SHORTEST
+    for s in range(len(x) - short + 1):
+        for t in range(len(y) - short + 1):
+            for n in range(short, len(x) - s + 1, 3):
+                for k in range(max(short, n - 6), min(len(y) - t, n + 6) + 1, 3):
+                    u, v = set(x[s : s + n]), set(y[t : t + k])
+                    if len(u & v) >= 0.75 * len(u | v):
+                        return True
+    return found
+
+
+@pytest.mark.parametrize("edit", [2, 3, 5])
+def test_edited_passages(edit):
+    r = np.random.default_rng(edit)
+    missed = wrong = 0
+    for k in range(60):
+        own = prose(1000 + k, int(r.integers(72, 100))).split()
+        at = int(r.integers(25, len(own) - 25 - edit))
+        other = own[:at] + [f"new{i}" for i in range(edit)] + own[at + edit :]
+        x, y = shingles.shingle_set(" ".join(own)), shingles.shingle_set(" ".join(other))
+        like = shingles.common(x, y) / len(np.union1d(x, y))
+        p, q = (" ".join([prose(2000 + k + z, 80), *t, prose(3000 + k + z, 80)]) for z, t in ((0, own), (500, other)))
+        a, b = (passages.Side(shingles.shingles(x)) for x in (p, q))
+        got = passages.common_runs(a, b)
+        if like >= 0.75:
+            missed += not any(s <= 80 and e >= 80 + len(own) - 5 for s, e, _, _, _ in got)  # from its first shingle to its last
+        wrong += any(passages._alike(a.shingles[s : e + 1], b.shingles[t : g + 1]) < 0.75 or min(e - s, g - t) + 1 < passages.SHORTEST for s, e, t, g, _ in got)
+    assert (missed, wrong) == (0, 0)
+
+
+@pytest.mark.parametrize("letters", [3, 60])
+def test_like_runs_against_all_pairs(letters):
+    r = np.random.default_rng(letters)
+    for _ in range(12):
+        x = r.integers(0, letters, 60).astype(np.uint64)
+        y = x.copy()
+        if r.random() < 0.7:
+            y[r.integers(0, 60, int(r.integers(1, 14)))] = r.integers(1000, 1012)
+        y = np.concatenate([r.integers(2000, 2100, 4).astype(np.uint64), y])[:60]
+        assert bool(passages.common_runs(passages.Side(x), passages.Side(y))) == like_runs(x, y)
+
+
 # --- archives --------------------------------------------------------------------------------------------------------
 
 PAGES = [(5, "http://www.a.example/x?y=1#z", "<p>" + "q" * 200), (3, "https://a.example:8080/x", "<p>" + "q" * 200), (9, None, None), (8, "", ""), (7, "http://[bad", "short"), (6, "http://b.example/ä b\n", "short"), (None, "u", "v"), (4, "HTTP://A.EXAMPLE", "x\r\n\r\ny" * 90), (10, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70)]
