@@ -522,6 +522,17 @@ def test_like_runs_against_all_pairs(letters):
         assert bool(passages.common_runs(passages.Side(x), passages.Side(y))) == like_runs(x, y)
 
 
+def test_passage_after_repeats_of_its_line():
+    """The passage holds a line that recurs before it in one text and after it in the other."""
+    for k in range(20):
+        line, own = prose(50, 20).split(), prose(7000 + k, 70).split()
+        passage = [*own[:25], *line, *own[25:]]
+        x, y, z, u, v, w = (prose(9 * k + n, 40).split() for n in range(1, 7))
+        p, q = " ".join([*x, *line, *y, *line, *z, *passage, *u]), " ".join([*v, *passage, *w, *line, *u])
+        got = passages.common_runs(*(passages.Side(shingles.shingles(t)) for t in (p, q)))
+        assert any(s <= 160 and e >= 160 + len(passage) - 5 and t <= 40 and g >= 40 + len(passage) - 5 for s, e, t, g, _ in got)
+
+
 # --- archives --------------------------------------------------------------------------------------------------------
 
 PAGES = [(5, "http://www.a.example/x?y=1#z", "<p>" + "q" * 200), (3, "https://a.example:8080/x", "<p>" + "q" * 200), (9, None, None), (8, "", ""), (7, "http://[bad", "short"), (6, "http://b.example/ä b\n", "short"), (None, "u", "v"), (4, "HTTP://A.EXAMPLE", "x\r\n\r\ny" * 90), (10, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70)]
