@@ -533,6 +533,19 @@ def test_passage_after_repeats_of_its_line():
         assert any(s <= 160 and e >= 160 + len(passage) - 5 and t <= 40 and g >= 40 + len(passage) - 5 for s, e, t, g, _ in got)
 
 
+def test_short_equal_passages_in_a_crowd(spark):
+    """Passages of 50 words in many documents of other text; no document may drop out of its group."""
+    rows, group = [], {}
+    for k in range(12):
+        passage = prose(8000 + k, 50) if k else ("one two three four five six seven " * 8)[:270]
+        for n in range(60):
+            i = 1000 * k + n
+            rows.append((i, " ".join([prose(20_000 + 2 * i, 30 + n % 7), *passage.split()[:50], prose(20_001 + 2 * i, 30)])))
+            group[i] = 1000 * k
+    got = {r["doc_id"]: r["class_id"] for r in rows_of(passages.op8_compact_windows(docs(spark, rows).repartition(9)))}
+    assert got == group
+
+
 # --- archives --------------------------------------------------------------------------------------------------------
 
 PAGES = [(5, "http://www.a.example/x?y=1#z", "<p>" + "q" * 200), (3, "https://a.example:8080/x", "<p>" + "q" * 200), (9, None, None), (8, "", ""), (7, "http://[bad", "short"), (6, "http://b.example/ä b\n", "short"), (None, "u", "v"), (4, "HTTP://A.EXAMPLE", "x\r\n\r\ny" * 90), (10, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70)]
