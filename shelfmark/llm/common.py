@@ -143,23 +143,33 @@ def components(edges: DataFrame, name: str, most: int = EDGES, rounds: int = 100
     )
 
 
-def by_cluster(pairs: DataFrame, name: str, most: int, strong: str = "true") -> tuple[DataFrame, DataFrame]:
+#: So many bytes of documents are dealt to a group of pairs.
+GROUP_BYTES = 4 << 20
+
+
+def by_cluster(pairs: DataFrame, sizes: DataFrame, name: str, most: int = GROUP_BYTES, strong: str = "true") -> tuple[DataFrame, DataFrame]:
     """Deal pairs (a, b, ...) to groups in which each document is needed once: (g and the pairs; h, doc_id).
 
-    Clusters are those of the pairs for which ``strong`` holds; another pair goes where its a is. Clusters of up to
-    ``most`` documents share groups of about that size; larger ones are cut into blocks of about ``most``, with a group
-    for each two blocks that have pairs. No group holds more than some ``most`` documents and their weak partners.
+    ``sizes`` has doc_id and bytes. Clusters are those of the pairs for which ``strong`` holds; another pair goes where
+    its a is. Clusters of up to ``most`` bytes share groups of about that size; larger ones are cut into blocks of about
+    as much, with a group for each two blocks that have pairs. A group that partners of other clusters make larger than
+    three times that is split by its b, so a group holds some ``most`` bytes, or two documents.
     """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = materialize(ends.join(sizes.groupBy("doc_id").agg(F.sum("bytes").alias("bytes")), "doc_id"), f"{name}-held")
+    total = held.agg(F.sum("bytes")).first()[0] or 0
     cluster = materialize(components(pairs.where(strong), f"{name}-clusters"), f"{name}-cluster")
-    total = pairs.count()
-    large = cluster.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > most)
+    large = cluster.join(held, F.col("node") == F.col("doc_id")).groupBy("component").agg(F.sum("bytes").alias("size")).where(F.col("size") > most)
     large = materialize(large.select("component", F.ceil(F.col("size") / most).alias("blocks")), f"{name}-large")
     own = pairs.join(cluster.withColumnRenamed("node", "a"), "a", "left").join(cluster.withColumnsRenamed({"node": "b", "component": "other"}), "b", "left")
     own = own.withColumn("component", F.coalesce("component", "a")).join(large, "component", "left")
     block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
     second = F.when(F.col("other") == F.col("component"), block("b")).otherwise(block("a"))
     in_large = F.xxhash64("component", F.least(block("a"), second), F.greatest(block("a"), second))
-    shared = F.pmod(F.xxhash64("component"), F.lit(max(1, total // most)))
-    placed = own.withColumn("g", F.when(F.col("blocks").isNull(), shared).otherwise(in_large)).select("g", *pairs.columns)
-    placed = materialize(placed, f"{name}-placed")
+    shared = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-total // most))))
+    placed = materialize(own.withColumn("g", F.when(F.col("blocks").isNull(), shared).otherwise(in_large)).select("g", *pairs.columns), f"{name}-placed")
+    full = placed.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(held, "doc_id").groupBy("g").agg(F.sum("bytes").alias("size"))
+    full = materialize(full.where(F.col("size") > 3 * most).select("g", F.ceil(F.col("size") / most).alias("parts")), f"{name}-full")
+    split = F.when(F.col("parts").isNull(), F.col("g")).otherwise(F.xxhash64("g", F.pmod(F.xxhash64("b"), F.col("parts"))))
+    placed = materialize(placed.join(full, "g", "left").select(split.alias("g"), *pairs.columns), f"{name}-dealt")
     return placed, placed.select(F.col("g").alias("h"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()

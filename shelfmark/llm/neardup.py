@@ -38,7 +38,6 @@ from .shingles import common, shingle_set
 TREES, LEVELS, DEPTH = 20, 8, 3
 NEAR, BEST, BLOCK = 8, 5, 2048
 CUT, PERCENT = 0.58, 75
-CLUSTER = 512
 HASHES = TREES * LEVELS
 
 
@@ -169,9 +168,9 @@ def candidates(reps: DataFrame) -> DataFrame:
     return order.mapInArrow(run, "a long, b long, e double").where("a <> b").groupBy("a", "b").agg(F.max("e").alias("e"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(a, b): links of similarity at least 0.75 on full sets that connect whatever the pairs' links connect."""
-    placed, wanted = by_cluster(pairs, "near", CLUSTER)
+    placed, wanted = by_cluster(pairs, sizes, "near")
     texts = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
 
     def to_sets(batches):
@@ -219,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = materialize(candidates(reps), "near-pairs")
     twice = own.select("doc_id", "s1", "s2", "n").where("n > 0").join(same.where("size > 1"), ["s1", "s2"]).where("rep <> doc_id")
     copies = twice.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = materialize(confirmed(docs, pairs).union(_of_repeated(own, copies)), "near-links")
+    links = materialize(confirmed(docs, pairs, own.select("doc_id", (8 * F.col("n")).alias("bytes"))).union(_of_repeated(own, copies)), "near-links")
     part = materialize(components(links, "near-components"), "near-component").withColumnRenamed("node", "rep")
     members = own.select("doc_id", "n", "s1", "s2").join(same.where("size > 1").select("s1", "s2", "rep"), ["s1", "s2"], "left")
     members = members.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).join(part, "rep", "left")

@@ -279,7 +279,7 @@ def test_near_duplicates_of_awkward_rows(spark, awkward, nothing):
 
 
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CLUSTER", 16)
+    monkeypatch.setattr(common.by_cluster, "__defaults__", (20_000, "true"))
     base = prose(55, 150)
     rows = [(i, edited(base, 0.02, i)) for i in range(120)]
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(neardup.op4_lsh_forest(docs(spark, rows)))} == plain_components(rows)
