@@ -30,3 +30,8 @@ def recency(stamp: Column, now: Column, days: float = 30.0) -> Column:
 def stamp(c: Column) -> Column:
     """An ISO stamp as a time; malformed ones are null, those without a zone are UTC."""
     return F.try_to_timestamp(F.regexp_replace(c, "T", " "))
+
+
+def utc_stamp(now: Column | None = None) -> Column:
+    """A moment, the current one if none is given, as YYYY-MM-DDTHH:MM:SSZ."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp() if now is None else now.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

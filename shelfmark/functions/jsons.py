@@ -32,3 +32,26 @@ def ranking(c: Column) -> Column:
     """The numbers of a re-ranker's list, in its order."""
     items = F.from_json(F.get_json_object(object_text(c), "$.ranking"), "array<string>")
     return F.coalesce(F.transform(F.filter(items, lambda x: x.rlike(r"^-?[0-9]+(\.[0-9]+)?$")), lambda x: x.cast("double").cast("int")), F.array().cast("array<int>"))
+
+
+def artifact(answer: Column, spec: Column) -> Column:
+    """A skill as a model answered it, its fields trimmed, with the spec's where it gave none: name, description, instructions,
+    steps, triggers, anti_triggers, tools (without "none"), success_criteria of four keys, and tests that have a prompt (as JSON)."""
+    own = lambda key: F.coalesce(field(answer, f"$.{key}"), F.lit(""))
+    other = lambda key: F.coalesce(field(spec, f"$.{key}"), F.lit(""))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    read = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+    def texts(key: str, fallback: bool = True) -> Column:
+        mine = read(own(key))
+        given = F.when(F.size(mine) > 0, mine).otherwise(read(other(key))) if fallback else mine
+        return F.filter(F.transform(given, strip), lambda x: x != "")
+
+    criteria = F.when(own("success_criteria").isin("", "{}"), other("success_criteria")).otherwise(own("success_criteria"))
+    return F.struct(
+        strip(F.when(own("name") == "", other("name")).otherwise(own("name"))).alias("name"), strip(F.when(own("description") == "", other("description")).otherwise(own("description"))).alias("description"),
+        strip(own("instructions")).alias("instructions"), texts("steps", False).alias("steps"), texts("triggers").alias("triggers"), texts("anti_triggers").alias("anti_triggers"),
+        F.filter(texts("tools"), lambda x: F.lower(x) != "none").alias("tools"),
+        F.struct(*(F.coalesce(F.get_json_object(criteria, f"$.{k}"), F.lit("")).alias(k) for k in ("outcome", "process", "style", "efficiency"))).alias("success_criteria"),
+        F.filter(read(own("tests")), lambda x: F.coalesce(F.get_json_object(x, "$.prompt"), F.lit("")) != "").alias("tests"),
+    )

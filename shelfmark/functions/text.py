@@ -128,16 +128,22 @@ def overlap_tail(c: Column, n: int) -> Column:
 
 
 def has_placeholder(c: Column) -> Column:
+    # fixed value: what marks an unfinished text
     return c.rlike(r"(?i)\b(TODO|TBD|FIXME|XXX|lorem ipsum|your (?:skill|task|tool) here|placeholder)\b|<[a-z_]{3,}>")
 
 
 def numbered_steps(c: Column) -> Column:
+    # fixed value: what begins a step
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"(?m)^\s*(?:\d+[.)]|[-*])\s+\S"))
 
 
+#: Fixed value: verbs in a tool's name that change something.
+WRITING_TOOL = r"(?i)(^|[_.\-])(create|update|delete|write|insert|upsert|put|post|remove|drop|set|add|edit|apply|merge|execute|deploy|pause|restore|reset|rebase)([_.\-]|$)"
+
+
 def mutating_tool(name: Column) -> Column:
     """Tools whose name has a verb that writes."""
-    return name.rlike(r"(?i)(^|[_.-])(create|update|delete|write|insert|upsert|put|post|remove|drop|set|add|edit|apply|merge|execute|deploy)([_.-]|$)")
+    return name.rlike(WRITING_TOOL)
 
 
 def identifier(c: Column) -> Column:

@@ -74,15 +74,20 @@ def chunk(docs: DataFrame, key: str, column: str, size: int = SIZE, overlap: int
     return docs.select(key, F.posexplode(chunk_array(F.col(column), size, overlap)).alias("position", "text"))
 
 
-def summarize(docs: DataFrame, key: str = "doc_id", column: str = "text", most: int = 6) -> DataFrame:
-    """(key, summary): the sentences of more than 30 characters with the largest mean word frequency, in their order;
-    the text's start where there is none. Words count in the whole document's sentences; light ones have no weight."""
-    s = docs.select(key, F.posexplode(F.filter(text.sentences(F.col(column)), lambda x: F.length(x) > 30)).alias("p", "s"))
+def ranked_sentences(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, p, s, score, r): the sentences of more than 30 characters and their rank by mean word frequency. Words count in
+    the whole document's sentences; light ones have no weight."""
+    s = docs.select(key, F.filter(text.sentences(F.col(column)), lambda x: F.length(x) > 30).alias("every")).select(key, F.posexplode("every").alias("p", "s"))
     s = s.withColumn("words", F.regexp_extract_all(F.lower("s"), F.lit("[a-z]{4,}"), F.lit(0)))
     words = s.select(key, "p", F.explode("words").alias("w"))
     counts = words.groupBy(key, "w").agg(F.count("*").alias("n"))
     weight = words.join(counts, [key, "w"]).where(~F.col("w").isin(text.LIGHT_WORDS)).groupBy(key, "p").agg(F.sum("n").alias("n"))
     scored = s.join(weight, [key, "p"], "left").withColumn("score", F.coalesce("n", F.lit(0)) / F.greatest(F.lit(1), F.size("words")))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "p"))).where(F.col("r") <= most)
+    return scored.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "p"))).select(key, "p", "s", "score", "r")
+
+
+def summarize(docs: DataFrame, key: str = "doc_id", column: str = "text", most: int = 6) -> DataFrame:
+    """(key, summary): the best sentences in their order; the text's start where there is none."""
+    best = ranked_sentences(docs, key, column).where(F.col("r") <= most)
     joined = best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), " ").alias("summary"))
     return docs.select(key, column).join(joined, key, "left").select(key, F.coalesce("summary", F.substring(column, 1, 600)).alias("summary"))

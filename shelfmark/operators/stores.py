@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import dates, text, vector
+from . import retrieval
 
 KEPT_RUNS = 500
 STATUS_ORDER = ("pending_review", "accepted", "needs_revision", "draft", "rejected")
@@ -36,6 +37,34 @@ def last_rows(log: DataFrame, n: int = KEPT_RUNS, order: str = "ord") -> DataFra
     return log.orderBy(F.desc(order)).limit(n)
 
 
+def appended(log: DataFrame, new: DataFrame, n: int = KEPT_RUNS, order: str = "ord") -> DataFrame:
+    """The log with new rows after its own, cut to the n added last."""
+    both = log.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    return both.orderBy(F.desc("__new"), F.desc(order)).limit(n).drop("__new")
+
+
+def kept_of_each(log: DataFrame, key: str, n: int, order: str = "ord") -> DataFrame:
+    """Of each key the n rows added last."""
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    return log.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
+
+
+#: what leaves the store: neither whole bodies nor vectors
+PUBLIC = ("id", "kind", "source_url", "source_title", "chars", "content_hash", "in_kg", "vectorized", "kg_projected_hash", "vector_projected_hash")
+
+
+def public(items: DataFrame) -> DataFrame:
+    return items.select(*(c for c in PUBLIC if c in items.columns), F.substring("raw_text", 1, 240).alias("preview"))
+
+
+def projected(items: DataFrame, results: DataFrame, flag: str, hash_: str) -> DataFrame:
+    """Items with the results (cache_id, ok) of a projection: where it went well the flag is on with the hash that went in,
+    which is the input's and not what the item holds by now. The last result of an item counts; others stay as they are."""
+    done = results.where("ok").groupBy(F.col("cache_id").alias("id")).agg(F.max_by("input_hash", "at").alias("__hash"))
+    joined = items.join(done, "id", "left")
+    return joined.withColumns({flag: F.col("__hash").isNotNull() | F.col(flag), hash_: F.coalesce("__hash", hash_)}).drop("__hash")
+
+
 def ingest(old: DataFrame, new: DataFrame) -> DataFrame:
     """Idempotent ingest of (id, content_hash, raw_text): what is there stays, a changed body is refreshed, flags of
     projections stay with the old row so that they can be seen to be stale. ``outcome``: created, unchanged or changed."""
@@ -86,8 +115,9 @@ def recall(memories: DataFrame, query: str, k: int, now: Column, floor: float =
     return scored.orderBy(F.desc("score"), "ord").limit(k).where(F.col("similarity") >= floor)
 
 
-def near_duplicates(incoming: DataFrame, memories: DataFrame, least: float = KEYWORD_DUPLICATE) -> DataFrame:
-    """(new_id, id, similarity): for each new memory the active one of its kind that says the same in both directions.
+def near_duplicates(incoming: DataFrame, memories: DataFrame, least: float = KEYWORD_DUPLICATE, best: bool = True) -> DataFrame:
+    """(new_id, id, similarity): for each new memory the active one of its kind that says the same in both directions; not
+    only the ``best``: all, with ord.
 
     Both directions at ``least`` bound the number of distinct keywords of the other: pairs must share a keyword, so the
     rarest tenth (and one) of the new text's keywords is enough to look through.
@@ -101,8 +131,74 @@ def near_duplicates(incoming: DataFrame, memories: DataFrame, least: float = KEY
     pairs = words.join(old.select("id", "kind", "ord", "text", F.explode("w").alias("word")), ["word", "kind"]).where("id <> new_id").select("new_id", "id", "ord", "new_text", "text").distinct()
     there, back = text.keyword_similarity(F.col("new_text"), F.col("text")), text.keyword_similarity(F.col("text"), F.col("new_text"))
     fine = pairs.withColumn("similarity", there).where((F.col("similarity") >= least) & (back >= least))
-    best = Window.partitionBy("new_id").orderBy(F.desc("similarity"), "ord")
-    return fine.withColumn("k", F.row_number().over(best)).where("k = 1").select("new_id", "id", F.round("similarity", 6).alias("similarity"))
+    if not best:
+        return fine.select("new_id", "id", "ord", "similarity")
+    order = Window.partitionBy("new_id").orderBy(F.desc("similarity"), "ord")
+    return fine.withColumn("k", F.row_number().over(order)).where("k = 1").select("new_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
+def near_by_vector(incoming: DataFrame, memories: DataFrame, least: float = DUPLICATE) -> DataFrame:
+    """(new_id, id, ord, similarity): pairs of a new memory and an active one, of any kind, whose vectors' cosine reaches ``least``.
+    New memories come in batches and meet the store in blocks."""
+    new = incoming.where("embedding is not null").select(F.col("id").alias("query_id"), vector.unit(F.transform("embedding", lambda x: x.cast("double"))).alias("qv"))
+    old = active(memories).where("embedding is not null").select("id", "ord", vector.unit(F.transform("embedding", lambda x: x.cast("double"))).alias("embedding"))
+    return retrieval.similarities(old, new).where((F.round("sim", 9) >= least) & (F.col("id") != F.col("query_id"))).select(F.col("query_id").alias("new_id"), "id", "ord", F.col("sim").alias("similarity"))
+
+
+def duplicates(incoming: DataFrame, memories: DataFrame) -> DataFrame:
+    """(new_id, id, similarity): the active memory that a new one repeats. Where both have vectors these decide, of any kind;
+    else the keywords of memories of one kind, in both directions. The most similar counts, the first of equals."""
+    by_words = near_duplicates(incoming, memories, best=False)
+    both = incoming.where("embedding is not null").select(F.col("id").alias("new_id"))
+    has = memories.where("embedding is not null").select("id")
+    plain = by_words.join(both, "new_id", "left_anti").unionByName(by_words.join(both, "new_id", "left_semi").join(has, "id", "left_anti").select(by_words.columns))
+    found = plain.unionByName(near_by_vector(incoming, memories))
+    order = Window.partitionBy("new_id").orderBy(F.desc(F.round("similarity", 9)), "ord")
+    return found.withColumn("k", F.row_number().over(order)).where("k = 1").select("new_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
+def remember(incoming: DataFrame, memories: DataFrame, rank) -> DataFrame:
+    """The store after a batch of new memories (id, ord, kind, text, salience, confidence, tags, embedding): one that repeats an active
+    memory reinforces it (counted; salience and confidence only rise, tags are joined), others are added; blank texts are neither.
+    New memories of one kind and text are one, the first, reinforced by the rest."""
+    new = incoming.where(text.strip(F.coalesce("text", F.lit(""))) != "")
+    conf = F.upper(F.coalesce("confidence", F.lit("INFERRED")))
+    first = new.groupBy("kind", "text").agg(
+        F.min_by(F.struct("id", "ord", "embedding"), "ord").alias("x"), (F.count("*") - 1).alias("again"), F.max("salience").alias("salience"),
+        F.max_by(conf, F.struct(rank(conf), -F.col("ord"))).alias("confidence"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tags"))), lambda z: z["tags"]))).alias("tags"),
+    ).select("x.*", "kind", "text", "again", "salience", "confidence", "tags")
+    same = duplicates(first, memories)
+    known = first.join(same.select(F.col("new_id").alias("id"), F.col("id").alias("old")), "id")
+    gain = known.groupBy(F.col("old").alias("id")).agg(
+        F.sum(F.col("again") + 1).alias("gain"), F.max("salience").alias("new_salience"), F.max_by("confidence", F.struct(rank(F.col("confidence")), -F.col("ord"))).alias("new_confidence"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tags"))), lambda z: z["tags"])).alias("new_tags"),
+    )
+    higher = F.col("new_confidence").isNotNull() & (rank(F.col("new_confidence")) > rank(F.col("confidence")))
+    old = memories.join(gain, "id", "left").select(
+        "id", "ord", "kind", "text", F.greatest("salience", "new_salience").alias("salience"), F.when(higher, F.col("new_confidence")).otherwise(F.col("confidence")).alias("confidence"),
+        F.array_distinct(F.concat("tags", F.coalesce("new_tags", F.array().cast("array<string>")))).alias("tags"), (F.col("reinforced") + F.coalesce("gain", F.lit(0))).alias("reinforced"),
+    )
+    added = first.join(same.select(F.col("new_id").alias("id")), "id", "left_anti").select("id", "ord", "kind", "text", "salience", "confidence", "tags", F.col("again").alias("reinforced"))
+    return old.unionByName(added)
+
+
+def upsert_skills(skills: DataFrame, specs: DataFrame) -> DataFrame:
+    """Skills (slug, id, description, version, revisions, status, history) after specs (slug, id, description, note, ord) in their
+    order: the first of an unknown slug is a draft of version 1; each further one revises in place: a version and a revision more,
+    its description, a draft again, and an entry in the history."""
+    own = specs.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "description", "note"))).alias("s"))
+    both = skills.join(own, "slug", "full_outer")
+    new, base = F.col("version").isNull(), F.coalesce("version", F.lit(1))
+    revising = F.when(new, F.slice("s", 2, F.greatest(F.size("s"), F.lit(1)))).otherwise(F.col("s"))
+    steps = F.when(F.col("r").isNull(), 0).otherwise(F.size("r"))
+    named = lambda x: F.when(x["note"] != "", F.concat(F.lit(": "), F.substring(x["note"], 1, 200))).otherwise("")
+    numbers = F.when(steps > 0, F.sequence(base, base + steps - 1))
+    line = F.zip_with(numbers, "r", lambda v, x: F.concat(F.lit("v"), v.cast("string"), F.lit(" → v"), (v + 1).cast("string"), named(x)))
+    return both.withColumn("r", revising).select(
+        "slug", F.coalesce("id", F.get(F.col("s"), F.lit(0))["id"]).alias("id"), F.when(F.col("s").isNull(), F.col("description")).otherwise(F.element_at("s", -1)["description"]).alias("description"),
+        (base + steps).cast("long").alias("version"), (F.coalesce("revisions", F.lit(0)) + steps).cast("long").alias("revisions"),
+        F.when(F.col("s").isNull(), F.col("status")).otherwise("draft").alias("status"), F.concat(F.coalesce("history", F.array().cast("array<string>")), F.coalesce(line, F.array().cast("array<string>"))).alias("history"),
+    )
 
 
 def reinforced(rows: DataFrame, salience: Column, confidence: Column, rank) -> DataFrame:

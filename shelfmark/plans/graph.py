@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import graph as G
 from . import bind
 from .bind import NODE_SQL
-from .registry import query
+from .registry import SQL, query
 from .scalars import SLUG
 
 N, E = bind.nodes, bind.edges
@@ -51,7 +51,9 @@ def _keys(t):
 @query("jon02", f"""{W}, m AS (SELECT dst AS id, src FROM edge WHERE kind = 'mentions') SELECT n.id, n.name, n.mentions, array_to_string((list(m.src ORDER BY m.src))[1:20], ' ') AS chunks FROM node n JOIN m USING (id) GROUP BY n.id, n.name, n.mentions""")
 def _jon02(t):
     m = E(t).where("kind = 'mentions'").select(F.col("dst").alias("id"), "src")
-    return N(t).where("type = 'entity'").join(m.groupBy("id").agg(F.array_join(F.slice(F.array_sort(F.collect_list("src")), 1, 20), " ").alias("chunks")), "id").select("id", "name", "mentions", "chunks")
+    first = m.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("src"))).where("k <= 20")
+    first = first.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("src")), " ").alias("chunks"))
+    return N(t).where("type = 'entity'").join(first, "id").select("id", "name", "mentions", "chunks")
 
 
 _GONE = "(SELECT id FROM node WHERE type = 'source' AND name IN ('src0', 'src5'))"
@@ -100,8 +102,8 @@ def _jon18(t):
 query("agg01", f"{W} SELECT count(*) FILTER (type = 'source') AS sources, count(*) FILTER (type = 'chunk') AS chunks, count(*) FILTER (type = 'entity') AS entities, (SELECT count(*) FROM edge) AS edges, (SELECT count(*) FROM edge WHERE kind = 'mentions') AS mentions FROM node")(
     lambda t: N(t).agg(F.count_if(F.col("type") == "source").alias("sources"), F.count_if(F.col("type") == "chunk").alias("chunks"), F.count_if(F.col("type") == "entity").alias("entities")).join(F.broadcast(E(t).agg(F.count("*").alias("edges"), F.count_if(F.col("kind") == "mentions").alias("mentions"))))
 )
-query("agg15", "SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents WHERE doc_id < 100) GROUP BY ALL")(
-    lambda t: t.documents.where("doc_id < 100").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+query("agg15", "SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) GROUP BY ALL")(
+    lambda t: t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 )
 _CUST = "SELECT c_custkey AS ord, 'entity_' || c_custkey AS id, upper(substr(c_mktsegment, 1, 4)) || CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE '-' END || (c_custkey % 400) AS name, (c_custkey % 17)::BIGINT AS mentions FROM customer"
 
@@ -127,24 +129,38 @@ query("set05", "WITH e AS (SELECT 'entity_' || o_custkey AS src, 'entity_' || (o
 )
 
 
-@query("grf06", "WITH e AS (SELECT CASE WHEN o_custkey = 8 THEN 7 ELSE o_custkey END AS src, CASE WHEN o_orderkey % 150 = 8 THEN 7 ELSE o_orderkey % 150 END AS dst, o_orderkey FROM orders) SELECT * FROM e WHERE NOT (src = 7 AND dst = 7)")
-def _grf06(t):
-    """One merge (8 into 7): edges repointed, parallel ones stay, none from the kept entity to itself."""
-    to = lambda c: F.when(c == 8, 7).otherwise(c)
-    return t.orders.select(to(F.col("o_custkey")).cast("long").alias("src"), to(F.expr("o_orderkey % 150")).cast("long").alias("dst"), "o_orderkey").where("not (src = 7 and dst = 7)")
+_MERGE_SQL = f"""WITH p AS (SELECT *, repeat('s', (ord % 13)::INT) AS summary, CASE WHEN ord % 4 = 0 THEN ['Alias ' || (ord % 5), ''] ELSE []::VARCHAR[] END AS aliases FROM ({_CUST})),
+mp AS (SELECT 'entity_' || (c_custkey - c_custkey % 10 + 1) AS keep, id AS drop_ FROM p JOIN customer ON c_custkey = ord WHERE c_custkey % 10 IN (3, 8) AND ('entity_' || (c_custkey - c_custkey % 10 + 1)) IN (SELECT id FROM p)),
+x AS (SELECT p.*, keep, coalesce(keep, id) AS to_ FROM p LEFT JOIN mp ON drop_ = id)"""
 
 
-_FOUND_SQL = "f AS (SELECT event_id AS ord, CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END || ' ' || (user_id % 50) AS name, CASE WHEN event_id % 4 = 0 THEN 'concept' ELSE 'person' END AS kind, (event_id % 5 + 1)::INT AS importance, repeat('x', (event_id % 11)::INT) AS summary FROM events)"
+def _merging(t):
+    """In every ten entities the fourth and the ninth go into the second."""
+    people = _people(t).withColumn("summary", F.expr("repeat('s', cast(ord % 13 as int))")).withColumn("aliases", F.when(F.expr("ord % 4 = 0"), F.array(F.concat(F.lit("Alias "), F.expr("ord % 5")), F.lit(""))).otherwise(F.array().cast("array<string>")))
+    pairs = people.where("ord % 10 in (3, 8)").select(F.concat(F.lit("entity_"), F.expr("ord - ord % 10 + 1")).alias("keep"), F.col("id").alias("drop"))
+    return G.merge_entities(people, _people_edges(t), pairs)
+
+
+query("grf06", f"{_MERGE_SQL} SELECT to_ AS id, arg_max(name, keep IS NULL) AS name, sum(mentions)::BIGINT AS mentions, arg_max(summary, (length(summary), keep IS NULL, -ord)) AS summary, array_to_string(list_sort(list_filter(list_distinct(flatten(list(list_concat(aliases, CASE WHEN keep IS NULL THEN [] ELSE [name] END)))), lambda a: a <> '' AND a <> arg_max(name, keep IS NULL))), '|') AS aliases FROM x GROUP BY to_")(
+    lambda t: _merging(t)[0].select("id", "name", "mentions", "summary", F.array_join("aliases", "|").alias("aliases"))
+)
+SQL["grf06"] = f"""{_MERGE_SQL}, g AS (SELECT to_ AS id, arg_max(name, keep IS NULL) AS name, sum(mentions)::BIGINT AS mentions, arg_max(summary, (length(summary), keep IS NULL, -ord)) AS summary, list_distinct(flatten(list(list_concat(aliases, CASE WHEN keep IS NULL THEN []::VARCHAR[] ELSE [name] END)))) AS names FROM x GROUP BY to_)
+SELECT id, name, mentions, summary, array_to_string(list_sort(list_filter(names, lambda a: a <> '' AND a <> name)), '|') AS aliases FROM g"""
+query("grf06_edges", f"""{_MERGE_SQL}, e AS (SELECT 'entity_' || o_custkey AS src, 'entity_' || (o_orderkey % 150) AS dst, 'relation' AS kind FROM orders),
+r AS (SELECT coalesce(a.keep, src) AS src, coalesce(b.keep, dst) AS dst, kind FROM e LEFT JOIN mp a ON a.drop_ = src LEFT JOIN mp b ON b.drop_ = dst) SELECT src, dst, kind FROM r WHERE NOT (src = dst AND src IN (SELECT keep FROM mp))""")(lambda t: _merging(t)[1].select("src", "dst", "kind"))
+
+
+_FOUND_SQL = "f AS (SELECT event_id AS ord, CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END || ' ' || (user_id % 50) AS name, CASE WHEN event_id % 4 = 0 THEN 'concept' ELSE 'person' END AS kind, (event_id % 5 + 1)::INT AS importance, repeat('x', (event_id % 11)::INT) AS summary, user_id AS source FROM events)"
 
 
 def _found(t):
-    return t.events.select(F.col("event_id").alias("ord"), F.concat(F.when(F.expr("event_id % 3 = 0"), F.upper("event_type")).otherwise(F.col("event_type")), F.lit(" "), F.expr("user_id % 50")).alias("name"), F.when(F.expr("event_id % 4 = 0"), "concept").otherwise("person").alias("kind"), F.expr("cast(event_id % 5 + 1 as int)").alias("importance"), F.expr("repeat('x', cast(event_id % 11 as int))").alias("summary"))
+    return t.events.select(F.col("event_id").alias("ord"), F.concat(F.when(F.expr("event_id % 3 = 0"), F.upper("event_type")).otherwise(F.col("event_type")), F.lit(" "), F.expr("user_id % 50")).alias("name"), F.when(F.expr("event_id % 4 = 0"), "concept").otherwise("person").alias("kind"), F.expr("cast(event_id % 5 + 1 as int)").alias("importance"), F.expr("repeat('x', cast(event_id % 11 as int))").alias("summary"), F.col("user_id").alias("source"))
 
 
 _UPSERT = f"SELECT 'entity_' || {SLUG('name')} AS id, name, kind, mentions, importance, summary FROM (SELECT arg_min(name, ord) AS name, coalesce(arg_min(kind, ord) FILTER (kind <> 'concept'), 'concept') AS kind, count(*) AS mentions, max(importance) AS importance, arg_max(summary, (length(summary), -ord)) AS summary FROM f GROUP BY lower(name))"
 query("agg20", f"WITH {_FOUND_SQL} {_UPSERT}")(lambda t: G.upsert_entities(_found(t)).drop("ord"))
-query("grf03", f"WITH {_FOUND_SQL}, e AS (SELECT ord, lower(name) AS a, lead(lower(name)) OVER (ORDER BY ord) AS b FROM f WHERE ord < 3000) SELECT a, b, count(*) AS n FROM e WHERE b IS NOT NULL AND a <> b GROUP BY ALL")(
-    lambda t: _found(t).where("ord < 3000").withColumn("a", F.lower("name")).withColumn("b", F.lead("a").over(Window.orderBy("ord"))).where("b is not null and a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+query("grf03", f"WITH {_FOUND_SQL}, e AS (SELECT ord, lower(name) AS a, lead(lower(name)) OVER (PARTITION BY source ORDER BY ord) AS b FROM f) SELECT a, b, count(*) AS n FROM e WHERE b IS NOT NULL AND a <> b GROUP BY ALL")(
+    lambda t: _found(t).withColumn("a", F.lower("name")).withColumn("b", F.lead("a").over(Window.partitionBy("source").orderBy("ord"))).where("b is not null and a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
 )
 
 

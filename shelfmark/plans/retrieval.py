@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text, vector
+from ..functions import text
 from ..operators import retrieval as R
 from . import bind
 from .bind import CHUNK_SQL, QUERY_SQL, SECTION_SQL
@@ -39,7 +39,7 @@ RRF_SQL = """rrf AS (SELECT query_id, ord, round(coalesce(1.0::DOUBLE / (60 + h.
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, r1 NULLS LAST, r2 NULLS LAST)::INT AS rank FROM rrf))"""
 
 query("jon09", f"{WITH}, {SIM_SQL} SELECT query_id, ord, round(sim, 5) AS sim FROM sim")(
-    lambda t: C(t).join(F.broadcast(Q(t))).select("query_id", "ord", F.round(vector.dot(F.col("embedding"), F.col("qv")), 5).alias("sim"))
+    lambda t: R.similarities(C(t).select("ord", "embedding"), Q(t)).select("query_id", "ord", F.round("sim", 5).alias("sim"))
 )
 query("top01", f"{WITH}, {SIM_SQL}, {nn_sql(10)} SELECT query_id, ord, nn::INT AS rank, round(sim, 5) AS sim FROM nn")(
     lambda t: R.dense(C(t), Q(t), 10).select("query_id", "ord", F.col("nn").alias("rank"), F.round("sim", 5).alias("sim"))
@@ -65,24 +65,29 @@ for _name, _k in (("rag04", 8), ("top04", 5), ("jon08", 48)):
 query("win01", f"{WITH}, {hier_sql(8, 48)}, {bm25_sql(8)} SELECT query_id, ord, 'dense' AS list, (rank - 1)::INT AS position FROM hier UNION ALL SELECT query_id, ord, 'lexical', (rank - 1)::INT FROM lex")(
     lambda t: R.hierarchical(C(t), S(t), Q(t), 8).select("query_id", "ord", F.lit("dense").alias("list"), (F.col("rank") - 1).alias("position")).unionByName(R.bm25(C(t), Q(t), 8).select("query_id", "ord", F.lit("lexical").alias("list"), (F.col("rank") - 1).alias("position")))
 )
-@query("top05", f"""{WITH}, {hier_sql(48, 48)}, pair AS (SELECT a.query_id, a.ord AS o1, b.ord AS o2, {DOT('c1.embedding', 'c2.embedding')} AS d FROM hier a JOIN hier b USING (query_id) JOIN chunk c1 ON c1.ord = a.ord JOIN chunk c2 ON c2.ord = b.ord),
+
+
+def mmr_sql(k: int) -> str:
+    return f"""pair AS (SELECT a.query_id, a.ord AS o1, b.ord AS o2, {DOT('c1.embedding', 'c2.embedding')} AS d FROM hier a JOIN hier b USING (query_id) JOIN chunk c1 ON c1.ord = a.ord JOIN chunk c2 ON c2.ord = b.ord),
 step AS (SELECT query_id, 0 AS n, []::BIGINT[] AS picks, []::VARCHAR[] AS urls, NULL::BIGINT AS ord, NULL::DOUBLE AS v FROM q
 UNION ALL SELECT query_id, n, list_append(picks, ord), list_append(urls, url), ord, v FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, rank) AS best FROM (
   SELECT s.query_id, s.n + 1 AS n, s.picks, s.urls, h.ord, h.url, h.rank,
    round(0.5::DOUBLE * h.score - 0.5::DOUBLE * (coalesce(list_max(list_transform(list_filter(p.near, lambda z: list_contains(s.picks, z.o)), lambda z: z.d)), 0.0::DOUBLE) + CASE WHEN list_contains(s.urls, h.url) THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END), 9) AS v
-  FROM step s JOIN hier h ON h.query_id = s.query_id JOIN (SELECT query_id, o1, list({{'o': o2, 'd': d}}) AS near FROM pair GROUP BY ALL) p ON p.query_id = h.query_id AND p.o1 = h.ord WHERE s.n < 6 AND NOT list_contains(s.picks, h.ord))) WHERE best = 1)
-SELECT query_id, n::INT AS rank, ord, round(v, 4) AS mmr_score FROM step WHERE n > 0""")
+  FROM step s JOIN hier h ON h.query_id = s.query_id JOIN (SELECT query_id, o1, list({{'o': o2, 'd': d}}) AS near FROM pair GROUP BY ALL) p ON p.query_id = h.query_id AND p.o1 = h.ord WHERE s.n < {k} AND NOT list_contains(s.picks, h.ord))) WHERE best = 1)"""
+
+
+@query("top05", f"{WITH}, {hier_sql(48, 48)}, {mmr_sql(6)} SELECT query_id, n::INT AS rank, ord, round(v, 4) AS mmr_score FROM step WHERE n > 0")
 def _top05(t):
     hits = R.hierarchical(C(t), S(t), Q(t), 48, 48).select("query_id", "ord", "url", "score", "rank")
     return R.diversify(hits, C(t), 6).select("query_id", "rank", "ord", "mmr_score")
 
 
 query("top06", f"{WITH}, ss AS (SELECT query_id, s.id, {DOT('s.embedding', 'q.qv')} AS s, s.ord FROM section s, q) SELECT * FROM (SELECT query_id, id, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ord)::INT AS rank FROM ss) WHERE rank <= 50")(
-    lambda t: R.top(S(t).join(F.broadcast(Q(t))).withColumn("s", vector.dot(F.col("embedding"), F.col("qv"))), 50, F.desc("s"), F.col("ord")).select("query_id", "id", F.round("s", 4).alias("score"), "rank")
+    lambda t: R.top(R.similarities(S(t), Q(t)).withColumnRenamed("sim", "s"), 50, F.desc("s"), F.col("ord")).select("query_id", "id", F.round("s", 4).alias("score"), "rank")
 )
 query("flt13", f"{WITH}, ss AS (SELECT query_id, s.id, {DOT('s.embedding', 'q.qv')} AS s, s.ord FROM section s, q WHERE s.url IN ('u0', 'u1', 'u2', 'u3', 'u4', 'u5')) SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ord)::INT AS rank FROM ss) WHERE rank <= 3")(
-    lambda t: R.top(S(t).where(F.col("url").isin(*[f"u{i}" for i in range(6)])).join(F.broadcast(Q(t))).withColumn("s", vector.dot(F.col("embedding"), F.col("qv"))), 3, F.desc("s"), F.col("ord")).select("query_id", "id", "rank")
+    lambda t: R.top(R.similarities(S(t).where(F.col("url").isin(*[f"u{i}" for i in range(6)])), Q(t)).withColumnRenamed("sim", "s"), 3, F.desc("s"), F.col("ord")).select("query_id", "id", "rank")
 )
 
 
@@ -149,31 +154,44 @@ query("win05", f"WITH {CHUNK_SQL} SELECT url, id FROM (SELECT *, row_number() OV
 query("win04", "SELECT conv_id, turn, '[' || row_number() OVER w || '/' || count(*) OVER (PARTITION BY conv_id) || ']' AS part, 'part:' || row_number() OVER w || '/' || count(*) OVER (PARTITION BY conv_id) AS tag FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")(
     lambda t: t.conversations.withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).withColumn("n", F.count("*").over(Window.partitionBy("conv_id"))).select("conv_id", "turn", F.format_string("[%d/%d]", "i", "n").alias("part"), F.format_string("part:%d/%d", "i", "n").alias("tag"))
 )
-query("win09", "SELECT role, text FROM (SELECT role, text, row_number() OVER (PARTITION BY role, text ORDER BY conv_id, turn) AS k FROM conversations) WHERE k = 1")(lambda t: t.conversations.select("role", "text").distinct())
+query("win09", "SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS place FROM (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY conv_id, role)")(
+    lambda t: R.first_seen(t.conversations, "conv_id", "role", "turn").select("conv_id", "role", "turn", "place")
+)
+
+
+# the router: every question in each of its modes; as the order that a model would give, places by a rule
+_RANKED_SQL = """cand AS (SELECT query_id, ord, rank FROM fused WHERE rank <= 24), o AS (SELECT query_id, unnest([(query_id * 5) % 24, 3, 3, 77, 0]) AS position, unnest(range(0, 5)) AS place FROM q),
+m AS (SELECT query_id, position, min(place) AS place FROM o GROUP BY ALL), reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place NULLS LAST, r)::INT AS rank FROM (SELECT c.query_id, c.ord, c.rank AS r, place FROM cand c LEFT JOIN m ON m.query_id = c.query_id AND m.position = c.rank - 1))"""
+_MODES = {
+    "hybrid": ({}, f"{WITH}, {hier_sql(36, 216)}, {bm25_sql(36)}, {RRF_SQL} SELECT query_id, rank, ord FROM fused WHERE rank <= 6"),
+    "dense": ({"hybrid_": False}, f"{WITH}, {hier_sql(6, 36)} SELECT query_id, rank, ord FROM hier"),
+    "diverse": ({"mmr": True}, f"{WITH}, {hier_sql(48, 48)}, {mmr_sql(6)} SELECT query_id, n::INT AS rank, ord FROM step WHERE n > 0"),
+    "reranked": ({"rankings": lambda hits: hits.select("query_id").distinct().select("query_id", F.array(F.expr("cast(query_id * 5 % 24 as int)"), *map(F.lit, (3, 3, 77, 0))).alias("ranking"))},
+                 f"{WITH}, {hier_sql(144, 864)}, {bm25_sql(144)}, {RRF_SQL}, {_RANKED_SQL} SELECT query_id, rank, ord FROM reranked WHERE rank <= 6"),
+}
+query("rag01", " UNION ALL ".join(f"(SELECT '{mode}' AS mode, query_id, rank, ord FROM ({sql}))" for mode, (_, sql) in _MODES.items()))(lambda t: _rag01(t))
 
 
-@query("rag01", f"""{WITH}, {hier_sql(48, 288)}, {bm25_sql(48)}, {RRF_SQL} SELECT query_id, 'hybrid' AS mode, rank, ord FROM fused WHERE rank <= 6 AND query_id % 3 = 0
-UNION ALL SELECT query_id, 'dense', rank, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, nn)::INT AS r FROM hier) WHERE rank <= 6 AND query_id % 3 = 1""")
 def _rag01(t):
-    """The router: hybrid, dense or diversified by question."""
-    q = Q(t)
-    fused = R.hybrid(C(t), S(t), q.where("query_id % 3 = 0"), 8).where("rank <= 6").select("query_id", F.lit("hybrid").alias("mode"), "rank", "ord")
-    plain = R.hierarchical(C(t), S(t), q.where("query_id % 3 = 1"), 48).where("rank <= 6").select("query_id", F.lit("dense").alias("mode"), "rank", "ord")
-    return fused.unionByName(plain)
+    parts = [R.retrieve(C(t), S(t), Q(t), 6, **options).select(F.lit(mode).alias("mode"), "query_id", "rank", "ord") for mode, (options, _) in _MODES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-_FOCUS_SQL = f"""WITH {bind.CACHE_SQL}, f AS (SELECT (ord % 10) AS query_id, ord AS rank, id, raw_text AS text, vectorized AND vector_projected_hash = content_hash AS fresh, vectorized AND vector_projected_hash <> content_hash AS stale FROM cache WHERE kind = 'text' AND ord < 60)"""
+# answers: every cached text is in the focus of one question in eleven; the last of these has none
+_FOCUS_SQL = f"""WITH {bind.CACHE_SQL}, asked AS (SELECT unnest(range(0, 11)) AS query_id), f AS (SELECT (ord % 10) AS query_id, ord AS rank, id, raw_text AS text, vectorized AND vector_projected_hash = content_hash AS fresh FROM cache WHERE kind = 'text')"""
 
 
 def _focus(t):
-    flags = (F.col("vectorized") & (F.col("vector_projected_hash") == F.col("content_hash"))).alias("fresh"), (F.col("vectorized") & (F.col("vector_projected_hash") != F.col("content_hash"))).alias("stale")
-    return bind.cache_items(t).where("kind = 'text' AND ord < 60").select((F.col("ord") % 10).alias("query_id"), F.col("ord").alias("rank"), "id", F.col("raw_text").alias("text"), *flags)
+    fresh = (F.col("vectorized") & (F.col("vector_projected_hash") == F.col("content_hash"))).alias("fresh")
+    return bind.cache_items(t).where("kind = 'text'").select((F.col("ord") % 10).alias("query_id"), F.col("ord").alias("rank"), "id", F.col("raw_text").alias("text"), fresh)
 
 
-query("rag02", f"{_FOCUS_SQL} SELECT query_id, CASE WHEN count(*) = 0 THEN 'rag' WHEN sum({_TOK}) <= 5000 THEN 'icl-documents' ELSE 'icl-sections' END AS mode, sum({_TOK})::BIGINT AS tokens, count(*) FILTER (NOT fresh) AS stale_fallback FROM f GROUP BY query_id")(
-    lambda t: _focus(t).groupBy("query_id").agg(F.sum(text.estimated_tokens(F.col("text"))).alias("tokens"), F.count_if(~F.col("fresh")).alias("stale_fallback")).select("query_id", F.when(F.col("tokens") <= 5000, "icl-documents").otherwise("icl-sections").alias("mode"), "tokens", "stale_fallback")
-)
+def _regimes(t):
+    return R.regimes(t.spark.range(11).select(F.col("id").alias("query_id")), _focus(t), 100_000)
+
+
+query("rag02", f"{_FOCUS_SQL} SELECT a.query_id, CASE WHEN count(f.id) = 0 THEN 'rag' WHEN sum({_TOK}) <= 100000 THEN 'icl-documents' ELSE 'icl-sections' END AS mode, coalesce(sum(CASE WHEN f.id IS NOT NULL THEN {_TOK} END), 0)::BIGINT AS tokens, count(*) FILTER (NOT fresh) AS stale_fallback FROM asked a LEFT JOIN f USING (query_id) GROUP BY a.query_id")(_regimes)
 query("jon11", f"{_FOCUS_SQL} SELECT id, 'stale' AS side FROM f WHERE NOT fresh UNION ALL SELECT id, 'fresh' FROM f WHERE fresh")(
-    lambda t: _focus(t).where("not fresh").select("id", F.lit("stale").alias("side")).unionByName(_focus(t).where("fresh").select("id", F.lit("fresh").alias("side")))
+    lambda t: _focus(t).select("id", F.when(F.col("fresh"), "fresh").otherwise("stale").alias("side"))
 )
 query("rag05", f"WITH {CHUNK_SQL} SELECT id FROM chunk WHERE url NOT IN ('u1', 'u7')")(lambda t: C(t).join(C(t).where("url in ('u1', 'u7')").select("url").distinct(), "url", "left_anti").select("id"))

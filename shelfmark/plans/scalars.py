@@ -19,7 +19,7 @@ URL_SLUG = lambda x: f"coalesce(nullif(substr({SUB(SUB(SUB(f'lower({x})', '^http
 NORMAL = lambda x: STRIP(SUB(SUB(SUB(x, r"\r\n?", r"\n").replace(r"'\n'", "chr(10)"), r"\n{3,}", r"\n\n").replace(r"'\n\n'", "chr(10) || chr(10)"), r"[ \t]+", " "))
 SENTENCES = lambda x: rf"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {STRIP('s')}), lambda s: s <> '')"
 DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-HEAD = "substr(text, 1, 90)"
+COSINE = lambda a, b: f"({DOT(a, b)} / (sqrt({DOT(a, a)}) * sqrt({DOT(b, b)})))"
 
 
 def of(table: str, key: str, columns):
@@ -32,8 +32,7 @@ def plain(name: str, table: str, key: str, columns, sql: dict) -> None:
 
 
 T = lambda: F.col("text")
-H = lambda: F.substring("text", 1, 90)
-plain("str01", "documents", "doc_id", lambda: {"slug": text.slug(H())}, {"slug": SLUG(HEAD)})
+plain("str01", "documents", "doc_id", lambda: {"slug": text.slug(T())}, {"slug": SLUG('text')})
 query("str02", f"SELECT page_id, {SKILL_SLUG('url')} AS skill_slug, {URL_SLUG('url')} AS url_slug FROM pages")(
     of("pages", "page_id", lambda: {"skill_slug": text.skill_slug(F.col("url")), "url_slug": text.url_slug(F.col("url"))})
 )
@@ -48,13 +47,20 @@ plain("str06", "documents", "doc_id", lambda: {"n_tokens": F.size(text.tokens(T(
       {"n_tokens": f"len({TOKENS('text')})", "n_keywords": f"len({KEYWORDS('text')})", "first_tokens": f"array_to_string(({TOKENS('text')})[1:12], ' ')"})
 
 
-@query("str07", f"SELECT b.item_id, d.doc_id, round({KEYWORD_SIM('b.text', 'd.text')}, 9) AS similarity FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40")
+@query("str07", f"""WITH k AS (SELECT item_id, unnest({KEYWORDS('text')}) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM k GROUP BY item_id), d AS (SELECT doc_id, unnest({KEYWORDS('text')}) AS w FROM documents),
+s AS (SELECT item_id, doc_id, count(*) AS c FROM k JOIN d USING (w) GROUP BY ALL), r AS (SELECT item_id, doc_id, c::DOUBLE / n AS s, row_number() OVER (PARTITION BY item_id ORDER BY c DESC, doc_id) AS k FROM s JOIN n USING (item_id))
+SELECT item_id, doc_id, round(s, 9) AS similarity FROM r WHERE k <= 5""")
 def _str07(t):
-    joined = t.benchmark.withColumnRenamed("text", "q").join(t.documents, F.expr("doc_id % 40 = item_id % 40"))
-    return joined.select("item_id", "doc_id", F.round(text.keyword_similarity(F.col("q"), T()), 9).alias("similarity"))
+    """For each item the five documents that hold most of its keywords, by the words they share."""
+    from ..operators.retrieval import top
 
+    items = t.benchmark.select("item_id", text.keywords(T()).alias("ks")).select("item_id", F.size("ks").alias("n"), F.explode("ks").alias("w"))
+    docs = t.documents.select("doc_id", text.keywords(T()).alias("ks")).select("doc_id", F.explode("ks").alias("w"))
+    shared = items.join(docs, "w").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("c"))
+    return top(shared, 5, F.desc("c"), F.col("doc_id"), by="item_id").select("item_id", "doc_id", F.round(F.col("c") / F.col("n"), 9).alias("similarity"))
 
-plain("str09", "documents", "doc_id", lambda: {"name_key": text.name_key(H())}, {"name_key": f"regexp_replace(lower({HEAD}), '[^a-z0-9]', '', 'g')"})
+
+plain("str09", "documents", "doc_id", lambda: {"name_key": text.name_key(T())}, {"name_key": "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')"})
 plain("str10", "conversations", "conv_id", lambda: {"turn_no": F.col("turn"), "normal": text.collapse(T())}, {"turn_no": "turn", "normal": SUB(STRIP("lower(coalesce(text, ''))"), r"\s+", " ")})
 _ANSWER = lambda: F.concat(F.lit("# Answer\n"), T(), F.lit("\n\n  ## Part\nmore "), F.lit("\n## Key sources\n- [1] x"))
 _ANSWER_SQL = "('# Answer' || chr(10) || text || chr(10) || chr(10) || '  ## Part' || chr(10) || 'more ' || chr(10) || '## Key sources' || chr(10) || '- [1] x')"
@@ -80,8 +86,8 @@ plain("str15", "documents", "doc_id", lambda: {"placeholder": text.has_placehold
        "steps": r"len(regexp_extract_all(replace(text, chr(10), chr(10) || '- '), '(?m)^\s*(?:\d+[.)]|[-*])\s+\S'))"})
 plain("str16", "documents", "doc_id", lambda: {"sha256": F.sha2("text", 256)}, {"sha256": "sha256(text)"})
 plain("str17", "documents", "doc_id", lambda: {"n_sentences": F.size(text.sentences(T())).cast("long"), "first": F.get(text.sentences(T()), F.lit(0))}, {"n_sentences": f"len({SENTENCES('text')})", "first": f"({SENTENCES('text')})[1]"})
-plain("str18", "documents", "doc_id", lambda: {"metric": text.metric_key(F.substring("text", 1, 40))}, {"metric": SUB(SUB("lower(substr(text, 1, 40))", "[^a-z0-9]+", "_"), "^_+|_+$", "")})
-plain("str19", "documents", "doc_id", lambda: {"identifier": text.identifier(F.substring("text", 1, 40))}, {"identifier": "regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9_]', '', 'g')"})
+plain("str18", "documents", "doc_id", lambda: {"metric": text.metric_key(T())}, {"metric": SUB(SUB("lower(text)", "[^a-z0-9]+", "_"), "^_+|_+$", "")})
+plain("str19", "documents", "doc_id", lambda: {"identifier": text.identifier(T())}, {"identifier": "regexp_replace(text, '[^A-Za-z0-9_]', '', 'g')"})
 plain("str20", "pages", "page_id", lambda: {"domain": text.domain(F.col("url"))}, {"domain": r"regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', '')"})
 
 
@@ -95,7 +101,7 @@ def _str21(t):
     return g.select("conv_id", F.substring(F.coalesce(F.nullif("digest", F.lit("")), F.concat(F.lit("Sources: "), "titles")), 1, 1600).alias("digest"))
 
 
-plain("str22", "documents", "doc_id", lambda: {"revision": F.when(text.strip(H()) != "", F.format_string("Revise with this note: %s", text.strip(H()))).otherwise("")}, {"revision": f"CASE WHEN {STRIP(HEAD)} <> '' THEN 'Revise with this note: ' || {STRIP(HEAD)} ELSE '' END"})
+plain("str22", "documents", "doc_id", lambda: {"revision": F.when(text.strip(T()) != "", F.format_string("Revise with this note: %s", text.strip(T()))).otherwise("")}, {"revision": f"CASE WHEN {STRIP('text')} <> '' THEN 'Revise with this note: ' || {STRIP('text')} ELSE '' END"})
 
 # dates
 _STAMP = lambda: F.concat(F.lit("published "), F.date_format("ts", "yyyy/M/d"), F.lit(" at noon"))
@@ -116,15 +122,18 @@ SQL["mth01"] = f"WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x
 
 
 def _pairs(t):
-    a, b = t.embeddings.select("vec_id", E().alias("a")), t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), E().alias("b"))
-    return a.join(F.broadcast(b), F.col("vec_id") != F.col("query_id"))
+    """Every vector with each whose number is divisible by 20."""
+    from ..operators.retrieval import with_queries
+
+    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), E().alias("b"))
+    return with_queries(t.embeddings.select("vec_id", E().alias("a")), queries, "b").where("vec_id <> query_id")
 
 
-query("mth02", f"SELECT q.vec_id AS query_id, v.vec_id, round({DOT('v.embedding', 'q.embedding')} / (sqrt({DOT('v.embedding', 'v.embedding')}) * sqrt({DOT('q.embedding', 'q.embedding')})), 4) AS cosine FROM embeddings v JOIN embeddings q ON q.vec_id < 5 AND v.vec_id <> q.vec_id")(
-    lambda t: _pairs(t).select("query_id", "vec_id", F.round(vector.cosine(F.col("a"), F.col("b")), 4).alias("cosine"))
+query("mth02", f"SELECT q.vec_id AS query_id, v.vec_id, round({DOT('v.embedding', 'q.embedding')} / (sqrt({DOT('v.embedding', 'v.embedding')}) * sqrt({DOT('q.embedding', 'q.embedding')})), 4) + 0.0::DOUBLE AS cosine FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id")(
+    lambda t: _pairs(t).select("query_id", "vec_id", (F.round(vector.cosine(F.col("a"), F.col("b")), 4) + 0.0).alias("cosine"))
 )
-query("mth03", f"SELECT q.vec_id AS query_id, v.vec_id, round({DOT('v.embedding', 'q.embedding')}, 5) AS product FROM embeddings v JOIN embeddings q ON q.vec_id < 5 AND v.vec_id <> q.vec_id")(
-    lambda t: _pairs(t).select("query_id", "vec_id", F.round(vector.dot(F.col("a"), F.col("b")), 5).alias("product"))
+query("mth03", f"SELECT q.vec_id AS query_id, v.vec_id, round({DOT('v.embedding', 'q.embedding')}, 5) + 0.0::DOUBLE AS product FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id")(
+    lambda t: _pairs(t).select("query_id", "vec_id", (F.round(vector.dot(F.col("a"), F.col("b")), 5) + 0.0).alias("product"))
 )
 plain("mth04", "events", "event_id", lambda: {"r3": F.round("value", 3), "r4": F.round("value", 4)}, {"r3": "round(value, 3)", "r4": "round(value, 4)"})
 plain("mth05", "events", "event_id", lambda: {"clamped": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 50))}, {"clamped": "greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 50))"})
@@ -149,8 +158,8 @@ plain("arr01", "documents", "doc_id", lambda: {"first_the": F.array_position(_TO
       {"first_the": f"coalesce(list_position({TOKENS('text')}, 'the'), 0)::BIGINT", "reciprocal": f"round(CASE WHEN coalesce(list_position({TOKENS('text')}, 'the'), 0) > 0 THEN 1.0::DOUBLE / list_position({TOKENS('text')}, 'the') ELSE 0.0 END, 6)"})
 plain("mth09", "documents", "doc_id", lambda: {"rr": F.round(F.when(F.array_position(_TOK(), "de") > 0, 1 / F.array_position(_TOK(), "de")).otherwise(0.0), 6)}, {"rr": f"round(CASE WHEN coalesce(list_position({TOKENS('text')}, 'de'), 0) > 0 THEN 1.0::DOUBLE / list_position({TOKENS('text')}, 'de') ELSE 0.0 END, 6)"})
 plain("arr02", "documents", "doc_id", lambda: {"head": F.array_join(F.slice(_TOK(), 1, 5), " ")}, {"head": f"array_to_string(({TOKENS('text')})[1:5], ' ')"})
-plain("arr03", "documents", "doc_id", lambda: {"distinct_tokens": F.array_join(F.array_distinct(F.slice(_TOK(), 1, 30)), " ")}, {"distinct_tokens": f"(SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(({TOKENS('text')})[1:30]) AS x, unnest(range(1, 31)) AS i) WHERE x IS NOT NULL GROUP BY x))"})
-SQL["arr03"] = f"WITH w AS (SELECT doc_id, ({TOKENS('text')})[1:30] AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w), m AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY doc_id, x), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM m GROUP BY doc_id) SELECT d.doc_id, coalesce(s, '') AS distinct_tokens FROM documents d LEFT JOIN j USING (doc_id)"
+plain("arr03", "documents", "doc_id", lambda: {"distinct_tokens": F.array_join(F.array_distinct(_TOK()), " ")}, {"distinct_tokens": f"(SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(({TOKENS('text')})[1:30]) AS x, unnest(range(1, 31)) AS i) WHERE x IS NOT NULL GROUP BY x))"})
+SQL["arr03"] = f"WITH w AS (SELECT doc_id, {TOKENS('text')} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w), m AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY doc_id, x), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM m GROUP BY doc_id) SELECT d.doc_id, coalesce(s, '') AS distinct_tokens FROM documents d LEFT JOIN j USING (doc_id)"
 plain("arr04", "documents", "doc_id", lambda: {"any_long": F.exists(_TOK(), lambda x: F.length(x) > 15), "all_short": F.forall(_TOK(), lambda x: F.length(x) < 25)}, {"any_long": f"len(list_filter({TOKENS('text')}, lambda x: length(x) > 15)) > 0", "all_short": f"len(list_filter({TOKENS('text')}, lambda x: length(x) >= 25)) = 0"})
 query("arr05", f"SELECT conv_id, len(flatten(list({TOKENS('text')})))::BIGINT AS n_tokens FROM conversations GROUP BY conv_id")(lambda t: t.conversations.groupBy("conv_id").agg(F.size(F.flatten(F.collect_list(text.tokens(T())))).cast("long").alias("n_tokens")))
 query("arr06", "SELECT source, string_agg(doc_id || ' (' || lang || ')', '; ' ORDER BY doc_id) AS listed FROM documents GROUP BY source")(
@@ -159,7 +168,7 @@ query("arr06", "SELECT source, string_agg(doc_id || ' (' || lang || ')', '; ' OR
 query("arr07", "SELECT source, list(doc_id ORDER BY doc_id)::VARCHAR AS docs FROM documents GROUP BY source")(lambda t: t.documents.groupBy("source").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("doc_id")), ", "), F.lit("]")).alias("docs")))
 plain("arr08", "documents", "doc_id", lambda: {"title": F.coalesce(F.try_element_at(F.create_map(F.lit("en"), F.lit("English"), F.lit("de"), F.lit("German")), F.col("lang")), F.lit("other"))}, {"title": "CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' ELSE 'other' END"})
 query("arr09", "SELECT event_type, arg_max(event_id, (value, -event_id)) AS best, arg_min(event_id, (value, event_id)) AS worst FROM events GROUP BY event_type")(lambda t: t.events.groupBy("event_type").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best"), F.min_by("event_id", F.struct("value", "event_id")).alias("worst")))
-plain("arr10", "documents", "doc_id", lambda: {"sorted_tokens": F.array_join(F.array_sort(F.array_distinct(F.slice(_TOK(), 1, 40))), " ")}, {"sorted_tokens": f"array_to_string(list_sort(list_distinct(({TOKENS('text')})[1:40])), ' ')"})
+plain("arr10", "documents", "doc_id", lambda: {"sorted_tokens": F.array_join(F.array_sort(F.array_distinct(_TOK())), " ")}, {"sorted_tokens": f"array_to_string(list_sort(list_distinct({TOKENS('text')})), ' ')"})
 plain("arr11", "documents", "doc_id", lambda: {"n_lines": F.size(_L()).cast("long"), "longest": F.array_max(F.transform(_L(), F.length))}, {"n_lines": f"len({_L_SQL})", "longest": f"list_max(list_transform({_L_SQL}, lambda s: length(s)))::INT"})
 
 # answers of models, as texts around the events' properties
@@ -178,6 +187,7 @@ def clamped(c, key):
 
 _RUBRIC = lambda: F.format_string('{"clarity": %s, "safety": "%s"}', F.round(F.col("value") / 50, 3).cast("string"), F.when(F.col("event_id") % 2 == 0, "0.25").otherwise("high"))
 plain("jsn03", "events", "event_id", lambda: {"clarity": clamped(_RUBRIC(), "clarity"), "safety": clamped(_RUBRIC(), "safety"), "scope": clamped(_RUBRIC(), "scope")}, {"clarity": "greatest(0.0::DOUBLE, least(1.0::DOUBLE, round(value / 50, 3)))", "safety": "CASE WHEN event_id % 2 = 0 THEN 0.25::DOUBLE END", "scope": "NULL::DOUBLE"})
+query("dat06", "SELECT event_id, strftime(ts::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")(of("events", "event_id", lambda: {"stamp": dates.utc_stamp(F.col("ts"))}))
 query("jsn04")(lambda t: t.events.select("event_id", F.coalesce(jsons.field(F.col("props"), "$.result"), F.col("props")).alias("result")))
 
 
@@ -212,7 +222,29 @@ def _jsn06(t):
     return both.select("event_id", F.explode("found").alias("x")).select("event_id", "x.name", "x.kind")
 
 
-query("jsn07")(lambda t: t.events.select("event_id", F.filter(F.from_json(F.lit('["search", "none", "read"]'), "array<string>"), lambda x: F.lower(x) != "none").alias("tools")))
+# artifacts: what a model answers by four, with a spec behind it
+_SPEC = lambda: F.format_string('{"name": " spec %s ", "description": " sd ", "tools": ["none", "write"], "triggers": [" s "], "success_criteria": {"style": "plain"}}', F.col("event_id").cast("string"))
+
+
+def _artifact_answer():
+    k, i = F.expr("event_id % 4"), F.col("event_id").cast("string")
+    first = F.format_string('```json\n{"name": " N%s ", "description": "D", "instructions": " Do it ", "tools": ["search", " NONE ", " read "], "tests": [{"prompt": "p%s", "should_trigger": true}, {"expect": "x"}, {"prompt": ""}, 7]}\n```', i, i)
+    third = F.lit('so: {"steps": [" a ", "", "b"], "triggers": ["t", 5], "anti_triggers": [], "success_criteria": {"outcome": "o", "other": "z"}}')
+    return F.when(k == 0, first).when(k == 1, F.lit('{"name": "", "tools": []}')).when(k == 2, third).otherwise("no object")
+
+
+@query("jsn07", """WITH k AS (SELECT event_id, event_id % 4 AS k FROM events)
+SELECT event_id, CASE k WHEN 0 THEN 'N' || event_id ELSE 'spec ' || event_id END AS name, CASE k WHEN 0 THEN 'D' ELSE 'sd' END AS description, CASE k WHEN 0 THEN 'Do it' ELSE '' END AS instructions, CASE k WHEN 2 THEN 'a|b' ELSE '' END AS steps,
+CASE k WHEN 2 THEN 't|5' ELSE 's' END AS triggers, '' AS anti_triggers, CASE k WHEN 0 THEN 'search|read' ELSE 'write' END AS tools, CASE k WHEN 2 THEN 'o' ELSE '' END AS outcome, CASE k WHEN 2 THEN '' ELSE 'plain' END AS style, CASE k WHEN 0 THEN 'p' || event_id ELSE '' END AS prompts FROM k""")
+def _jsn07(t):
+    a = t.events.select("event_id", jsons.artifact(_artifact_answer(), _SPEC()).alias("a"))
+    join = lambda c: F.array_join(F.col(c), "|")
+    return a.select(
+        "event_id", "a.name", "a.description", "a.instructions", join("a.steps").alias("steps"), join("a.triggers").alias("triggers"), join("a.anti_triggers").alias("anti_triggers"), join("a.tools").alias("tools"),
+        "a.success_criteria.outcome", "a.success_criteria.style", F.array_join(F.transform("a.tests", lambda x: F.get_json_object(x, "$.prompt")), "|").alias("prompts"),
+    )
+
+
 plain("jsn08", "events", "event_id", lambda: {"ranking": F.array_join(jsons.ranking(F.format_string('ok {"ranking": [%s, "x", 2, null, 0.0]}', (F.col("event_id") % 7).cast("string"))), ",")}, {"ranking": "(event_id % 7) || ',2,0'"})
 plain("jsn09", "events", "event_id", lambda: {"k": F.get_json_object("props", "$.k").cast("long")}, {"k": "json_extract_string(props, '$.k')::BIGINT"})
 query("src03", "SELECT vec_id, len(embedding)::INT AS dim, round(list_sum(embedding)::DOUBLE, 3) + 0.0::DOUBLE AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings)")(

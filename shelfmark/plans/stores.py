@@ -10,7 +10,7 @@ from ..operators import stores as S
 from . import bind
 from .bind import CACHE_SQL, MEMORY_SQL, NOW, RUN_SQL
 from .registry import query
-from .scalars import KEYWORD_SIM, KEYWORDS, SKILL_SLUG, STRIP, confidence_rank
+from .scalars import COSINE, KEYWORD_SIM, KEYWORDS, SKILL_SLUG, STRIP, confidence_rank
 
 I, M, R = bind.cache_items, bind.memories, bind.runs
 _NOW = lambda: F.expr(NOW)
@@ -21,9 +21,23 @@ query("snk03", f"WITH {CACHE_SQL}, a AS (SELECT ord, content_hash FROM cache WHE
 )
 query("snk04", f"WITH {CACHE_SQL} SELECT ord FROM cache WHERE ord % 5 <> 0")(lambda t: I(t).select("ord").join(I(t).where("ord % 5 = 0").select("ord"), "ord", "left_anti"))
 query("snk05", f"WITH {CACHE_SQL} SELECT ord, CASE WHEN ord % 4 = 1 THEN true ELSE in_kg END AS in_kg, vectorized FROM cache")(lambda t: S.set_flags(I(t), F.expr("ord % 4 = 1"), in_kg=F.lit(True)).select("ord", "in_kg", "vectorized"))
-_LAST = f"WITH {RUN_SQL} SELECT ord, kind FROM run ORDER BY ord DESC LIMIT 500"
-for _name in ("snk07", "win06", "stm06"):
-    query(_name, _LAST)(lambda t: S.last_rows(R(t)).select("ord", "kind"))
+query("stm06", f"WITH {RUN_SQL} SELECT ord, kind FROM run ORDER BY ord DESC LIMIT 500")(lambda t: S.last_rows(R(t)).select("ord", "kind"))
+query("snk07", f"WITH {RUN_SQL} SELECT ord, kind FROM run ORDER BY kind = 'use' AND ord % 12 = 3 DESC, ord DESC LIMIT 500")(
+    lambda t: S.appended(R(t).where("not (kind = 'use' and ord % 12 = 3)"), R(t).where("kind = 'use' and ord % 12 = 3")).select("ord", "kind")
+)
+query("win06", f"WITH {RUN_SQL} SELECT skill_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY ord DESC) AS k FROM run) WHERE k <= 50")(lambda t: S.kept_of_each(R(t), "skill_id", 50).select("skill_id", "ord"))
+query("flt12", f"WITH {CACHE_SQL} SELECT id, kind, source_url, source_title, chars, content_hash, in_kg, vectorized, kg_projected_hash, vector_projected_hash, substr(raw_text, 1, 240) AS preview FROM cache")(lambda t: S.public(I(t)))
+
+
+@query("jon17", f"""WITH {CACHE_SQL}, r AS (SELECT id, max(ord) AS ord FROM cache WHERE ord % 3 = 0 AND ord % 5 <> 0 GROUP BY id)
+SELECT c.ord, c.in_kg OR r.id IS NOT NULL AS in_kg, CASE WHEN r.id IS NOT NULL THEN 'in ' || r.ord ELSE kg_projected_hash END AS kg_projected_hash FROM cache c LEFT JOIN r USING (id)""")
+def _jon17(t):
+    """Each third item was projected, each fifth of these without success; some were retried."""
+    late = I(t).where("ord % 3 = 0").select(F.col("id").alias("cache_id"), F.concat(F.lit("in "), "ord").alias("input_hash"), F.expr("ord % 5 <> 0").alias("ok"), F.col("ord").alias("at"))
+    early = late.where("ok").select("cache_id", F.lit("before").alias("input_hash"), "ok", F.lit(-1).cast("long").alias("at"))
+    return S.projected(I(t), late.unionByName(early), "in_kg", "kg_projected_hash").select("ord", "in_kg", "kg_projected_hash")
+
+
 query("flt04", f"WITH {CACHE_SQL} SELECT ord, kind FROM cache WHERE in_kg AND contains(lower(source_title || chr(10) || source_url), 'src1') ORDER BY ord DESC LIMIT 40")(lambda t: S.list_items(I(t), in_kg=True, q="SRC1", limit=40).select("ord", "kind"))
 query("flt05", f"WITH {CACHE_SQL} SELECT ord, in_kg AND kg_projected_hash <> content_hash AS kg_stale, vectorized AND vector_projected_hash <> content_hash AS vector_stale FROM cache")(lambda t: I(t).select("ord", S.stale("in_kg", "kg_projected_hash").alias("kg_stale"), S.stale("vectorized", "vector_projected_hash").alias("vector_stale")))
 query("flt06", f"WITH {CACHE_SQL} SELECT ord FROM cache WHERE NOT in_kg OR kg_projected_hash <> content_hash ORDER BY ord DESC LIMIT 100")(lambda t: I(t).where(~F.col("in_kg") | S.stale("in_kg", "kg_projected_hash")).orderBy(F.desc("ord")).limit(100).select("ord"))
@@ -71,23 +85,45 @@ query("top13", f"WITH {RUN_SQL} SELECT ord, (['pending_review', 'accepted', 'nee
 )
 
 
-@query("jon10", f"""WITH {MEMORY_SQL}, n AS (SELECT 'n' || id AS new_id, kind, text AS new_text FROM memory WHERE ord % 5 = 0), p AS (SELECT new_id, m.id, m.ord, {KEYWORD_SIM('new_text', 'text')} AS s, {KEYWORD_SIM('text', 'new_text')} AS b FROM n JOIN memory m ON m.kind = n.kind AND m.id <> n.new_id AND superseded_by = '')
-SELECT new_id, id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY s DESC, ord) AS k FROM p WHERE s >= 0.9 AND b >= 0.9) WHERE k = 1""")
-def _jon10(t):
-    return S.near_duplicates(M(t).where("ord % 5 = 0").withColumn("id", F.concat(F.lit("n"), "id")), M(t))
+# memories of conversations' first turns have the vector of their number; new ones are each fifth, under another name
+_VEC_SQL = f"""{MEMORY_SQL}, v AS (SELECT m.*, CASE WHEN ord % 1000 = 0 THEN embedding END AS embedding, ['k' || (ord % 3), 'all'] AS tags, 0 AS reinforced FROM memory m LEFT JOIN embeddings ON vec_id * 1000 = ord),
+n AS (SELECT 'n' || id AS id, ord, CASE WHEN ord % 1000 = 0 THEN 'other' ELSE kind END AS kind, CASE WHEN ord % 7 = 0 THEN text || ' again' ELSE text END AS text, (1 + ord % 5)::INT AS salience, CASE WHEN ord % 2 = 0 THEN 'confirmed' ELSE 'ambiguous' END AS confidence, ['new', 'k0'] AS tags, embedding FROM v WHERE ord % 5 = 0),
+p AS (SELECT n.id AS new_id, v.id, v.ord, CASE WHEN n.embedding IS NOT NULL AND v.embedding IS NOT NULL THEN {COSINE('n.embedding', 'v.embedding')} ELSE {KEYWORD_SIM('n.text', 'v.text')} END AS s,
+ CASE WHEN n.embedding IS NOT NULL AND v.embedding IS NOT NULL THEN round({COSINE('n.embedding', 'v.embedding')}, 9) >= 0.92 ELSE n.kind = v.kind AND {KEYWORD_SIM('n.text', 'v.text')} >= 0.9 AND {KEYWORD_SIM('v.text', 'n.text')} >= 0.9 END AS same FROM n JOIN v ON superseded_by = ''),
+dup AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(s, 9) DESC, ord) AS k FROM p WHERE same) WHERE k = 1)"""
+
+
+def _vectored(t):
+    own = t.embeddings.select((F.col("vec_id") * 1000).alias("ord"), "embedding")
+    return M(t).join(own, "ord", "left").withColumns({"tags": F.array(F.concat(F.lit("k"), F.expr("ord % 3")), F.lit("all")), "reinforced": F.lit(0).cast("long")})
+
+
+def _incoming(t):
+    new = _vectored(t).where("ord % 5 = 0")
+    return new.select(
+        F.concat(F.lit("n"), "id").alias("id"), "ord", F.when(F.expr("ord % 1000 = 0"), "other").otherwise(F.col("kind")).alias("kind"), F.when(F.expr("ord % 7 = 0"), F.concat("text", F.lit(" again"))).otherwise(F.col("text")).alias("text"),
+        F.expr("cast(1 + ord % 5 as int)").alias("salience"), F.when(F.expr("ord % 2 = 0"), "confirmed").otherwise("ambiguous").alias("confidence"), F.array(F.lit("new"), F.lit("k0")).alias("tags"), "embedding",
+    )
+
+
+query("jon10", f"WITH {_VEC_SQL} SELECT new_id, id, round(s, 6) AS similarity FROM dup")(lambda t: S.duplicates(_incoming(t), _vectored(t)))
 
 
 _INGEST = f"WITH {CACHE_SQL}, o AS (SELECT 'c' || ord AS id, content_hash, in_kg FROM cache WHERE ord % 3 <> 0), n AS (SELECT 'c' || ord AS id, CASE WHEN ord % 4 = 0 THEN sha256('v2') ELSE content_hash END AS new_hash FROM cache WHERE ord % 2 = 0) SELECT coalesce(o.id, n.id) AS id, CASE WHEN content_hash IS NULL OR (new_hash IS NOT NULL AND new_hash <> content_hash) THEN new_hash ELSE content_hash END AS content_hash, coalesce(in_kg, false) AS in_kg, CASE WHEN content_hash IS NULL THEN 'created' WHEN new_hash <> content_hash THEN 'changed' ELSE 'unchanged' END AS outcome FROM o FULL JOIN n ON o.id = n.id"
 
 
-def _ingested(t):
+def _ingested(t, times=1):
+    """The second time nothing changes."""
     c = I(t).withColumn("id", F.concat(F.lit("c"), "ord"))
     new = c.where("ord % 2 = 0").withColumn("content_hash", F.when(F.expr("ord % 4 = 0"), F.sha2(F.lit("v2"), 256)).otherwise(F.col("content_hash")))
-    return S.ingest(c.where("ord % 3 <> 0").drop("ord"), new).select("id", "content_hash", "in_kg", "outcome")
+    out = c.where("ord % 3 <> 0").drop("ord")
+    for _ in range(times):
+        out = S.ingest(out, new)
+    return out.select("id", "content_hash", "in_kg", "outcome")
 
 
 query("cac01", _INGEST)(_ingested)
-query("stm02", _INGEST)(_ingested)
+query("stm02", f"{_INGEST.replace(_INGEST[_INGEST.index(', CASE WHEN content_hash IS NULL THEN'):], '')}, 'unchanged' AS outcome FROM o FULL JOIN n ON o.id = n.id")(lambda t: _ingested(t, times=2))
 query("cac02", f"WITH {CACHE_SQL}, v AS (SELECT 'u' || (vec_id % 50) AS url, count(*) AS chunks FROM embeddings GROUP BY ALL) SELECT url, chunks, CASE WHEN url IN ('u1', 'u2') THEN 'flags' ELSE 'created' END AS outcome FROM v")(
     lambda t: t.embeddings.groupBy(F.concat(F.lit("u"), F.expr("vec_id % 50")).alias("url")).agg(F.count("*").alias("chunks")).join(F.broadcast(t.spark.createDataFrame([("u1", "flags"), ("u2", "flags")], "url string, had string")), "url", "left").select("url", "chunks", F.coalesce("had", F.lit("created")).alias("outcome"))
 )
@@ -96,8 +132,12 @@ _RANK = "(CASE upper({}) WHEN 'AMBIGUOUS' THEN 0 WHEN 'EXTRACTED' THEN 2 WHEN 'C
 query("mem02", f"{_MEM2} SELECT id, greatest(salience, (ord % 5 + 1)::INT) AS salience, CASE WHEN {_RANK.format('c')} > {_RANK.format('confidence')} THEN upper(c) ELSE confidence END AS confidence FROM (SELECT *, CASE WHEN ord % 3 = 0 THEN 'confirmed' ELSE 'ambiguous' END AS c FROM memory)")(
     lambda t: S.reinforced(M(t), F.expr("cast(ord % 5 + 1 as int)"), F.when(F.expr("ord % 3 = 0"), "confirmed").otherwise("ambiguous"), confidence_rank).select("id", "salience", "confidence")
 )
-query("mem01", f"{_MEM2}, n AS (SELECT kind, text, min(ord) AS ord, count(*) AS reinforced FROM memory GROUP BY kind, text) SELECT m.id, n.reinforced - 1 AS reinforced FROM n JOIN memory m USING (ord)")(
-    lambda t: M(t).groupBy("kind", "text").agg(F.min_by("id", "ord").alias("id"), (F.count("*") - 1).alias("reinforced")).select("id", "reinforced")
+query("mem01", f"""WITH {_VEC_SQL}, f AS (SELECT kind, text, min(ord) AS ord, arg_min(id, ord) AS id, count(*) - 1 AS again, max(salience) AS salience, arg_max(upper(confidence), ({_RANK.format('confidence')}, -ord)) AS confidence FROM n GROUP BY kind, text),
+g AS (SELECT d.id, sum(again + 1) AS gain, max(salience) AS s, arg_max(confidence, ({_RANK.format('confidence')}, -f.ord)) AS c FROM f JOIN dup d ON d.new_id = f.id GROUP BY d.id)
+SELECT v.id, greatest(salience, coalesce(s, 0)) AS salience, CASE WHEN c IS NOT NULL AND {_RANK.format('c')} > {_RANK.format('confidence')} THEN c ELSE confidence END AS confidence, coalesce(gain, 0)::BIGINT AS reinforced,
+ array_to_string(list_concat(tags, CASE WHEN gain IS NULL THEN [] WHEN list_contains(tags, 'k0') THEN ['new'] ELSE ['new', 'k0'] END), ' ') AS tags FROM v LEFT JOIN g USING (id)
+UNION ALL SELECT id, salience, confidence, again::BIGINT, 'new k0' FROM f WHERE id NOT IN (SELECT new_id FROM dup)""")(
+    lambda t: S.remember(_incoming(t), _vectored(t), confidence_rank).select("id", "salience", "confidence", "reinforced", F.array_join("tags", " ").alias("tags"))
 )
 query("mem03", f"{_MEM2} SELECT id, use_count + CASE WHEN ord % 9 = 0 THEN 1 ELSE 0 END AS use_count FROM memory")(lambda t: S.set_flags(M(t), F.expr("ord % 9 = 0"), use_count=F.col("use_count") + 1).select("id", "use_count"))
 query("mem04", f"{_MEM2} SELECT id, CASE ord % 3 WHEN 0 THEN least(5, salience + 1) WHEN 1 THEN greatest(1, salience - 1) ELSE salience END::INT AS salience, CASE WHEN ord % 3 = 0 THEN 'CONFIRMED' ELSE confidence END AS confidence FROM memory")(
@@ -109,9 +149,24 @@ query("mem05", f"{_MEM2}, g AS (SELECT id FROM memory WHERE ord % 14 IN (0, 1))
 query("mem06", f"WITH {MEMORY_SQL}, s AS (SELECT ord, kind, text, {KEYWORD_SIM(repr(_Q), 'text')} AS similarity, {_SCORE} AS score FROM memory WHERE superseded_by = ''), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, ord) AS k FROM s) SELECT string_agg('- [' || kind || '] ' || {STRIP('text')}, chr(10) ORDER BY k) AS block FROM r WHERE k <= 6 AND similarity >= 0.05")(
     lambda t: S.recall(M(t), _Q, 6, _NOW()).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord", F.concat(F.lit("- ["), "kind", F.lit("] "), text.strip(F.col("text"))).alias("line")))), lambda x: x["line"]), "\n").alias("block"))
 )
-query("skl01", f"WITH s AS (SELECT {SKILL_SLUG('p_name')} AS slug, p_partkey FROM part) SELECT slug, count(*) AS version, min(p_partkey) AS id, 'draft' AS status FROM s GROUP BY slug")(
-    lambda t: t.part.groupBy(text.skill_slug(F.col("p_name")).alias("slug")).agg(F.count("*").alias("version"), F.min("p_partkey").alias("id"), F.lit("draft").alias("status"))
-)
+query("skl01", f"""WITH s AS (SELECT {SKILL_SLUG('p_name')} AS slug, p_partkey AS ord, p_type AS description, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'note ' || p_partkey END AS note FROM part),
+o AS (SELECT slug, 's' || min(ord) AS id, arg_min(description, ord) AS description, 3 AS version, 2 AS revisions, 'accepted' AS status FROM s GROUP BY slug HAVING min(ord) % 2 = 0),
+n AS (SELECT s.*, row_number() OVER (PARTITION BY slug ORDER BY ord) AS k, o.version FROM s LEFT JOIN o USING (slug) WHERE ord % 5 <> 0),
+r AS (SELECT slug, arg_max(description, ord) AS description, min(ord) AS first, count(*) - CASE WHEN any_value(version) IS NULL THEN 1 ELSE 0 END AS steps,
+ coalesce(string_agg(CASE WHEN version IS NOT NULL OR k > 1 THEN 'v' || (coalesce(version, 0) + k - 1) || ' → v' || (coalesce(version, 0) + k) || CASE WHEN note <> '' THEN ': ' || note ELSE '' END END, '; ' ORDER BY k), '') AS history FROM n GROUP BY slug)
+SELECT slug, coalesce(o.id, 't' || first) AS id, coalesce(r.description, o.description) AS description, (coalesce(version, 1) + coalesce(steps, 0))::BIGINT AS version, (coalesce(revisions, 0) + coalesce(steps, 0))::BIGINT AS revisions, CASE WHEN r.slug IS NULL THEN o.status ELSE 'draft' END AS status,
+ array_to_string(list_filter([CASE WHEN o.slug IS NOT NULL THEN 'v2 → v3' END, nullif(r.history, '')], lambda x: x IS NOT NULL), '; ') AS history FROM o FULL JOIN r USING (slug)""")(lambda t: _skl01(t))
+
+
+def _skl01(t):
+    """Parts as specs of the skill of their name; half of the skills are there before, accepted in their third version."""
+    every = t.part.select(text.skill_slug(F.col("p_name")).alias("slug"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("description"), F.when(F.expr("p_partkey % 3 = 0"), "").otherwise(F.concat(F.lit("note "), "p_partkey")).alias("note"))
+    old = every.groupBy("slug").agg(F.min("ord").alias("ord"), F.min_by("description", "ord").alias("description")).where("ord % 2 = 0")
+    old = old.select("slug", F.concat(F.lit("s"), "ord").alias("id"), "description", F.lit(3).alias("version"), F.lit(2).alias("revisions"), F.lit("accepted").alias("status"), F.array(F.lit("v2 → v3")).alias("history"))
+    specs = every.where("ord % 5 <> 0").withColumn("id", F.concat(F.lit("t"), "ord"))
+    return S.upsert_skills(old, specs).withColumn("history", F.array_join("history", "; "))
+
+
 _DEC = "(['accept', 'reject', 'revise', 'later'])[ord % 4 + 1]"
 query("skl02", f"WITH {RUN_SQL} SELECT ord, CASE WHEN gate IN ('accept', 'review') THEN 'pending_review' WHEN gate = 'reject' THEN 'rejected' ELSE 'draft' END AS evaluated, CASE {_DEC} WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'revise' THEN 'needs_revision' ELSE 'pending_review' END AS reviewed, ({_DEC} = 'accept') = (gate = 'accept') AS aligned FROM run")(
     lambda t: R(t).withColumn("d", F.expr("element_at(array('accept', 'reject', 'revise', 'later'), cast(ord % 4 + 1 as int))")).select("ord", S.after_evaluation(F.lit("draft"), F.col("gate")).alias("evaluated"), S.after_review(F.col("d"), F.lit("pending_review")).alias("reviewed"), S.aligned(F.col("d"), F.col("gate")).alias("aligned"))
@@ -140,12 +195,12 @@ query("grf14", f"WITH {CACHE_SQL} SELECT ord, true AS vectorized, content_hash A
 )
 
 
-@query("win07", f"WITH {RUN_SQL}, p AS (SELECT ord, skill_id, greatest(1, round(duration_ms)::BIGINT) AS ms, 20000 AS cap FROM run WHERE ord < 3000), r AS (SELECT *, sum(ms) OVER (PARTITION BY skill_id ORDER BY ord) AS e FROM p) SELECT ord, least(e - ms, cap)::BIGINT AS start_ms, least(e, cap)::BIGINT AS end_ms FROM r")
+@query("win07", f"WITH {RUN_SQL}, p AS (SELECT ord, greatest(1, round(duration_ms)::BIGINT) AS ms, 2000 AS cap FROM run), r AS (SELECT *, sum(ms) OVER (PARTITION BY ord // 8 ORDER BY ord) AS e FROM p) SELECT ord, least(e - ms, cap)::BIGINT AS start_ms, least(e, cap)::BIGINT AS end_ms FROM r")
 def _win07(t):
-    """Phases end to end within their run's time."""
-    w = Window.partitionBy("skill_id").orderBy("ord")
-    p = R(t).where("ord < 3000").withColumn("ms", F.greatest(F.lit(1), F.round("duration_ms").cast("long"))).withColumn("e", F.sum("ms").over(w))
-    return p.select("ord", F.least(F.col("e") - F.col("ms"), F.lit(20000)).alias("start_ms"), F.least("e", F.lit(20000)).alias("end_ms"))
+    """Phases, eight to a run, end to end within their run's time."""
+    w = Window.partitionBy(F.expr("ord div 8")).orderBy("ord")
+    p = R(t).withColumn("ms", F.greatest(F.lit(1), F.round("duration_ms").cast("long"))).withColumn("e", F.sum("ms").over(w))
+    return p.select("ord", F.least(F.col("e") - F.col("ms"), F.lit(2000)).alias("start_ms"), F.least("e", F.lit(2000)).alias("end_ms"))
 
 
 query("snk10", f"WITH {RUN_SQL} SELECT ord, 'skill.' || kind AS name, epoch_us(\"at\")::BIGINT - round(duration_ms * 1000)::BIGINT AS start_us, epoch_us(\"at\")::BIGINT AS end_us, coalesce(gate, '') AS tag FROM run")(

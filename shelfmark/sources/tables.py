@@ -6,6 +6,7 @@ reads; the pointer goes through Hadoop's file system, whose rename replaces it i
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,10 +60,12 @@ class VersionedTable:
 
 
 def open_table(spark: SparkSession, path: str, schema: T.StructType, backend=None) -> VersionedTable:
-    """A table of another backend (a callable) if there is one and it works, else the local kind."""
+    """A table of another backend (a callable) if there is one and it can be reached, else the local kind, with a warning.
+
+    Only failures to connect fall back; anything else is raised, so that no write lands in the wrong store unseen."""
     if backend is not None:
         try:
             return backend(spark, path, schema)
-        except Exception:  # noqa: BLE001  whatever keeps a remote store away, the local one serves
-            pass
+        except (OSError, ImportError) as e:
+            logging.getLogger(__name__).warning("%s: backend can't be reached (%s), local table used", path, e)
     return VersionedTable(spark, path, schema)

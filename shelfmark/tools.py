@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import clamp
+from .functions.text import WRITING_TOOL
 from .operators import graph as G
 from .operators import stores as S
 
-#: Fixed value: verbs that change something.
-WRITES = re.compile(r"(?i)(^|[_.\-])(create|update|delete|write|insert|upsert|put|post|remove|drop|set|add|edit|apply|merge|execute|deploy|pause|restore|reset|rebase)([_.\-]|$)")
+WRITES = re.compile(WRITING_TOOL)
 
 
 @dataclass
