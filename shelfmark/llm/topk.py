@@ -1,13 +1,16 @@
 """Exact top-k search by multi-resolution segment statistics (operator 3).
 
-Components become floor(256 * x). A vector is cut into 1, 4 and 16 segments; each keeps its mean m and deviation s. For
-a segment of n components, n * ((m - m')² + (s - s')²) is a lower bound of the squared distance there, and by
-q·v = (|q|² + |v|² - d²) / 2 the bound on distance is the upper bound n * (m m' + s s') on the inner product. Pairs go
-from coarse to fine; those whose bound falls below the query's k-th best score so far are dropped; survivors get the
-exact integer product.
+Components become floor(256 * x). A vector is cut into 1, 4, 16 and more segments (``levels``); each keeps its mean m and
+deviation s. For a segment of n components, n * ((m - m')² + (s - s')²) is a lower bound of the squared distance there,
+and by q·v = (|q|² + |v|² - d²) / 2 the bound on distance is the upper bound n * (m m' + s s') on the inner product.
+Components are put in order of their deviation over the wave's queries, so that segments hold like ones and the finest
+levels are exact where vectors differ most. Pairs go from coarse to fine: at each level from ``SEED`` segments on a query's k pairs
+of best bound get their exact product, which raises its threshold, and those whose bound falls below its k-th best score
+so far are dropped. Only survivors of all levels get the exact integer product too; ``Search.exact_pairs`` counts all.
 
 Queries are taken in waves of at most ``WAVE_BYTES``, the only data broadcast; every wave passes once over all vectors
-in blocks, each task keeps k results for a query, and a ranked window joins the tasks' results.
+in blocks, each task keeps k results for a query, and a ranked window joins the tasks' results. Statistics of a block are
+made once for a wave, a small part of comparing it with that wave.
 
 Rows: vectors null, empty, or holding null or non-finite components, and rows without vec_id, take no part. Vectors of
 another length than the query's are no candidates for it. Ties go to the smaller vec_id. A repeated vec_id is a
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-SCALE, LEVELS, WAVE_BYTES, BLOCK, QUERY_BLOCK = 256, (1, 4, 16), 16 << 20, 2048, 256
+SCALE, SEED, WAVE_BYTES, BLOCK, QUERY_BLOCK = 256, 16, 16 << 20, 2048, 256
 LONG = (1 << 63) - 1
 
 
@@ -38,47 +41,69 @@ def quantized(flat: np.ndarray, dims: int) -> np.ndarray:
     return np.floor(SCALE * flat.reshape(-1, dims).astype(np.float64))
 
 
+def levels(dims: int) -> list[int]:
+    """Numbers of segments, coarse to fine: 1, 4, 16, ... up to a fourth of the components, then half, three and seven eighths."""
+    coarse = [4**k for k in range(dims.bit_length()) if 4 ** (k + 1) <= dims]
+    return sorted({1, *coarse, *(d for d in (dims // 2, dims * 3 // 4, dims * 7 // 8) if 0 < d < dims)})
+
+
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
-    """For each row the means and deviations of its segments, times the root of their lengths."""
-    parts = [p for p in np.array_split(x, min(segments, x.shape[1]), axis=1)]
-    return np.stack([f(p, axis=1) * np.sqrt(p.shape[1]) for p in parts for f in (np.mean, np.std)], axis=1)
+    """For each row the means and deviations of its segments, times the root of their lengths; first segments are longest."""
+    n, dims = min(segments, x.shape[1]), x.shape[1]
+    size, longer = divmod(dims, n)
+    parts = [x[:, : longer * (size + 1)].reshape(len(x), longer, size + 1), x[:, longer * (size + 1) :].reshape(len(x), n - longer, size)]
+    return np.concatenate([f(p, axis=2) * np.sqrt(p.shape[2]) for p in parts for f in ((np.mean, np.std) if p.shape[2] > 1 else (np.mean,)) if p.shape[1]], axis=1)
 
 
 class Search:
     """The k best of all blocks seen, for queries of one length."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.ids, self.x, self.k = ids, x, k
+        self.order = np.argsort(x.std(axis=0), kind="stable") if len(x) else np.arange(x.shape[1])
+        self.ids, self.x, self.k = ids, x[:, self.order], k
         self.best = np.full((len(ids), k), -np.inf)
         self.who = np.full((len(ids), k), LONG, np.int64)
-        self.stats = [statistics(x, s) for s in LEVELS]
+        self.levels = levels(x.shape[1])
+        self.stats = [statistics(self.x, s) for s in self.levels]
+        self.seed = max(n for n, s in enumerate(self.levels) if s <= SEED)
         self.most = np.abs(x).max(initial=0)
         self.exact_pairs = 0
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
+        by_id = np.argsort(ids, kind="stable")
+        ids, x = ids[by_id], x[by_id][:, self.order]
         if x.shape[1] * max(1.0, self.most) * max(1.0, np.abs(x).max(initial=0)) >= 1 << 52:
             return self._add_wide(ids, x)
-        stats = [statistics(x, s) for s in LEVELS]
+        stats = [statistics(x, s) for s in self.levels]
         for at in range(0, len(self.ids), QUERY_BLOCK):
             q = slice(at, at + QUERY_BLOCK)
-            least = self.best[q, -1]
-            live = np.ones((len(least), len(ids)), bool)
-            for own, other in zip(self.stats, stats):
-                bound = own[q] @ other.T
-                live &= bound * (1 + 1e-9) + 1e-3 >= least[:, None]  # a margin well above the rounding of the bound
-                if live.mean() < 0.02:
-                    break
-            live &= self.ids[q, None] != ids
+            live = self.ids[q, None] != ids
+            for level, (own, other) in enumerate(zip(self.stats, stats)):
+                bound = np.full(live.shape, -np.inf)
+                if np.count_nonzero(live) > live.size // 8:
+                    np.copyto(bound, own[q] @ other.T, where=live)
+                else:  # few are left: only theirs
+                    i, j = np.nonzero(live)
+                    for a in range(0, len(i), 65536):
+                        u, v = i[a : a + 65536], j[a : a + 65536]
+                        bound[u, v] = np.einsum("ij,ij->i", own[q][u], other[v])
+                if level >= self.seed:
+                    first = np.argpartition(-bound, min(self.k, len(ids)) - 1, axis=1)[:, : self.k]
+                    i, j = np.repeat(np.arange(len(first)), first.shape[1]), first.ravel()
+                    fine = live[i, j]
+                    live[i, j] = False
+                    self._exact(at, i[fine], ids, x, j[fine])
+                live &= bound + np.abs(np.maximum(bound, -LONG)) * 1e-9 + 1e-3 >= self.best[q, -1:]  # a margin well above the bound's rounding
             i, j = np.nonzero(live)
-            if len(i) > 0.05 * live.size:
-                score = (self.x[q] @ x.T)[i, j]
-            else:
-                score = np.concatenate([np.einsum("ij,ij->i", self.x[q][i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)])
-            self.exact_pairs += len(i)
-            keep = score >= least[i]
-            self._merge(at, i[keep], ids[j[keep]], score[keep])
+            self._exact(at, i, ids, x, j)
+
+    def _exact(self, at: int, i: np.ndarray, ids: np.ndarray, x: np.ndarray, j: np.ndarray) -> None:
+        self.exact_pairs += len(i)
+        for a in range(0, len(i), 65536):
+            u, v = i[a : a + 65536], j[a : a + 65536]
+            score = np.einsum("ij,ij->i", self.x[at + u], x[v])
+            keep = score >= self.best[at + u, -1]
+            self._merge(at, u[keep], ids[v[keep]], score[keep])
 
     def _merge(self, at: int, i: np.ndarray, who: np.ndarray, score: np.ndarray) -> None:
         touched = np.unique(i)
