@@ -13,12 +13,14 @@ there, and at least half of the question's (all but the last sentence) and of th
 fewer than five words, its words).
 
 Items are read in waves of at most ``WAVE`` words, whose index is the only thing broadcast; the usual benchmark is one
-wave, a larger one more passes over the documents. Document frequencies are those of the whole wave's entries.
-
-Rows: null or empty texts match nothing. Items of fewer than five words can't be told from chance and take no part;
-null items neither. Items that are equal all match. Documents without doc_id are left out by ``matches`` and kept by
-``clean``. Rows that repeat a doc_id are searched each, and the best match counts. Empty tables give no matches. Other
-columns don't matter.
+wave, a larger one more passes over the documents. Document frequencies and lengths are those of all items' entries,
+counted before, and an entry's score depends on nothing else, so waves of any size and order give the same rows.
+
+Rows: null or empty texts match nothing, null items neither. The set of an item or document of fewer than five words is
+its whole sequence, so such an item is in the documents that consist of it. Items that are equal all match. Documents of
+any length are searched whole. Documents without doc_id are left out by ``matches`` and kept by ``clean``. Rows that
+repeat a doc_id are searched each, and the match of most overlap counts (of equal ones that of the best score). Empty
+tables give no matches. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, scratch, slices
+from .common import keyed_texts, materialize, scratch, slices
 from .shingles import SIZE, combine, shingle_set, word_hashes, words
 
 ENTRY, BLOCK, LEAST, OVERLAP, PART, WAVE = 64, 8, 0.5, 0.75, 0.5, 100_000
@@ -53,17 +55,23 @@ class Item:
         self.question_words, self.answer_words = np.unique(word_hashes(words(question))), np.unique(word_hashes(words(answer)))
 
 
+def entries(text: str) -> list[list[bytes]]:
+    """An item's words in parts; fewer than a shingle at the end belong to none."""
+    own = words(text)
+    return [own[at : at + ENTRY] for at in range(0, len(own), ENTRY) if not at or len(own) - at >= SIZE]
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    """Items' postings. ``total`` and ``words`` are the number of all entries, of these items or not, and their words;
+    ``counts`` has how many of them hold a word. Left out, they are those of the items."""
+
+    def __init__(self, items: list[tuple[int, str]], counts: dict[bytes, int] | None = None, total: int = 0, words: int = 0):
         self.items = [Item(i, t) for i, t in items]
         self.entry_item, docs = [], []
         for n, (_, text) in enumerate(items):
-            own = words(text)
-            for at in range(0, len(own), ENTRY):
-                if at and len(own) - at < SIZE:
-                    break
-                docs.append(own[at : at + ENTRY])
-                self.entry_item.append(n)
+            own = entries(text)
+            docs += own
+            self.entry_item += [n] * len(own)
         self.terms: dict[bytes, int] = {}
         rows = []
         for e, own in enumerate(docs):
@@ -73,10 +81,13 @@ class Index:
             rows += [(self.terms.setdefault(w, len(self.terms)), e, n) for w, n in tf.items()]
         term, entry, tf = (np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
         n, v = len(docs), len(self.terms)
-        df = np.bincount(term, minlength=v)
-        idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
         length = np.array([len(d) for d in docs], float)
-        norm = K1 * (1 - B + B * length / length.mean()) if n else length
+        if counts is None:
+            df, total, words = np.bincount(term, minlength=v), n, length.sum()
+        else:
+            df = np.array([counts[w] for w in self.terms], np.int64)
+        idf = np.log((total - df + 0.5) / (df + 0.5) + 1)
+        norm = K1 * (1 - B + B * length * total / words) if n else length
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[entry])
         impact /= np.bincount(entry, impact, n)[entry]
         most = np.zeros(v)
@@ -139,16 +150,16 @@ class Index:
                 r, item = int(row[p]), self.items[self.entry_item[e]]
                 if (known_best := best.get((r, self.entry_item[e]))) and known_best[1] >= 1:
                     continue
-                own = words(texts[r].as_py()[:]) if (r, -1) not in best else best[r, -1]
+                own = words(texts[r].as_py()) if (r, -1) not in best else best[r, -1]
                 best[r, -1] = own
                 a, z = max(0, int(begin[p] - offsets[r]) - item.size), int(end[p] - offsets[r]) + item.size
                 h = word_hashes(own[a:z])
-                s, w = np.unique(combine(h)), np.unique(h)
+                s, w = np.unique(combine(h)) if len(own) >= SIZE else shingle_set(texts[r].as_py()), np.unique(h)
                 share = lambda x, y: float(np.isin(x, y).mean())
                 parts = [share(item.all, s)]
                 parts += [share(x, s) if len(y) >= SIZE else share(y, w) if len(y) else 1.0 for x, y in ((item.question, item.question_words), (item.answer, item.answer_words))]
                 if parts[0] >= OVERLAP and min(parts[1:]) >= PART and (not known_best or parts[0] > known_best[1]):
-                    best[r, self.entry_item[e]] = (score, *parts)
+                    best[r, self.entry_item[e]] = (round(score, 9), *parts)
         return [(r, self.items[i].item_id, *x) for (r, i), x in best.items() if i >= 0]
 
 
@@ -162,14 +173,36 @@ def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 MATCH = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
+def counted(items: DataFrame) -> tuple[DataFrame, int, int]:
+    """(item_id, text, words, counts) with each item's words and how many entries of all items hold them; entries; their words."""
+
+    def run(batches):
+        for b in batches:
+            for i, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+                own = entries(text)
+                if own:
+                    held = [(w, k) for k, e in enumerate(own) for w in set(e)]
+                    sizes = [len(own[k]) if n == 0 or held[n - 1][1] != k else 0 for n, (_, k) in enumerate(held)]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(held), pa.int64()), pa.array([w for w, _ in held], pa.binary()), pa.array(sizes, pa.int64())], names=["item", "word", "size"])
+
+    rows = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    spread = materialize(rows.select("item", "text").mapInArrow(run, "item long, word binary, size long"), "item-words")
+    total, held = spread.agg(F.count_if(F.col("size") > 0), F.sum("size")).first()
+    df = spread.groupBy("word").agg(F.count("*").alias("df"))
+    own = spread.select("item", "word").distinct().join(df, "word").groupBy("item").agg(F.collect_list("word").alias("words"), F.collect_list("df").alias("counts"))
+    return rows.join(own, "item").select("item_id", "text", "words", "counts"), total, held or 0
+
+
 def matches(docs: DataFrame, items: DataFrame, wave_words: int = WAVE) -> DataFrame:
     """MATCH: a row for each document and test item of which it holds a copy."""
     spark: SparkSession = docs.sparkSession
     docs, path = keyed_texts(docs), scratch(spark, "matches")
     spark.createDataFrame([], MATCH).write.parquet(path)
+    listed = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    listed, total, held = counted(listed)
 
-    def run(wave: list[tuple[int, str]]) -> None:
-        shared = spark.sparkContext.broadcast(Index(wave))
+    def run(wave: list[tuple[int, str]], counts: dict[bytes, int]) -> None:
+        shared = spark.sparkContext.broadcast(Index(wave, counts, total, held))
 
         def scan(batches):
             for b in batches:
@@ -182,20 +215,19 @@ def matches(docs: DataFrame, items: DataFrame, wave_words: int = WAVE) -> DataFr
         docs.mapInArrow(scan, MATCH).write.mode("append").parquet(path)
         shared.destroy()
 
-    wave, held = [], 0
-    listed = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    for item_id, text in listed.toLocalIterator():
-        if (n := len(words(text))) < SIZE:
-            continue
+    wave, counts, size = [], {}, 0
+    for item_id, text, own, df in listed.toLocalIterator():
         wave.append((item_id, text))
-        held += n
-        if held >= wave_words:
-            run(wave)
-            wave, held = [], 0
+        counts.update(zip(map(bytes, own), df))
+        size += len(words(text))
+        if size >= wave_words:
+            run(wave, counts)
+            wave, counts, size = [], {}, 0
     if wave:
-        run(wave)
+        run(wave, counts)
     found = spark.read.schema(MATCH).parquet(path)
-    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in found.columns[2:]))
+    best = F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *(F.col(f"best.{c}").alias(c) for c in found.columns[2:]))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
