@@ -4,7 +4,8 @@ Words are runs of letters in lower case. A word's features are the word itself (
 suffixes of 1 to 4 letters (affixes) and its letter 2- to 4-grams, hashed to ``WIDTH`` rows of weights, a weight for
 each language. Transition weights between neighbouring words' languages are learned with them by maximum conditional
 likelihood. Forward-backward gives each word's distribution over languages; a document's is the mean over its words,
-so a text that switches languages gets each one's share, and the prediction is the largest share.
+so a text that switches languages gets each one's share, and the prediction is the largest share. ``label_words`` has the
+words' own labels, as runs of one language.
 
 Training takes a bounded sample: ``SAMPLE`` documents of each language, chosen by a hash of doc_id among the rows
 allowed, and of each at most ``SAMPLE_CHARS`` characters from a place chosen by that hash. Sequences are spliced from spans
@@ -139,8 +140,9 @@ def train(samples: dict[str, list[str]], seed: int = 5) -> Model:
     return model
 
 
-def shares(e: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Mean posterior of each document; words [offsets[i], offsets[i + 1]) are document i's, e their emissions."""
+def shares(e: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, start: np.ndarray, each: np.ndarray | None = None) -> np.ndarray:
+    """Mean posterior of each document; words [offsets[i], offsets[i + 1]) are document i's, e their emissions. Each word's
+    goes to its row of ``each``, if that is given."""
     docs, k = len(offsets) - 1, e.shape[1]
     n = np.diff(offsets)
     out = np.zeros((docs, k))
@@ -190,7 +192,10 @@ def shares(e: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, start: n
     x, total = after, np.zeros((m, k))
     for t in range(CHUNK - 1, -1, -1):
         post = f[t] * x + np.float32(1e-30)
-        total += np.where(live[t][:, None], post / post.sum(axis=1, keepdims=True), 0)
+        post /= post.sum(axis=1, keepdims=True)
+        total += np.where(live[t][:, None], post, 0)
+        if each is not None:
+            each[begin[live[t]] + t] = post[live[t]]
         back = (p[t] * x) @ a.T
         x = np.where(live[t][:, None], back / back.max(axis=1, keepdims=True), x)
     out[order] = np.add.reduceat(total, first, axis=0) / n[order][:, None]
@@ -222,8 +227,8 @@ class _Kept:
 _WORDS: dict[str, _Kept] = {}
 
 
-def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
-    """Language and score of each text; null counts as empty. Each worker keeps the emissions of ``KEPT`` words."""
+def _emissions(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions of the texts' words, and where each text's words start (and the last end)."""
     words, at, offsets = split_words(pc.fill_null(texts, ""))
     if model.key not in _WORDS:
         _WORDS.clear()
@@ -234,13 +239,37 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
         empty = np.concatenate([[0], np.cumsum(at == blank)])
         offsets = offsets - empty[offsets]
         at = at[at != blank]
-    if not model.languages or not len(at):
+    return e[at], offsets
+
+
+def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text; null counts as empty. Each worker keeps the emissions of ``KEPT`` words."""
+    e, offsets = _emissions(model, texts)
+    if not model.languages or not len(e):
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
-    mean = shares(e[at], offsets, model.transitions, model.start)
+    mean = shares(e, offsets, model.transitions, model.start)
     best, score = mean.argmax(axis=1), mean.max(axis=1)
     return [model.languages[b] if s > 0 else UNKNOWN for b, s in zip(best, score)], [min(1.0, float(s)) for s in score]
 
 
+def label(model: Model, texts: pa.Array) -> list[list[tuple[int, int, str, float]]]:
+    """(first, words, language, probability) of each text's runs of words of one language: each word has its most probable one
+    by forward-backward, and a run the mean of its words' probabilities."""
+    e, offsets = _emissions(model, texts)
+    if not model.languages or not len(e):
+        return [[] for _ in range(len(texts))]
+    each = np.empty_like(e, np.float64)
+    shares(e, offsets, model.transitions, model.start, each)
+    best, p = each.argmax(axis=1), each.max(axis=1)
+    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    first = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (text[1:] != text[:-1])]))
+    size = np.diff(np.append(first, len(best)))
+    out: list[list] = [[] for _ in range(len(texts))]
+    for at, n, mean in zip(first.tolist(), size.tolist(), (np.add.reduceat(p, first) / size).tolist()):
+        out[text[at]].append((at - int(offsets[text[at]]), n, model.languages[best[at]], mean))
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
@@ -280,6 +309,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def label_words(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, runs): the languages of each text's words, as runs (first, words, lang, score) in order; none without a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string()), ("score", pa.float64())]))
+
+    def run(batches):
+        for b in batches:
+            for rows in slices(b, "text"):
+                found = [[dict(zip(("first", "words", "lang", "score"), r)) for r in own] for own in label(shared.value, rows.column("text"))]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(found, kind)], names=["doc_id", "runs"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, runs array<struct<first: long, words: long, lang: string, score: double>>")
+
+
 def op5_crf_language(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score)."""
     own = identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs))
