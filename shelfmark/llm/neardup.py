@@ -14,13 +14,19 @@ The rest is confirmed on full sets: candidates are split by connected clusters,
 are cut into blocks, and only pairs that would join two parts are compared. Confirmed links are joined by large-star
 and small-star rounds.
 
-A pair of similarity 0.75 outside of crowded regions shares a prefix in some tree with probability 0.99998. In a crowd
-of thousands of near copies, single links near the threshold can be missed; a document is then still found through any
-other of its links (README has measured figures).
+What a crowd leaves is found exactly (``between``): documents of crowded regions, and of regions that the edge of a
+task cuts, are joined by their rarest shingles. Of two sets that link, the smaller has one of its rarest n - ceil(6n/7) + 1
+shingles among the n - ceil(3n/4) + 1 rarest of the larger, whatever order makes rare; counts within the crowd make it,
+so what all of a template have in common is in no such list. Only documents of different parts are joined, so near
+copies, which the forest has linked, make no pairs.
+
+A pair of similarity 0.75 outside of crowds shares a prefix in some tree with probability 0.99998; within them none is
+missed.
 
 Rows: null or empty texts, and texts without words, have an empty set and stand alone. Rows without doc_id are left
 out. Rows that repeat a doc_id are one node with the links of each, and each row is returned. Ties don't arise: the
-component is the smallest doc_id reachable. Empty tables give no rows; other columns don't matter.
+component is the smallest doc_id reachable. Texts of any length are one set. Empty tables give no rows; other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_cluster, components, keyed_texts, materialize, partitions, slices
@@ -95,14 +101,15 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def propose(tree: np.ndarray, keys: np.ndarray, n: np.ndarray, sketches: np.ndarray):
-    """Candidate pairs (i, j, estimate) of rows in forest order."""
+    """Candidate pairs (i, j, estimate) of rows in forest order; a row in a crowd, or in a region at an edge, makes one with itself."""
     region = np.zeros(len(tree), np.int64)
     if len(tree) > 1:
         together = (tree[1:] == tree[:-1]) & (keys[1:, :DEPTH] == keys[:-1, :DEPTH]).all(axis=1)
         region[1:] = np.cumsum(~together)
     sizes = np.bincount(region)
-    found = []
     rows = np.nonzero(sizes[region] > 1)[0]
+    crowd = rows[(sizes[region[rows]] > NEAR + 1) | (region[rows] == 0) | (region[rows] == len(sizes) - 1)]
+    found = [(crowd, crowd, np.zeros(len(crowd)))]
     for step in range(1, NEAR + 1):
         i = rows[rows + step < len(tree)]
         i = i[(region[i] == region[i + step]) & ((step == 1) | (sizes[region[i]] <= NEAR + 1))]
@@ -132,7 +139,7 @@ def _fine(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketches: np.ndarray):
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b, e) with a < b: distinct candidate pairs and the estimate."""
+    """(a, b, e) with a < b: distinct candidate pairs and the estimate; with a = b the documents of crowds."""
     spark = reps.sparkSession
     width = 2 * LEVELS
     entries = reps.select("doc_id", "n", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "trees").select(
@@ -165,18 +172,44 @@ def candidates(reps: DataFrame) -> DataFrame:
             yield block(True)
 
     order = entries.repartitionByRange(partitions(spark), "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
-    return order.mapInArrow(run, "a long, b long, e double").where("a <> b").groupBy("a", "b").agg(F.max("e").alias("e"))
+    return order.mapInArrow(run, "a long, b long, e double").groupBy("a", "b").agg(F.max("e").alias("e"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b): links of similarity at least 0.75 on full sets that connect whatever the pairs' links connect."""
-    placed, wanted = by_cluster(pairs, sizes, "near")
-    texts = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+def to_sets(batches):
+    for b in batches:
+        for rows in slices(b, "text"):
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([shingle_set(t).tobytes() for t in rows.column("text").to_pylist()], pa.binary())], names=["doc_id", "own"])
+
 
-    def to_sets(batches):
+def between(docs: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(a, b, e): all pairs of crowd documents (doc_id, part) of different parts that their rarest shingles let link."""
+    texts = docs.join(crowd.hint("merge"), "doc_id", "left_semi")
+
+    def spread(batches):
         for b in batches:
-            for rows in slices(b, "text"):
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([shingle_set(t).tobytes() for t in rows.column("text").to_pylist()], pa.binary())], names=["doc_id", "own"])
+            for rows in slices(b, "text", 1 << 20):
+                sets = [shingle_set(t) for t in rows.column("text").to_pylist()]
+                n = np.array([len(x) for x in sets], np.int64)
+                which = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                columns = [np.repeat(x, n) for x in (rows.column("doc_id").to_numpy(), which, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.concatenate(sets).view(np.int64))], names=["doc_id", "own", "n", "s"])
+
+    every = materialize(texts.mapInArrow(spread, "doc_id long, own long, n long, s long"), "near-crowd")
+    count = every.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "own").orderBy(F.coalesce("df", F.lit(1)), "s")) - 1
+    placed = every.join(count, "s", "left").withColumn("at", rank).where("at <= n - (3 * n + 3) div 4 and df > 1")
+    rare = materialize(placed.join(crowd, "doc_id").select("s", "doc_id", "n", "at", "part"), "near-rare")
+    small = rare.where("at <= n - (6 * n + 6) div 7").select("s", *(F.col(c).alias(f"small_{c}") for c in ("doc_id", "n", "at", "part")))
+    fits = """part <> small_part and (small_n < n or small_n = n and small_doc_id < doc_id) and 4 * small_n >= 3 * n
+              and least(n - at, small_n - small_at) >= (3 * (n + small_n) + 6) div 7"""
+    pairs = rare.join(small, "s").where(fits)
+    return pairs.select(F.least("doc_id", "small_doc_id").alias("a"), F.greatest("doc_id", "small_doc_id").alias("b"), F.lit(1.0).alias("e")).distinct()
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+    """(a, b): links of similarity at least 0.75 on full sets that connect whatever the pairs' links connect."""
+    placed, wanted = by_cluster(pairs, sizes, name)
+    texts = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
 
     sets = wanted.join(texts.mapInArrow(to_sets, "doc_id long, own binary"), "doc_id")
 
@@ -215,11 +248,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = own.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     same = materialize(same, "near-same")
     reps = own.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n > 0")
-    pairs = materialize(candidates(reps), "near-pairs")
+    found = materialize(candidates(reps), "near-pairs")
+    pairs, crowd = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("doc_id"))
     twice = own.select("doc_id", "s1", "s2", "n").where("n > 0").join(same.where("size > 1"), ["s1", "s2"]).where("rep <> doc_id")
     copies = twice.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = materialize(confirmed(docs, pairs, own.select("doc_id", (8 * F.col("n")).alias("bytes"))).union(_of_repeated(own, copies)), "near-links")
+    sizes = own.select("doc_id", (8 * F.col("n")).alias("bytes"))
+    links = materialize(confirmed(docs, pairs, sizes, "near").union(_of_repeated(own, copies)), "near-links")
     part = materialize(components(links, "near-components"), "near-component").withColumnRenamed("node", "rep")
+    if not crowd.isEmpty():
+        crowd = crowd.join(part.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("part"))
+        rest = materialize(between(docs, materialize(crowd, "near-crowd-parts")), "near-between")
+        more = materialize(confirmed(docs, rest, sizes, "near-more"), "near-more-links")
+        if not more.isEmpty():
+            part = materialize(components(links.union(more), "near-all"), "near-all-component").withColumnRenamed("node", "rep")
     members = own.select("doc_id", "n", "s1", "s2").join(same.where("size > 1").select("s1", "s2", "rep"), ["s1", "s2"], "left")
     members = members.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).join(part, "rep", "left")
     component = F.coalesce("component", "rep")
