@@ -97,8 +97,8 @@ def runs(t) -> DataFrame:
     )
 
 
-#: graph: a source for each documents.source, a chunk for each document, an entity for each of its first capital words
-NODE_SQL = r"""ent AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(translate(text, 'àâäéèêëîïôöùûüçñíóúáßÀÂÄÉÈÊËÎÏÔÖÙÛÜÇÑÍÓÚÁ', repeat('_', 60)), '[A-Z][a-z]{5,}')[1:12])) AS name FROM documents),
+#: graph: a source for each documents.source, a chunk for each document, an entity for each of its capital words
+NODE_SQL = r"""ent AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(translate(text, 'àâäéèêëîïôöùûüçñíóúáßÀÂÄÉÈÊËÎÏÔÖÙÛÜÇÑÍÓÚÁ', repeat('_', 60)), '[A-Z][a-z]{5,}'))) AS name FROM documents),
 node AS (SELECT 'source_' || source AS id, 'source' AS type, 0 AS layer, source AS name, min(doc_id) AS ord, count(*) AS mentions, '' AS preview FROM documents GROUP BY source
 UNION ALL SELECT 'chunk_' || doc_id, 'chunk', 2, '', 100000000 + doc_id, 1, substr(text, 1, 80) FROM documents
 UNION ALL SELECT 'entity_' || lower(name), 'entity', 3, name, 200000000 + min(doc_id), count(*), '' FROM ent GROUP BY name),
@@ -109,8 +109,8 @@ _ACCENTS = "àâäéèêëîïôöùûüçñíóúáßÀÂÄÉÈÊËÎÏÔÖÙÛ
 
 def entities_of(t) -> DataFrame:
     plain = F.translate("text", _ACCENTS, "_" * len(_ACCENTS))
-    names = F.array_distinct(F.slice(F.regexp_extract_all(plain, F.lit("[A-Z][a-z]{5,}"), F.lit(0)), 1, 12))
-    return t.documents.select("doc_id", "source", F.explode(names).alias("name"))
+    names = F.array_distinct(F.regexp_extract_all(plain, F.lit("[A-Z][a-z]{5,}"), F.lit(0)))
+    return t.documents.select("doc_id", "source", names.alias("names")).select("doc_id", "source", F.explode("names").alias("name"))
 
 
 def nodes(t) -> DataFrame:

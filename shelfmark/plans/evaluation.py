@@ -10,8 +10,8 @@ from ..operators import chunking as K
 from ..operators import evaluation as V
 from ..operators import graph as G
 from ..operators import retrieval as R
-from . import bind
-from .registry import query
+from . import bind, graph  # noqa: F401  graph's SQL is used below
+from .registry import SQL, query
 from .scalars import NORMAL, SENTENCES, STRIP
 
 T = lambda: F.col("text")
@@ -64,8 +64,8 @@ def _txt07(t):
     return embed(t.documents.select("doc_id", "text"), "doc_id", "text", HashingEmbedder())
 
 
-query("udf01")(lambda t: __import__("shelfmark.plugins", fromlist=["extract"]).extract(t.documents.select("doc_id", "text"), "doc_id", "text"))
-query("grf15")(lambda t: __import__("shelfmark.plugins", fromlist=["extract"]).extract(t.documents.select("doc_id", F.substring("text", 1, 6000).alias("text")), "doc_id", "text"))
+query("udf01", f"SELECT doc_id, name, 'concept' AS kind, '' AS error FROM ({SQL['top14']})")(lambda t: __import__("shelfmark.plugins", fromlist=["extract"]).extract(t.documents.select("doc_id", "text"), "doc_id", "text"))
+query("grf15", "SELECT doc_id, name, 'concept' AS kind, '' AS error FROM (" + SQL["top14"].replace("FROM documents", "FROM (SELECT doc_id, substr(text, 1, 6000) AS text FROM documents)") + ")")(lambda t: __import__("shelfmark.plugins", fromlist=["extract"]).extract(t.documents.select("doc_id", F.substring("text", 1, 6000).alias("text")), "doc_id", "text"))
 _ENTITY_SQL = """e AS (SELECT c_custkey AS ord, 'entity_' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE lower(c_mktsegment) END AS kind, (c_custkey % 5 + 1)::INT AS importance, (c_custkey * 7 % 23)::BIGINT AS mentions,
 CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'topic_' || (c_custkey % 31) END AS topic FROM customer)"""
 
@@ -173,7 +173,7 @@ _RUB = "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (doc_id % 10) / 10.0::DOUBLE END
 _GATE = f"CASE WHEN {_CRIT} > 0 OR round((11 - len(f)) / 11.0::DOUBLE, 3) < 0.8 THEN 'reject' WHEN {_RUB} IS NULL THEN 'review' WHEN {_RUB} >= 0.7 THEN 'accept' WHEN {_RUB} < 0.4 THEN 'reject' ELSE 'review' END"
 _RUBRIC = lambda: F.when(F.expr("doc_id % 5 <> 0"), F.expr("doc_id % 10 / 10.0D"))
 query("skl03", f"WITH {_SK}, r AS (SELECT doc_id, {_FAIL} AS f FROM sk) SELECT doc_id, {_GATE} AS gate FROM r")(lambda t: V.checks(_skills(t)).select("doc_id", V.gate(F.col("ratio"), F.size("critical"), _RUBRIC()).alias("gate")))
-query("skl04")(lambda t: V.checks(_skills(t)).select("doc_id", "passed", "total", "ratio", "failures", V.gate(F.col("ratio"), F.size("critical"), _RUBRIC()).alias("gate")))
+query("skl04", f"WITH {_SK}, r AS (SELECT doc_id, {_FAIL} AS f FROM sk) SELECT doc_id, (11 - len(f))::INT AS passed, 11 AS total, round((11 - len(f)) / 11.0::DOUBLE, 3) AS ratio, array_to_string(f, ',') AS failures, {_GATE} AS gate FROM r")(lambda t: V.checks(_skills(t)).select("doc_id", "passed", "total", "ratio", F.array_join("failures", ",").alias("failures"), V.gate(F.col("ratio"), F.size("critical"), _RUBRIC()).alias("gate")))
 query("evl01", "SELECT item_id, len(list_distinct(list_filter(['u' || (item_id % 60), 'u' || (item_id % 7), 'u' || (item_id % 60)], lambda u: u IN (SELECT DISTINCT 'u' || (vec_id % 50) FROM embeddings))))::INT AS known FROM benchmark")(lambda t: _known(t))
 
 
@@ -184,8 +184,6 @@ def _known(t):
     return t.benchmark.select("item_id").join(asked.join(urls, "u").groupBy("item_id").agg(F.count("*").cast("int").alias("known")), "item_id", "left").select("item_id", F.coalesce("known", F.lit(0)).alias("known"))
 
 
-from .registry import SQL  # noqa: E402
-
 SQL["evl01"] = "WITH k AS (SELECT DISTINCT 'u' || (vec_id % 50) AS u FROM embeddings), a AS (SELECT DISTINCT item_id, unnest(['u' || (item_id % 60), 'u' || (item_id % 7)]) AS u FROM benchmark) SELECT b.item_id, count(k.u)::INT AS known FROM benchmark b LEFT JOIN a USING (item_id) LEFT JOIN k ON k.u = a.u GROUP BY b.item_id"
 query("evl03", "SELECT d.doc_id, l.doc_id IS NULL AS needs_review FROM documents d LEFT JOIN labels l USING (doc_id)")(lambda t: t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(True).alias("had")), "doc_id", "left").select("doc_id", F.col("had").isNull().alias("needs_review")))
 

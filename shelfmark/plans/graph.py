@@ -65,11 +65,11 @@ query("grf_shares", f"{W}, s AS (SELECT DISTINCT name, source FROM ent), p AS (S
 )
 
 
-@query("jon07", f"""WITH {bind.CHUNK_SQL}, g AS (SELECT url, count(*) AS kg, string_agg(substr(text, 1, 50), chr(10) || chr(10) ORDER BY ord) AS body FROM chunk WHERE ord % 3 = 0 GROUP BY url), v AS (SELECT url, count(*) AS vec, min(ord) AS first FROM chunk WHERE ord % 4 = 0 GROUP BY url)
+@query("jon07", f"""WITH {bind.CHUNK_SQL}, g AS (SELECT url, count(*) AS kg, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS body FROM chunk WHERE ord % 3 = 0 GROUP BY url), v AS (SELECT url, count(*) AS vec, min(ord) AS first FROM chunk WHERE ord % 4 = 0 GROUP BY url)
 SELECT coalesce(g.url, v.url) AS url, coalesce(kg, 0) AS kg, coalesce(vec, 0) AS vec, sha256(coalesce(body, '')) AS body FROM g FULL JOIN v ON g.url = v.url""")
 def _jon07(t):
     c = bind.chunks(t)
-    kg = c.where("ord % 3 = 0").groupBy("url").agg(F.count("*").alias("kg"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.substring("text", 1, 50).alias("s")))), lambda x: x["s"]), "\n\n").alias("body"))
+    kg = c.where("ord % 3 = 0").groupBy("url").agg(F.count("*").alias("kg"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("text").alias("s")))), lambda x: x["s"]), "\n\n").alias("body"))
     vec = c.where("ord % 4 = 0").groupBy("url").agg(F.count("*").alias("vec"))
     return kg.join(vec, "url", "full_outer").select("url", F.coalesce("kg", F.lit(0)).alias("kg"), F.coalesce("vec", F.lit(0)).alias("vec"), F.sha2(F.coalesce("body", F.lit("")), 256).alias("body"))
 
@@ -85,17 +85,16 @@ def _jon15(t):
 query("jon16", "SELECT n.n_name AS topic, count(s.s_suppkey) AS entities FROM nation n LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_suppkey % 3 = 0 GROUP BY n.n_name")(
     lambda t: t.nation.join(t.supplier.where("s_suppkey % 3 = 0"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("topic")).agg(F.count("s_suppkey").alias("entities"))
 )
-query("agg24", "SELECT n_name AS topic, count(*) AS members FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")(lambda t: t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("topic")).agg(F.count("*").alias("members")))
+query("agg24", "SELECT n_name AS topic, count(*) AS members FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")(lambda t: t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("topic")).agg(F.count("*").alias("members")))
 
 
-@query("jon18", "WITH ids AS (SELECT unnest(range(0, 60)) * 7 % 61 AS id, unnest(range(0, 60)) AS p), u AS (SELECT doc_id, 0 AS store, 'd' || substr(text, 1, 20) AS text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, 'o' || substr(text, 1, 20) FROM documents) SELECT p::INT AS place, doc_id, arg_min(text, store) AS text FROM ids JOIN u ON doc_id = id GROUP BY p, doc_id")
+@query("jon18", "WITH ids AS (SELECT unnest(range(0, 60)) * 7 % 61 AS id, unnest(range(0, 60)) AS p), u AS (SELECT doc_id, 0 AS store, 'd' || text AS text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, 'o' || text FROM documents) SELECT p::INT AS place, doc_id, arg_min(text, store) AS text FROM ids JOIN u ON doc_id = id GROUP BY p, doc_id")
 def _jon18(t):
     """The staging store first, then the whole one; in the order asked."""
     wanted = t.spark.sql("SELECT posexplode(transform(sequence(0, 59), x -> cast(x * 7 % 61 as bigint))) AS (place, doc_id)")
     d = t.documents
-    head = F.substring("text", 1, 20)
-    both = d.where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("store"), F.concat(F.lit("d"), head).alias("text")).union(d.select("doc_id", F.lit(1), F.concat(F.lit("o"), head)))
-    return F.broadcast(wanted).join(both, "doc_id").groupBy("place", "doc_id").agg(F.min_by("text", "store").alias("text"))
+    both = d.where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("store"), F.concat(F.lit("d"), "text").alias("text")).union(d.select("doc_id", F.lit(1), F.concat(F.lit("o"), "text")))
+    return wanted.join(both, "doc_id").groupBy("place", "doc_id").agg(F.min_by("text", "store").alias("text"))
 
 
 # aggregates over the graph
@@ -184,7 +183,7 @@ for _depth in (1, 2):
         lambda t, d=_depth: G.neighbourhood(E(t), ["chunk_7"], d)[0].select("id", F.lit(0).alias("zero"))
     )
 query("grf08", f"SELECT 'topic_' || {SLUG('r_name')} AS src, 'topic_' || {SLUG('n_name')} AS dst, 'subtopic_of' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey")(
-    lambda t: t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("topic_"), text.slug(F.col("r_name"))).alias("src"), F.concat(F.lit("topic_"), text.slug(F.col("n_name"))).alias("dst"), F.lit("subtopic_of").alias("kind"))
+    lambda t: t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("topic_"), text.slug(F.col("r_name"))).alias("src"), F.concat(F.lit("topic_"), text.slug(F.col("n_name"))).alias("dst"), F.lit("subtopic_of").alias("kind"))
 )
 query("grf09", "SELECT c_custkey AS entity, CASE WHEN c_custkey % 10 = 0 THEN 'topic_new' ELSE 'topic_' || c_nationkey END AS topic FROM customer")(
     lambda t: t.customer.select(F.col("c_custkey").alias("entity"), F.concat(F.lit("topic_"), "c_nationkey").alias("topic")).join(t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("entity")), "entity", "left_anti").unionByName(t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("entity"), F.lit("topic_new").alias("topic")))

@@ -188,7 +188,8 @@ def clamped(c, key):
 _RUBRIC = lambda: F.format_string('{"clarity": %s, "safety": "%s"}', F.round(F.col("value") / 50, 3).cast("string"), F.when(F.col("event_id") % 2 == 0, "0.25").otherwise("high"))
 plain("jsn03", "events", "event_id", lambda: {"clarity": clamped(_RUBRIC(), "clarity"), "safety": clamped(_RUBRIC(), "safety"), "scope": clamped(_RUBRIC(), "scope")}, {"clarity": "greatest(0.0::DOUBLE, least(1.0::DOUBLE, round(value / 50, 3)))", "safety": "CASE WHEN event_id % 2 = 0 THEN 0.25::DOUBLE END", "scope": "NULL::DOUBLE"})
 query("dat06", "SELECT event_id, strftime(ts::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")(of("events", "event_id", lambda: {"stamp": dates.utc_stamp(F.col("ts"))}))
-query("jsn04")(lambda t: t.events.select("event_id", F.coalesce(jsons.field(F.col("props"), "$.result"), F.col("props")).alias("result")))
+_ENVELOPE = lambda: F.when(F.expr("event_id % 3 = 0"), F.format_string('{"type": "result", "result": "r%s"}', F.col("event_id").cast("string"))).otherwise(F.col("props"))
+query("jsn04", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'r' || event_id ELSE props END AS result FROM events")(lambda t: t.events.select("event_id", F.coalesce(jsons.field(_ENVELOPE(), "$.result"), _ENVELOPE()).alias("result")))
 
 
 @query("jsn05", """WITH s AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS i FROM conversations)

@@ -69,7 +69,7 @@ def _agg06(t):
 
 
 query("agg22", f"WITH {RUN_SQL} SELECT skill_id, kind, sum(tokens)::BIGINT AS tokens FROM run GROUP BY ALL")(lambda t: R(t).groupBy("skill_id", "kind").agg(F.sum("tokens").alias("tokens")))
-query("agg23")(lambda t: R(t).where("rubric_mean is not null").groupBy("skill_id").agg(F.min_by("kind", F.struct("rubric_mean", "ord")).alias("weakest"), F.array_join(F.array_sort(F.collect_set("gate")), ", ").alias("gates")))
+query("agg23", f"WITH {RUN_SQL} SELECT skill_id, arg_min(kind, (rubric_mean, ord)) AS weakest, coalesce(string_agg(DISTINCT gate, ', ' ORDER BY gate), '') AS gates FROM run WHERE rubric_mean IS NOT NULL GROUP BY skill_id")(lambda t: R(t).where("rubric_mean is not null").groupBy("skill_id").agg(F.min_by("kind", F.struct("rubric_mean", "ord")).alias("weakest"), F.array_join(F.array_sort(F.collect_set("gate")), ", ").alias("gates")))
 _Q = "the of and with thin"
 _SCORE = f"round({KEYWORD_SIM(repr(_Q), 'text')} + 0.04 * (salience - 3) + 0.02 * greatest(0.0::DOUBLE, 1.0 - (epoch_us({NOW}) - epoch_us(updated_at)) / (86400e6 * 30)), 9)"
 query("top09", f"WITH {MEMORY_SQL}, s AS (SELECT id, ord, {KEYWORD_SIM(repr(_Q), 'text')} AS similarity, {_SCORE} AS score FROM memory WHERE superseded_by = '') SELECT id, round(score, 4) AS score, round(similarity, 4) AS similarity FROM (SELECT * FROM s ORDER BY score DESC, ord LIMIT 20) WHERE similarity >= 0.05")(
@@ -125,7 +125,7 @@ def _ingested(t, times=1):
 query("cac01", _INGEST)(_ingested)
 query("stm02", f"{_INGEST.replace(_INGEST[_INGEST.index(', CASE WHEN content_hash IS NULL THEN'):], '')}, 'unchanged' AS outcome FROM o FULL JOIN n ON o.id = n.id")(lambda t: _ingested(t, times=2))
 query("cac02", f"WITH {CACHE_SQL}, v AS (SELECT 'u' || (vec_id % 50) AS url, count(*) AS chunks FROM embeddings GROUP BY ALL) SELECT url, chunks, CASE WHEN url IN ('u1', 'u2') THEN 'flags' ELSE 'created' END AS outcome FROM v")(
-    lambda t: t.embeddings.groupBy(F.concat(F.lit("u"), F.expr("vec_id % 50")).alias("url")).agg(F.count("*").alias("chunks")).join(F.broadcast(t.spark.createDataFrame([("u1", "flags"), ("u2", "flags")], "url string, had string")), "url", "left").select("url", "chunks", F.coalesce("had", F.lit("created")).alias("outcome"))
+    lambda t: t.embeddings.groupBy(F.concat(F.lit("u"), F.expr("vec_id % 50")).alias("url")).agg(F.count("*").alias("chunks")).join(t.spark.createDataFrame([("u1", "flags"), ("u2", "flags")], "url string, had string"), "url", "left").select("url", "chunks", F.coalesce("had", F.lit("created")).alias("outcome"))
 )
 _MEM2 = f"WITH {MEMORY_SQL}"
 _RANK = "(CASE upper({}) WHEN 'AMBIGUOUS' THEN 0 WHEN 'EXTRACTED' THEN 2 WHEN 'CONFIRMED' THEN 3 WHEN 'USER' THEN 4 ELSE 1 END)"
@@ -206,6 +206,6 @@ def _win07(t):
 query("snk10", f"WITH {RUN_SQL} SELECT ord, 'skill.' || kind AS name, epoch_us(\"at\")::BIGINT - round(duration_ms * 1000)::BIGINT AS start_us, epoch_us(\"at\")::BIGINT AS end_us, coalesce(gate, '') AS tag FROM run")(
     lambda t: R(t).select("ord", F.concat(F.lit("skill."), "kind").alias("name"), (F.unix_micros("at") - F.round(F.col("duration_ms") * 1000).cast("long")).alias("start_us"), F.unix_micros("at").alias("end_us"), F.coalesce("gate", F.lit("")).alias("tag"))
 )
-query("snk08")(lambda t: t.part.select("p_partkey", F.concat(F.lit("---\nname: "), "p_name", F.lit("\ndescription: "), "p_type", F.lit("\n---\n\n# "), "p_name", F.lit("\n")).alias("markdown")))
-query("snk09")(lambda t: t.documents.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("h")))), lambda x: F.concat(F.lit("- "), x["h"])), "\n").alias("page")))
+query("snk08", "SELECT p_partkey, '---' || chr(10) || 'name: ' || p_name || chr(10) || 'description: ' || p_type || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || chr(10) AS markdown FROM part")(lambda t: t.part.select("p_partkey", F.concat(F.lit("---\nname: "), "p_name", F.lit("\ndescription: "), "p_type", F.lit("\n---\n\n# "), "p_name", F.lit("\n")).alias("markdown")))
+query("snk09", "SELECT source, string_agg('- ' || substr(text, 1, 40), chr(10) ORDER BY doc_id) AS page FROM documents GROUP BY source")(lambda t: t.documents.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("h")))), lambda x: F.concat(F.lit("- "), x["h"])), "\n").alias("page")))
 query("stm07", f"WITH {MEMORY_SQL} SELECT id, round(greatest(0.0::DOUBLE, 1.0 - (epoch_us({NOW}) - epoch_us(updated_at)) / (86400e6 * 30)), 9) AS weight FROM memory")(lambda t: M(t).select("id", F.round(S.dates.recency(F.col("updated_at"), _NOW()), 9).alias("weight")))
