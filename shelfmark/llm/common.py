@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a local one only where the session names none."""
+    """The folder that all executors share (``spark.checkpoint.dir``). Where the session names none, a local one if the
+    executors are this process, and an error if they are others, which could not read it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -143,11 +147,7 @@ def components(edges: DataFrame, name: str, most: int = EDGES, rounds: int = 100
     )
 
 
-#: So many bytes of documents are dealt to a group of pairs.
-GROUP_BYTES = 4 << 20
-
-
-def by_cluster(pairs: DataFrame, sizes: DataFrame, name: str, most: int = GROUP_BYTES, strong: str = "true") -> tuple[DataFrame, DataFrame]:
+def by_cluster(pairs: DataFrame, sizes: DataFrame, name: str, most: int, strong: str = "true") -> tuple[DataFrame, DataFrame]:
     """Deal pairs (a, b, ...) to groups in which each document is needed once: (g and the pairs; h, doc_id).
 
     ``sizes`` has doc_id and bytes. Clusters are those of the pairs for which ``strong`` holds; another pair goes where
@@ -155,12 +155,11 @@ def by_cluster(pairs: DataFrame, sizes: DataFrame, name: str, most: int = GROUP_
     as much, with a group for each two blocks that have pairs. A group that partners of other clusters make larger than
     three times that is split by its b, so a group holds some ``most`` bytes, or two documents.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = materialize(ends.join(sizes.groupBy("doc_id").agg(F.sum("bytes").alias("bytes")), "doc_id"), f"{name}-held")
-    total = held.agg(F.sum("bytes")).first()[0] or 0
+    sizes = sizes.groupBy("doc_id").agg(F.sum("bytes").alias("bytes"))
     cluster = materialize(components(pairs.where(strong), f"{name}-clusters"), f"{name}-cluster")
-    large = cluster.join(held, F.col("node") == F.col("doc_id")).groupBy("component").agg(F.sum("bytes").alias("size")).where(F.col("size") > most)
-    large = materialize(large.select("component", F.ceil(F.col("size") / most).alias("blocks")), f"{name}-large")
+    held = materialize(cluster.join(sizes, F.col("node") == F.col("doc_id")).groupBy("component").agg(F.sum("bytes").alias("size")), f"{name}-sizes")
+    total = held.agg(F.sum("size")).first()[0] or 0
+    large = held.where(F.col("size") > most).select("component", F.ceil(F.col("size") / most).alias("blocks"))
     own = pairs.join(cluster.withColumnRenamed("node", "a"), "a", "left").join(cluster.withColumnsRenamed({"node": "b", "component": "other"}), "b", "left")
     own = own.withColumn("component", F.coalesce("component", "a")).join(large, "component", "left")
     block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
@@ -168,8 +167,12 @@ def by_cluster(pairs: DataFrame, sizes: DataFrame, name: str, most: int = GROUP_
     in_large = F.xxhash64("component", F.least(block("a"), second), F.greatest(block("a"), second))
     shared = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-total // most))))
     placed = materialize(own.withColumn("g", F.when(F.col("blocks").isNull(), shared).otherwise(in_large)).select("g", *pairs.columns), f"{name}-placed")
-    full = placed.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(held, "doc_id").groupBy("g").agg(F.sum("bytes").alias("size"))
-    full = materialize(full.where(F.col("size") > 3 * most).select("g", F.ceil(F.col("size") / most).alias("parts")), f"{name}-full")
+    ends = lambda rows: rows.select(F.col("g").alias("h"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = materialize(ends(placed), f"{name}-wanted")
+    full = wanted.join(sizes, "doc_id").groupBy(F.col("h").alias("g")).agg(F.sum("bytes").alias("size")).where(F.col("size") > 3 * most)
+    full = materialize(full.select("g", F.ceil(F.col("size") / most).alias("parts")), f"{name}-full")
+    if full.isEmpty():
+        return placed, wanted
     split = F.when(F.col("parts").isNull(), F.col("g")).otherwise(F.xxhash64("g", F.pmod(F.xxhash64("b"), F.col("parts"))))
     placed = materialize(placed.join(full, "g", "left").select(split.alias("g"), *pairs.columns), f"{name}-dealt")
-    return placed, placed.select(F.col("g").alias("h"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return placed, ends(placed)

@@ -42,7 +42,9 @@ from .common import by_cluster, components, keyed_texts, materialize, partitions
 from .shingles import common, shingle_set
 
 TREES, LEVELS, DEPTH = 20, 8, 3
-NEAR, BEST, BLOCK = 8, 5, 2048
+NEAR, BEST, BLOCK = 8, 2, 2048
+#: bytes of sets in a group of pairs
+GROUP_BYTES = 512 << 10
 CUT, PERCENT = 0.58, 75
 HASHES = TREES * LEVELS
 
@@ -208,7 +210,7 @@ def between(docs: DataFrame, crowd: DataFrame) -> DataFrame:
 
 def confirmed(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
     """(a, b): links of similarity at least 0.75 on full sets that connect whatever the pairs' links connect."""
-    placed, wanted = by_cluster(pairs, sizes, name)
+    placed, wanted = by_cluster(pairs, sizes, name, GROUP_BYTES)
     texts = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
 
     sets = wanted.join(texts.mapInArrow(to_sets, "doc_id long, own binary"), "doc_id")
