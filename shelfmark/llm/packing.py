@@ -12,7 +12,8 @@ partitions goes to the driver, and the ids meet their places by an equi-join on
 
 Rows: null text is an empty document (its end id alone). A row without an identifier is packed too, with a null doc_id.
 Repeated identifiers are packed as rows of their own; repeated texts have the same key and lie side by side, in order
-of doc_id. Empty tables give no rows. Other columns don't matter.
+of doc_id. A text of any length is packed whole, over as many sequences as it needs. Empty tables give no rows. Other
+columns don't matter.
 """
 
 from __future__ import annotations

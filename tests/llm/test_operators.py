@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import re
 import zlib
 from collections import Counter
 
@@ -232,10 +233,25 @@ def test_topk_in_waves(spark):
 def test_bounds_hold():
     r = np.random.default_rng(2)
     q, v = topk.quantized(r.standard_normal(50 * 30), 30), topk.quantized(r.standard_normal(80 * 30), 30)
-    for s in topk.LEVELS:
+    assert topk.levels(30) == [1, 4, 15, 22, 26] and topk.levels(64) == [1, 4, 16, 32, 48, 56] and topk.levels(1) == [1]
+    for s in topk.levels(30):
         assert (topk.statistics(q, s) @ topk.statistics(v, s).T >= q @ v.T - 1e-6).all()
 
 
+@pytest.mark.parametrize(("clusters", "most"), [(50, 0.02), (1, 0.1)])
+def test_bounds_leave_few_pairs(clusters, most):
+    """Even of vectors without any structure few pairs get an exact product."""
+    r = np.random.default_rng(3)
+    x = np.floor(256 * (r.standard_normal((clusters, 64)) * (clusters > 1))[r.integers(0, clusters, 12_000)] + 256 * r.standard_normal((12_000, 64)) * (0.2 if clusters > 1 else 1))
+    ids = np.arange(12_000)
+    search = topk.Search(ids[::200], x[::200], 5)
+    for at in range(0, len(ids), topk.BLOCK):
+        search.add(ids[at : at + topk.BLOCK], x[at : at + topk.BLOCK])
+    score = x[::200] @ x.T
+    score[np.arange(60), ids[::200]] = -np.inf
+    assert (search.best == -np.sort(-score, axis=1)[:, :5]).all() and search.exact_pairs < most * score.size
+
+
 # --- near-duplicates -------------------------------------------------------------------------------------------------
 
 
@@ -279,12 +295,40 @@ def test_near_duplicates_of_awkward_rows(spark, awkward, nothing):
 
 
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(common.by_cluster, "__defaults__", (20_000, "true"))
+    monkeypatch.setattr(neardup, "GROUP_BYTES", 20_000)
     base = prose(55, 150)
     rows = [(i, edited(base, 0.02, i)) for i in range(120)]
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(neardup.op4_lsh_forest(docs(spark, rows)))} == plain_components(rows)
 
 
+def templated(rows: int, links: int, shared: int, own: int, common: int, seed: int):
+    """Texts of a template with words of their own, and pairs of them with more words in common."""
+    r = np.random.default_rng(seed)
+    word = lambda n: ["".join(x) for x in r.choice(list("abcdefghijklmnopqrstuvwxyz"), (n, 9))]
+    template = word(shared)
+    out = [(i, " ".join(template + word(own))) for i in range(rows)]
+    for k in range(links):
+        more = word(common)
+        for side in (0, 1):
+            out[2 * k + side] = (2 * k + side, " ".join(template + more + word(own - common)))
+    order = r.permutation(rows).tolist()
+    return [(i, out[n][1]) for n, i in enumerate(order)], [tuple(sorted(order[2 * k : 2 * k + 2])) for k in range(links)]
+
+
+@pytest.mark.parametrize(("own", "common"), [(72, 20), (72, 16)])
+def test_links_within_a_crowd_of_one_template(spark, own, common):
+    """All texts are alike by about 0.7, and a few pairs by 0.75 or little more: none of these is missed, and no other linked."""
+    rows, links = templated(1500, 60, 332, own, common, 5)
+    want = plain_components(rows[:0]) | {i: i for i, _ in rows}
+    sets = dict(rows)
+    for a, b in links:
+        x, y = (set(shingles.shingle_set(sets[i]).tolist()) for i in (a, b))
+        if 100 * len(x & y) >= 75 * len(x | y):
+            want[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(neardup.op4_lsh_forest(docs(spark, rows).repartition(7)))}
+    assert got == want and sum(i != c for i, c in want.items()) == 60
+
+
 @pytest.mark.parametrize("most", [10**6, 50, 8])
 def test_components(spark, most):
     r = np.random.default_rng(1)
@@ -347,6 +391,35 @@ def spoken(spark, n=240):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string"), kinds
 
 
+def naive_posteriors(model, words):
+    e = model.emissions(words).astype(float)
+    return language.forward_backward(e[None], model.transitions, model.start)[0][0]
+
+
+def test_languages_by_brute_force(spark):
+    """Every prediction against forward-backward over the whole text, word by word; and the labels of words."""
+    df = spoken(spark, 120)[0]
+    long = " ".join(r.text for r in df.limit(30).collect())
+    df = df.unionByName(spark.createDataFrame([(10_000, long, None), (10_001, "", None), (10_002, None, None), (10_003, "12 !", None)], "doc_id long, text string, lang string"))
+    model = language.fit(df)
+    got = {r["doc_id"]: r for r in rows_of(language.op5_crf_language(df))}
+    labels = {r["doc_id"]: r["runs"] for r in rows_of(language.label_words(df, model))}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    assert set(got) == set(labels) == set(texts) and len(texts[10_000].split()) > 500
+    for i, text in texts.items():
+        words = re.sub(r"[\W\d_]+", " ", (text or "").lower()).split()
+        if not words:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and labels[i] == []
+            continue
+        post = naive_posteriors(model, words)
+        mean = post.mean(axis=0)
+        assert abs(got[i]["score"] - mean.max()) < 1e-3 and mean[model.languages.index(got[i]["lang_pred"])] > mean.max() - 1e-3
+        flat = [(r["lang"], r["score"]) for r in labels[i] for _ in range(r["words"])]
+        assert [r["first"] for r in labels[i]] == np.cumsum([0, *(r["words"] for r in labels[i][:-1])]).tolist() and len(flat) == len(words)
+        assert all(a["lang"] != b["lang"] for a, b in itertools.pairwise(labels[i]))
+        assert all(p[model.languages.index(x)] > p.max() - 1e-2 for (x, _), p in zip(flat, post))
+
+
 def test_held_out_accuracy(spark):
     df, _ = spoken(spark)
     got = rows_of(language.op5_crf_language(df).join(df.select("doc_id", "lang"), "doc_id"))
@@ -522,6 +595,42 @@ def test_like_runs_against_all_pairs(letters):
         assert bool(passages.common_runs(passages.Side(x), passages.Side(y))) == like_runs(x, y)
 
 
+def test_like_passages_against_all_pairs(spark):
+    """Classes and covered words of the whole query against every pair of texts: passages with a few changed words, alone and
+    behind a line that all of a crowd have in common, in a text twice, and long repetitions of a word or a line."""
+    r = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    some = lambda n: ["".join(r.choice(letters, 7)) for _ in range(n)]
+    line, loop, rows, planted = some(30), some(9), [], []
+    for k in range(40):
+        n = int(r.integers(60, 110))
+        own, e, at = some(n), int(r.integers(2, 6)), int(r.integers(10, n - 15))
+        for side, text in enumerate((own, [*own[:at], *some(e), *own[at + e :]])):
+            extra = [line, loop * 30, ["again"] * 200, [*text, *some(9)]][k % 4] if k >= 20 else []
+            rows.append((2 * k + side, " ".join([*some(int(r.integers(20, 60))), *extra, *text, *some(int(r.integers(20, 60)))])))
+        planted.append((2 * k, 2 * k + 1))
+    sides = {i: passages.Side(shingles.shingles(t)) for i, t in rows}
+    cover, root = {i: np.zeros(len(t.split()) + 1, int) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sides, 2):
+        p, q = sides[a], sides[b]
+        p.new[:] = q.new[:] = True  # every pair by itself
+        for s, e, t, g, _ in passages.common_runs(p, q):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+            cover[a][int(p.place[s]) : int(p.place[e]) + 5] = 1
+            cover[b][int(q.place[t]) : int(q.place[g]) + 5] = 1
+    got = {x["doc_id"]: x for x in rows_of(passages.op8_compact_windows(docs(spark, rows).repartition(5)))}
+    want = {i: (find(i), int((np.diff(c, prepend=0) == 1).sum()), int(c.sum())) for i, c in cover.items()}
+    missed = [i for i in want if (got[i]["class_id"], got[i]["n_passages"], got[i]["n_words"]) != want[i]]
+    assert len(missed) <= 4 and sum(find(a) == find(b) for a, b in planted) > 30  # the join by windows is probable, not certain
+    assert all(got[a]["class_id"] == got[b]["class_id"] for a, b in planted[:20] if find(a) == find(b))
+
+
 def test_passage_after_repeats_of_its_line():
     """The passage holds a line that recurs before it in one text and after it in the other."""
     for k in range(20):
@@ -585,13 +694,67 @@ def test_decontamination(spark, awkward, nothing):
     rows += [(50, prose(700, 200) + items[0][1].upper() + prose(701, 90)), (51, prose(702, 40) + items[1][1]), (52, items[1][1][: len(items[1][1]) // 3]), (53, "so: " + items[6][1].lower()), (54, prose(703, 61) + items[0][1].replace(".", "")), (55, None), (None, items[0][1])]
     got = {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.op10_bm25_wand(docs(spark, rows).repartition(4), bench))}
     assert got >= {(50, 1), (50, 5), (51, 2), (53, 6)} and {d for d, _ in got} <= {50, 51, 53, 54}
-    waves = {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.matches(docs(spark, rows), bench, wave_words=40))}
-    assert waves >= {(50, 1), (50, 5), (51, 2), (53, 6)}
+    short = {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.matches(docs(spark, [(60, " Too FEW\nwords"), (61, "too few words more"), (62, "few words"), (63, prose(1, 70) + " too few words")]), bench))}
+    assert short == {(60, 3)}  # a text of fewer than five words is one shingle
     left = decontaminate.clean(docs(spark, rows), bench)
     assert left.columns == KIND_NAMES and {r.doc_id for r in left.collect()} >= {*range(20), 52, 55, None}
     assert decontaminate.matches(nothing, bench).count() == 0 and decontaminate.matches(awkward, bench.limit(0)).count() == 0
 
 
+def plain_matches(rows, items):
+    """Every passage against every entry, in plain loops."""
+    split = {i: [own[at : at + 64] for at in range(0, len(own), 64) if not at or len(own) - at >= 5] for i, own in ((i, t.lower().split()) for i, t in items)}
+    every = [(i, e) for i, parts in split.items() for e in parts]
+    df = Counter(w for _, e in every for w in set(e))
+    mean = sum(len(e) for _, e in every) / len(every)
+
+    def impacts(e):
+        tf = Counter(e)
+        own = {w: np.log((len(every) - df[w] + 0.5) / (df[w] + 0.5) + 1) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(e) / mean)) for w, n in tf.items()}
+        return {w: x / sum(own.values()) for w, x in own.items()}
+
+    gram = lambda w: {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    weights = [(i, impacts(e)) for i, e in every]
+    texts = dict(items)
+    out = {}
+    for doc, text in rows:
+        own = text.lower().split()
+        for at in range(0, max(1, len(own) - 64), 64):
+            passage = set(own[at : at + 128])
+            for i, weight in weights:
+                if (score := sum(x for w, x in weight.items() if w in passage)) < 0.5 - 1e-9:
+                    continue
+                item = texts[i].lower().split()
+                near = own[max(0, at - len(item)) : min(len(own), at + 128) + len(item)]
+                s = gram(near) if len(own) >= 5 else gram(own)
+                parts = [len(gram(item) & s) / len(gram(item))]
+                for part in decontaminate.question_and_answer(texts[i]):
+                    w = part.lower().split()
+                    parts.append(len(gram(w) & s) / len(gram(w)) if len(w) >= 5 else len(set(w) & set(near)) / len(set(w)) if w else 1.0)
+                if parts[0] >= 0.75 and min(parts[1:]) >= 0.5 and parts[0] > out.get((doc, i), (0, 0))[1]:
+                    out[doc, i] = (score, *parts)
+    return out
+
+
+@pytest.mark.parametrize("wave_words", [40, 700, 10**6])
+def test_matches_by_brute_force(spark, wave_words):
+    """The whole query's rows, scores included, whatever a wave holds and in whatever order items come."""
+    r = np.random.default_rng(9)
+    items = [(i, prose(5000 + i, int(r.integers(3, 150)))) for i in range(40)] + [(90, "Which of these is the oldest of all? The fourth one.")]
+    rows = []
+    for n in range(60):
+        i, text = items[n % len(items)]
+        own = text.split()
+        kept = own if n % 3 == 0 else [w if r.random() > 0.03 * (n % 5) else "changed" for w in own] if n % 3 == 1 else own[: len(own) * 4 // 5]
+        rows.append((n, " ".join([prose(6000 + n, int(r.integers(0, 200))), *kept, prose(7000 + n, int(r.integers(0, 90)))])))
+    rows += [(70, items[0][1].upper()), (71, "")]
+    bench = spark.createDataFrame(sorted(items, key=lambda x: (x[0] * 7919 + wave_words) % 101), "item_id long, text string").repartition(3)
+    got = {(x["doc_id"], x["item_id"]): (x["score"], x["overlap"], x["question_overlap"], x["answer_overlap"]) for x in rows_of(decontaminate.matches(docs(spark, rows), bench, wave_words=wave_words))}
+    want = plain_matches(rows, items)
+    assert set(got) == set(want) and len(want) > 25
+    assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+
+
 KIND_NAMES = [x.split(" ")[0] for x in KIND.split(", ")]
 
 
