@@ -166,14 +166,15 @@ _MODES = {
     "hybrid": ({}, f"{WITH}, {hier_sql(36, 216)}, {bm25_sql(36)}, {RRF_SQL} SELECT query_id, rank, ord FROM fused WHERE rank <= 6"),
     "dense": ({"hybrid_": False}, f"{WITH}, {hier_sql(6, 36)} SELECT query_id, rank, ord FROM hier"),
     "diverse": ({"mmr": True}, f"{WITH}, {hier_sql(48, 48)}, {mmr_sql(6)} SELECT query_id, n::INT AS rank, ord FROM step WHERE n > 0"),
-    "reranked": ({"rankings": lambda hits: hits.select("query_id").distinct().select("query_id", F.array(F.expr("cast(query_id * 5 % 24 as int)"), *map(F.lit, (3, 3, 77, 0))).alias("ranking"))},
-                 f"{WITH}, {hier_sql(144, 864)}, {bm25_sql(144)}, {RRF_SQL}, {_RANKED_SQL} SELECT query_id, rank, ord FROM reranked WHERE rank <= 6"),
+    "reranked": ({}, f"{WITH}, {hier_sql(144, 864)}, {bm25_sql(144)}, {RRF_SQL}, {_RANKED_SQL} SELECT query_id, rank, ord FROM reranked WHERE rank <= 6"),
 }
 query("rag01", " UNION ALL ".join(f"(SELECT '{mode}' AS mode, query_id, rank, ord FROM ({sql}))" for mode, (_, sql) in _MODES.items()))(lambda t: _rag01(t))
 
 
 def _rag01(t):
-    parts = [R.retrieve(C(t), S(t), Q(t), 6, **options).select(F.lit(mode).alias("mode"), "query_id", "rank", "ord") for mode, (options, _) in _MODES.items()]
+    order = Q(t).select("query_id", F.array(F.expr("cast(query_id * 5 % 24 as int)"), *map(F.lit, (3, 3, 77, 0))).alias("ranking"))
+    modes = {mode: options | ({"rankings": lambda hits: order} if mode == "reranked" else {}) for mode, (options, _) in _MODES.items()}
+    parts = [R.retrieve(C(t), S(t), Q(t), 6, **options).select(F.lit(mode).alias("mode"), "query_id", "rank", "ord") for mode, options in modes.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
