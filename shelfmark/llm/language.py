@@ -284,7 +284,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Mod
     shares = spark.createDataFrame([(x, min(1.0, 1.3 * sample / n)) for x, n in counts.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - chars))
-    some = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share") * (1 << 30)).select("lang", draw.alias("draw"), "doc_id", F.substring("text", start.cast("int"), F.lit(chars)).alias("text"))
+    some = rows.join(shares, "lang").where(draw < F.col("share") * (1 << 30)).select("lang", draw.alias("draw"), "doc_id", F.substring("text", start.cast("int"), F.lit(chars)).alias("text"))
     got: dict[str, list] = {}
     for r in some.toLocalIterator():
         got.setdefault(r.lang, []).append((r.draw, r.doc_id, r.text))
