@@ -86,10 +86,12 @@ query("top13", f"WITH {RUN_SQL} SELECT ord, (['pending_review', 'accepted', 'nee
 
 
 # memories of conversations' first turns have the vector of their number; new ones are each fifth, under another name
+_SHARE = lambda a, b: f"(CASE WHEN len({a}.kw) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}.kw, {b}.kw))::DOUBLE / len({a}.kw) END)"
 _VEC_SQL = f"""{MEMORY_SQL}, v AS (SELECT m.*, CASE WHEN ord % 1000 = 0 THEN embedding END AS embedding, ['k' || (ord % 3), 'all'] AS tags, 0 AS reinforced FROM memory m LEFT JOIN embeddings ON vec_id * 1000 = ord),
 n AS (SELECT 'n' || id AS id, ord, CASE WHEN ord % 1000 = 0 THEN 'other' ELSE kind END AS kind, CASE WHEN ord % 7 = 0 THEN text || ' again' ELSE text END AS text, (1 + ord % 5)::INT AS salience, CASE WHEN ord % 2 = 0 THEN 'confirmed' ELSE 'ambiguous' END AS confidence, ['new', 'k0'] AS tags, embedding FROM v WHERE ord % 5 = 0),
-p AS (SELECT n.id AS new_id, v.id, v.ord, CASE WHEN n.embedding IS NOT NULL AND v.embedding IS NOT NULL THEN {COSINE('n.embedding', 'v.embedding')} ELSE {KEYWORD_SIM('n.text', 'v.text')} END AS s,
- CASE WHEN n.embedding IS NOT NULL AND v.embedding IS NOT NULL THEN round({COSINE('n.embedding', 'v.embedding')}, 9) >= 0.92 ELSE n.kind = v.kind AND {KEYWORD_SIM('n.text', 'v.text')} >= 0.9 AND {KEYWORD_SIM('v.text', 'n.text')} >= 0.9 END AS same FROM n JOIN v ON superseded_by = ''),
+vw AS (SELECT *, {KEYWORDS('text')} AS kw FROM v), nw AS (SELECT *, {KEYWORDS('text')} AS kw FROM n),
+p AS (SELECT n.id AS new_id, v.id, v.ord, CASE WHEN n.embedding IS NOT NULL AND v.embedding IS NOT NULL THEN {COSINE('n.embedding', 'v.embedding')} ELSE {_SHARE('n', 'v')} END AS s,
+ CASE WHEN n.embedding IS NOT NULL AND v.embedding IS NOT NULL THEN round({COSINE('n.embedding', 'v.embedding')}, 9) >= 0.92 ELSE n.kind = v.kind AND {_SHARE('n', 'v')} >= 0.9 AND {_SHARE('v', 'n')} >= 0.9 END AS same FROM nw n JOIN vw v ON superseded_by = ''),
 dup AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(s, 9) DESC, ord) AS k FROM p WHERE same) WHERE k = 1)"""
 
 
