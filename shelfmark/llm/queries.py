@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, lines, neardup, packing, passages, sstable, substrings, topk, warc
+from . import decontaminate, language, lines, neardup, packing, passages, rules, sstable, substrings, topk, warc
 from .common import table
 
 
@@ -23,5 +23,7 @@ QUERIES = {
     "op8_compact_windows": lambda spark, d: passages.op8_compact_windows(table(spark, d, "documents")),
     "op9_warc_index": lambda spark, d: warc.op9_warc_index(table(spark, d, "pages")),
     "op10_bm25_wand": lambda spark, d: decontaminate.op10_bm25_wand(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op13_rule_ledger": lambda spark, d: rules.op13_rule_ledger(table(spark, d, "documents")),
+    "op13_ablations": lambda spark, d: rules.op13_ablations(table(spark, d, "documents")),
 }
-SQL: dict[str, str] = {"op2_line_windows": lines.OP2_SQL, "op3_segment_topk": topk.OP3_SQL, "op9_warc_index": warc.OP9_SQL}
+SQL: dict[str, str] = {"op2_line_windows": lines.OP2_SQL, "op3_segment_topk": topk.OP3_SQL, "op9_warc_index": warc.OP9_SQL, "op13_rule_ledger": rules.OP13_SQL, "op13_ablations": rules.ABLATIONS_SQL}
