@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, lines, neardup, packing, passages, rules, sstable, substrings, topk, trie, warc
+from . import decontaminate, language, lines, neardup, packing, passages, repair, rules, sstable, substrings, topk, trie, warc
 from .common import table
 
 
@@ -23,8 +23,9 @@ QUERIES = {
     "op8_compact_windows": lambda spark, d: passages.op8_compact_windows(table(spark, d, "documents")),
     "op9_warc_index": lambda spark, d: warc.op9_warc_index(table(spark, d, "pages")),
     "op10_bm25_wand": lambda spark, d: decontaminate.op10_bm25_wand(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op11_structure_repair": lambda spark, d: repair.op11_structure_repair(table(spark, d, "conversations")),
     "op12_prefix_trie": lambda spark, d: trie.op12_prefix_trie(table(spark, d, "conversations")),
     "op13_rule_ledger": lambda spark, d: rules.op13_rule_ledger(table(spark, d, "documents")),
     "op13_ablations": lambda spark, d: rules.op13_ablations(table(spark, d, "documents")),
 }
-SQL: dict[str, str] = {"op2_line_windows": lines.OP2_SQL, "op3_segment_topk": topk.OP3_SQL, "op9_warc_index": warc.OP9_SQL, "op12_prefix_trie": trie.OP12_SQL, "op13_rule_ledger": rules.OP13_SQL, "op13_ablations": rules.ABLATIONS_SQL}
+SQL: dict[str, str] = {"op2_line_windows": lines.OP2_SQL, "op3_segment_topk": topk.OP3_SQL, "op9_warc_index": warc.OP9_SQL, "op11_structure_repair": repair.OP11_SQL, "op12_prefix_trie": trie.OP12_SQL, "op13_rule_ledger": rules.OP13_SQL, "op13_ablations": rules.ABLATIONS_SQL}
