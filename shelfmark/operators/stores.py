@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, vector
-from . import retrieval
+from . import vectors
 
 KEPT_RUNS = 500
 STATUS_ORDER = ("pending_review", "accepted", "needs_revision", "draft", "rejected")
@@ -137,12 +137,12 @@ def near_duplicates(incoming: DataFrame, memories: DataFrame, least: float = KEY
     return fine.withColumn("k", F.row_number().over(order)).where("k = 1").select("new_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
-def near_by_vector(incoming: DataFrame, memories: DataFrame, least: float = DUPLICATE) -> DataFrame:
+def near_by_vector(incoming: DataFrame, memories: DataFrame, least: float = DUPLICATE, compared=None) -> DataFrame:
     """(new_id, id, ord, similarity): pairs of a new memory and an active one, of any kind, whose vectors' cosine reaches ``least``.
-    New memories come in batches and meet the store in blocks."""
-    new = incoming.where("embedding is not null").select(F.col("id").alias("query_id"), vector.unit(F.transform("embedding", lambda x: x.cast("double"))).alias("qv"))
-    old = active(memories).where("embedding is not null").select("id", "ord", vector.unit(F.transform("embedding", lambda x: x.cast("double"))).alias("embedding"))
-    return retrieval.similarities(old, new).where((F.round("sim", 9) >= least) & (F.col("id") != F.col("query_id"))).select(F.col("query_id").alias("new_id"), "id", "ord", F.col("sim").alias("similarity"))
+    New memories come in batches, which meet the store where it is read; ``compared`` counts whole products."""
+    new = incoming.where("embedding is not null").select(F.col("id").alias("query_id"), F.col("embedding").alias("qv"))
+    old = active(memories).where("embedding is not null").select("id", "ord", "embedding")
+    return vectors.within(old, new, least, compared=compared).where(F.col("id") != F.col("query_id")).select(F.col("query_id").alias("new_id"), "id", "ord", F.col("sim").alias("similarity"))
 
 
 def duplicates(incoming: DataFrame, memories: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import chunking as K
 from ..operators import evaluation as V
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators import vectors as X
 from . import bind, graph  # noqa: F401  graph's SQL is used below
 from .registry import SQL, query
 from .scalars import NORMAL, SENTENCES, STRIP
@@ -103,7 +104,8 @@ m AS (SELECT query_id, coalesce(list_min(list_filter(list_transform(expected, la
 def _examples(t):
     c = bind.chunks(t)
     q = c.where("ord % 20 = 0").select(F.col("ord").alias("query_id"), F.col("embedding").alias("qv"))
-    scored = R.similarities(c.select("ord", "url", "embedding"), q).where("ord <> query_id").withColumn("sim", F.round("sim", 9))
+    # the best 7, of which the question's own chunk can be one
+    scored = X.nearest(c.select("ord", "url", "embedding"), q, 7).where("ord <> query_id").withColumn("sim", F.round("sim", 9))
     hits = R.top(scored, 6, F.desc("sim"), F.col("ord")).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("got"))
     u = lambda e: F.concat(F.lit("u"), F.expr(e))
     return hits.withColumn("expected", F.array(u("query_id % 50"), u("(query_id + 7) % 50"), u("(query_id * 3) % 50")))

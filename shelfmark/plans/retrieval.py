@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import retrieval as R
+from ..operators import vectors as X
 from . import bind
 from .bind import CHUNK_SQL, QUERY_SQL, SECTION_SQL
 from .registry import query
@@ -39,7 +40,7 @@ RRF_SQL = """rrf AS (SELECT query_id, ord, round(coalesce(1.0::DOUBLE / (60 + h.
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, r1 NULLS LAST, r2 NULLS LAST)::INT AS rank FROM rrf))"""
 
 query("jon09", f"{WITH}, {SIM_SQL} SELECT query_id, ord, round(sim, 5) AS sim FROM sim")(
-    lambda t: R.similarities(C(t).select("ord", "embedding"), Q(t)).select("query_id", "ord", F.round("sim", 5).alias("sim"))
+    lambda t: X.similarities(C(t).select("ord", "embedding"), Q(t)).select("query_id", "ord", F.round("sim", 5).alias("sim"))
 )
 query("top01", f"{WITH}, {SIM_SQL}, {nn_sql(10)} SELECT query_id, ord, nn::INT AS rank, round(sim, 5) AS sim FROM nn")(
     lambda t: R.dense(C(t), Q(t), 10).select("query_id", "ord", F.col("nn").alias("rank"), F.round("sim", 5).alias("sim"))
@@ -84,16 +85,16 @@ def _top05(t):
 
 
 query("top06", f"{WITH}, ss AS (SELECT query_id, s.id, {DOT('s.embedding', 'q.qv')} AS s, s.ord FROM section s, q) SELECT * FROM (SELECT query_id, id, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ord)::INT AS rank FROM ss) WHERE rank <= 50")(
-    lambda t: R.top(R.similarities(S(t), Q(t)).withColumnRenamed("sim", "s"), 50, F.desc("s"), F.col("ord")).select("query_id", "id", F.round("s", 4).alias("score"), "rank")
+    lambda t: X.nearest(S(t).select("id", "ord", "embedding"), Q(t), 50, rank="rank").select("query_id", "id", F.round("sim", 4).alias("score"), "rank")
 )
 query("flt13", f"{WITH}, ss AS (SELECT query_id, s.id, {DOT('s.embedding', 'q.qv')} AS s, s.ord FROM section s, q WHERE s.url IN ('u0', 'u1', 'u2', 'u3', 'u4', 'u5')) SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ord)::INT AS rank FROM ss) WHERE rank <= 3")(
-    lambda t: R.top(R.similarities(S(t).where(F.col("url").isin(*[f"u{i}" for i in range(6)])), Q(t)).withColumnRenamed("sim", "s"), 3, F.desc("s"), F.col("ord")).select("query_id", "id", "rank")
+    lambda t: X.nearest(S(t).where(F.col("url").isin(*[f"u{i}" for i in range(6)])).select("id", "ord", "embedding"), Q(t), 3, rank="rank").select("query_id", "id", "rank")
 )
 
 
 @query("flt14", f"{WITH}, {hier_sql(1000000, 48)}, ts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, section_id) AS r FROM ss) WHERE r <= 3) SELECT query_id, h.ord, h.score FROM hier h SEMI JOIN ts ON ts.query_id = h.query_id AND ts.section_id = h.section_id")
 def _flt14(t):
-    best = R.top(R.section_scores(S(t), Q(t)), 3, F.desc("section_sim"), F.col("section_id"))
+    best = X.nearest(S(t).select(F.col("id").alias("section_id"), "embedding"), Q(t), 3, tie="section_id")
     return R.hierarchical(C(t), S(t), Q(t), 1000000, 48).join(best.select("query_id", "section_id"), ["query_id", "section_id"], "left_semi").select("query_id", "ord", "score")
 
 

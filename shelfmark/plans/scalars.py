@@ -114,26 +114,24 @@ plain("dat05", "events", "event_id", lambda: {"start_us": F.unix_micros(F.col("t
 
 # vectors
 E = lambda: F.col("embedding")
-plain("mth01", "embeddings", "vec_id", lambda: {"norm": F.round(vector.norm(vector.unit(F.transform(E(), lambda x: x.cast("double") * 3))), 6), "first": F.round(F.get(vector.unit(F.transform(E(), lambda x: x.cast("double") * 3)), F.lit(0)), 6)},
-      {"norm": f"round(sqrt({DOT('u', 'u')}), 6)", "first": "round(u[1], 6)"})
-from .registry import SQL  # noqa: E402
-
-SQL["mth01"] = f"WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt({DOT('e', 'e')}) AS l FROM s), v AS (SELECT vec_id, list_transform(e, lambda x: x / l) AS u FROM n) SELECT vec_id, round(sqrt({DOT('u', 'u')}), 6) AS norm, round(u[1], 6) AS first FROM v"
+query("mth01", f"WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt({DOT('e', 'e')}) AS l FROM s), v AS (SELECT vec_id, list_transform(e, lambda x: x / l) AS u FROM n) SELECT vec_id, round(sqrt({DOT('u', 'u')}), 6) AS norm, round(u[1], 6) AS first FROM v")(
+    lambda t: t.embeddings.select("vec_id", vector.unit(F.transform(E(), lambda x: x.cast("double") * 3)).alias("u")).select("vec_id", F.round(vector.norm(F.col("u")), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
+)
 
 
-def _pairs(t):
-    """Every vector with each whose number is divisible by 20."""
-    from ..operators.retrieval import with_queries
+def _pairs(t, of=lambda x: x):
+    """Products of every vector with each whose number is divisible by 20."""
+    from ..operators import vectors
 
-    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), E().alias("b"))
-    return with_queries(t.embeddings.select("vec_id", E().alias("a")), queries, "b").where("vec_id <> query_id")
+    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), of(E()).alias("qv"))
+    return vectors.similarities(t.embeddings.select("vec_id", of(E()).alias("embedding")), queries).where("vec_id <> query_id")
 
 
 query("mth02", f"SELECT q.vec_id AS query_id, v.vec_id, round({DOT('v.embedding', 'q.embedding')} / (sqrt({DOT('v.embedding', 'v.embedding')}) * sqrt({DOT('q.embedding', 'q.embedding')})), 4) + 0.0::DOUBLE AS cosine FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id")(
-    lambda t: _pairs(t).select("query_id", "vec_id", (F.round(vector.cosine(F.col("a"), F.col("b")), 4) + 0.0).alias("cosine"))
+    lambda t: _pairs(t, vector.unit).select("query_id", "vec_id", (F.round("sim", 4) + 0.0).alias("cosine"))
 )
 query("mth03", f"SELECT q.vec_id AS query_id, v.vec_id, round({DOT('v.embedding', 'q.embedding')}, 5) + 0.0::DOUBLE AS product FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id")(
-    lambda t: _pairs(t).select("query_id", "vec_id", (F.round(vector.dot(F.col("a"), F.col("b")), 5) + 0.0).alias("product"))
+    lambda t: _pairs(t).select("query_id", "vec_id", (F.round("sim", 5) + 0.0).alias("product"))
 )
 plain("mth04", "events", "event_id", lambda: {"r3": F.round("value", 3), "r4": F.round("value", 4)}, {"r3": "round(value, 3)", "r4": "round(value, 4)"})
 plain("mth05", "events", "event_id", lambda: {"clamped": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 50))}, {"clamped": "greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 50))"})
@@ -158,8 +156,7 @@ plain("arr01", "documents", "doc_id", lambda: {"first_the": F.array_position(_TO
       {"first_the": f"coalesce(list_position({TOKENS('text')}, 'the'), 0)::BIGINT", "reciprocal": f"round(CASE WHEN coalesce(list_position({TOKENS('text')}, 'the'), 0) > 0 THEN 1.0::DOUBLE / list_position({TOKENS('text')}, 'the') ELSE 0.0 END, 6)"})
 plain("mth09", "documents", "doc_id", lambda: {"rr": F.round(F.when(F.array_position(_TOK(), "de") > 0, 1 / F.array_position(_TOK(), "de")).otherwise(0.0), 6)}, {"rr": f"round(CASE WHEN coalesce(list_position({TOKENS('text')}, 'de'), 0) > 0 THEN 1.0::DOUBLE / list_position({TOKENS('text')}, 'de') ELSE 0.0 END, 6)"})
 plain("arr02", "documents", "doc_id", lambda: {"head": F.array_join(F.slice(_TOK(), 1, 5), " ")}, {"head": f"array_to_string(({TOKENS('text')})[1:5], ' ')"})
-plain("arr03", "documents", "doc_id", lambda: {"distinct_tokens": F.array_join(F.array_distinct(_TOK()), " ")}, {"distinct_tokens": f"(SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(({TOKENS('text')})[1:30]) AS x, unnest(range(1, 31)) AS i) WHERE x IS NOT NULL GROUP BY x))"})
-SQL["arr03"] = f"WITH w AS (SELECT doc_id, {TOKENS('text')} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w), m AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY doc_id, x), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM m GROUP BY doc_id) SELECT d.doc_id, coalesce(s, '') AS distinct_tokens FROM documents d LEFT JOIN j USING (doc_id)"
+query("arr03", f"WITH w AS (SELECT doc_id, {TOKENS('text')} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w), m AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY doc_id, x), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM m GROUP BY doc_id) SELECT d.doc_id, coalesce(s, '') AS distinct_tokens FROM documents d LEFT JOIN j USING (doc_id)")(lambda t: t.documents.select("doc_id", F.array_join(F.array_distinct(_TOK()), " ").alias("distinct_tokens")))
 plain("arr04", "documents", "doc_id", lambda: {"any_long": F.exists(_TOK(), lambda x: F.length(x) > 15), "all_short": F.forall(_TOK(), lambda x: F.length(x) < 25)}, {"any_long": f"len(list_filter({TOKENS('text')}, lambda x: length(x) > 15)) > 0", "all_short": f"len(list_filter({TOKENS('text')}, lambda x: length(x) >= 25)) = 0"})
 query("arr05", f"SELECT conv_id, len(flatten(list({TOKENS('text')})))::BIGINT AS n_tokens FROM conversations GROUP BY conv_id")(lambda t: t.conversations.groupBy("conv_id").agg(F.size(F.flatten(F.collect_list(text.tokens(T())))).cast("long").alias("n_tokens")))
 query("arr06", "SELECT source, string_agg(doc_id || ' (' || lang || ')', '; ' ORDER BY doc_id) AS listed FROM documents GROUP BY source")(
