@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import graph as G
 from . import bind
 from .bind import NODE_SQL
-from .registry import SQL, query
+from .registry import query
 from .scalars import SLUG
 
 N, E = bind.nodes, bind.edges
@@ -140,11 +140,10 @@ def _merging(t):
     return G.merge_entities(people, _people_edges(t), pairs)
 
 
-query("grf06", f"{_MERGE_SQL} SELECT to_ AS id, arg_max(name, keep IS NULL) AS name, sum(mentions)::BIGINT AS mentions, arg_max(summary, (length(summary), keep IS NULL, -ord)) AS summary, array_to_string(list_sort(list_filter(list_distinct(flatten(list(list_concat(aliases, CASE WHEN keep IS NULL THEN [] ELSE [name] END)))), lambda a: a <> '' AND a <> arg_max(name, keep IS NULL))), '|') AS aliases FROM x GROUP BY to_")(
+query("grf06", f"""{_MERGE_SQL}, g AS (SELECT to_ AS id, arg_max(name, keep IS NULL) AS name, sum(mentions)::BIGINT AS mentions, arg_max(summary, (length(summary), keep IS NULL, -ord)) AS summary, list_distinct(flatten(list(list_concat(aliases, CASE WHEN keep IS NULL THEN []::VARCHAR[] ELSE [name] END)))) AS names FROM x GROUP BY to_)
+SELECT id, name, mentions, summary, array_to_string(list_sort(list_filter(names, lambda a: a <> '' AND a <> name)), '|') AS aliases FROM g""")(
     lambda t: _merging(t)[0].select("id", "name", "mentions", "summary", F.array_join("aliases", "|").alias("aliases"))
 )
-SQL["grf06"] = f"""{_MERGE_SQL}, g AS (SELECT to_ AS id, arg_max(name, keep IS NULL) AS name, sum(mentions)::BIGINT AS mentions, arg_max(summary, (length(summary), keep IS NULL, -ord)) AS summary, list_distinct(flatten(list(list_concat(aliases, CASE WHEN keep IS NULL THEN []::VARCHAR[] ELSE [name] END)))) AS names FROM x GROUP BY to_)
-SELECT id, name, mentions, summary, array_to_string(list_sort(list_filter(names, lambda a: a <> '' AND a <> name)), '|') AS aliases FROM g"""
 query("grf06_edges", f"""{_MERGE_SQL}, e AS (SELECT 'entity_' || o_custkey AS src, 'entity_' || (o_orderkey % 150) AS dst, 'relation' AS kind FROM orders),
 r AS (SELECT coalesce(a.keep, src) AS src, coalesce(b.keep, dst) AS dst, kind FROM e LEFT JOIN mp a ON a.drop_ = src LEFT JOIN mp b ON b.drop_ = dst) SELECT src, dst, kind FROM r WHERE NOT (src = dst AND src IN (SELECT keep FROM mp))""")(lambda t: _merging(t)[1].select("src", "dst", "kind"))
 
@@ -158,20 +157,6 @@ def _found(t):
 
 _UPSERT = f"SELECT 'entity_' || {SLUG('name')} AS id, name, kind, mentions, importance, summary FROM (SELECT arg_min(name, ord) AS name, coalesce(arg_min(kind, ord) FILTER (kind <> 'concept'), 'concept') AS kind, count(*) AS mentions, max(importance) AS importance, arg_max(summary, (length(summary), -ord)) AS summary FROM f GROUP BY lower(name))"
 query("agg20", f"WITH {_FOUND_SQL} {_UPSERT}")(lambda t: G.upsert_entities(_found(t)).drop("ord"))
-query("grf03", f"WITH {_FOUND_SQL}, e AS (SELECT ord, lower(name) AS a, lead(lower(name)) OVER (PARTITION BY source ORDER BY ord) AS b FROM f) SELECT a, b, count(*) AS n FROM e WHERE b IS NOT NULL AND a <> b GROUP BY ALL")(
-    lambda t: _found(t).withColumn("a", F.lower("name")).withColumn("b", F.lead("a").over(Window.partitionBy("source").orderBy("ord"))).where("b is not null and a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-)
-
-
-@query("grf02", f"""WITH d AS (SELECT doc_id, source, lang FROM documents), s AS (SELECT 'source_' || {SLUG('source')} AS id, min(doc_id) AS ord FROM d GROUP BY ALL) SELECT 'chunk_' || doc_id AS src, s.id AS dst, 'from_source' AS kind FROM d JOIN s ON s.id = 'source_' || {SLUG('source')}
-UNION ALL SELECT 'chunk_' || doc_id, 'entity_' || {SLUG('lang')}, 'mentions' FROM d""")
-def _grf02(t):
-    """Staged chunks become sources, from_source and mentions edges."""
-    d = t.documents.select("doc_id", "source", "lang")
-    chunk = F.concat(F.lit("chunk_"), "doc_id").alias("src")
-    return d.select(chunk, F.concat(F.lit("source_"), text.slug(F.col("source"))).alias("dst"), F.lit("from_source").alias("kind")).unionByName(d.select(chunk, F.concat(F.lit("entity_"), text.slug(F.col("lang"))).alias("dst"), F.lit("mentions").alias("kind")))
-
-
 query("grf01", f"SELECT 'chunk_' || substr(sha256(text), 1, 12) AS id, any_value(substr(text, 1, 240)) AS preview, count(*) AS staged FROM documents GROUP BY 'chunk_' || substr(sha256(text), 1, 12)")(
     lambda t: t.documents.groupBy(F.concat(F.lit("chunk_"), F.substring(F.sha2("text", 256), 1, 12)).alias("id")).agg(F.first(F.substring("text", 1, 240)).alias("preview"), F.count("*").alias("staged"))
 )
@@ -182,6 +167,9 @@ for _depth in (1, 2):
     query("grf05" if _depth == 2 else "grf05_one", f"""WITH RECURSIVE {NODE_SQL}, u AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge), w AS (SELECT 'chunk_7' AS id, 0 AS d UNION SELECT u.b, w.d + 1 FROM w JOIN u ON u.a = w.id WHERE w.d < {_depth}) SELECT id, min(d)::INT * 0 AS zero FROM w GROUP BY id""")(
         lambda t, d=_depth: G.neighbourhood(E(t), ["chunk_7"], d)[0].select("id", F.lit(0).alias("zero"))
     )
+query("grf05_many", f"""WITH RECURSIVE {NODE_SQL}, u AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge), w AS (SELECT 'chunk_' || doc_id AS start, 'chunk_' || doc_id AS id, 0 AS d FROM documents WHERE doc_id % 100 = 7 UNION SELECT w.start, u.b, w.d + 1 FROM w JOIN u ON u.a = w.id WHERE w.d < 2) SELECT start, id, min(d)::INT AS steps FROM w GROUP BY start, id""")(
+    lambda t: G.neighbourhoods(E(t), t.documents.where("doc_id % 100 = 7").select(F.concat(F.lit("chunk_"), "doc_id").alias("start"), F.concat(F.lit("chunk_"), "doc_id").alias("id")), 2)[0]
+)
 query("grf08", f"SELECT 'topic_' || {SLUG('r_name')} AS src, 'topic_' || {SLUG('n_name')} AS dst, 'subtopic_of' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey")(
     lambda t: t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("topic_"), text.slug(F.col("r_name"))).alias("src"), F.concat(F.lit("topic_"), text.slug(F.col("n_name"))).alias("dst"), F.lit("subtopic_of").alias("kind"))
 )
