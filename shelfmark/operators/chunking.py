@@ -1,7 +1,11 @@
-"""Chunks and summaries of whole texts, as folds over arrays inside the JVM."""
+"""Chunks and summaries of whole texts: as column expressions, and for tables of texts in Arrow batches."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +73,81 @@ def sub_chunks(c: Column, size: int = SECTION) -> Column:
     return F.when(F.length(c) <= size, F.array(c)).when(F.size(packed) == 0, F.array(c)).otherwise(packed)
 
 
+_STRIP, _END, _BREAK = " \t\n\x0b\f\r", re.compile(r"(?<=[.!?])\s+", re.ASCII), re.compile(r"\n{2,}")
+
+
+def _joined(parts: Iterable[str], size: int, glue: str, overlap: int = 0) -> Iterator[str]:
+    """Parts joined while they fit; a part longer than ``size`` is cut. With ``overlap``, the end of a full chunk begins the next."""
+    held = ""
+    for part in parts:
+        if held and len(both := (held + glue + part).strip(_STRIP)) <= size:
+            held = both
+            continue
+        if not held and len(part) <= size:
+            held = part
+            continue
+        if held:
+            yield held
+        tail, held = _tail(held, overlap), ""
+        if len(part) > size:
+            yield from (part[i : i + size] for i in range(0, len(part), size))
+        else:
+            held = (tail + glue + part).strip(_STRIP) if tail else part
+    if held:
+        yield held
+
+
+def _tail(full: str, n: int) -> str:
+    if n <= 0 or len(full) <= n:
+        return full if n > 0 else ""
+    end = full[-n:]
+    space = end.find(" ")
+    return (end[space + 1 :] if 0 < space < n // 2 else end).strip(_STRIP)
+
+
+def chunks_of(whole: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
+    """``chunk_array`` for one text, in time linear in its length: every part is looked at once, and what is held is a chunk."""
+    plain = re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", re.sub(r"\r\n?", "\n", whole or ""))).strip(_STRIP)
+    if len(plain) <= size:
+        return [plain] if plain else []
+    some = lambda parts: (x for p in parts if (x := p.strip(_STRIP)))
+    pieces = (x for p in some(_BREAK.split(plain)) for x in ([p] if len(p) <= size else _joined(some(_END.split(p)), size, " ")))
+    return list(_joined(pieces, size, "\n\n", overlap))
+
+
 def chunk(docs: DataFrame, key: str, column: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(key, position, text): a row for each chunk."""
-    return docs.select(key, F.posexplode(chunk_array(F.col(column), size, overlap)).alias("position", "text"))
+    """(key, position, text): a row for each chunk, in Arrow batches of some MB of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, texts, rows = [], [], []
+            for i, whole in enumerate(batch.column(1).to_pylist()):
+                own = chunks_of(whole, size, overlap)
+                rows += [i] * len(own)
+                at += range(len(own))
+                texts += own
+                if len(texts) > 5000 or i + 1 == batch.num_rows and texts:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(at, pa.int32()), pa.array(texts, pa.string())], names=[key, "position", "text"])
+                    at, texts, rows = [], [], []
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(column).cast("string")).mapInArrow(run, f"`{key}` {kind}, position int, text string")
+
+
+@F.udtf(returnType="position int, chunk string")
+class Chunks:
+    """The chunker as a table function: ``SELECT ... FROM docs, LATERAL chunks(text, size, overlap)``."""
+
+    def eval(self, whole: str, size: int, overlap: int):
+        yield from enumerate(chunks_of(whole, size, overlap))
+
+
+def chunk_table(docs: DataFrame, key: str, column: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """``chunk`` by the table function, as SQL would call it."""
+    spark = docs.sparkSession
+    spark.udtf.register("chunks", Chunks)
+    docs.select(F.col(key).alias("k"), F.col(column).alias("t")).createOrReplaceTempView("__chunked")
+    return spark.sql(f"SELECT k AS `{key}`, c.position, c.chunk AS text FROM __chunked, LATERAL chunks(t, {int(size)}, {int(overlap)}) c")
 
 
 def ranked_sentences(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS
 
 
 query("txt01", chunk_sql(800, 120))(lambda t: K.chunk(t.documents, "doc_id", "text"))
-query("udtf1", chunk_sql(400, 60))(lambda t: K.chunk(t.documents, "doc_id", "text", 400, 60))
+query("udtf1", chunk_sql(400, 60))(lambda t: K.chunk_table(t.documents, "doc_id", "text", 400, 60))
 query("txt02", f"SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE CASE WHEN strpos(substr(text, -120), ' ') - 1 > 0 AND strpos(substr(text, -120), ' ') - 1 < 60 THEN {STRIP('''substr(substr(text, -120), strpos(substr(text, -120), ' ') + 1)''')} ELSE {STRIP('substr(text, -120)')} END END AS tail FROM documents")(lambda t: t.documents.select("doc_id", text.overlap_tail(T(), 120).alias("tail")))
 query("txt03", "SELECT doc_id, i::INT AS position, substr(text, i * 2500 + 1, 2500) AS part FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 2500 THEN [0] ELSE range(0, (length(text) - 1) // 2500 + 1) END) AS i FROM (SELECT doc_id, " + STRIP("text") + " AS text FROM documents))")(
     lambda t: t.documents.select("doc_id", F.posexplode(K.sub_chunks(text.strip(T()))).alias("position", "part"))
@@ -176,7 +176,7 @@ _GATE = f"CASE WHEN {_CRIT} > 0 OR round((11 - len(f)) / 11.0::DOUBLE, 3) < 0.8
 _RUBRIC = lambda: F.when(F.expr("doc_id % 5 <> 0"), F.expr("doc_id % 10 / 10.0D"))
 query("skl03", f"WITH {_SK}, r AS (SELECT doc_id, {_FAIL} AS f FROM sk) SELECT doc_id, {_GATE} AS gate FROM r")(lambda t: V.checks(_skills(t)).select("doc_id", V.gate(F.col("ratio"), F.size("critical"), _RUBRIC()).alias("gate")))
 query("skl04", f"WITH {_SK}, r AS (SELECT doc_id, {_FAIL} AS f FROM sk) SELECT doc_id, (11 - len(f))::INT AS passed, 11 AS total, round((11 - len(f)) / 11.0::DOUBLE, 3) AS ratio, array_to_string(f, ',') AS failures, {_GATE} AS gate FROM r")(lambda t: V.checks(_skills(t)).select("doc_id", "passed", "total", "ratio", F.array_join("failures", ",").alias("failures"), V.gate(F.col("ratio"), F.size("critical"), _RUBRIC()).alias("gate")))
-query("evl01", "SELECT item_id, len(list_distinct(list_filter(['u' || (item_id % 60), 'u' || (item_id % 7), 'u' || (item_id % 60)], lambda u: u IN (SELECT DISTINCT 'u' || (vec_id % 50) FROM embeddings))))::INT AS known FROM benchmark")(lambda t: _known(t))
+query("evl01", "WITH k AS (SELECT DISTINCT 'u' || (vec_id % 50) AS u FROM embeddings), a AS (SELECT DISTINCT item_id, unnest(['u' || (item_id % 60), 'u' || (item_id % 7)]) AS u FROM benchmark) SELECT b.item_id, count(k.u)::INT AS known FROM benchmark b LEFT JOIN a USING (item_id) LEFT JOIN k ON k.u = a.u GROUP BY b.item_id")(lambda t: _known(t))
 
 
 def _known(t):
@@ -186,7 +186,6 @@ def _known(t):
     return t.benchmark.select("item_id").join(asked.join(urls, "u").groupBy("item_id").agg(F.count("*").cast("int").alias("known")), "item_id", "left").select("item_id", F.coalesce("known", F.lit(0)).alias("known"))
 
 
-SQL["evl01"] = "WITH k AS (SELECT DISTINCT 'u' || (vec_id % 50) AS u FROM embeddings), a AS (SELECT DISTINCT item_id, unnest(['u' || (item_id % 60), 'u' || (item_id % 7)]) AS u FROM benchmark) SELECT b.item_id, count(k.u)::INT AS known FROM benchmark b LEFT JOIN a USING (item_id) LEFT JOIN k ON k.u = a.u GROUP BY b.item_id"
 query("evl03", "SELECT d.doc_id, l.doc_id IS NULL AS needs_review FROM documents d LEFT JOIN labels l USING (doc_id)")(lambda t: t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(True).alias("had")), "doc_id", "left").select("doc_id", F.col("had").isNull().alias("needs_review")))
 
 
