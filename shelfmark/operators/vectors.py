@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Bytes of query vectors (in double precision) that are sent to the tasks at once.
 WAVE = 32 << 20
+#: So many queries are fetched without being counted.
+FEW = 2000
 
 
 def matrix(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -35,11 +37,18 @@ def matrix(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
 
 def waves(queries: DataFrame, most: int = WAVE) -> Iterator[tuple[list, np.ndarray]]:
     """(ids, vectors) of queries (query_id, qv), at most about ``most`` bytes at a time."""
-    n, dim = queries.agg(F.count("*"), F.max(F.size("qv"))).first()
-    parts = -(-n * max(dim or 0, 1) * 8 // most)
+    own = queries.select("query_id", "qv")
+    first = own.limit(FEW + 1).toArrow()
+    if first.num_rows <= FEW:  # one small batch: cut here where its vectors are long
+        rows, m = matrix(first.column("qv"))
+        ids, step = first.column("query_id").take(pa.array(rows)).to_pylist(), max(1, most // max(1, 8 * m.shape[1]))
+        for at in range(0, len(rows), step):
+            yield ids[at : at + step], m[at : at + step]
+        return
+    n, dim = own.agg(F.count("*"), F.max(F.size("qv"))).first()
+    parts = max(1, -(-n * max(dim or 0, 1) * 8 // most))
     for part in range(parts):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else queries
-        table = own.select("query_id", "qv").toArrow()
+        table = own.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
         rows, m = matrix(table.column("qv"), dim)
         if len(rows):
             yield table.column("query_id").take(pa.array(rows)).to_pylist(), m

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import graph as G
+from ..operators import lexical as L
 from ..operators import retrieval as R
 from ..operators import vectors as X
 from . import bind
@@ -53,6 +55,19 @@ query("top02", f"{WITH}, {hier_sql(5, 30)} {_HIER}")(lambda t: R.hierarchical(C(
 query("jon05", f"{WITH}, {hier_sql(1000000, 30)} SELECT query_id, ord, section_score FROM hier")(lambda t: R.hierarchical(C(t), S(t), Q(t), 1000000, 30).select("query_id", "ord", "section_score"))
 _BM = "SELECT query_id, rank, ord, bm25 FROM lex"
 query("top03", f"{WITH}, {bm25_sql(30)} {_BM}")(lambda t: R.bm25(C(t), Q(t), 30).select("query_id", "rank", "ord", "bm25"))
+
+
+def _index(t):
+    """Two segments, merged to one."""
+    path = G.shared_path(t.spark, "index")
+    two = L.Index(t.spark, path, 64)
+    two.add(C(t).where("ord % 2 = 0").select("ord", "text"), "even")
+    two.add(C(t).where("ord % 2 = 1").select("ord", "text"), "odd")
+    return two.merge(["even", "odd"], "all")
+
+
+query("top03_index", f"{WITH}, {bm25_sql(30)} {_BM}")(lambda t: _index(t).search(Q(t), 30, G.cut).select("query_id", "rank", "ord", "bm25"))
+query("agg14_index", f"""WITH {CHUNK_SQL} SELECT term, count(DISTINCT ord) AS df FROM (SELECT ord, unnest({TOKENS('text')}) AS term FROM chunk) GROUP BY term""")(lambda t: _index(t).frequencies())
 query("mth06", f"{WITH}, {bm25_sql(1000000)} SELECT query_id, ord, bm25 FROM lex")(lambda t: R.bm25(C(t), Q(t), 1000000).select("query_id", "ord", "bm25"))
 query("agg14", f"""WITH {CHUNK_SQL}, tok AS (SELECT ord, unnest({TOKENS('text')}) AS term FROM chunk), tf AS (SELECT term, ord, count(*) AS tf FROM tok GROUP BY ALL), n AS (SELECT count(*) AS n FROM chunk)
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(any_value(ln((n - df_ + 0.5::DOUBLE) / (df_ + 0.5::DOUBLE) + 1.0::DOUBLE)), 6) AS idf FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df_ FROM tf), n GROUP BY term""")(
