@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, vector
-from . import vectors
+from . import graph, vectors
 
 KEPT_RUNS = 500
 STATUS_ORDER = ("pending_review", "accepted", "needs_revision", "draft", "rejected")
@@ -80,6 +80,20 @@ def ingest(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, columns of ``new``, change): the rows added, changed or gone between two versions of a table; those that are gone have
+    nulls. Keys are unique and not null; values are compared as they are, null like null."""
+    values = [c for c in new.columns if c != key]
+    both = old.select(key, F.struct(*values).alias("__old")).join(new.select(key, F.struct(*values).alias("__new")), key, "full_outer")
+    change = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "gone").when(~F.col("__old").eqNullSafe(F.col("__new")), "changed")
+    return both.withColumn("change", change).where("change is not null").select(key, *(F.col(f"__new.{c}").alias(c) for c in values), "change")
+
+
+def with_changes(old: DataFrame, change: DataFrame, key: str) -> DataFrame:
+    """The version that ``changes`` led to."""
+    return old.join(change.select(key), key, "left_anti").unionByName(change.where("change <> 'gone'").select(old.columns))
+
+
 def stale(flag: str, projected: str) -> Column:
     return F.col(flag) & (F.coalesce(F.col(projected), F.lit("")) != F.col("content_hash"))
 
@@ -145,41 +159,68 @@ def near_by_vector(incoming: DataFrame, memories: DataFrame, least: float = DUPL
     return vectors.within(old, new, least, compared=compared).where(F.col("id") != F.col("query_id")).select(F.col("query_id").alias("new_id"), "id", "ord", F.col("sim").alias("similarity"))
 
 
-def duplicates(incoming: DataFrame, memories: DataFrame) -> DataFrame:
-    """(new_id, id, similarity): the active memory that a new one repeats. Where both have vectors these decide, of any kind;
-    else the keywords of memories of one kind, in both directions. The most similar counts, the first of equals."""
+def matches(incoming: DataFrame, memories: DataFrame) -> DataFrame:
+    """(new_id, id, ord, similarity): every active memory that a new one repeats. Where both have vectors these decide, of any
+    kind; else the keywords of memories of one kind, in both directions."""
     by_words = near_duplicates(incoming, memories, best=False)
     both = incoming.where("embedding is not null").select(F.col("id").alias("new_id"))
     has = memories.where("embedding is not null").select("id")
     plain = by_words.join(both, "new_id", "left_anti").unionByName(by_words.join(both, "new_id", "left_semi").join(has, "id", "left_anti").select(by_words.columns))
-    found = plain.unionByName(near_by_vector(incoming, memories))
+    return plain.unionByName(near_by_vector(incoming, memories))
+
+
+def duplicates(incoming: DataFrame, memories: DataFrame) -> DataFrame:
+    """(new_id, id, similarity): the active memory that a new one repeats: the most similar counts, the first of equals."""
     order = Window.partitionBy("new_id").orderBy(F.desc(F.round("similarity", 9)), "ord")
-    return found.withColumn("k", F.row_number().over(order)).where("k = 1").select("new_id", "id", F.round("similarity", 6).alias("similarity"))
+    return matches(incoming, memories).withColumn("k", F.row_number().over(order)).where("k = 1").select("new_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
+def first_of_like(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id): the items (id, ord) that are kept if each, in order, is dropped where it is like an earlier kept one; ``pairs``
+    (id, ord, like, like_ord) has an item and an earlier one. In rounds: what no undecided earlier one is like is kept, what
+    is like a kept one is dropped; every round decides at least the first of all that are undecided."""
+    open_, kept = graph.cut(items.select("id")), None
+    pairs = graph.cut(pairs.select("id", "like"))
+    while not open_.isEmpty():
+        waiting = pairs.join(open_, "id", "left_semi").join(open_.withColumnRenamed("id", "like"), "like", "left_semi").select("id").distinct()
+        new = graph.cut(open_.join(waiting, "id", "left_anti"))
+        kept = new if kept is None else kept.unionByName(new)
+        gone = pairs.join(new.withColumnRenamed("id", "like"), "like", "left_semi").select("id").distinct()
+        open_ = graph.cut(open_.join(new, "id", "left_anti").join(gone, "id", "left_anti"))
+    return kept if kept is not None else items.where("false").select("id")
 
 
 def remember(incoming: DataFrame, memories: DataFrame, rank) -> DataFrame:
-    """The store after a batch of new memories (id, ord, kind, text, salience, confidence, tags, embedding): one that repeats an active
-    memory reinforces it (counted; salience and confidence only rise, tags are joined), others are added; blank texts are neither.
-    New memories of one kind and text are one, the first, reinforced by the rest."""
-    new = incoming.where(text.strip(F.coalesce("text", F.lit(""))) != "")
+    """The store after new memories (id, ord, kind, text, salience, confidence, tags, embedding), taken one after another: one that
+    repeats an active memory, of the store or of those just added, reinforces the most similar (the store's before new ones,
+    then the first); salience and confidence only rise, tags are joined; others are added, blank texts are neither.
+    New memories of one kind and text are compared once, and a repeat of one that was added reinforces it."""
     conf = F.upper(F.coalesce("confidence", F.lit("INFERRED")))
-    first = new.groupBy("kind", "text").agg(
-        F.min_by(F.struct("id", "ord", "embedding"), "ord").alias("x"), (F.count("*") - 1).alias("again"), F.max("salience").alias("salience"),
-        F.max_by(conf, F.struct(rank(conf), -F.col("ord"))).alias("confidence"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tags"))), lambda z: z["tags"]))).alias("tags"),
-    ).select("x.*", "kind", "text", "again", "salience", "confidence", "tags")
-    same = duplicates(first, memories)
-    known = first.join(same.select(F.col("new_id").alias("id"), F.col("id").alias("old")), "id")
-    gain = known.groupBy(F.col("old").alias("id")).agg(
-        F.sum(F.col("again") + 1).alias("gain"), F.max("salience").alias("new_salience"), F.max_by("confidence", F.struct(rank(F.col("confidence")), -F.col("ord"))).alias("new_confidence"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tags"))), lambda z: z["tags"])).alias("new_tags"),
-    )
+    new = incoming.where(text.strip(F.coalesce("text", F.lit(""))) != "").withColumn("confidence", conf)
+    first = graph.cut(new.groupBy("kind", "text").agg(F.min_by(F.struct("id", "ord", "embedding"), "ord").alias("x")).select("x.*", "kind", "text"))
+    stored = graph.cut(matches(first, memories))
+    fresh = first.join(stored.select(F.col("new_id").alias("id")), "id", "left_anti")
+    among = matches(first, first.withColumn("superseded_by", F.lit(""))).join(first.select(F.col("id").alias("new_id"), F.col("ord").alias("new_ord")), "new_id")
+    among = graph.cut(among)
+    added = graph.cut(first_of_like(fresh, among.where("ord < new_ord").select(F.col("new_id").alias("id"), F.col("id").alias("like"))).join(first.select("id", "ord"), "id"))
+    # what a text is like: the store's, of new ones those that were added, and itself if it was
+    like = stored.select("new_id", "id", "ord", "similarity", F.lit(0).alias("late")).unionByName(among.join(added, "id", "left_semi").select("new_id", "id", "ord", "similarity", F.lit(1).alias("late")))
+    like = like.unionByName(added.select(F.col("id").alias("new_id"), "id", "ord", F.lit(1.0).alias("similarity"), F.lit(1).alias("late")))
+    like = like.select("new_id", F.col("id").alias("old"), F.col("ord").alias("old_ord"), "similarity", "late")
+    items = new.select("id", "ord", "kind", "text", "salience", "confidence", "tags").join(first.select("kind", "text", F.col("id").alias("new_id")), ["kind", "text"])
+    told = items.join(added.select("id"), "id", "left_anti").join(like, "new_id").where((F.col("late") == 0) | (F.col("old_ord") < F.col("ord")))
+    told = told.groupBy("id").agg(F.min_by("old", F.struct(-F.round("similarity", 9), F.col("late"), F.col("old_ord"))).alias("old"), F.first("ord").alias("ord"), F.first("salience").alias("salience"), F.first("confidence").alias("confidence"), F.first("tags").alias("tags"))
+    told = graph.cut(told)
+    gain = told.groupBy(F.col("old").alias("id")).agg(F.count("*").alias("gain"), F.max("salience").alias("new_salience"), F.max_by("confidence", F.struct(rank(F.col("confidence")), -F.col("ord"))).alias("new_confidence"))
+    tags = told.select(F.col("old").alias("id"), "ord", F.posexplode("tags").alias("p", "tag")).groupBy("id", "tag").agg(F.min(F.struct("ord", "p")).alias("at"))
+    tags = tags.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda z: z["tag"]).alias("new_tags"))
+    columns = ["id", "ord", "kind", "text", "salience", "confidence", "tags", "reinforced"]
+    every = memories.select(columns).unionByName(new.join(added.select("id"), "id", "left_semi").withColumn("reinforced", F.lit(0).cast("long")).select(columns))
     higher = F.col("new_confidence").isNotNull() & (rank(F.col("new_confidence")) > rank(F.col("confidence")))
-    old = memories.join(gain, "id", "left").select(
+    return every.join(gain, "id", "left").join(tags, "id", "left").select(
         "id", "ord", "kind", "text", F.greatest("salience", "new_salience").alias("salience"), F.when(higher, F.col("new_confidence")).otherwise(F.col("confidence")).alias("confidence"),
         F.array_distinct(F.concat("tags", F.coalesce("new_tags", F.array().cast("array<string>")))).alias("tags"), (F.col("reinforced") + F.coalesce("gain", F.lit(0))).alias("reinforced"),
     )
-    added = first.join(same.select(F.col("new_id").alias("id")), "id", "left_anti").select("id", "ord", "kind", "text", "salience", "confidence", "tags", F.col("again").alias("reinforced"))
-    return old.unionByName(added)
 
 
 def upsert_skills(skills: DataFrame, specs: DataFrame) -> DataFrame:

@@ -134,13 +134,37 @@ _RANK = "(CASE upper({}) WHEN 'AMBIGUOUS' THEN 0 WHEN 'EXTRACTED' THEN 2 WHEN 'C
 query("mem02", f"{_MEM2} SELECT id, greatest(salience, (ord % 5 + 1)::INT) AS salience, CASE WHEN {_RANK.format('c')} > {_RANK.format('confidence')} THEN upper(c) ELSE confidence END AS confidence FROM (SELECT *, CASE WHEN ord % 3 = 0 THEN 'confirmed' ELSE 'ambiguous' END AS c FROM memory)")(
     lambda t: S.reinforced(M(t), F.expr("cast(ord % 5 + 1 as int)"), F.when(F.expr("ord % 3 = 0"), "confirmed").otherwise("ambiguous"), confidence_rank).select("id", "salience", "confidence")
 )
-query("mem01", f"""WITH {_VEC_SQL}, f AS (SELECT kind, text, min(ord) AS ord, arg_min(id, ord) AS id, count(*) - 1 AS again, max(salience) AS salience, arg_max(upper(confidence), ({_RANK.format('confidence')}, -ord)) AS confidence FROM n GROUP BY kind, text),
-g AS (SELECT d.id, sum(again + 1) AS gain, max(salience) AS s, arg_max(confidence, ({_RANK.format('confidence')}, -f.ord)) AS c FROM f JOIN dup d ON d.new_id = f.id GROUP BY d.id)
-SELECT v.id, greatest(salience, coalesce(s, 0)) AS salience, CASE WHEN c IS NOT NULL AND {_RANK.format('c')} > {_RANK.format('confidence')} THEN c ELSE confidence END AS confidence, coalesce(gain, 0)::BIGINT AS reinforced,
- array_to_string(list_concat(tags, CASE WHEN gain IS NULL THEN [] WHEN list_contains(tags, 'k0') THEN ['new'] ELSE ['new', 'k0'] END), ' ') AS tags FROM v LEFT JOIN g USING (id)
-UNION ALL SELECT id, salience, confidence, again::BIGINT, 'new k0' FROM f WHERE id NOT IN (SELECT new_id FROM dup)""")(
-    lambda t: S.remember(_incoming(t), _vectored(t), confidence_rank).select("id", "salience", "confidence", "reinforced", F.array_join("tags", " ").alias("tags"))
-)
+# besides what repeats the store, a batch has texts that no memory has, each with a longer version of it later on
+_BATCH_SQL = f"""{_VEC_SQL.replace("FROM v WHERE ord % 5 = 0),", "FROM v WHERE ord % 5 = 0 UNION ALL SELECT 'x' || e || id, ord + e::BIGINT * 1000000000, kind, reverse(text) || repeat(' again', e - 1) || repeat(' more', (e = 3)::INT), 3, 'confirmed', ['x' || e], NULL FROM v, (SELECT unnest([1, 2, 3]) AS e) WHERE ord % 3 = 0),")},
+f AS (SELECT kind, text, min(ord) AS ord, arg_min(id, ord) AS id, arg_min(struct_pack(e := embedding), ord).e AS embedding FROM n GROUP BY kind, text),
+fw AS (SELECT *, row_number() OVER (ORDER BY ord) AS k, {KEYWORDS('text')} AS kw FROM f),
+pp AS (SELECT a.id AS new_id, a.ord AS new_ord, b.id, b.ord, CASE WHEN a.embedding IS NOT NULL AND b.embedding IS NOT NULL THEN {COSINE('a.embedding', 'b.embedding')} ELSE {_SHARE('a', 'b')} END AS s, CASE WHEN a.embedding IS NOT NULL AND b.embedding IS NOT NULL THEN {COSINE('a.embedding', 'b.embedding')} ELSE {_SHARE('b', 'a')} END AS s_back,
+ CASE WHEN a.embedding IS NOT NULL AND b.embedding IS NOT NULL THEN round({COSINE('a.embedding', 'b.embedding')}, 9) >= 0.92 ELSE a.kind = b.kind AND {_SHARE('a', 'b')} >= 0.9 AND {_SHARE('b', 'a')} >= 0.9 END AS same FROM fw a JOIN fw b ON b.ord < a.ord AND (a.embedding IS NOT NULL AND b.embedding IS NOT NULL OR a.kind = b.kind AND len(a.kw) * 9 <= len(b.kw) * 10 AND len(b.kw) * 9 <= len(a.kw) * 10)),
+step AS (SELECT f.id, f.k, f.id IN (SELECT new_id FROM dup) AS stored, list(pp.id) FILTER (same) AS near FROM fw f LEFT JOIN pp ON pp.new_id = f.id GROUP BY f.id, f.k),
+fold AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS added UNION ALL SELECT s.k, CASE WHEN stored OR list_has_any(added, coalesce(near, [])) THEN added ELSE list_append(added, s.id) END FROM fold JOIN step s ON s.k = fold.k + 1),
+added AS (SELECT unnest(arg_max(added, k)) AS id FROM fold),
+cand AS (SELECT new_id AS rep, id AS old, ord AS old_ord, s, 0 AS late FROM p WHERE same AND new_id IN (SELECT id FROM f) UNION ALL SELECT new_id, id, ord, s, 1 FROM pp WHERE same AND id IN (SELECT id FROM added)
+ UNION ALL SELECT id, new_id, new_ord, s_back, 1 FROM pp WHERE same AND new_id IN (SELECT id FROM added) UNION ALL SELECT id, id, ord, 1.0::DOUBLE, 1 FROM f WHERE id IN (SELECT id FROM added)),
+it AS (SELECT n.id, n.ord, n.salience, upper(n.confidence) AS confidence, n.tags, f.id AS rep FROM n JOIN f ON f.kind = n.kind AND f.text = n.text WHERE n.id NOT IN (SELECT id FROM added)),
+told AS (SELECT it.*, c.old FROM it JOIN cand c USING (rep) WHERE late = 0 OR old_ord < it.ord QUALIFY row_number() OVER (PARTITION BY it.id ORDER BY round(s, 9) DESC, late, old_ord) = 1),
+g AS (SELECT old AS id, count(*) AS gain, max(salience) AS s, arg_max(confidence, ({_RANK.format('confidence')}, -ord)) AS c, flatten(list(tags ORDER BY ord)) AS more FROM told GROUP BY old),
+every AS (SELECT id, salience, confidence, tags, 0 AS reinforced FROM v UNION ALL SELECT id, salience, upper(confidence), tags, 0 FROM n WHERE id IN (SELECT id FROM added)),
+joined AS (SELECT e.*, g.s, g.c, gain, list_concat(tags, coalesce(more, [])) AS every_tag FROM every e LEFT JOIN g USING (id))
+SELECT id, greatest(salience, coalesce(s, 0)) AS salience, CASE WHEN c IS NOT NULL AND {_RANK.format('c')} > {_RANK.format('confidence')} THEN c ELSE confidence END AS confidence, (reinforced + coalesce(gain, 0))::BIGINT AS reinforced, array_to_string(list_sort(list_distinct(every_tag)), ' ') AS tags FROM joined"""
+
+
+def _batch(t):
+    late = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("e")
+    more = _vectored(t).where("ord % 3 = 0").select("id", "ord", "kind", "text", late)
+    e = F.col("e")
+    more = more.select(
+        F.concat(F.lit("x"), "e", "id").alias("id"), (F.col("ord") + e.cast("long") * 1000000000).alias("ord"), "kind", F.concat(F.reverse("text"), F.when(e == 1, "").when(e == 2, " again").otherwise(" again again more")).alias("text"),
+        F.lit(3).alias("salience"), F.lit("confirmed").alias("confidence"), F.array(F.concat(F.lit("x"), "e")).alias("tags"), F.lit(None).cast("array<float>").alias("embedding"),
+    )
+    return _incoming(t).unionByName(more)
+
+
+query("mem01", f"WITH RECURSIVE {_BATCH_SQL}")(lambda t: S.remember(_batch(t), _vectored(t), confidence_rank).select("id", "salience", "confidence", "reinforced", F.array_join(F.array_sort("tags"), " ").alias("tags")))
 query("mem03", f"{_MEM2} SELECT id, use_count + CASE WHEN ord % 9 = 0 THEN 1 ELSE 0 END AS use_count FROM memory")(lambda t: S.set_flags(M(t), F.expr("ord % 9 = 0"), use_count=F.col("use_count") + 1).select("id", "use_count"))
 query("mem04", f"{_MEM2} SELECT id, CASE ord % 3 WHEN 0 THEN least(5, salience + 1) WHEN 1 THEN greatest(1, salience - 1) ELSE salience END::INT AS salience, CASE WHEN ord % 3 = 0 THEN 'CONFIRMED' ELSE confidence END AS confidence FROM memory")(
     lambda t: S.feedback(M(t), F.expr("element_at(array('up', 'down', 'none'), cast(ord % 3 + 1 as int))")).select("id", "salience", "confidence")
@@ -210,4 +234,17 @@ query("snk10", f"WITH {RUN_SQL} SELECT ord, 'skill.' || kind AS name, epoch_us(\
 )
 query("snk08", "SELECT p_partkey, '---' || chr(10) || 'name: ' || p_name || chr(10) || 'description: ' || p_type || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || chr(10) AS markdown FROM part")(lambda t: t.part.select("p_partkey", F.concat(F.lit("---\nname: "), "p_name", F.lit("\ndescription: "), "p_type", F.lit("\n---\n\n# "), "p_name", F.lit("\n")).alias("markdown")))
 query("snk09", "SELECT source, string_agg('- ' || substr(text, 1, 40), chr(10) ORDER BY doc_id) AS page FROM documents GROUP BY source")(lambda t: t.documents.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("h")))), lambda x: F.concat(F.lit("- "), x["h"])), "\n").alias("page")))
+_VERSIONS_SQL = "a AS (SELECT doc_id, text, lang FROM documents WHERE doc_id % 5 <> 1), b AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END AS text, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE lang END AS lang FROM documents WHERE doc_id % 7 <> 2)"
+
+
+def _versions(t):
+    """Two versions of a table: some rows gone, some new, some with another text or no language."""
+    d = t.documents
+    new = d.where("doc_id % 7 <> 2").select("doc_id", F.when(F.expr("doc_id % 4 = 0"), F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), F.when(F.expr("doc_id % 9 <> 0"), F.col("lang")).alias("lang"))
+    return d.where("doc_id % 5 <> 1").select("doc_id", "text", "lang"), new
+
+
+query("stm03", f"""WITH {_VERSIONS_SQL} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, b.text, b.lang, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'gone' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.text IS DISTINCT FROM b.text OR a.lang IS DISTINCT FROM b.lang""")(lambda t: S.changes(*_versions(t), "doc_id"))
+query("stm03_applied", f"WITH {_VERSIONS_SQL} SELECT * FROM b")(lambda t: S.with_changes(_versions(t)[0], S.changes(*_versions(t), "doc_id"), "doc_id"))
 query("stm07", f"WITH {MEMORY_SQL} SELECT id, round(greatest(0.0::DOUBLE, 1.0 - (epoch_us({NOW}) - epoch_us(updated_at)) / (86400e6 * 30)), 9) AS weight FROM memory")(lambda t: M(t).select("id", F.round(S.dates.recency(F.col("updated_at"), _NOW()), 9).alias("weight")))

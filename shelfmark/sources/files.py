@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html, text
+from . import matrices
 
 SUFFIXES = ("txt", "md", "markdown", "rst", "html", "htm", "csv", "json", "log", "pdf")
 #: Layers by type of node.
@@ -43,16 +42,11 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).na.drop("all")
 
 
-def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, embedding) of .npy files with a matrix each."""
-
-    def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, raw in zip(part["path"], part["content"]):
-                m = np.load(io.BytesIO(raw), allow_pickle=False)
-                yield pd.DataFrame({"file": name, "row": np.arange(len(m)), "embedding": [v.astype(np.float32) for v in m]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, "file string, row long, embedding array<float>")
+def vectors(spark: SparkSession, path: str, rows: int = 100_000, columns: tuple[str, ...] = matrices.COLUMNS) -> DataFrame:
+    """(file, row, embedding) of the .npy files below a path, ``rows`` rows of a matrix at a time; without ``embedding`` among the
+    columns only headers are read."""
+    spark.dataSource.register(matrices.Matrices)
+    return spark.read.format("npy").options(path=path, rows=rows, columns=",".join(columns)).load()
 
 
 def walk(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:

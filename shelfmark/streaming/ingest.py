@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import graph
 from ..operators import stores as S
 from ..sources.tables import VersionedTable
 
@@ -48,6 +50,49 @@ def drain(staging: VersionedTable, overall: VersionedTable) -> int:
     return n
 
 
+class ChangeLog:
+    """What changed at each write of a versioned table, as a table that is only added to, and as a stream.
+
+    A write goes through ``write``: first the table's new version, then the changes from the one before as a numbered folder of
+    files. Numbers are the tokens; a stream's offsets are kept by its checkpoint, so one that stops goes on after the last
+    change it saw. A writer that fails between the two must call ``write`` with ``before``, the version it began with.
+    """
+
+    def __init__(self, table: VersionedTable, key: str):
+        self.table, self.key, self.path = table, key, f"{table.path}-changes"
+
+    @property
+    def schema(self) -> T.StructType:
+        return T.StructType([*self.table.schema.fields, T.StructField("change", T.StringType()), T.StructField("token", T.LongType())])
+
+    def token(self) -> int:
+        """The number of the last write that changed anything; 0 before any."""
+        return (self._read().agg(F.max("token")).first()[0] or 0) if self._any() else 0
+
+    def write(self, rows: DataFrame, before: DataFrame | None = None) -> int:
+        token, old = self.token() + 1, graph.cut(self.table.read() if before is None else before)
+        new = graph.cut(rows.select(*self.table.schema.fieldNames()))
+        self.table.write(new)
+        S.changes(old, new, self.key).withColumn("token", F.lit(token).cast("long")).select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/{token:012d}")
+        return token
+
+    def since(self, token: int = 0) -> DataFrame:
+        """The changes of later writes than ``token``."""
+        return self._read().where(F.col("token") > token) if self._any() else self.table.spark.createDataFrame([], self.schema)
+
+    def stream(self) -> DataFrame:
+        """New changes as they are written, in any trigger; each file once."""
+        return self.table.spark.readStream.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)
+
+    def _any(self) -> bool:
+        spark = self.table.spark
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+    def _read(self) -> DataFrame:
+        return self.table.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)
+
+
 def changed_since(table: VersionedTable, token: str | None) -> tuple[bool, str | None]:
     """Whether a table was written since a token, and the token to ask with next time."""
     now = table.version()
