@@ -21,6 +21,7 @@ T = lambda: F.col("text")
 def chunk_sql(size: int, overlap: int) -> str:
     """The chunker as two recursions: sentences to pieces, pieces to chunks. For texts of one paragraph."""
     tail = f"CASE WHEN length(buf) <= {overlap} THEN buf WHEN strpos(substr(buf, -{overlap}), ' ') - 1 > 0 AND strpos(substr(buf, -{overlap}), ' ') - 1 < {overlap // 2} THEN {STRIP(f"substr(substr(buf, -{overlap}), strpos(substr(buf, -{overlap}), ' ') + 1)")} ELSE {STRIP(f'substr(buf, -{overlap})')} END"
+    tail = tail if overlap else "''"
     return f"""WITH RECURSIVE d AS (SELECT doc_id, {NORMAL('text')} AS t FROM documents), s AS (SELECT doc_id, {SENTENCES('t')} AS s FROM d WHERE length(t) > {size}),
 a AS (SELECT doc_id, 0 AS i, '' AS buf, []::VARCHAR[] AS emit, len(s) AS n FROM s
 UNION ALL SELECT doc_id, i + 1, CASE WHEN x IS NULL THEN '' WHEN fits THEN joined WHEN length(x) > {size} THEN '' ELSE x END,
@@ -55,9 +56,6 @@ _HTML = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_HTML},
 query("txt04", f"SELECT page_id, {_HTML} AS plain FROM pages")(lambda t: t.pages.select("page_id", html.stripped(F.col("html")).alias("plain")))
 query("src08")(lambda t: t.pages.select("page_id", html.main_text_of("html").alias("main_text")))
 query("dat02")(lambda t: t.pages.select("page_id", html.page_date_of("html").alias("date")))
-query("txt06", f"SELECT 'section_' || doc_id || '_0' AS section_id, length({STRIP('text')}) AS chars FROM documents WHERE length({STRIP('text')}) >= 200")(lambda t: t.documents.where(F.length(text.strip(T())) >= 200).select(F.format_string("section_%d_0", "doc_id").alias("section_id"), F.length(text.strip(T())).cast("long").alias("chars")))
-
-
 @query("txt07")
 def _txt07(t):
     from ..plugins import HashingEmbedder, embed
@@ -92,8 +90,6 @@ def _grf16(t):
     return G.build_topics(_entities(t), answer)
 
 
-query("grf17", "SELECT 'chunk_' || doc_id AS src, 'source_' || source AS dst FROM documents WHERE length(" + STRIP("text") + ") > 0")(lambda t: t.documents.where(F.length(text.strip(T())) > 0).select(F.concat(F.lit("chunk_"), "doc_id").alias("src"), F.concat(F.lit("source_"), "source").alias("dst")))
-
 # retrieval metrics: the chunk found for the start of each chunk's own text
 _EV = f"""WITH RECURSIVE {bind.CHUNK_SQL}, q AS (SELECT ord AS query_id, embedding AS qv, '' AS qt FROM chunk WHERE ord % 20 = 0), sim AS (SELECT query_id, c.ord, c.url, round(list_sum(list_transform(list_zip(c.embedding, q.qv), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9) AS sim FROM chunk c, q WHERE c.ord <> q.query_id),
 hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, ord) AS rank FROM sim QUALIFY rank <= 6),

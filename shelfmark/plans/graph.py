@@ -160,9 +160,6 @@ query("agg20", f"WITH {_FOUND_SQL} {_UPSERT}")(lambda t: G.upsert_entities(_foun
 query("grf01", f"SELECT 'chunk_' || substr(sha256(text), 1, 12) AS id, any_value(substr(text, 1, 240)) AS preview, count(*) AS staged FROM documents GROUP BY 'chunk_' || substr(sha256(text), 1, 12)")(
     lambda t: t.documents.groupBy(F.concat(F.lit("chunk_"), F.substring(F.sha2("text", 256), 1, 12)).alias("id")).agg(F.first(F.substring("text", 1, 240)).alias("preview"), F.count("*").alias("staged"))
 )
-query("grf04", f"{W} SELECT id, type FROM node WHERE NOT (type = 'chunk' AND ord % 10 = 3) UNION ALL SELECT 'section_' || page_id || '_0', 'section' FROM pages")(
-    lambda t: N(t).join(N(t).where("type = 'chunk' and ord % 10 = 3").select("id"), "id", "left_anti").select("id", "type").unionByName(t.pages.select(F.format_string("section_%d_0", "page_id").alias("id"), F.lit("section").alias("type")))
-)
 for _depth in (1, 2):
     query("grf05" if _depth == 2 else "grf05_one", f"""WITH RECURSIVE {NODE_SQL}, u AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge), w AS (SELECT 'chunk_7' AS id, 0 AS d UNION SELECT u.b, w.d + 1 FROM w JOIN u ON u.a = w.id WHERE w.d < {_depth}) SELECT id, min(d)::INT * 0 AS zero FROM w GROUP BY id""")(
         lambda t, d=_depth: G.neighbourhood(E(t), ["chunk_7"], d)[0].select("id", F.lit(0).alias("zero"))

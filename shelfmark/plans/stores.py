@@ -210,15 +210,6 @@ def _skl05(t):
     return first.agg(F.array_sort(F.collect_list(F.struct("pri", "doc_id", "text"))).alias("x")).select(F.substring(F.array_join(F.transform("x", lambda z: z["text"]), "\n\n"), 1, 12000).alias("context"), F.size("x").cast("long").alias("chunks"))
 
 
-query("grf12", f"WITH {CACHE_SQL} SELECT ord FROM cache WHERE kind = 'url' AND coalesce(nullif({STRIP('source_url')}, ''), 'cache:' || id) NOT IN (SELECT url FROM pages WHERE page_id % 7 = 0)")(
-    lambda t: I(t).where("kind = 'url'").withColumn("u", S.projection_url(F.col("source_url"), F.col("id"))).join(t.pages.where("page_id % 7 = 0").select(F.col("url").alias("u")).distinct(), "u", "left_anti").select("ord")
-)
-query("grf13", f"WITH {CACHE_SQL} SELECT ord, true AS in_kg, content_hash AS kg_projected_hash FROM cache WHERE NOT in_kg OR kg_projected_hash <> content_hash")(
-    lambda t: S.set_flags(I(t).where(~F.col("in_kg") | S.stale("in_kg", "kg_projected_hash")), F.lit(True), in_kg=F.lit(True), kg_projected_hash=F.col("content_hash")).select("ord", "in_kg", "kg_projected_hash")
-)
-query("grf14", f"WITH {CACHE_SQL} SELECT ord, true AS vectorized, content_hash AS vector_projected_hash FROM cache WHERE length(raw_text) >= 200 AND (NOT vectorized OR vector_projected_hash <> content_hash)")(
-    lambda t: S.set_flags(I(t).where("length(raw_text) >= 200").where(~F.col("vectorized") | S.stale("vectorized", "vector_projected_hash")), F.lit(True), vectorized=F.lit(True), vector_projected_hash=F.col("content_hash")).select("ord", "vectorized", "vector_projected_hash")
-)
 
 
 @query("win07", f"WITH {RUN_SQL}, p AS (SELECT ord, greatest(1, round(duration_ms)::BIGINT) AS ms, 2000 AS cap FROM run), r AS (SELECT *, sum(ms) OVER (PARTITION BY ord // 8 ORDER BY ord) AS e FROM p) SELECT ord, least(e - ms, cap)::BIGINT AS start_ms, least(e, cap)::BIGINT AS end_ms FROM r")
