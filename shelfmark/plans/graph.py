@@ -22,7 +22,6 @@ _KEEP = "(SELECT id FROM node WHERE type IN ('source', 'section', 'chunk', 'enti
 query("flt03", f"{W} SELECT src, dst, kind FROM edge WHERE src IN {_KEEP} AND dst IN {_KEEP}")(lambda t: G.zoom(N(t), E(t), "chunk")[1].select("src", "dst", "kind"))
 _BASE_SQL = "SELECT id, type FROM node WHERE type = 'source'"
 query("flt03_document", f"{W} {_BASE_SQL}")(lambda t: G.zoom(N(t), E(t), "document")[0].select("id", "type"))
-query("flt09", f"{W} SELECT id, name, mentions FROM node WHERE type = 'entity' ORDER BY mentions DESC, ord, id LIMIT 100")(lambda t: N(t).where("type = 'entity'").orderBy(F.desc("mentions"), "ord", "id").limit(100).select("id", "name", "mentions"))
 query("top11", f"{W} SELECT id, (mentions % 5)::INT AS importance, mentions FROM node WHERE type = 'entity' ORDER BY mentions % 5 DESC, mentions DESC, id LIMIT 50")(lambda t: N(t).where("type = 'entity'").withColumn("importance", F.expr("cast(mentions % 5 as int)")).orderBy(F.desc("importance"), F.desc("mentions"), "id").limit(50).select("id", "importance", "mentions"))
 query("flt10", "SELECT doc_id FROM documents WHERE len(list_intersect([lower(lang), lower(source)], ['en', 'src3'])) > 0")(lambda t: t.documents.where(F.arrays_overlap(F.transform(F.array("lang", "source"), F.lower), F.array(F.lit("en"), F.lit("src3")))).select("doc_id"))
 query("flt11", "SELECT doc_id, text FROM documents WHERE doc_id = 7")(lambda t: t.documents.where("doc_id = 7").select("doc_id", "text"))
@@ -167,14 +166,9 @@ for _depth in (1, 2):
 query("grf05_many", f"""WITH RECURSIVE {NODE_SQL}, u AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge), w AS (SELECT 'chunk_' || doc_id AS start, 'chunk_' || doc_id AS id, 0 AS d FROM documents WHERE doc_id % 100 = 7 UNION SELECT w.start, u.b, w.d + 1 FROM w JOIN u ON u.a = w.id WHERE w.d < 2) SELECT start, id, min(d)::INT AS steps FROM w GROUP BY start, id""")(
     lambda t: G.neighbourhoods(E(t), t.documents.where("doc_id % 100 = 7").select(F.concat(F.lit("chunk_"), "doc_id").alias("start"), F.concat(F.lit("chunk_"), "doc_id").alias("id")), 2)[0]
 )
-query("grf08", f"SELECT 'topic_' || {SLUG('r_name')} AS src, 'topic_' || {SLUG('n_name')} AS dst, 'subtopic_of' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey")(
-    lambda t: t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("topic_"), text.slug(F.col("r_name"))).alias("src"), F.concat(F.lit("topic_"), text.slug(F.col("n_name"))).alias("dst"), F.lit("subtopic_of").alias("kind"))
-)
 query("grf09", "SELECT c_custkey AS entity, CASE WHEN c_custkey % 10 = 0 THEN 'topic_new' ELSE 'topic_' || c_nationkey END AS topic FROM customer")(
     lambda t: t.customer.select(F.col("c_custkey").alias("entity"), F.concat(F.lit("topic_"), "c_nationkey").alias("topic")).join(t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("entity")), "entity", "left_anti").unionByName(t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("entity"), F.lit("topic_new").alias("topic")))
 )
-query("grf10", "SELECT o_orderkey AS synthesis, 'entity_' || c_custkey AS covers FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 50 = 0")(lambda t: t.orders.where("o_orderkey % 50 = 0").join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("synthesis"), F.concat(F.lit("entity_"), "c_custkey").alias("covers")))
-query("grf11", f"WITH {_FOUND_SQL} SELECT DISTINCT 'entity_' || {SLUG('name')} AS src, 'entity_' || kind AS dst, 'relation' AS kind FROM f")(lambda t: _found(t).select(F.concat(F.lit("entity_"), text.slug(F.col("name"))).alias("src"), F.concat(F.lit("entity_"), "kind").alias("dst"), F.lit("relation").alias("kind")).distinct())
 query("set01", f"{W} SELECT DISTINCT source AS url FROM documents UNION SELECT DISTINCT lang FROM documents")(lambda t: t.documents.select(F.col("source").alias("url")).union(t.documents.select("lang")).distinct())
 query("set02", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels WHERE quality = 1")(lambda t: t.documents.select("doc_id").intersect(t.labels.where("quality = 1").select("doc_id")))
 query("set03", "SELECT vec_id FROM embeddings EXCEPT SELECT doc_id FROM labels")(lambda t: t.embeddings.select("vec_id").join(t.labels.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti"))

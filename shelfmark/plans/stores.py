@@ -126,9 +126,6 @@ def _ingested(t, times=1):
 
 query("cac01", _INGEST)(_ingested)
 query("stm02", f"{_INGEST.replace(_INGEST[_INGEST.index(', CASE WHEN content_hash IS NULL THEN'):], '')}, 'unchanged' AS outcome FROM o FULL JOIN n ON o.id = n.id")(lambda t: _ingested(t, times=2))
-query("cac02", f"WITH {CACHE_SQL}, v AS (SELECT 'u' || (vec_id % 50) AS url, count(*) AS chunks FROM embeddings GROUP BY ALL) SELECT url, chunks, CASE WHEN url IN ('u1', 'u2') THEN 'flags' ELSE 'created' END AS outcome FROM v")(
-    lambda t: t.embeddings.groupBy(F.concat(F.lit("u"), F.expr("vec_id % 50")).alias("url")).agg(F.count("*").alias("chunks")).join(t.spark.createDataFrame([("u1", "flags"), ("u2", "flags")], "url string, had string"), "url", "left").select("url", "chunks", F.coalesce("had", F.lit("created")).alias("outcome"))
-)
 _MEM2 = f"WITH {MEMORY_SQL}"
 _RANK = "(CASE upper({}) WHEN 'AMBIGUOUS' THEN 0 WHEN 'EXTRACTED' THEN 2 WHEN 'CONFIRMED' THEN 3 WHEN 'USER' THEN 4 ELSE 1 END)"
 query("mem02", f"{_MEM2} SELECT id, greatest(salience, (ord % 5 + 1)::INT) AS salience, CASE WHEN {_RANK.format('c')} > {_RANK.format('confidence')} THEN upper(c) ELSE confidence END AS confidence FROM (SELECT *, CASE WHEN ord % 3 = 0 THEN 'confirmed' ELSE 'ambiguous' END AS c FROM memory)")(
