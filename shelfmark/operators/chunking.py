@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -150,20 +151,44 @@ def chunk_table(docs: DataFrame, key: str, column: str, size: int = SIZE, overla
     return spark.sql(f"SELECT k AS `{key}`, c.position, c.chunk AS text FROM __chunked, LATERAL chunks(t, {int(size)}, {int(overlap)}) c")
 
 
+def scored_sentences(whole: str | None) -> list[tuple[int, str, float, int]]:
+    """(p, sentence, score, rank) of a text's sentences of more than 30 characters, by mean frequency of their words in all of
+    them; light words have no weight."""
+    own = [x for part in _END.split(whole or "") if len(x := part.strip(_STRIP)) > 30]
+    words = [re.findall("[a-z]{4,}", x.lower()) for x in own]
+    count = Counter(w for some in words for w in some)
+    for w in text.LIGHT_WORDS:
+        count.pop(w, None)
+    score = [sum(count[w] for w in some) / max(1, len(some)) for some in words]
+    rank = {p: r for r, p in enumerate(sorted(range(len(own)), key=lambda p: (-score[p], p)), 1)}
+    return [(p, own[p], score[p], rank[p]) for p in range(len(own))]
+
+
 def ranked_sentences(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, p, s, score, r): the sentences of more than 30 characters and their rank by mean word frequency. Words count in
-    the whole document's sentences; light ones have no weight."""
-    s = docs.select(key, F.filter(text.sentences(F.col(column)), lambda x: F.length(x) > 30).alias("every")).select(key, F.posexplode("every").alias("p", "s"))
-    s = s.withColumn("words", F.regexp_extract_all(F.lower("s"), F.lit("[a-z]{4,}"), F.lit(0)))
-    words = s.select(key, "p", F.explode("words").alias("w"))
-    counts = words.groupBy(key, "w").agg(F.count("*").alias("n"))
-    weight = words.join(counts, [key, "w"]).where(~F.col("w").isin(text.LIGHT_WORDS)).groupBy(key, "p").agg(F.sum("n").alias("n"))
-    scored = s.join(weight, [key, "p"], "left").withColumn("score", F.coalesce("n", F.lit(0)) / F.greatest(F.lit(1), F.size("words")))
-    return scored.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "p"))).select(key, "p", "s", "score", "r")
+    """(key, p, s, score, r): ``scored_sentences`` of every text. All that is counted is within a text, so nothing is shuffled."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, whole in enumerate(batch.column(1).to_pylist()):
+                own = scored_sentences(whole)
+                at += [i] * len(own)
+                rows += own
+                if len(rows) > 2000 or i + 1 == batch.num_rows and rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.float64(), pa.int32())))], names=[key, "p", "s", "score", "r"])
+                    at, rows = [], []
+
+    return docs.select(key, F.col(column).cast("string")).mapInArrow(run, f"`{key}` {kind}, p int, s string, score double, r int")
 
 
 def summarize(docs: DataFrame, key: str = "doc_id", column: str = "text", most: int = 6) -> DataFrame:
     """(key, summary): the best sentences in their order; the text's start where there is none."""
-    best = ranked_sentences(docs, key, column).where(F.col("r") <= most)
-    joined = best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), " ").alias("summary"))
-    return docs.select(key, column).join(joined, key, "left").select(key, F.coalesce("summary", F.substring(column, 1, 600)).alias("summary"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = [" ".join(s for _, s, _, r in scored_sentences(whole) if r <= most) or (whole[:600] if whole is not None else None) for whole in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string())], names=[key, "summary"])
+
+    return docs.select(key, F.col(column).cast("string")).mapInArrow(run, f"`{key}` {kind}, summary string")

@@ -256,6 +256,42 @@ def feedback(rows: DataFrame, mark: Column) -> DataFrame:
     })
 
 
+def record_feedback(memories: DataFrame, said: DataFrame, rank) -> DataFrame:
+    """Memories (id, ord, kind, text, salience, confidence, tags, reinforced, superseded_by) after feedback (memory_id, rating, correction,
+    question, ord), one after another. A correction is a new memory that supersedes the one it is about; else up and down move
+    that one's salience within 1 to 5 a step at a time, and up confirms and reinforces it; else a question that was rated down leaves a gap."""
+    said = said.select(F.coalesce("memory_id", F.lit("")).alias("memory_id"), F.lower(text.strip(F.coalesce("rating", F.lit("")))).alias("rating"), text.strip(F.coalesce("correction", F.lit(""))).alias("correction"), F.coalesce("question", F.lit("")).alias("question"), "ord")
+    made = F.concat(F.lit("memory_"), F.substring(F.sha2(F.concat_ws("|", "correction", "question", "memory_id", "ord"), 256), 1, 12))
+    # fixed values: the texts of gaps and corrections
+    gap = F.concat(F.lit("Answer to '"), "question", F.lit("' was rated poor — needs better sources or a correction."))
+    body = F.when(F.col("question") != "", F.concat(F.lit("Q: "), "question", F.lit("\nCorrected answer: "), "correction")).otherwise(F.col("correction"))
+    corrects, moves = F.col("correction") != "", (F.col("correction") == "") & (F.col("memory_id") != "") & F.col("rating").isin("up", "down")
+    leaves = (F.col("correction") == "") & ~moves & (F.col("rating") == "down") & (F.col("question") != "")
+    new = said.where(corrects | leaves).select(
+        made.alias("id"), "ord", F.when(corrects, "correction").otherwise("gap").alias("kind"), F.when(corrects, body).otherwise(gap).alias("text"), F.when(corrects, 5).otherwise(4).alias("salience"), F.lit("USER").alias("confidence"), F.array(F.lit("feedback")).alias("tags"), F.lit(0).cast("long").alias("reinforced"), F.lit("").alias("superseded_by"),
+    )
+    last = said.where(corrects & (F.col("memory_id") != "")).groupBy(F.col("memory_id").alias("id")).agg(F.max_by(made, "ord").alias("__by"))
+    step = lambda x: F.when(x == "up", 1).otherwise(-1)
+    votes = said.where(moves).groupBy(F.col("memory_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "rating"))), lambda x: x["rating"]).alias("__votes"))
+    moved = F.aggregate("__votes", F.col("salience").cast("int"), lambda s, x: F.greatest(F.lit(1), F.least(F.lit(5), s + step(x))))
+    ups = F.size(F.filter("__votes", lambda x: x == "up"))
+    old = memories.join(votes, "id", "left").join(last, "id", "left")
+    confirmed = F.col("__votes").isNotNull() & (ups > 0) & (rank(F.lit("CONFIRMED")) > rank(F.col("confidence")))
+    old = old.select(
+        "id", "ord", "kind", "text", F.coalesce(moved, "salience").alias("salience"), F.when(confirmed, "CONFIRMED").otherwise(F.col("confidence")).alias("confidence"), "tags",
+        (F.col("reinforced") + F.when(F.col("__votes").isNotNull(), ups).otherwise(0)).cast("long").alias("reinforced"), F.coalesce("__by", "superseded_by").alias("superseded_by"),
+    )
+    return old.unionByName(new)
+
+
+def recall_and_mark(memories: DataFrame, query: str, k: int, now: Column, floor: float = KEYWORD_FLOOR) -> tuple[DataFrame, DataFrame]:
+    """(the recalled memories, the store in which their use is counted and dated)."""
+    found = graph.cut(recall(memories, query, k, now, floor))
+    marked = memories.join(found.select("id", F.lit(True).alias("__used")), "id", "left")
+    used = F.coalesce("__used", F.lit(False))
+    return found, marked.withColumns({"use_count": F.col("use_count") + used.cast("long"), "last_used_at": F.when(used, now)}).drop("__used")
+
+
 def forget(memories: DataFrame, gone: DataFrame) -> DataFrame:
     """Without the rows ``gone`` (id); what they had superseded is free again."""
     left = memories.join(gone, "id", "left_anti")

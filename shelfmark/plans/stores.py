@@ -166,6 +166,30 @@ query("mem03", f"{_MEM2} SELECT id, use_count + CASE WHEN ord % 9 = 0 THEN 1 ELS
 query("mem04", f"{_MEM2} SELECT id, CASE ord % 3 WHEN 0 THEN least(5, salience + 1) WHEN 1 THEN greatest(1, salience - 1) ELSE salience END::INT AS salience, CASE WHEN ord % 3 = 0 THEN 'CONFIRMED' ELSE confidence END AS confidence FROM memory")(
     lambda t: S.feedback(M(t), F.expr("element_at(array('up', 'down', 'none'), cast(ord % 3 + 1 as int))")).select("id", "salience", "confidence")
 )
+# feedback: every memory is rated or corrected up to three times, and every benchmark item was answered badly
+_SAID_SQL = """said AS (SELECT m.id AS memory_id, CASE WHEN ord % 3 = 0 THEN 'up' ELSE 'down' END AS rating, CASE WHEN ord % 11 = 4 THEN ' better ' || ord ELSE '' END AS correction, CASE WHEN ord % 2 = 0 THEN 'why ' || ord ELSE '' END AS question, e::BIGINT * 1000000 + ord AS o FROM memory m, (SELECT unnest([1, 2, 3]) AS e) WHERE (ord + e) % 4 <> 1
+UNION ALL SELECT '', 'down', '', 'item ' || item_id, 9000000 + item_id FROM benchmark),
+new_ AS (SELECT *, 'memory_' || substr(sha256(concat_ws('|', trim(correction), question, memory_id, o)), 1, 12) AS id FROM said)"""
+
+
+def _said(t):
+    e = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("e")
+    ord_ = F.col("ord")
+    m = M(t).select("id", "ord", e).where((ord_ + F.col("e")) % 4 != 1)
+    m = m.select(F.col("id").alias("memory_id"), F.when(ord_ % 3 == 0, "up").otherwise("down").alias("rating"), F.when(ord_ % 11 == 4, F.concat(F.lit(" better "), ord_)).otherwise("").alias("correction"), F.when(ord_ % 2 == 0, F.concat(F.lit("why "), ord_)).otherwise("").alias("question"), (F.col("e").cast("long") * 1000000 + ord_).alias("ord"))
+    b = t.benchmark.select(F.lit("").alias("memory_id"), F.lit("down").alias("rating"), F.lit("").alias("correction"), F.concat(F.lit("item "), "item_id").alias("question"), (F.col("item_id") + 9000000).alias("ord"))
+    return m.unionByName(b)
+
+
+query("mem04_feedback", f"""WITH {_VEC_SQL}, {_SAID_SQL}, vote AS (SELECT memory_id AS id, list(rating ORDER BY o) AS votes FROM said WHERE correction = '' AND memory_id <> '' GROUP BY memory_id), last AS (SELECT memory_id AS id, arg_max(id, o) AS by_ FROM new_ WHERE correction <> '' GROUP BY memory_id)
+SELECT id, kind, text, (CASE WHEN votes IS NULL THEN salience ELSE list_reduce(list_prepend(salience::BIGINT, list_transform(votes, lambda x: CASE x WHEN 'up' THEN 1::BIGINT ELSE -1::BIGINT END)), lambda s, x: greatest(1, least(5, s + x))) END)::INT AS salience, CASE WHEN list_contains(votes, 'up') AND {_RANK.format('confidence')} < 3 THEN 'CONFIRMED' ELSE confidence END AS confidence,
+ coalesce(len(list_filter(votes, lambda x: x = 'up')), 0)::BIGINT AS reinforced, coalesce(by_, superseded_by) AS superseded_by FROM v LEFT JOIN vote USING (id) LEFT JOIN last USING (id)
+UNION ALL SELECT id, CASE WHEN correction <> '' THEN 'correction' ELSE 'gap' END, CASE WHEN correction = '' THEN 'Answer to ' || chr(39) || question || chr(39) || ' was rated poor — needs better sources or a correction.' WHEN question <> '' THEN 'Q: ' || question || chr(10) || 'Corrected answer: ' || trim(correction) ELSE trim(correction) END, CASE WHEN correction <> '' THEN 5 ELSE 4 END, 'USER', 0, '' FROM new_ WHERE correction <> '' OR memory_id = ''""")(
+    lambda t: S.record_feedback(_vectored(t), _said(t), confidence_rank).select("id", "kind", "text", "salience", "confidence", "reinforced", "superseded_by")
+)
+query("mem06_marked", f"WITH {MEMORY_SQL}, s AS (SELECT id, ord, {KEYWORD_SIM(repr(_Q), 'text')} AS similarity, {_SCORE} AS score FROM memory WHERE superseded_by = ''), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, ord) AS k FROM s) SELECT m.id, use_count + (r.id IS NOT NULL)::BIGINT AS use_count, CASE WHEN r.id IS NOT NULL THEN epoch_us({NOW}) END AS last_used_us FROM memory m LEFT JOIN r ON r.id = m.id AND k <= 6 AND similarity >= 0.05")(
+    lambda t: S.recall_and_mark(M(t), _Q, 6, _NOW())[1].select("id", "use_count", F.unix_micros("last_used_at").alias("last_used_us"))
+)
 query("mem05", f"{_MEM2}, g AS (SELECT id FROM memory WHERE ord % 14 IN (0, 1)) SELECT id, CASE WHEN superseded_by IN (SELECT id FROM g) THEN '' ELSE superseded_by END AS superseded_by FROM memory WHERE id NOT IN (SELECT id FROM g)")(
     lambda t: S.forget(M(t), M(t).where("ord % 14 in (0, 1)").select("id")).select("id", "superseded_by")
 )
