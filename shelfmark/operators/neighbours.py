@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import vectors
 
@@ -181,6 +182,7 @@ class NeighbourIndex:
         table = self.spark.read.parquet(f"{self.path}/centres").toArrow()
         cells, centres = table.column("cell").to_numpy(), vectors.matrix(table.column("centre"))[1]
         graphs, out = self.spark.read.schema(GRAPH).parquet(f"{self.path}/graphs"), None
+        id_kind = to_arrow_type(queries.schema["query_id"].dataType)
         kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, ord long, sim double"
         for ids, qv in vectors.waves(queries):
             wanted = cells[np.argsort(-(qv @ centres.T), axis=1, kind="stable")[:, : probes or len(cells)]]
@@ -195,7 +197,7 @@ class NeighbourIndex:
                         own = np.flatnonzero((wanted == g["cell"]).any(axis=1))
                         found = [(ids[i], x, sim) for i in own for sim, row in search(v, layers, qv[i], k, ef) for x in g["ords"][g["starts"][row] : min(g["starts"][row + 1], g["starts"][row] + k)]]
                         if found:
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["query_id", "ord", "sim"])
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (id_kind, pa.int64(), pa.float64()))], names=["query_id", "ord", "sim"])
 
             part = graphs.mapInArrow(look, kind)
             out = part if out is None else out.unionByName(part)

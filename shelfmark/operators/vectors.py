@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of query vectors (in double precision) that are sent to the tasks at once.
 WAVE = 32 << 20
@@ -66,7 +67,7 @@ def _best(found: pa.Table, k: int, tie: str) -> pa.Table:
 def _scan(rows: DataFrame, queries: DataFrame, wave: tuple[list, np.ndarray], k: int | None, tie: str, vector: str) -> DataFrame:
     others = [c for c in rows.columns if c != vector]
     fields = [T.StructField("query_id", queries.schema["query_id"].dataType), *(rows.schema[c] for c in others), T.StructField("sim", T.DoubleType())]
-    sent = rows.sparkSession.sparkContext.broadcast(wave)
+    sent, id_kind = rows.sparkSession.sparkContext.broadcast(wave), to_arrow_type(fields[0].dataType)
 
     def pairs(batch: pa.RecordBatch, own: np.ndarray) -> pa.Table | None:
         at, m = matrix(batch.column(vector), own.shape[1])
@@ -86,7 +87,7 @@ def _scan(rows: DataFrame, queries: DataFrame, wave: tuple[list, np.ndarray], k:
         held, n = [], 0
 
         def named(found: pa.Table) -> Iterator[pa.RecordBatch]:
-            names = pa.array(ids[found.column("__q").to_numpy()].tolist())
+            names = pa.array(ids[found.column("__q").to_numpy()].tolist(), id_kind)
             yield from found.set_column(0, "query_id", names).combine_chunks().to_batches(max_chunksize=10_000)
 
         for batch in batches:
@@ -150,7 +151,7 @@ def within(rows: DataFrame, queries: DataFrame, least: float, vector: str = "emb
 
     def scan(wave: tuple[list, np.ndarray]) -> DataFrame:
         ids, own = wave
-        sent = rows.sparkSession.sparkContext.broadcast((ids, unit(own)))
+        sent, id_kind = rows.sparkSession.sparkContext.broadcast((ids, unit(own))), to_arrow_type(fields[0].dataType)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, own = sent.value
@@ -170,7 +171,7 @@ def within(rows: DataFrame, queries: DataFrame, least: float, vector: str = "emb
                     compared.add(len(q))
                 sim = np.round(np.einsum("pd,pd->p", own[q], m[b]), 9)
                 q, b, sim = (x[sim >= least] for x in (q, b, sim))
-                names = pa.array([ids[i] for i in q])
+                names = pa.array([ids[i] for i in q], id_kind)
                 if len(q):
                     yield pa.RecordBatch.from_arrays([names, *(batch.column(c).take(pa.array(at[b])) for c in others), pa.array(sim)], names=["query_id", *others, "sim"])
 
