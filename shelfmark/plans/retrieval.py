@@ -160,8 +160,8 @@ def _win03(t):
 query("agg17", f"WITH {CHUNK_SQL} SELECT section_id, sha256(string_agg(text, chr(10) ORDER BY position, ord)) AS full_text, count(*) AS n FROM chunk GROUP BY section_id")(
     lambda t: C(t).groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("position", "ord", "text"))).alias("c"), F.count("*").alias("n")).select("section_id", F.sha2(F.array_join(F.transform("c", lambda x: x["text"]), "\n"), 256).alias("full_text"), "n")
 )
-query("jon12", f"WITH {CHUNK_SQL}, {SECTION_SQL} SELECT s.id, s.url, count(c.id) AS n_chunks, coalesce(string_agg(c.id, ' ' ORDER BY c.position, c.ord), '') AS ids FROM section s LEFT JOIN chunk c ON c.section_id = s.id AND c.ord % 3 = 0 GROUP BY s.id, s.url")(
-    lambda t: S(t).select("id", "url").join(C(t).where("ord % 3 = 0").groupBy(F.col("section_id").alias("sid")).agg(F.array_sort(F.collect_list(F.struct("position", "ord", F.col("id").alias("cid")))).alias("c")), F.col("id") == F.col("sid"), "left").select("id", "url", F.coalesce(F.size("c"), F.lit(0)).cast("long").alias("n_chunks"), F.coalesce(F.array_join(F.transform("c", lambda x: x["cid"]), " "), F.lit("")).alias("ids"))
+query("jon12", f"WITH {CHUNK_SQL}, {SECTION_SQL} SELECT s.id, s.url, count(c.id) AS n_chunks, coalesce(string_agg(c.id, ' ' ORDER BY c.position, c.ord), '') AS ids FROM section s LEFT JOIN chunk c ON c.section_id = s.id GROUP BY s.id, s.url")(
+    lambda t: S(t).select("id", "url").join(C(t).groupBy(F.col("section_id").alias("sid")).agg(F.array_sort(F.collect_list(F.struct("position", "ord", F.col("id").alias("cid")))).alias("c")), F.col("id") == F.col("sid"), "left").select("id", "url", F.coalesce(F.size("c"), F.lit(0)).cast("long").alias("n_chunks"), F.coalesce(F.array_join(F.transform("c", lambda x: x["cid"]), " "), F.lit("")).alias("ids"))
 )
 query("agg02", f"WITH {CHUNK_SQL} SELECT count(DISTINCT url) AS documents, count(*) AS chunks, max(len(embedding))::INT AS dim, count(DISTINCT section_id) AS sections FROM chunk WHERE url <> ''")(
     lambda t: C(t).where("url <> ''").agg(F.countDistinct("url").alias("documents"), F.count("*").alias("chunks"), F.max(F.size("embedding")).alias("dim"), F.countDistinct("section_id").alias("sections"))

@@ -245,7 +245,7 @@ query("snk10", f"WITH {RUN_SQL} SELECT ord, 'skill.' || kind AS name, epoch_us(\
     lambda t: R(t).select("ord", F.concat(F.lit("skill."), "kind").alias("name"), (F.unix_micros("at") - F.round(F.col("duration_ms") * 1000).cast("long")).alias("start_us"), F.unix_micros("at").alias("end_us"), F.coalesce("gate", F.lit("")).alias("tag"))
 )
 query("snk08", "SELECT p_partkey, '---' || chr(10) || 'name: ' || p_name || chr(10) || 'description: ' || p_type || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || chr(10) AS markdown FROM part")(lambda t: t.part.select("p_partkey", F.concat(F.lit("---\nname: "), "p_name", F.lit("\ndescription: "), "p_type", F.lit("\n---\n\n# "), "p_name", F.lit("\n")).alias("markdown")))
-query("snk09", "SELECT source, string_agg('- ' || substr(text, 1, 40), chr(10) ORDER BY doc_id) AS page FROM documents GROUP BY source")(lambda t: t.documents.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("h")))), lambda x: F.concat(F.lit("- "), x["h"])), "\n").alias("page")))
+query("snk09", "SELECT source, string_agg('- ' || text, chr(10) ORDER BY doc_id) AS page FROM documents GROUP BY source")(lambda t: t.documents.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.col("text").alias("h")))), lambda x: F.concat(F.lit("- "), x["h"])), "\n").alias("page")))
 _VERSIONS_SQL = "a AS (SELECT doc_id, text, lang FROM documents WHERE doc_id % 5 <> 1), b AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END AS text, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE lang END AS lang FROM documents WHERE doc_id % 7 <> 2)"
 
 
