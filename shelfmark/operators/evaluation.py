@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +83,29 @@ def gate(ratio: Column, critical: Column, rubric: Column) -> Column:
     return (
         F.when((critical > 0) | (ratio < DETERMINISTIC), "reject").when(rubric.isNull(), "review").when(rubric >= ACCEPT, "accept").when(rubric < REJECT, "reject").otherwise("review")
     )
+
+
+def mean_scores(examples: DataFrame, evaluators: dict[str, Callable[[dict], float | None]]) -> DataFrame:
+    """(evaluator, n, mean, errors): every evaluator's mean over the examples that it scores. One that has no score for a row, or fails
+    on it, leaves the row out, and failures are counted; the others go on. Each task adds up its own rows, so what is
+    shuffled is a row for each evaluator and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, errors = Counter(), Counter(), Counter()
+        for batch in batches:
+            for row in batch.to_pylist():
+                for name, call in evaluators.items():
+                    try:
+                        score = call(row)
+                    except Exception:  # noqa: BLE001  an evaluator's failure is its own
+                        errors[name] += 1
+                        continue
+                    if score is not None:
+                        n[name] += 1
+                        total[name] += float(score)
+        names = list(evaluators)
+        yield pa.RecordBatch.from_pydict({"evaluator": names, "n": [n[x] for x in names], "total": [float(total[x]) for x in names], "errors": [errors[x] for x in names]})
+
+    parts = examples.mapInArrow(run, "evaluator string, n long, total double, errors long")
+    summed = parts.groupBy("evaluator").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("errors").alias("errors"))
+    return summed.select("evaluator", "n", F.round(F.try_divide("total", "n"), 6).alias("mean"), "errors")

@@ -132,6 +132,20 @@ def _examples(t):
     return hits.withColumn("expected", F.array(u("query_id % 50"), u("(query_id + 7) % 50"), u("(query_id * 3) % 50")))
 
 
+def _share(row: dict) -> float | None:
+    """The expected addresses' share that was found; none where nothing was, and a failure for some questions."""
+    if row["query_id"] % 40 == 0:
+        raise ValueError("no judge")
+    found = set(row["got"]) & set(row["expected"])
+    return len(found) / len(set(row["expected"])) if found else None
+
+
+# evaluators that a caller brings: one for every row, one that leaves some out and fails on others, one that has no score
+query("udf05_any", f"""{_EV} SELECT 'hit' AS evaluator, count(*) AS n, round(avg((recall > 0)::INT), 6) AS mean, 0 AS errors FROM m UNION ALL SELECT 'share', count(*) FILTER (recall > 0 AND query_id % 40 <> 0), round(avg(recall) FILTER (recall > 0 AND query_id % 40 <> 0), 6), count(*) FILTER (query_id % 40 = 0) FROM m
+UNION ALL SELECT 'none', 0, NULL, 0""")(lambda t: V.mean_scores(_examples(t), {"hit": lambda r: float(bool(set(r["got"]) & set(r["expected"]))), "share": _share, "none": lambda r: None}))
+
+
+
 _G, _X = lambda: F.col("got"), lambda: F.col("expected")
 query("jon13", f"{_EV} SELECT query_id, place::BIGINT AS place FROM m")(lambda t: _examples(t).select("query_id", V.first_hit(_G(), _X()).cast("long").alias("place")))
 query("agg09", f"{_EV} SELECT query_id, round(recall, 6) AS recall, recall > 0 AS any_hit FROM m")(lambda t: _examples(t).select("query_id", F.round(V.recall(_G(), _X()), 6).alias("recall"), (V.recall(_G(), _X()) > 0).alias("any_hit")))
