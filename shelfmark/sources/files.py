@@ -38,8 +38,11 @@ def _struct(fields: str) -> str:
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A row for each line of JSON; blank lines are none, broken ones go to ``_corrupt_record`` if the schema has it."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).na.drop("all")
+    """A row for each line of JSON; blank lines are none, broken ones go to ``_corrupt_record`` if the schema has it. A line without
+    any of the schema's fields is a row of nulls."""
+    lines = spark.read.text(path).where(text.strip(F.col("value")) != "")
+    kind = schema if isinstance(schema, str) else schema.simpleString()
+    return lines.select(F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("row")).select("row.*")
 
 
 def vectors(spark: SparkSession, path: str, rows: int = 100_000, columns: tuple[str, ...] = matrices.COLUMNS) -> DataFrame:

@@ -91,3 +91,9 @@ def test_matrices_are_read_by_ranges(spark, tmp_path):
         m = (m if m.ndim == 2 else m[:, None]).astype(np.float32)
         assert [x for x, _ in got.get(name, [])] == list(range(len(m))) and np.array_equal(np.array([v for _, v in got.get(name, [])], np.float32).reshape(m.shape), m)
     assert files.vectors(spark, str(tmp_path), columns=("row",)).agg(F.count("*"), F.max("row")).first() == (1041, 999)
+
+
+def test_lines_of_json_without_known_fields_are_rows(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n  \n{"other": 2}\n{broken\n{"a": null, "b": "x"}\n')
+    got = sorted(map(tuple, files.json_lines(spark, str(tmp_path / "x.jsonl"), "a int, b string, _corrupt_record string").collect()), key=str)
+    assert got == sorted([(1, None, None), (None, None, None), (None, None, "{broken"), (None, "x", None)], key=str)
