@@ -103,14 +103,15 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def propose(tree: np.ndarray, keys: np.ndarray, n: np.ndarray, sketches: np.ndarray):
-    """Candidate pairs (i, j, estimate) of rows in forest order; a row in a crowd, or in a region at an edge, makes one with itself."""
+    """Candidate pairs (i, j, estimate) of rows in forest order; a row in a crowd, or in a region at an edge, makes one with itself.
+    A row alone at an edge makes one too: its region may go on in the next task."""
     region = np.zeros(len(tree), np.int64)
     if len(tree) > 1:
         together = (tree[1:] == tree[:-1]) & (keys[1:, :DEPTH] == keys[:-1, :DEPTH]).all(axis=1)
         region[1:] = np.cumsum(~together)
     sizes = np.bincount(region)
     rows = np.nonzero(sizes[region] > 1)[0]
-    crowd = rows[(sizes[region[rows]] > NEAR + 1) | (region[rows] == 0) | (region[rows] == len(sizes) - 1)]
+    crowd = np.nonzero((sizes[region] > NEAR + 1) | (region == 0) | (region == len(sizes) - 1))[0]
     found = [(crowd, crowd, np.zeros(len(crowd)))]
     for step in range(1, NEAR + 1):
         i = rows[rows + step < len(tree)]

@@ -315,6 +315,17 @@ def templated(rows: int, links: int, shared: int, own: int, common: int, seed: i
     return [(i, out[n][1]) for n, i in enumerate(order)], [tuple(sorted(order[2 * k : 2 * k + 2])) for k in range(links)]
 
 
+def test_rows_at_the_edge_of_a_task_are_joined_exactly():
+    """A region of two that an edge parts has a row alone on each side: neither side can propose the pair."""
+    keys = np.repeat(np.arange(6, dtype=np.uint16)[:, None], neardup.LEVELS, axis=1)
+    r = np.random.default_rng(0)
+    sketches = r.integers(0, 1 << 62, (6, 5)).astype(np.uint64)
+    i, j, _ = neardup.propose(np.zeros(6, np.int64), keys, np.full(6, 50), sketches)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 0), (5, 5)]
+    i, j, _ = neardup.propose(np.zeros(1, np.int64), keys[:1], np.full(1, 50), sketches[:1])
+    assert (i.tolist(), j.tolist()) == ([0], [0])
+
+
 @pytest.mark.parametrize(("own", "common"), [(72, 20), (72, 16)])
 def test_links_within_a_crowd_of_one_template(spark, own, common):
     """All texts are alike by about 0.7, and a few pairs by 0.75 or little more: none of these is missed, and no other linked."""
@@ -552,16 +563,17 @@ def test_passages(spark, awkward, nothing):
 
 
 def like_runs(p, q):
-    """Whether any two runs are alike, from pairs of runs of both (every third length)."""
+    """Whether any two runs are alike, from all pairs of runs of both."""
     x, y, short = p.tolist(), q.tolist(), passages.SHORTEST
     for s in range(len(x) - short + 1):
-        for t in range(len(y) - short + 1):
-            for n in range(short, len(x) - s + 1, 3):
-                for k in range(max(short, n - 6), min(len(y) - t, n + 6) + 1, 3):
-                    u, v = set(x[s : s + n]), set(y[t : t + k])
+        for n in range(short, len(x) - s + 1):
+            u = set(x[s : s + n])
+            for t in range(len(y) - short + 1):
+                for k in range(short, len(y) - t + 1):
+                    v = set(y[t : t + k])
                     if len(u & v) >= 0.75 * len(u | v):
                         return True
-    return found
+    return False
 
 
 @pytest.mark.parametrize("edit", [2, 3, 5])
@@ -583,16 +595,21 @@ def test_edited_passages(edit):
     assert (missed, wrong) == (0, 0)
 
 
-@pytest.mark.parametrize("letters", [3, 60])
+@pytest.mark.parametrize("letters", [40, 5000])
 def test_like_runs_against_all_pairs(letters):
+    """Two sequences of shingles, one with more and more of the other's changed: runs are found where all pairs of runs have
+    some, and none where they have none."""
     r = np.random.default_rng(letters)
-    for _ in range(12):
-        x = r.integers(0, letters, 60).astype(np.uint64)
+    like, size = [], passages.SHORTEST + 6
+    for k in range(24):
+        x = r.integers(0, letters, size).astype(np.uint64)
         y = x.copy()
-        if r.random() < 0.7:
-            y[r.integers(0, 60, int(r.integers(1, 14)))] = r.integers(1000, 1012)
-        y = np.concatenate([r.integers(2000, 2100, 4).astype(np.uint64), y])[:60]
-        assert bool(passages.common_runs(passages.Side(x), passages.Side(y))) == like_runs(x, y)
+        at = r.permutation(size)[: k] if k % 2 else np.arange(k) + int(r.integers(0, size - k))
+        y[at] = r.integers(10_000, 20_000, len(at))
+        got = bool(passages.common_runs(passages.Side(x), passages.Side(y)))
+        like.append(like_runs(x, y))
+        assert got == like[-1], (k, got)
+    assert 5 < sum(like) < 20
 
 
 def test_like_passages_against_all_pairs(spark):
