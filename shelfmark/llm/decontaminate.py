@@ -10,17 +10,18 @@ words, one each ``ENTRY`` words, of every document is a query; it holds any copy
 
 All above the threshold are verified around the passage on the item's five-word shingles: at least 0.75 of them occur
 there, and at least half of the question's (all but the last sentence) and of the answer's (the last sentence; with
-fewer than five words, its words).
+fewer than five words, its words). An item of fewer than five words has its whole sequence as only shingle, which must
+occur there as neighbours, anywhere in a text of any length.
 
 Items are read in waves of at most ``WAVE`` words, whose index is the only thing broadcast; the usual benchmark is one
 wave, a larger one more passes over the documents. Document frequencies and lengths are those of all items' entries,
 counted before, and an entry's score depends on nothing else, so waves of any size and order give the same rows.
 
-Rows: null or empty texts match nothing, null items neither. The set of an item or document of fewer than five words is
-its whole sequence, so such an item is in the documents that consist of it. Items that are equal all match. Documents of
-any length are searched whole. Documents without doc_id are left out by ``matches`` and kept by ``clean``. Rows that
-repeat a doc_id are searched each, and the match of most overlap counts (of equal ones that of the best score). Empty
-tables give no matches. Other columns don't matter.
+Rows: null or empty texts match nothing, null items and items without words neither. A document of fewer than five words
+holds only items that are as short. Items that are equal all match. Documents of any length are searched whole. Documents
+without doc_id are left out by ``matches`` and kept by ``clean``. Of several matches of a document and an item, in a text or
+in rows that repeat a doc_id, that of most overlap counts (of equal ones that of the best score). Empty tables give no
+matches. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keyed_texts, materialize, scratch, slices
-from .shingles import SIZE, combine, shingle_set, word_hashes, words
+from .shingles import SIZE, combine, word_hashes, words
 
 ENTRY, BLOCK, LEAST, OVERLAP, PART, WAVE = 64, 8, 0.5, 0.75, 0.5, 100_000
 K1, B = 1.2, 0.75
@@ -48,11 +49,12 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 class Item:
     def __init__(self, item_id: int, text: str):
-        self.item_id, self.size = item_id, len(words(text))
-        question, answer = question_and_answer(text)
-        self.all, self.question = shingle_set(text), shingle_set(question)
-        self.answer = shingle_set(answer)
-        self.question_words, self.answer_words = np.unique(word_hashes(words(question))), np.unique(word_hashes(words(answer)))
+        own = word_hashes(words(text))
+        self.item_id, self.size = item_id, len(own)
+        self.gram = min(SIZE, self.size)
+        self.all = np.unique(combine(own, self.gram))
+        # question and answer: five-word shingles, or the words of one that has none
+        self.parts = [(n, np.unique(combine(h, n))) for h in (word_hashes(words(t)) for t in question_and_answer(text)) for n in (SIZE if len(h) >= SIZE else 1,)]
 
 
 def entries(text: str) -> list[list[bytes]]:
@@ -148,18 +150,18 @@ class Index:
             distinct = np.unique(part[at[fine]] * v + term[place[fine]])
             for p, e, score in zip(*(x.tolist() for x in self.retrieve(distinct // v, distinct % v))):
                 r, item = int(row[p]), self.items[self.entry_item[e]]
-                if (known_best := best.get((r, self.entry_item[e]))) and known_best[1] >= 1:
+                score = round(score, 9)
+                if (known_best := best.get((r, self.entry_item[e]))) and known_best[1] >= 1 and known_best[0] >= score:
                     continue
                 own = words(texts[r].as_py()) if (r, -1) not in best else best[r, -1]
                 best[r, -1] = own
                 a, z = max(0, int(begin[p] - offsets[r]) - item.size), int(end[p] - offsets[r]) + item.size
                 h = word_hashes(own[a:z])
-                s, w = np.unique(combine(h)) if len(own) >= SIZE else shingle_set(texts[r].as_py()), np.unique(h)
-                share = lambda x, y: float(np.isin(x, y).mean())
-                parts = [share(item.all, s)]
-                parts += [share(x, s) if len(y) >= SIZE else share(y, w) if len(y) else 1.0 for x, y in ((item.question, item.question_words), (item.answer, item.answer_words))]
-                if parts[0] >= OVERLAP and min(parts[1:]) >= PART and (not known_best or parts[0] > known_best[1]):
-                    best[r, self.entry_item[e]] = (round(score, 9), *parts)
+                sets = {n: np.unique(combine(h, n)) for n in {item.gram, *(n for n, _ in item.parts)}}
+                share = lambda n, x: float(np.isin(x, sets[n]).mean()) if len(x) else 1.0
+                parts = [share(n, x) for n, x in ((item.gram, item.all), *item.parts)]
+                if parts[0] >= OVERLAP and min(parts[1:]) >= PART and (not known_best or (parts[0], score) > (known_best[1], known_best[0])):
+                    best[r, self.entry_item[e]] = (score, *parts)
         return [(r, self.items[i].item_id, *x) for (r, i), x in best.items() if i >= 0]
 
 
