@@ -7,14 +7,16 @@ likelihood. Forward-backward gives each word's distribution over languages; a do
 so a text that switches languages gets each one's share, and the prediction is the largest share. ``label_words`` has the
 words' own labels, as runs of one language.
 
-Training takes a bounded sample: ``SAMPLE`` documents of each language, chosen by a hash of doc_id among the rows
-allowed, and of each at most ``SAMPLE_CHARS`` characters from a place chosen by that hash. Sequences are spliced from spans
-of these, about half of them from several languages, so that switches occur. Prediction uses the text alone and the
+Training takes a bounded sample of rows: at most ``SAMPLE`` documents of each language, those of the smallest hash of doc_id among
+the rows allowed, and their whole texts. ``SEQUENCES`` sequences are spliced from spans at any place of these, about half of
+them from several languages, so that switches occur. A model has at most ``LANGUAGES`` languages, since its weights, and the
+sample that the driver trains on, grow with them: a table with more is refused. Prediction uses the text alone and the
 whole of it: chunks of 64 words are multiplied up as matrices, joined along each document, and filled in, so a long
 text costs no more a word than short ones.
 
 Rows: null text or text without a letter gives ``und`` with score 0; without any labelled row everything does. Rows
-without doc_id are predicted but never trained on; repeated rows are predicted alike. Ties go to the language first in
+without doc_id are predicted but never trained on; repeated rows are predicted alike, and of those with one doc_id and
+language training takes one. Ties go to the language first in
 order. Other columns don't matter, and lang, source and doc_id are no inputs of a prediction. Empty tables give no rows.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-WIDTH, SAMPLE, SAMPLE_CHARS = 1 << 17, 600, 3000
+WIDTH, SAMPLE, LANGUAGES = 1 << 17, 600, 256
 LENGTH, SEQUENCES, EPOCHS, RATE, DECAY = 48, 6000, 5, 0.3, 1e-5
 CHUNK, KEPT = 64, 200_000
 UNKNOWN = "und"
@@ -114,7 +116,9 @@ def train(samples: dict[str, list[str]], seed: int = 5) -> Model:
             x[n, at : at + size], y[n, at : at + size] = doc[begin : begin + size], lang
             at += size
             lang = can[r.integers(len(can))] if mixed else lang
-    ids, starts = feature_rows(list(distinct))
+    used, x = np.unique(x, return_inverse=True)  # features of the words that sequences hold
+    names, x = list(distinct), x.reshape(y.shape)
+    ids, starts = feature_rows([names[w] for w in used.tolist()])
     counts = np.diff(np.append(starts, len(ids)))
     squares, square_t, square_s = np.full((WIDTH, k), 1e-2, np.float32), np.full((k, k), 1e-2), np.full(k, 1e-2)
     for _ in range(EPOCHS):
@@ -274,20 +278,24 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from text and lang of rows that are not held out."""
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null and text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
     if not counts:
         return train({})
-    shares = spark.createDataFrame([(x, min(1.0, 1.3 * sample / n)) for x, n in counts.items()], "lang string, share double")
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - chars))
-    some = rows.join(shares, "lang").where(draw < F.col("share") * (1 << 30)).select("lang", draw.alias("draw"), "doc_id", F.substring("text", start.cast("int"), F.lit(chars)).alias("text"))
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
+    share = {x: min(1.0, (sample + 6 * sample**0.5 + 20) / n) for x, n in counts.items()}
+    drawn = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    below = lambda limits: drawn.join(spark.createDataFrame(list(limits.items()), "lang string, most long"), "lang").where("draw <= most")
+    draws: dict[str, list[int]] = {}
+    for x in below({x: int(p * (1 << 30)) for x, p in share.items()}).select("lang", "draw").distinct().toLocalIterator():
+        draws.setdefault(x.lang, []).append(x.draw)
     got: dict[str, list] = {}
-    for r in some.toLocalIterator():
-        got.setdefault(r.lang, []).append((r.draw, r.doc_id, r.text))
+    for x in below({x: sorted(d)[:sample][-1] for x, d in draws.items()}).groupBy("lang", "draw", "doc_id").agg(F.min("text").alias("text")).toLocalIterator():
+        got.setdefault(x.lang, []).append((x.draw, x.doc_id, x.text))
     return train({x: [t for *_, t in sorted(v)[:sample]] for x, v in got.items()})
 
 

@@ -439,6 +439,20 @@ def test_held_out_accuracy(spark):
     assert len(held) > 30 and sum(r["lang_pred"] == r["lang"] for r in held) >= 0.98 * len(held)
 
 
+def test_training_takes_whole_texts_of_few_rows(spark, monkeypatch):
+    """The rows of smallest hash, their texts to the last letter, one of a doc_id that many rows have; and no more languages
+    than a model may have."""
+    seen = {}
+    monkeypatch.setattr(language, "train", lambda samples: seen.update(samples) or language.Model([], None, None, None))
+    rows = [(i, f"word {i} " * 3000 + "end", "xy"[i % 2]) for i in range(90)] + [(900, "again " * 10 + "end", "x")] * 40 + [(901, None, "x"), (902, "no", None), (None, "no", "x")]
+    language.fit(docs(spark, [r[:2] for r in rows]).drop("lang").join(spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] is not None], "doc_id long, lang string").distinct(), "doc_id"), sample=7)
+    assert {k: len(v) for k, v in seen.items()} == {"x": 7, "y": 7} and all(t.endswith("end") for v in seen.values() for t in v) and max(len(t) for t in seen["y"]) > 20_000
+    assert all(len(set(v)) == 7 for v in seen.values())
+    many = spark.createDataFrame([(i, "text", f"l{i % 300}") for i in range(2000)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(many)
+
+
 def test_language_of_awkward_and_mixed_rows(spark, nothing):
     df, kinds = spoken(spark)
     rows = [(1000, None), (1001, ""), (1002, "123 !?"), (None, "kaki kulo lapa"), (1003, "strent ingeth " * 30 + "kaki lolapa " * 10), (1004, "kaki " * 20000)]
