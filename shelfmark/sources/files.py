@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html, text
-from . import matrices
+from . import matrices, pages
 
 SUFFIXES = ("txt", "md", "markdown", "rst", "html", "htm", "csv", "json", "log", "pdf")
 #: Layers by type of node.
@@ -104,13 +104,6 @@ def fetched(addresses: DataFrame, fetch: Callable[[str], dict]) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for url in part["url"]:
-                try:
-                    page = fetch(url)
-                    out.append((url, page.get("title", ""), page.get("text", ""), page.get("date", ""), ""))
-                except Exception as e:  # noqa: BLE001
-                    out.append((url, "", "", "", f"{type(e).__name__}: {e}"[:300]))
-            yield pd.DataFrame(out, columns=["url", "title", "text", "date", "error"])
-
-    return addresses.select("url").mapInPandas(run, "url string, title string, text string, date string, error string")
+            yield pd.DataFrame([pages.page(fetch, url) for url in part["url"]], columns=["url", "title", "text", "date", "error"])
+
+    return addresses.select("url").mapInPandas(run, pages.PAGE)

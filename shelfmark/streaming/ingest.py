@@ -40,6 +40,19 @@ def stage_chunks(stream: DataFrame, table: VersionedTable, checkpoint: str) -> S
     return keyed_sink(stream, table, checkpoint, lambda old, new: S.upsert(old, new.dropDuplicates(["id"])))
 
 
+def ingest_pages(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
+    """Fetched pages (list, byte, url, title, text, date, error) by address. A page replaces one that failed; a page that is there
+    stays, and of one address in a batch that of the first line without an error counts."""
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        names = [c for c in new.columns if c != "url"]
+        first = new.groupBy("url").agg(F.min_by(F.struct(*names), F.struct(F.col("error") != "", "list", "byte")).alias("x")).select("url", "x.*")
+        fresh = first.join(old.where("error = ''").select("url"), "url", "left_anti")
+        return S.upsert(old, fresh, "url")
+
+    return keyed_sink(stream, table, checkpoint, merge)
+
+
 def drain(staging: VersionedTable, overall: VersionedTable) -> int:
     """Staged rows that the whole store lacks go there, then the staging table is empty. Running again changes nothing."""
     rows = staging.read()
