@@ -289,7 +289,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         raise ValueError(f"more than {LANGUAGES} languages to learn")
     share = {x: min(1.0, (sample + 6 * sample**0.5 + 20) / n) for x, n in counts.items()}
     drawn = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    below = lambda limits: drawn.join(spark.createDataFrame(list(limits.items()), "lang string, most long"), "lang").where("draw <= most")
+    most = lambda limits: F.create_map(*(F.lit(v) for pair in limits.items() for v in pair))[F.col("lang")]
+    below = lambda limits: drawn.where(F.col("draw") <= most(limits))
     draws: dict[str, list[int]] = {}
     for x in below({x: int(p * (1 << 30)) for x, p in share.items()}).select("lang", "draw").distinct().toLocalIterator():
         draws.setdefault(x.lang, []).append(x.draw)
