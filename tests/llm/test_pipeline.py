@@ -80,5 +80,5 @@ def test_empty_tables(spark, tmp_path):
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")} and "pipeline" in entry.queries()
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")} and "pipeline" in entry.queries()
     assert np.all([q in entry.queries() for q in entry.oracle_sql()])
