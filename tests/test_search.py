@@ -118,3 +118,29 @@ def test_stored_postings(spark, tmp_path):
     assert "text" not in plan
     direct = retrieval.bm25(chunks, asked, 7).select("query_id", "ord").collect()
     assert sorted(direct) == sorted((q, i) for q, i, _ in want)
+
+
+def test_what_a_task_holds_does_not_grow_with_the_queries(rows, queries, monkeypatch):
+    """The functions that the tasks run, here: many queries against one batch, whose products would be 320 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 10_000
+    points = rng.normal(size=(n, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([f"n{i}" for i in range(4000)]), pa.array(list(points[:4000]), pa.list_(pa.float64()))], names=["ord", "id", "embedding"])
+    monkeypatch.setattr(vectors, "waves", lambda *_, **__: [(list(range(n)), points)])
+    run = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: run.append(f) or self.selectExpr("0L as query_id", "ord", "id", "0d as sim"))
+    vectors.nearest(rows, queries, 5)
+    vectors.similarities(rows, queries)
+    vectors.within(rows, queries, 0.999)
+    for f, all_ in zip(run, (5 * n, 4000 * n, 4000)):
+        tracemalloc.start()
+        found, deepest = 0, 400 if all_ == 4000 * n else 1 << 30  # of all pairs the first batches are enough
+        for out, _ in zip(f(iter([batch])), range(deepest)):
+            found += out.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 << 20, peak >> 20
+        assert found >= min(all_, deepest * 1000)
