@@ -99,7 +99,10 @@ def _filled(t):
     vectors = paged.where("doc_id % 3 = 0").select("url", "text", F.col("doc_id").alias("ord"))
     empty = F.array().cast("array<string>")
     cache = bind.cache_items(t).where("kind = 'url' and (ord - 1000000000) % 3 = 0").select("id", "source_url", "raw_text", "content_hash", F.lit(False).alias("in_kg"), empty.alias("kg_chunk_ids"), F.lit("").alias("kg_projected_hash"), F.lit(False).alias("vectorized"), F.lit("").alias("vector_projected_hash"))
-    return U.backfill(cache.dropDuplicates(["id"]), nodes, vectors)
+    # of pages with one address the cache has that of the smallest hash
+    own = [c for c in cache.columns if c != "id"]
+    cache = cache.groupBy("id").agg(F.min_by(F.struct(*own), "content_hash").alias("x")).select("id", "x.*")
+    return U.backfill(cache, nodes, vectors)
 
 
 query("cac02", f"""WITH {_FILL_SQL}, b AS (SELECT coalesce(h.id, 'cache_' || substr(sha256(f.url), 1, 16)) AS id, coalesce(h.url, f.url) AS source_url, coalesce(h.h, sha256(f.text)) AS hash, h.id IS NOT NULL AS known, coalesce(kg, false) AS kg, coalesce(vec, false) AS vec, ids FROM had h FULL JOIN found f ON h.url = f.url)
