@@ -106,13 +106,14 @@ def _tail(full: str, n: int) -> str:
     return (end[space + 1 :] if 0 < space < n // 2 else end).strip(_STRIP)
 
 
-def chunks_of(whole: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """``chunk_array`` for one text, in time linear in its length: every part is looked at once, and what is held is a chunk."""
+def chunks_of(whole: str | None, size: int = SIZE, overlap: int = OVERLAP, breaks: bool = True) -> list[str]:
+    """``chunk_array`` for one text, in time linear in its length: every part is looked at once, and what is held is a chunk.
+    Without ``breaks`` blank lines end no paragraph: the text is one."""
     plain = re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", re.sub(r"\r\n?", "\n", whole or ""))).strip(_STRIP)
     if len(plain) <= size:
         return [plain] if plain else []
     some = lambda parts: (x for p in parts if (x := p.strip(_STRIP)))
-    pieces = (x for p in some(_BREAK.split(plain)) for x in ([p] if len(p) <= size else _joined(some(_END.split(p)), size, " ")))
+    pieces = (x for p in some(_BREAK.split(plain) if breaks else [plain]) for x in ([p] if len(p) <= size else _joined(some(_END.split(p)), size, " ")))
     return list(_joined(pieces, size, "\n\n", overlap))
 
 

@@ -29,7 +29,7 @@ class Projected(NamedTuple):
     chunks: DataFrame
 
 
-def _split(items: DataFrame, section: int, size: int, overlap: int) -> DataFrame:
+def _split(items: DataFrame, section: int, size: int, overlap: int, breaks: bool) -> DataFrame:
     """(url, section, section_text, position, text): a row for each chunk; the section's text stands with its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,20 +37,21 @@ def _split(items: DataFrame, section: int, size: int, overlap: int) -> DataFrame
             rows: list[tuple] = []
             for url, whole in zip(*(c.to_pylist() for c in batch.columns)):
                 for s, own in enumerate(chunks_of(whole, section, 0)):
-                    rows += [(url, s, own if not p else None, p, x) for p, x in enumerate(chunks_of(own, size, overlap))]
+                    rows += [(url, s, own if not p else None, p, x) for p, x in enumerate(chunks_of(own, size, overlap, breaks))]
             for at in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2000]), (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()))], names=["url", "section", "section_text", "position", "text"])
 
     return items.select("url", "text").mapInArrow(run, _PARTS)
 
 
-def sections_and_chunks(items: DataFrame, summary=lambda c: text.preview(c, 200), section: int = SECTION, size: int = SIZE, overlap: int = OVERLAP) -> Projected:
+def sections_and_chunks(items: DataFrame, summary=lambda c: text.preview(c, 200), section: int = SECTION, size: int = SIZE, overlap: int = OVERLAP, breaks: bool = True) -> Projected:
     """Sections without overlap and their chunks with it, titled and with the texts to embed: each chunk's behind its document and
-    its section's summary. ``summary``: a column from a section's text; a model's comes as a table joined by its caller."""
+    its section's summary. ``summary``: a column from a section's text; a model's comes as a table joined by its caller. Without
+    ``breaks`` a section is one paragraph: blank lines in it are where its parts were joined, as in documents that have none."""
     some = items.where(F.length("text") >= LEAST)
     doc = text.url_slug(F.col("url"))
     head = some.select("url", "title", F.coalesce("date", F.lit("")).alias("date"), doc.alias("doc_id"))
-    parts = graph.cut(_split(some, section, size, overlap))
+    parts = graph.cut(_split(some, section, size, overlap, breaks))
     sections = parts.where("position = 0").join(head, "url").select(
         F.format_string("section_%s_%d", "doc_id", "section").alias("id"), "doc_id", "url", "title", "date", F.col("section").alias("section_index"),
         F.concat("title", F.lit(" — part "), F.col("section") + 1).alias("section_title"), summary(F.col("section_text")).alias("summary"), F.col("section_text").alias("text"),
