@@ -129,22 +129,33 @@ def recall(memories: DataFrame, query: str, k: int, now: Column, floor: float =
     return scored.orderBy(F.desc("score"), "ord").limit(k).where(F.col("similarity") >= floor)
 
 
+def meeting(own: DataFrame, old: DataFrame, least: float) -> DataFrame:
+    """(new_id, id, kind): pairs of ``own`` (new_id, kind, q) and ``old`` (id, kind, w) of about as many keywords that share one of the
+    rarest of each."""
+    counts = old.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def rarest(rows: DataFrame, key: str, words: str) -> DataFrame:
+        # an id may have several texts
+        ranked = rows.select(key, "kind", F.size(words).alias(f"{words}_size"), F.xxhash64(words).alias("h"), F.explode(words).alias("word")).join(counts, "word")
+        ranked = ranked.groupBy(key, "kind", f"{words}_size", "h").agg(F.array_sort(F.collect_set(F.struct("n", "word"))).alias("x"))
+        return ranked.select(key, "kind", f"{words}_size", F.explode(F.slice("x", 1, (F.ceil(F.col(f"{words}_size") * (1 - least)) + 1).cast("int"))["word"]).alias("word"))
+
+    near = F.greatest("q_size", "w_size") * least <= F.least("q_size", "w_size") + 1e-6
+    return rarest(own, "new_id", "q").join(rarest(old, "id", "w"), ["word", "kind"]).where(near & (F.col("id") != F.col("new_id"))).select("new_id", "id", "kind").distinct()
+
+
 def near_duplicates(incoming: DataFrame, memories: DataFrame, least: float = KEYWORD_DUPLICATE, best: bool = True) -> DataFrame:
     """(new_id, id, similarity): for each new memory the active one of its kind that says the same in both directions; not
     only the ``best``: all, with ord.
 
-    Both directions at ``least`` bound the number of distinct keywords of the other: pairs must share a keyword, so the
-    rarest tenth (and one) of the new text's keywords is enough to look through.
+    Texts that are like have about as many keywords, and share one of the rarest tenth (and one) of each, in an order that is
+    the same for both; so these words alone meet, and only pairs that share one are held against all keywords.
     """
-    own = incoming.select(F.col("id").alias("new_id"), "kind", F.col("text").alias("new_text"), text.keywords(F.col("text")).alias("q"))
-    old = active(memories).select("id", "kind", "ord", "text", text.keywords(F.col("text")).alias("w"))
-    counts = old.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    words = own.select("new_id", "kind", "new_text", F.size("q").alias("size"), F.explode("q").alias("word")).join(counts, "word")
-    rare = Window.partitionBy("new_id").orderBy("n", "word")
-    words = words.withColumn("r", F.row_number().over(rare)).where(F.col("r") <= F.ceil(F.col("size") * (1 - least)) + 1)
-    pairs = words.join(old.select("id", "kind", "ord", "text", F.explode("w").alias("word")), ["word", "kind"]).where("id <> new_id").select("new_id", "id", "ord", "new_text", "text").distinct()
-    there, back = text.keyword_similarity(F.col("new_text"), F.col("text")), text.keyword_similarity(F.col("text"), F.col("new_text"))
-    fine = pairs.withColumn("similarity", there).where((F.col("similarity") >= least) & (back >= least))
+    own = incoming.select(F.col("id").alias("new_id"), "kind", text.keywords(F.col("text")).alias("q")).distinct()
+    old = active(memories).select("id", "kind", "ord", text.keywords(F.col("text")).alias("w")).distinct()
+    both = meeting(own, old, least).join(own, ["new_id", "kind"]).join(old, ["id", "kind"])
+    shared = F.size(F.array_intersect("q", "w"))
+    fine = both.select("new_id", "id", "ord", (shared / F.size("q")).alias("similarity"), (shared / F.size("w")).alias("back")).where((F.col("similarity") >= least) & (F.col("back") >= least)).drop("back").distinct()
     if not best:
         return fine.select("new_id", "id", "ord", "similarity")
     order = Window.partitionBy("new_id").orderBy(F.desc("similarity"), "ord")
@@ -162,10 +173,10 @@ def near_by_vector(incoming: DataFrame, memories: DataFrame, least: float = DUPL
 def matches(incoming: DataFrame, memories: DataFrame) -> DataFrame:
     """(new_id, id, ord, similarity): every active memory that a new one repeats. Where both have vectors these decide, of any
     kind; else the keywords of memories of one kind, in both directions."""
-    by_words = near_duplicates(incoming, memories, best=False)
-    both = incoming.where("embedding is not null").select(F.col("id").alias("new_id"))
-    has = memories.where("embedding is not null").select("id")
-    plain = by_words.join(both, "new_id", "left_anti").unionByName(by_words.join(both, "new_id", "left_semi").join(has, "id", "left_anti").select(by_words.columns))
+    new = incoming.where("embedding is not null").select(F.col("id").alias("new_id"), F.lit(True).alias("__new")).distinct()
+    old = memories.where("embedding is not null").select("id", F.lit(True).alias("__old")).distinct()
+    by_words = near_duplicates(incoming, memories, best=False).join(new, "new_id", "left").join(old, "id", "left")
+    plain = by_words.where("__new is null or __old is null").select("new_id", "id", "ord", "similarity")
     return plain.unionByName(near_by_vector(incoming, memories))
 
 

@@ -287,3 +287,10 @@ def test_memory_rules(spark):
     assert [r.superseded_by for r in S.forget(m, spark.createDataFrame([("a",)], "id string")).collect()] == [""]
     new = spark.createDataFrame([("n", "fact", "power: solar panels make")], "id string, kind string, text string")
     assert [(r.new_id, r.id) for r in S.near_duplicates(new, m).collect()] == [("n", "a")]
+
+
+def test_common_words_alone_do_not_meet(spark):
+    """Of new texts that share only the most common words with others, none is held against these."""
+    old = spark.createDataFrame([(f"m{i}", "k", ["the", "and", *(f"w{i}x{j}" for j in range(18))]) for i in range(60)], "id string, kind string, w array<string>")
+    own = spark.createDataFrame([(f"n{i}", "k", ["the", "and", *(f"v{i}x{j}" for j in range(18))]) for i in range(60)] + [("like", "k", ["the", "and", *(f"w7x{j}" for j in range(17)), "other"]), ("few", "k", ["the"])], "new_id string, kind string, q array<string>")
+    assert [(r.new_id, r.id) for r in S.meeting(own, old, 0.9).collect()] == [("like", "m7")]
