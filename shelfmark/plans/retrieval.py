@@ -80,7 +80,7 @@ def _index(t):
 
 query("top03_index", f"{WITH}, {bm25_sql(30)} {_BM}")(lambda t: _index(t).search(Q(t), 30, G.cut).select("query_id", "rank", "ord", "bm25"))
 query("agg14_index", f"""WITH {CHUNK_SQL} SELECT term, count(DISTINCT ord) AS df FROM (SELECT ord, unnest({TOKENS('text')}) AS term FROM chunk) GROUP BY term""")(lambda t: _index(t).frequencies())
-query("mth06", f"{WITH}, {bm25_sql(1000000)} SELECT query_id, ord, bm25 FROM lex")(lambda t: R.bm25(C(t), Q(t), 1000000).select("query_id", "ord", "bm25"))
+query("mth06", f"{WITH}, {bm25_sql(1000000)} SELECT query_id, ord, bm25 FROM lex")(lambda t: R.bm25_unranked(C(t), Q(t), 1000000))
 query("agg14", f"""WITH {CHUNK_SQL}, tok AS (SELECT ord, unnest({TOKENS('text')}) AS term FROM chunk), tf AS (SELECT term, ord, count(*) AS tf FROM tok GROUP BY ALL), n AS (SELECT count(*) AS n FROM chunk)
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(any_value(ln((n - df_ + 0.5::DOUBLE) / (df_ + 0.5::DOUBLE) + 1.0::DOUBLE)), 6) AS idf FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df_ FROM tf), n GROUP BY term""")(
     lambda t: R.postings(C(t)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(F.broadcast(C(t).agg(F.count("*").alias("n")))).select("term", "df", "cf", F.round(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0), 6).alias("idf"))

@@ -144,3 +144,30 @@ def test_what_a_task_holds_does_not_grow_with_the_queries(rows, queries, monkeyp
         tracemalloc.stop()
         assert peak < 100 << 20, peak >> 20
         assert found >= min(all_, deepest * 1000)
+
+
+def test_scores_of_words_in_waves(spark, monkeypatch):
+    """All chunks that share a word with a query, without shuffling or ordering the pairs."""
+    words = [[random.Random(i).choice("abcdefgh") for _ in range(3 + i % 9)] for i in range(60)]
+    chunks = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)] + [(90, None), (91, "")], "ord long, text string")
+    asked = {f"q{i}": " ".join(dict.fromkeys(words[i][:3])) for i in range(0, 60, 7)} | {"none": "zz", "empty": None}
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, qt string")
+    n, mean = 62, sum(map(len, words)) / 62
+    df = Counter(w for x in words for w in set(x))
+    want = {}
+    for q, qt in asked.items():
+        for i, x in enumerate(words):
+            own = [math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / mean)) for t in (qt or "").split() if t in x]
+            if own:
+                want[q, i] = sum(own)
+    for most in (2_000_000, 5):
+        monkeypatch.setattr(retrieval, "WAVE", most)
+        monkeypatch.setattr(retrieval, "BATCH", 50)
+        found = retrieval.bm25_unranked(chunks, queries, 62)
+        got = {(r.query_id, r.ord): r.bm25 for r in found.collect()}
+        assert got == pytest.approx(want, abs=2e-6)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query_id" not in plan and "Window" not in plan
+    few = retrieval.bm25_unranked(chunks, queries, 4).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in few} == {q: min(4, sum(1 for x, _ in want if x == q)) for q, _ in want}
+    assert retrieval.matches(chunks, queries.where("false")).collect() == []
