@@ -164,7 +164,7 @@ def test_neighbourhoods_around_a_hub_in_waves(spark, monkeypatch):
         want |= {(s, x, d) for x, d in seen.items()}
     edges = spark.createDataFrame([(a, b, "k") for a, b in own], "src string, dst string, kind string")
     first = spark.createDataFrame([(s, s) for s in starts], "start string, id string")
-    for most in (2_000_000, 20):
+    for most in (2_000_000, 150):
         monkeypatch.setattr(G, "WAVE", most)
         monkeypatch.setattr(G, "BATCH", 50)
         nodes, _ = G.neighbourhoods(edges, first, 3)
