@@ -686,6 +686,52 @@ def test_short_equal_passages_in_a_crowd(spark):
     assert got == group
 
 
+def test_like_passages_in_a_crowd_of_their_line(spark):
+    """Pairs of like passages round a line that all of a crowd have within theirs: what is next in order must not matter."""
+    r = np.random.default_rng(11)
+    some = lambda n: ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(3):
+        line = some(30)
+        for n in range(60):
+            i, before, after = 1000 * k + n, some(15), some(15)
+            rows.append((i, " ".join([*some(25), *before, *line, *after, *some(25)])))
+            if n % 3 == 1:  # another with the three words after the line changed
+                rows.append((i + 500, " ".join([*some(25), *before, *line, *some(3), *after[3:], *some(25)])))
+                pairs.append((i, i + 500))
+    got = {x["doc_id"]: x for x in rows_of(passages.op8_compact_windows(docs(spark, rows).repartition(5)))}
+    assert [p for p in pairs if got[p[0]]["class_id"] != got[p[1]]["class_id"]] == []
+    assert {x["class_id"] for x in got.values()} == {i for i, _ in rows} - {b for _, b in pairs}
+    assert {i for i, x in got.items() if x["n_passages"]} == {i for p in pairs for i in p}
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_like_runs_share_a_rare_shingle(repeats):
+    """The smaller of two like runs has one of the rarest of its stretch in common with the other, in any order of rarity."""
+    r, found = np.random.default_rng(5 + repeats), 0
+    for _ in range(150):
+        n = int(r.integers(46, 220))
+        own = r.integers(0, 1 << 32, n, dtype=np.uint32)
+        if repeats:
+            at, size = int(r.integers(0, n - 40)), int(r.integers(2, 20))
+            own = np.concatenate([own[: at + 40], np.tile(own[at : at + size], int(r.integers(1, 9))), own[at + 40 :]])
+        other = own.copy()
+        for at in r.integers(0, n - 5, int(r.integers(1, max(2, n // 25)))).tolist():
+            other[at : at + 5] = r.integers(0, 1 << 32, 5, dtype=np.uint32)
+        if passages._alike(own, other) < 0.75:
+            continue
+        small, large = sorted((own, other), key=lambda x: len(np.unique(x)))
+        wide = np.concatenate([r.integers(0, 1 << 32, 30, dtype=np.uint32), small, r.integers(0, 1 << 32, 30, dtype=np.uint32)])
+        level = np.where(np.isin(wide, large), wide % 5 + 1, wide % 2 * 3).astype(np.uint8)
+        assert np.isin(wide[passages.rarest(wide, level)], large).any()
+        before = [max([j for j in range(i) if wide[j] == wide[i]], default=-1) for i in range(len(wide))]
+        every = [len(np.unique(wide[i : i + 46])) for i in range(len(wide) - 45)]
+        assert passages.different(np.array(before)).tolist() == every
+        assert passages.fewest(wide).tolist() == [min(every[max(0, i - 45) : i + 1]) for i in range(len(wide))]
+        found += 1
+    assert found > 40
+
+
 # --- archives --------------------------------------------------------------------------------------------------------
 
 PAGES = [(5, "http://www.a.example/x?y=1#z", "<p>" + "q" * 200), (3, "https://a.example:8080/x", "<p>" + "q" * 200), (9, None, None), (8, "", ""), (7, "http://[bad", "short"), (6, "http://b.example/ä b\n", "short"), (None, "u", "v"), (4, "HTTP://A.EXAMPLE", "x\r\n\r\ny" * 90), (10, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70)]
