@@ -732,6 +732,28 @@ def test_like_runs_share_a_rare_shingle(repeats):
     assert found > 40
 
 
+def test_stretches_of_a_crowd_make_few_pairs():
+    """Near copies of one text against one that lacks five of each twelve shingles: no pair; against all that hold a like run: a pair."""
+    r = np.random.default_rng(3)
+    base = np.arange(150)
+    fresh = itertools.count(1000)
+
+    def changed(at, own=base):
+        own = own.copy()
+        for i in at:
+            own[i : i + 5] = [next(fresh) for _ in own[i : i + 5]]
+        return own
+
+    copies = [changed(r.choice(145, 2)) for _ in range(300)]
+    far = changed(range(0, 150, 12))
+    near = np.concatenate([[next(fresh) for _ in range(30)], changed([20], base[40:90]), [next(fresh) for _ in range(30)]])
+    loops = np.tile(np.arange(140, 143), 30)
+    them = passages.Stretches([*copies, loops], 10_000)
+    assert not len(them.like(far)) and them.like(loops).tolist() == [300]
+    alike = [k for k, x in enumerate(copies) if passages.common_runs(passages.Side(x.astype(np.uint64)), passages.Side(near.astype(np.uint64)))]
+    assert len(alike) > 50 and set(alike) <= set(them.like(near).tolist())
+
+
 # --- archives --------------------------------------------------------------------------------------------------------
 
 PAGES = [(5, "http://www.a.example/x?y=1#z", "<p>" + "q" * 200), (3, "https://a.example:8080/x", "<p>" + "q" * 200), (9, None, None), (8, "", ""), (7, "http://[bad", "short"), (6, "http://b.example/ä b\n", "short"), (None, "u", "v"), (4, "HTTP://A.EXAMPLE", "x\r\n\r\ny" * 90), (10, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70)]
