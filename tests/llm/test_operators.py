@@ -754,6 +754,23 @@ def test_stretches_of_a_crowd_make_few_pairs():
     assert len(alike) > 50 and set(alike) <= set(them.like(near).tolist())
 
 
+def test_stretches_of_a_crowd_meet_by_what_is_rare():
+    """Of stretches with a crowd's line in common those that share more are looked at, and found as when all are."""
+    r = np.random.default_rng(4)
+    line = np.arange(26)
+    own = [np.concatenate([r.integers(30, 100_000, r.integers(20, 50)), line, r.integers(30, 100_000, 30)]) for _ in range(300)]
+    own[100], own[200] = own[7].copy(), own[7][10:].copy()
+    own[100][15:18] = r.integers(30, 100_000, 3)
+    own += [np.tile(line[:3], 30), np.tile(line[:4], 20)]
+    them = passages.Stretches(own, 100_000)
+    assert len(them.sharing(own[7], np.unique(own[7]), np.arange(300))) < 30
+    for x in (7, 8, 300, 301):
+        for wanted in (np.arange(302), np.arange(1, 302, 3)):
+            want = set(them.like(own[x]).tolist())
+            assert them.like_of(own[x], wanted).tolist() == [k for k in wanted.tolist() if k in want]
+    assert {7, 100} <= set(them.like_of(own[7], np.arange(302)).tolist())
+
+
 # --- archives --------------------------------------------------------------------------------------------------------
 
 PAGES = [(5, "http://www.a.example/x?y=1#z", "<p>" + "q" * 200), (3, "https://a.example:8080/x", "<p>" + "q" * 200), (9, None, None), (8, "", ""), (7, "http://[bad", "short"), (6, "http://b.example/ä b\n", "short"), (None, "u", "v"), (4, "HTTP://A.EXAMPLE", "x\r\n\r\ny" * 90), (10, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70), (11, "http://a.example/x", "ü" * 70)]
