@@ -3,7 +3,8 @@
 Queries go to the tasks in waves of at most ``WAVE`` bytes of vectors, whose size is counted first; rows stay where they
 are read, and a task keeps the k best of each query, so that what is shuffled is k rows for each query and task. Within a task
 queries and rows meet in blocks of ``PRODUCTS`` pairs, so what it holds does not grow with their number. Each pair's
-product is one sum in the same order, so equal vectors have equal products. Vectors that are null, hold a null or have
+product is one sum in the same order, so equal vectors have equal products; where k are kept, products of matrices tell first
+which pairs can be among them. Vectors that are null, hold a null or have
 another length than the queries' have no similarity and are no row of a result.
 """
 
@@ -91,23 +92,30 @@ class Best:
         if more:
             self.sim, self.at = np.pad(self.sim, ((0, 0), (0, more)), constant_values=-np.inf), np.pad(self.at, ((0, 0), (0, more)), constant_values=-1)
         near = np.zeros(len(m), bool)
+        size, largest = (np.sqrt(np.einsum("rd,rd->r", z, z)) for z in (own, m))
         for qs, bs in blocks(len(own), len(m)):
-            sim = np.einsum("qd,bd->qb", own[qs], m[bs])
-            least = self.sim[qs].min(axis=1)
-            rival = (sim >= least[:, None]).any(axis=1)
+            sim, least = own[qs] @ m[bs].T, self.sim[qs].min(axis=1)
+            # how far a product of matrices can be from the one sum that counts; without a bound all of them are summed
+            off = 1e-15 * m.shape[1] * size[qs] * largest[bs].max()
+            if not np.isfinite(off).all():
+                sim, off = np.einsum("qd,bd->qb", own[qs], m[bs]), np.zeros(len(sim))
+            rival = (sim >= (least - off)[:, None]).any(axis=1)
             if not rival.any():
                 continue
             q = np.flatnonzero(rival) + qs.start
-            sim = sim[rival]
+            sim, least = sim[rival], least[rival]
             if sim.shape[1] > self.k:  # what is below the k-th of the block can't be among the k best; equal ones all stay
-                cut = -np.partition(-sim, self.k - 1, axis=1)[:, self.k - 1]
-                x, y = np.nonzero((sim >= cut[:, None]) & (sim >= least[rival][:, None]))
+                cut = np.partition(sim, -self.k, axis=1)[:, -self.k]
+                x, y = np.nonzero(sim >= (np.fmax(cut - off[rival], least) - off[rival])[:, None])
             else:
-                x, y = np.nonzero(sim >= least[rival][:, None])
+                x, y = np.nonzero(sim >= (least - off[rival])[:, None])
+            sim = np.concatenate([np.einsum("pd,pd->p", own[q[x[i : i + BATCH]]], m[bs][y[i : i + BATCH]]) for i in range(0, max(1, len(x)), BATCH)])
+            fine = sim >= least[x]
+            x, y, sim = x[fine], y[fine], sim[fine]
             held = self.at[q] >= 0
             of, place = np.nonzero(held)
             which = np.concatenate([of, x])
-            sims, ats = np.concatenate([self.sim[q][held], sim[x, y]]), np.concatenate([self.at[q][held], begin + bs.start + y])
+            sims, ats = np.concatenate([self.sim[q][held], sim]), np.concatenate([self.at[q][held], begin + bs.start + y])
             order = np.lexsort((tie[ats], -sims, which))
             which, sims, ats = which[order], sims[order], ats[order]
             rank = np.arange(len(which)) - np.searchsorted(which, which)

@@ -202,7 +202,9 @@ query("rag01", " UNION ALL ".join(f"(SELECT '{mode}' AS mode, query_id, rank, or
 def _rag01(t):
     order = Q(t).select("query_id", F.array(F.expr("cast(query_id * 5 % 24 as int)"), *map(F.lit, (3, 3, 77, 0))).alias("ranking"))
     modes = {mode: options | ({"rankings": lambda hits: order} if mode == "reranked" else {}) for mode, (options, _) in _MODES.items()}
-    parts = [R.retrieve(C(t), S(t), Q(t), 6, **options).select(F.lit(mode).alias("mode"), "query_id", "rank", "ord") for mode, options in modes.items()]
+    # what all modes choose from, found once: the most that any of them asks for
+    near, words = G.cut(R.dense(C(t), Q(t), R.overfetch(R.overfetch(24)))), G.cut(R.bm25(C(t), Q(t), R.overfetch(24)))
+    parts = [R.retrieve(C(t), S(t), Q(t), 6, **options, near=near, words=words).select(F.lit(mode).alias("mode"), "query_id", "rank", "ord") for mode, options in modes.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 

@@ -219,3 +219,40 @@ def test_search_of_postings_shuffles_no_pairs(spark, tmp_path, monkeypatch):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "inline" not in plan and "Aggregate [query_id" not in plan
     assert index.search(queries.where("false"), 5).collect() == []
+
+
+def test_best_by_products_of_matrices():
+    """The places and products of one sum each, ties, copies and infinite numbers among them, and few of all pairs summed."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    points, own = r.integers(-3, 4, (700, 8)).astype(float) / 3, r.integers(-3, 4, (90, 8)).astype(float) / 3
+    wild = points.copy()
+    wild[[5, 300], [1, 2]] = np.inf, 1e200
+    for m in (points, wild):
+        for k in (1, 7, 900):
+            best = vectors.Best(len(own), k, "ord")
+            for at in range(0, len(m), 250):
+                best.add(own, m[at : at + 250], pa.table({"ord": np.arange(at, min(at + 250, len(m)))}))
+            got = {}
+            ords = best.rows.column("ord").to_numpy()
+            for q, at, sim in best.found():
+                for a, b, c in zip(q.tolist(), at.tolist(), sim.tolist()):
+                    got.setdefault(a, []).append((-c, int(ords[b])))
+            with np.errstate(invalid="ignore"):
+                sims = np.einsum("qd,bd->qb", own, m)
+            for q in range(len(own)):
+                assert sorted(got[q]) == sorted((-s, i) for i, s in enumerate(sims[q].tolist()) if s == s)[:k]
+
+
+def test_searches_that_share_their_candidates(spark):
+    """Modes of the router from rows that were found once are as from their own searches."""
+    r = np.random.default_rng(5)
+    words = [" ".join(random.Random(i).choices("abcdefgh", k=5)) for i in range(400)]
+    chunks = spark.createDataFrame([(i, f"c{i}", f"u{i % 9}", f"s{i % 5}", w, [float(x) for x in v]) for i, (w, v) in enumerate(zip(words, r.normal(size=(400, 4))))], "ord long, id string, url string, section_id string, text string, embedding array<float>")
+    sections = chunks.where("ord < 5").selectExpr("section_id as id", "embedding")
+    queries = chunks.where("ord % 100 = 7").selectExpr("ord as query_id", "embedding as qv", "text as qt")
+    near, found = retrieval.dense(chunks, queries, 864), retrieval.bm25(chunks, queries, 144)
+    for options in ({"hybrid_": False}, {}):
+        plain, shared = (sorted(map(tuple, retrieval.retrieve(chunks, sections, queries, 6, **options, **more).collect())) for more in ({}, {"near": near, "words": found}))
+        assert plain == shared and len(plain) == 24
